@@ -206,4 +206,6 @@ def attach_intervals(summary: DataFrame, intervals: DataFrame, by: list[str], na
     )
     picked = [F.first(F.when(F.col("metric") == m, ci), ignorenulls=True).alias(f"{c}_ci") for m, c in names.items()]
     wide = intervals.groupBy(*by).agg(*picked)
-    return summary.join(wide, by, "left") if by else summary.join(wide, how="cross")
+    if by:
+        return summary.join(wide, by, "left")
+    return summary.withColumns({f"{c}_ci": wide.select(f"{c}_ci").scalar() for c in names.values()})

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from timbre.functions.expr import basename, path_order, stem, unit_hash
 from timbre.functions.text import speaker_prefix
 from timbre.operators.matching import latest_run, resolve_across_models, resolve_reference
-from timbre.operators.ordering import positions_by_integer, top_n
+from timbre.operators.ordering import positions_by_integer, salted_join, top_n
 
 # --- fixed values ------------------------------------------------------------
 DETECTION_TASK = "FakeDetection"
@@ -226,39 +226,39 @@ def split_overlap(df: DataFrame, speaker: str, split: str = "split") -> DataFram
     return sides[0].intersect(sides[1])
 
 
-def farthest_target(sources: DataFrame, candidates: DataFrame, max_candidates: int = 1024) -> DataFrame:
-    """The candidate speaker most different from every source.
+def farthest_target(sources: DataFrame, candidates: DataFrame, block_size: int = 256, salt: int = 8) -> DataFrame:
+    """The candidate speaker most different from every source: ``(speaker, target, difference)``.
 
     Both tables have ``speaker``, ``encoder``, ``embedding``. Per encoder the L1 distances are
-    divided by their mean over the candidates, then added up. The candidate list of an encoder
-    travels as one array; more than ``max_candidates`` is an error.
+    divided by their mean over the candidates, then added up; the first name wins a tie.
+    Candidates travel as blocks of ``block_size`` embeddings, and the few (encoder, block) keys are
+    salted.
     """
-    listed = candidates.groupBy("encoder").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("speaker").alias("target"), "embedding"))).alias("_all")
+    blocks = F.ceil(F.count(F.lit(1)) / F.lit(block_size)).cast("int")
+    sizes = candidates.groupBy("encoder").agg(blocks.alias("_blocks"))
+    listed = (
+        candidates.join(sizes, "encoder")
+        .withColumn("_block", F.pmod(F.xxhash64("speaker"), F.col("_blocks")).cast("int"))
+        .groupBy("encoder", "_block")
+        .agg(F.collect_list(F.struct(F.col("speaker").alias("target"), F.col("embedding").alias("other"))).alias("_list"))
     )
-    size = F.size("_all")
-    checked = listed.withColumn(
-        "_all", F.when(size > max_candidates, F.raise_error(F.lit("too many candidates")).cast(listed.schema["_all"].dataType)).otherwise(F.col("_all"))
+    spread = sources.join(sizes, "encoder").select(
+        "speaker", "encoder", "embedding", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block")
     )
-    tables = checked.select(F.map_from_entries(F.collect_list(F.struct("encoder", "_all"))).alias("_m"))
-    lookup = tables.scalar()
-    gaps = F.transform(
-        F.element_at(lookup, F.col("encoder")),
-        lambda c: F.struct(
-            c["target"].alias("target"),
-            F.aggregate(
-                F.zip_with(F.col("embedding"), c["embedding"], lambda a, b: F.abs(a.cast("double") - b.cast("double"))),
-                F.lit(0.0),
-                lambda s, x: s + x,
-            ).alias("gap"),
-        ),
+    paired = salted_join(spread, listed, ["encoder", "_block"], spread_by="speaker", salt=salt)
+    gap = F.aggregate(
+        F.zip_with("embedding", "other", lambda a, b: F.abs(a.cast("double") - b.cast("double"))),
+        F.lit(0.0),
+        lambda total, x: total + x,
     )
-    per_encoder = sources.select("speaker", "encoder", gaps.alias("_gaps")).withColumn(
-        "_mean", F.aggregate("_gaps", F.lit(0.0), lambda s, g: s + g["gap"]) / F.size("_gaps")
+    gaps = paired.select("speaker", "encoder", "embedding", F.inline("_list")).select(
+        "speaker", "encoder", "target", gap.alias("gap")
     )
-    scored = per_encoder.select("speaker", "_mean", F.inline("_gaps")).select(
-        "speaker", "target", (F.col("gap") / F.nullif("_mean", F.lit(0.0))).alias("_share")
+    means = gaps.groupBy("speaker", "encoder").agg(F.avg("gap").alias("_mean"))
+    totals = (
+        gaps.join(means, ["speaker", "encoder"])
+        .groupBy("speaker", "target")
+        .agg(F.sum(F.col("gap") / F.nullif("_mean", F.lit(0.0))).alias("difference"))
     )
-    totals = scored.groupBy("speaker", "target").agg(F.sum("_share").alias("difference"))
-    best = F.max_by(F.struct("target", "difference"), F.struct("difference", F.negative(F.xxhash64("target"))))
+    best = F.min_by(F.struct("target", "difference"), F.struct(F.negative("difference"), F.col("target")))
     return totals.groupBy("speaker").agg(best.alias("_b")).select("speaker", "_b.*")

@@ -42,20 +42,21 @@ def read_raw_filelist(spark: SparkSession, path: str) -> DataFrame:
     return split_fields(stripped, RAW_FILELIST_FIELDS)
 
 
-def pair_lines(df: DataFrame, number: str = "line_no", line: str = "line") -> DataFrame:
-    """Alternating ground-truth/synthesised lines -> one row per pair.
+def pair_lines(df: DataFrame, by: list[str] | None = None, number: str = "line_no", line: str = "line") -> DataFrame:
+    """Alternating ground-truth/synthesised lines -> one row per pair (and per ``by`` key).
 
     ``number`` is the 0-based line number; lines 2k and 2k+1 form pair k.
     """
     side = F.when(F.col(number) % 2 == 0, "gt").otherwise("syn")
     parts = F.split(line, r"\|", 2)
     tagged = df.select(
+        *(by or []),
         F.floor(F.col(number) / 2).cast("bigint").alias("pair"),
         side.alias("side"),
         F.element_at(parts, 1).alias("path"),
         F.try_element_at(parts, F.lit(2)).alias("text"),
     )
-    return tagged.groupBy("pair").pivot("side", ["gt", "syn"]).agg(
+    return tagged.groupBy(*(by or []), "pair").pivot("side", ["gt", "syn"]).agg(
         F.first("path").alias("path"), F.first("text").alias("text")
     )
 
@@ -87,8 +88,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_eval_list(spark: SparkSession, path: str) -> DataFrame:
-    """One evaluation list as ground-truth/synthesised pairs."""
-    return pair_lines(numbered_lines(spark, path))
+    """Evaluation lists as ground-truth/synthesised pairs, one ``pair`` count per file."""
+    return pair_lines(numbered_lines(spark, path), ["file"])
 
 
 def format_filelist(fields: list[str] = FILELIST_FIELDS) -> Column:

@@ -53,9 +53,11 @@ def read_manifest_json(
     return canonicalize(records_from_variant(json_records(payloads), extras), dataset)
 
 
-def legacy_payloads(spark: SparkSession, root: str, speaker: str | None = None) -> DataFrame:
+def legacy_payloads(
+    spark: SparkSession, root: str, speaker: str | None = None, pattern: str = "*.json"
+) -> DataFrame:
     """``(source_manifest, content)`` of the legacy files, skipping hidden and combined ones."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(f"{root}/filelists")
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(f"{root}/filelists")
     named = files.select(F.col("_metadata.file_name").alias("source_manifest"), F.col("value").alias("content"))
     return keep_legacy_names(named, speaker)
 
@@ -72,9 +74,10 @@ def read_legacy_manifests(
     dataset: str,
     speaker: str | None = None,
     extras: list[str] | None = None,
+    pattern: str = "*.json",
 ) -> DataFrame:
     """All legacy per-speaker files of a dataset, canonicalised."""
-    records = json_records(legacy_payloads(spark, root, speaker))
+    records = json_records(legacy_payloads(spark, root, speaker, pattern))
     return canonicalize(records_from_variant(records, extras), dataset)
 
 
@@ -102,6 +105,7 @@ def build_manifests(
     only: list[str] | None = None,
     force: bool = False,
     extras: list[str] | None = None,
+    pattern: str = "*.json",
 ) -> list[str]:
     """Build the canonical manifest of every registered dataset; one status line each.
 
@@ -120,6 +124,6 @@ def build_manifests(
             status = f"skip no filelists: {root}"
         else:
             name = entry.get("name") or root.rstrip("/").rsplit("/", 1)[-1] or entry["key"]
-            status = write_manifest(read_legacy_manifests(spark, root, name, extras=extras), root, force)[1]
+            status = write_manifest(read_legacy_manifests(spark, root, name, extras=extras, pattern=pattern), root, force)[1]
         lines.append(f"[{entry['key']}] {status}")
     return lines

@@ -92,26 +92,22 @@ def number_text(value: Column) -> Column:
     )
 
 
-def read_run_summaries(spark: SparkSession, paths: str | list[str], schema: str | None = None) -> DataFrame:
-    """Nested ``metrics.json`` files, one row per run, with the run folder's identity."""
-    reader = spark.read.option("multiLine", True).option("allowNonNumericNumbers", True)
+def read_run_summaries(
+    spark: SparkSession, paths: str | list[str], schema: str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """Nested run summaries with the run folder's identity: one document per file, or (with
+    ``multi_line=False``) one per line."""
+    reader = spark.read.option("multiLine", multi_line).option("allowNonNumericNumbers", True)
     df = (reader.schema(schema) if schema else reader).json(paths)
     identity = run_columns(F.col("_metadata.file_path"))
     run_name = F.coalesce("run_name", identity["run_name"]) if "run_name" in df.columns else identity["run_name"]
     return df.withColumns({"run_name": run_name, "run_ts": identity["run_ts"]})
 
 
-def summary_json(df: DataFrame) -> Column:
-    """One JSON document per row; absent values stay as ``null``."""
-    return F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-
-
 def write_run_summary(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Nested run summaries as JSON, one document per run.
-
-    Spark writes infinities inside numbers as quoted strings, which the reader accepts.
-    """
-    df.select(summary_json(df).alias("value")).write.mode(mode).text(path)
+    """Nested run summaries as JSON, one document per line; absent values stay as ``null`` and
+    infinities become the strings the reader accepts."""
+    df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
 def write_jsonl(df: DataFrame, path: str, partition: str | None = "model", mode: str = "overwrite") -> None:

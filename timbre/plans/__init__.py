@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
-from timbre.plans import queries_sources  # noqa: F401
+from timbre.plans import queries_manifest, queries_sources  # noqa: F401
 from timbre.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -43,6 +43,21 @@ def stringify(value: Column | str, data_type: T.DataType) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def truthy(value: Column | str, data_type: T.DataType) -> Column:
+    """Text of a value, or NULL where a chain of alternatives falls through: NULL, an empty
+    string or list, zero, false. NaN does not fall through and reads as an empty string."""
+    value = col(value)
+    if isinstance(data_type, T.StringType):
+        return F.nullif(value, F.lit(""))
+    if isinstance(data_type, T.ArrayType):
+        return F.when(F.size(value) > 0, stringify(value, data_type))
+    if isinstance(data_type, T.BooleanType):
+        return F.when(value, stringify(value, data_type))
+    if isinstance(data_type, T.NumericType):
+        return F.when(value != 0, stringify(value, data_type))
+    return F.nullif(stringify(value, data_type), F.lit(""))
+
+
 def _variant_text(record: str, field: str) -> Column:
     """Text of a JSON field: a list is joined by blanks, an absent field is NULL."""
     as_list = F.try_variant_get(F.col(record), f"$.{field}", "array<string>")
@@ -77,10 +92,8 @@ def records_from_variant(records: DataFrame, extras: list[str] | None = None) ->
 
 def make_pair_id(dataset: Column | str, speaker: Column | str, row: Column | str) -> Column:
     """``dataset-speaker-000012``; a blank speaker is written ``unknown``."""
-    number = F.when(
-        F.char_length(col(row).cast("string")) >= 6, col(row).cast("string")
-    ).otherwise(F.lpad(col(row).cast("string"), 6, "0"))
-    return F.concat_ws("-", col(dataset), F.coalesce(blank_to_null(speaker), F.lit("unknown")), number)
+    known = F.coalesce(blank_to_null(speaker), F.lit("unknown"))
+    return F.concat_ws("-", col(dataset), known, F.format_string("%06d", col(row)))
 
 
 def canonicalize(df: DataFrame, dataset: str) -> DataFrame:
@@ -90,36 +103,48 @@ def canonicalize(df: DataFrame, dataset: str) -> DataFrame:
     ``source_manifest`` and ``source_row``; every column that is neither canonical nor legacy is
     kept after the canonical ones.
     """
-    present = set(df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
 
-    def text(name: str) -> Column | None:
-        return stringify(name, types[name]) if name in present else None
-
-    def value(name: str) -> Column:
-        own, old = text(name), text(CANONICAL_TO_LEGACY.get(name, ""))
-        if own is not None and old is not None:
-            return F.when(F.col(name).isNotNull(), own).otherwise(old)
-        return own if own is not None else old if old is not None else F.lit("")
-
-    named = {n: value(n) for n in MANIFEST_COLUMNS if n not in ("source_manifest", "source_row")}
-    prompt_speaker = first_truthy_or_blank(named["prompt_speaker_id"], named["speaker_id"])
-    target_speaker = first_truthy_or_blank(named["target_speaker_id"], prompt_speaker)
-    speaker = first_truthy_or_blank(named["speaker_id"], prompt_speaker, target_speaker)
-    named.update(
-        dataset_name=first_truthy_or_blank(named["dataset_name"], F.lit(dataset)),
-        split=first_truthy(named["split"], F.lit(DEFAULT_SPLIT)),
-        pair_id=first_truthy(named["pair_id"], make_pair_id(F.lit(dataset), speaker, "source_row")),
-        speaker_id=speaker,
-        prompt_speaker_id=first_truthy_or_blank(prompt_speaker, speaker),
-        target_speaker_id=first_truthy_or_blank(target_speaker, speaker),
-        target_file_name=first_truthy_or_blank(named["target_file_name"], named["prompt_file_name"]),
-        target_language=first_truthy_or_blank(named["target_language"], named["prompt_language"]),
-    )
+    def read(name: str, how) -> Column:
+        """The canonical column, else its legacy one, as NULL-for-blank text."""
+        sources = [n for n in (name, CANONICAL_TO_LEGACY.get(name)) if n in types]
+        if not sources:
+            return F.lit(None).cast("string")
+        values = [how(n, types[n]) for n in sources]
+        return values[0] if len(values) == 1 else F.when(F.col(name).isNotNull(), values[0]).otherwise(values[1])
+
+    def text(name: str) -> Column:
+        return F.coalesce(read(name, lambda n, t: stringify(n, t)), F.lit(""))
+
+    def given(name: str) -> Column:
+        return read(name, truthy)
+
+    def written(name: str) -> Column:
+        return read(name, lambda n, t: blank_to_null(stringify(n, t)) if not isinstance(t, T.StringType) else truthy(n, t))
+
+    prompt_speaker = [given("prompt_speaker_id"), written("speaker_id")]
+    target_speaker = [given("target_speaker_id"), *prompt_speaker]
+    speaker = [given("speaker_id"), *prompt_speaker, given("target_speaker_id")]
+    blank = F.lit("")
+    special = {
+        "dataset_name": F.coalesce(given("dataset_name"), F.lit(dataset)),
+        "split": F.coalesce(given("split"), F.lit(DEFAULT_SPLIT)),
+        "pair_id": F.coalesce(
+            given("pair_id"),
+            F.concat_ws(
+                "-", F.lit(dataset), F.coalesce(*speaker, F.lit("unknown")), F.format_string("%06d", F.col("source_row"))
+            ),
+        ),
+        "speaker_id": F.coalesce(*speaker, blank),
+        "prompt_speaker_id": F.coalesce(*prompt_speaker, given("target_speaker_id"), blank),
+        "target_speaker_id": F.coalesce(*target_speaker, blank),
+        "target_file_name": F.coalesce(given("target_file_name"), text("prompt_file_name")),
+        "target_language": F.coalesce(given("target_language"), text("prompt_language")),
+        "source_manifest": F.col("source_manifest"),
+        "source_row": F.col("source_row").cast("bigint"),
+    }
     return df.select(
-        *[named[n].alias(n) for n in MANIFEST_COLUMNS if n in named],
-        "source_manifest",
-        F.col("source_row").cast("bigint").alias("source_row"),
+        *[(special[n] if n in special else text(n)).alias(n) for n in MANIFEST_COLUMNS],
         *extra_columns(df),
     )
 

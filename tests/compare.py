@@ -58,8 +58,9 @@ def difference(left, right, limit: int = 3) -> str:
         return f"columns {ln} != {rn}"
     if lr == rr:
         return ""
-    only_left = [r for r in lr if r not in set(rr)][:limit]
-    only_right = [r for r in rr if r not in set(lr)][:limit]
+    ls, rs = set(lr), set(rr)
+    only_left = [r for r in lr if r not in rs][:limit]
+    only_right = [r for r in rr if r not in ls][:limit]
     return f"{len(lr)} vs {len(rr)} rows\n   spark {str(only_left)[:900]}\n   duck  {str(only_right)[:900]}"
 
 

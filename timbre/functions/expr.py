@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -75,3 +76,12 @@ def literal_map(mapping: dict[str, object]) -> Column:
 def unit_hash(value: Column | str) -> Column:
     """Reproducible number in [0, 2^32) from the first 8 hex digits of an md5."""
     return F.conv(F.substring(F.md5(col(value).cast("string")), 1, 8), 16, 10).cast("bigint")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it in ``body``.
+
+    An expression that occurs inside a higher-order function is evaluated again for every array
+    element; a lambda variable is not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)

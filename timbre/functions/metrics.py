@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from timbre.functions.expr import blank_to_null, col, strip
+from timbre.functions.expr import blank_to_null, col, let, strip
 from timbre.schema import FIDELITY_METRICS, GENERATION_METRICS, ddl_fields
 
 # --- fixed values ------------------------------------------------------------
@@ -43,7 +43,7 @@ def _word_string(tokens: Column, shared: Column, own_mark: int) -> Column:
         tokens,
         lambda w: F.lpad(
             F.hex(
-                F.when(F.array_contains(shared, w), F.array_position(shared, w) + 1).otherwise(F.lit(own_mark))
+                F.coalesce(F.nullif(F.array_position(shared, w), F.lit(0).cast("bigint")) + 1, F.lit(own_mark))
                 + _ALPHABET_START
             ),
             8,
@@ -55,15 +55,20 @@ def _word_string(tokens: Column, shared: Column, own_mark: int) -> Column:
 
 def word_distance(reference: Column, hypothesis: Column) -> Column:
     """Word-level edit distance of two token arrays."""
-    shared = F.array_intersect(reference, hypothesis)
-    return F.levenshtein(_word_string(reference, shared, 0), _word_string(hypothesis, shared, 1))
+    pair = F.struct(reference.alias("ref"), hypothesis.alias("hyp"))
+    return let(
+        pair,
+        lambda p: let(
+            F.array_intersect(p["ref"], p["hyp"]),
+            lambda shared: F.levenshtein(_word_string(p["ref"], shared, 0), _word_string(p["hyp"], shared, 1)),
+        ),
+    )
 
 
 def wer(reference: Column | str, hypothesis: Column | str) -> Column:
     """Word error rate of two token arrays; NULL without reference words or hypothesis."""
     ref, hyp = col(reference), col(hypothesis)
-    distance = word_distance(ref, hyp)
-    return F.when(F.size(ref) > 0, distance / F.size(ref))
+    return F.when(F.size(ref) > 0, word_distance(ref, hyp) / F.size(ref))
 
 
 def cer(reference: Column | str, hypothesis: Column | str) -> Column:

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from timbre.functions.expr import col
+from timbre.functions.expr import col, let
 from timbre.functions.metrics import clamp, power
 from timbre.operators.ordering import salted_join
 
@@ -70,9 +70,13 @@ def mix_at_snr(clean: Column, interferer: Column, snr: Column) -> Column:
     """Clean plus the interferer scaled to ``snr`` dB; a short interferer is repeated."""
     n = F.size(clean)
     copies = F.ceil(n / F.size(interferer)).cast("int")
-    other = F.slice(F.flatten(F.array_repeat(interferer, copies)), 1, n)
-    gain = F.sqrt(power(clean) / (power(other) * F.pow(F.lit(10.0), snr / 10.0)))
-    return F.zip_with(clean, other, lambda c, i: c.cast("double") + gain * i.cast("double"))
+    fitted = F.slice(F.flatten(F.array_repeat(interferer, copies)), 1, n)
+
+    def scaled(other: Column) -> Column:
+        gain = F.sqrt(power(clean) / (power(other) * F.pow(F.lit(10.0), snr / 10.0)))
+        return let(gain, lambda g: F.zip_with(clean, other, lambda c, i: c.cast("double") + g * i.cast("double")))
+
+    return let(fitted, scaled)
 
 
 def noise_mixtures(

@@ -282,8 +282,13 @@ _REWRITE = """
 
 @query(
     "P13_rewrite_filelist",
-    f"""SELECT p || '|' || rest AS line, CASE WHEN doc_id % 17 = 0 OR doc_id % 4 = 3 THEN p || '|' || rest ELSE 'out/u' || doc_id || '_new.wav|' || rest END AS new_line,
-      NOT (doc_id % 17 = 0 OR doc_id % 4 = 3) AS updated FROM ({_REWRITE})""",
+    f"""WITH l AS (SELECT *, rest[strpos(rest, '|') + 1:] AS sig, doc_id % 17 <> 0 AS good FROM ({_REWRITE})),
+      known AS (SELECT 'in/u' || doc_id || '.wav' AS p, 'out/u' || doc_id || '_new.wav' AS n FROM documents WHERE doc_id % 4 <> 3),
+      sigs AS (SELECT sig, arg_max(n, p) AS n FROM l JOIN known USING (p) WHERE good GROUP BY sig),
+      r AS (SELECT l.*, coalesce(a.n, s.n, b.n) AS n FROM l LEFT JOIN known a ON a.p = l.p LEFT JOIN sigs s ON s.sig = l.sig
+        LEFT JOIN known b ON string_split(b.p, '/')[2] = string_split(l.p, '/')[2])
+    SELECT p || '|' || rest AS line, CASE WHEN good AND n IS NOT NULL THEN n || '|' || rest ELSE p || '|' || rest END AS new_line,
+      good AND n IS NOT NULL AS updated FROM r""",
 )
 def p13(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc, key = F.col("doc_id"), F.col("doc_id").cast("string")

@@ -155,7 +155,8 @@ _LEXICON_SYMBOLS = ["_", *"abcdefghijklmnopqrstuwxyzV", "!", "?", "…", ",", ".
 
 def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     token = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}']+"), F.lit(0))
-    found = fx.table(spark, sf_dir, "benchmark").select(F.upper(F.explode(token)).alias("word")).distinct()
+    tokens = fx.table(spark, sf_dir, "benchmark").select(F.explode(token).alias("word"))
+    found = tokens.select(F.upper("word").alias("word")).distinct()
     letters = F.filter(F.split("word", ""), lambda c: c != "")
     phones = F.transform(letters, lambda c: F.when(c.isin(list(_VOWELS)), F.concat(c, F.lit("1"))).otherwise(c))
     return found.select("word", phones.alias("phones"))
@@ -163,12 +164,12 @@ def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "T9_lexicon_phonemes",
-    rf"""WITH lex AS (SELECT DISTINCT upper(unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}'']+'))) AS word FROM benchmark),
+    rf"""WITH lex AS (SELECT DISTINCT upper(replace(unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}'']+')), 'ß', 'SS')) AS word FROM benchmark),
       w AS (SELECT doc_id, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS pos
         FROM (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}'']+|[!?…,.-]') AS toks FROM documents)),
       s AS (SELECT doc_id, pos, tok IN ('!','?','…',',','.','''','-') AS mark, lex.word IS NULL AND NOT (tok IN ('!','?','…',',','.','''','-')) AS oov,
           CASE WHEN tok IN ('!','?','…',',','.','''','-') THEN [tok] WHEN lex.word IS NULL THEN [] ELSE list_filter(string_split(lex.word, ''), lambda c: c <> '') END AS ch
-        FROM w LEFT JOIN lex ON upper(tok) = lex.word),
+        FROM w LEFT JOIN lex ON upper(replace(tok, 'ß', 'SS')) = lex.word),
       g AS (SELECT doc_id, flatten(list(list_transform(ch, lambda c: CASE WHEN mark THEN c WHEN c = 'V' THEN 'V'
             WHEN (lower(c) >= 'a' AND lower(c) <= 'z' AND ascii(lower(c)) < 128) THEN lower(c) WHEN c IN ('''') THEN c ELSE 'UNK' END) ORDER BY pos)) AS phones,
           flatten(list(list_transform(ch, lambda c: CASE WHEN mark THEN 0 WHEN c IN ('A','E','I','O','U') THEN 2 WHEN regexp_full_match(c, '[0-9]') THEN c::INT + 1 ELSE 3 END) ORDER BY pos)) AS tones,

@@ -232,13 +232,13 @@ CTES["metrics"] = """
     'out/' || user_id || '/' || event_id || '.wav' AS protected_path,
     'say ' || event_id AS ground_truth_text,
     'said "' || event_id || '", ok' AS predicted_text,
-    CASE WHEN event_id % 23 = 0 THEN NULL ELSE k / 10.0::DOUBLE END AS mcd,
-    CASE WHEN event_id % 29 = 0 THEN NULL ELSE (event_id % 13) / 10.0::DOUBLE END AS wer,
-    CASE WHEN event_id % 17 = 0 THEN NULL ELSE value / 600 END AS sim,
-    1 + k / 25.0::DOUBLE AS speechmos_mos,
-    1 + k / 32.0::DOUBLE AS dnsmos_ovrl,
-    1 + k / 40.0::DOUBLE AS dnsmos_sig,
-    1 + k / 50.0::DOUBLE AS dnsmos_bak,
+    CASE WHEN event_id % 23 = 0 THEN NULL ELSE sqrt(k + 0.5::DOUBLE) END AS mcd,
+    CASE WHEN event_id % 29 = 0 THEN NULL ELSE sqrt((event_id % 13)::DOUBLE) / 4 END AS wer,
+    CASE WHEN event_id % 17 = 0 THEN NULL ELSE sqrt(value) / 25 END AS sim,
+    1 + sqrt(k::DOUBLE) / 3 AS speechmos_mos,
+    1 + sqrt(k::DOUBLE) / 4 AS dnsmos_ovrl,
+    1 + sqrt(k + 1.0::DOUBLE) / 4 AS dnsmos_sig,
+    1 + sqrt(k + 2.0::DOUBLE) / 5 AS dnsmos_bak,
     CASE WHEN event_id % 19 = 0 THEN NULL ELSE value > 50 END AS sva,
     CASE WHEN event_id % 31 = 0 THEN NULL ELSE 1.0::DOUBLE + event_id % 10 END AS generated_duration_sec,
     value / 100 AS synthesis_time_sec,
@@ -246,7 +246,7 @@ CTES["metrics"] = """
     list_extract(['ang', 'hap', 'neu', 'sad'], 1 + k % 4) AS generated_emotion,
     CASE WHEN event_id % 37 = 0 THEN NULL ELSE event_id % 4 = k % 4 END AS emotion_match,
     CASE WHEN event_id % 101 = 0 THEN 'inf'::DOUBLE ELSE value END AS snr_db,
-    k / 100.0::DOUBLE AS stoi,
+    sqrt(k::DOUBLE) / 11 AS stoi,
     1.0::DOUBLE + event_id % 10 AS protected_duration_sec
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
 """
@@ -274,13 +274,13 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         path("out").alias("protected_path"),
         F.concat(F.lit("say "), event.cast("string")).alias("ground_truth_text"),
         F.concat(F.lit('said "'), event.cast("string"), F.lit('", ok')).alias("predicted_text"),
-        unless(23, k / 10.0).alias("mcd"),
-        unless(29, (event % 13) / 10.0).alias("wer"),
-        unless(17, F.col("value") / 600).alias("sim"),
-        (1 + k / 25.0).alias("speechmos_mos"),
-        (1 + k / 32.0).alias("dnsmos_ovrl"),
-        (1 + k / 40.0).alias("dnsmos_sig"),
-        (1 + k / 50.0).alias("dnsmos_bak"),
+        unless(23, F.sqrt(k + 0.5)).alias("mcd"),
+        unless(29, F.sqrt(event % 13) / 4).alias("wer"),
+        unless(17, F.sqrt("value") / 25).alias("sim"),
+        (1 + F.sqrt(k) / 3).alias("speechmos_mos"),
+        (1 + F.sqrt(k) / 4).alias("dnsmos_ovrl"),
+        (1 + F.sqrt(k + 1) / 4).alias("dnsmos_sig"),
+        (1 + F.sqrt(k + 2) / 5).alias("dnsmos_bak"),
         unless(19, F.col("value") > 50).alias("sva"),
         unless(31, 1.0 + event % 10).alias("generated_duration_sec"),
         (F.col("value") / 100).alias("synthesis_time_sec"),
@@ -288,7 +288,7 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(emotions, k % 4 + 1).alias("generated_emotion"),
         unless(37, event % 4 == k % 4).alias("emotion_match"),
         F.when(event % 101 == 0, F.lit(float("inf"))).otherwise(F.col("value")).alias("snr_db"),
-        (k / 100.0).alias("stoi"),
+        (F.sqrt(k) / 11).alias("stoi"),
         (1.0 + event % 10).alias("protected_duration_sec"),
     )
 

@@ -23,6 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from timbre.operators.ordering import spread
+
 # --- fixed values ------------------------------------------------------------
 DEFAULT_RESAMPLES = 1000
 DEFAULT_LEVEL = 0.95
@@ -118,7 +120,7 @@ def resample_sums(
         return out
 
     kinds = ", ".join(f"`{c}` {values.schema[c].dataType.simpleString()}" for c in by)
-    parts = placed.groupBy(*by, "_bucket").applyInPandas(
+    parts = spread(placed, *by, "_bucket").groupBy(*by, "_bucket").applyInPandas(
         run, f"{kinds}, resample int, total double, weight bigint"
     )
     return parts.groupBy(*by, "resample").agg(

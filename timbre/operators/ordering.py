@@ -16,6 +16,27 @@ _PARTITION_SHIFT = 33
 _ROW_MASK = (1 << _PARTITION_SHIFT) - 1
 
 
+def spread_scan(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition a scan that has fewer partitions than the cluster has cores.
+
+    Expensive per-row work on one small file would otherwise run in one task. A scan with enough
+    splits is returned unchanged, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into a fixed number of partitions.
+
+    Adaptive execution merges shuffle partitions by their bytes; ahead of work that is heavy per
+    byte this keeps the partitions, and a following join or grouping on the keys reuses them.
+    """
+    spark = df.sparkSession
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(wanted, *keys)
+
+
 def positions_by_integer(
     df: DataFrame,
     order: str,

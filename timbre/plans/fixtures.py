@@ -9,14 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from timbre.operators.manifest import canonicalize, zero_shot_samples
-from timbre.operators.ordering import positions_by_integer
+from timbre.operators.ordering import positions_by_integer, spread, spread_scan
 
 DATASET = "docs"
 PROTECTION_CYCLE = ["clean", "ss", "ek", "sp", "gr", "em"]
 
 
+# tables whose rows are expensive to work on, with the keys that spread them
+_HEAVY = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_scan(df, *_HEAVY[name]) if name in _HEAVY else df
 
 
 def with_ctes(names: list[str], body: str) -> str:
@@ -189,13 +194,13 @@ CTES["turns"] = """
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = table(spark, sf_dir, "conversations")
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     answer = said.select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("hyp_role"), F.col("text").alias("hyp")
     )
-    return said.select("conv_id", "turn", F.col("role").alias("ref_role"), F.col("text").alias("ref")).join(
-        answer, ["conv_id", "turn"]
-    )
+    asked = said.select("conv_id", "turn", F.col("role").alias("ref_role"), F.col("text").alias("ref"))
+    keys = ["conv_id", "turn"]
+    return spread(asked, *keys).join(spread(answer, *keys), keys)
 
 
 # Corrupted copies: every 7th token is lost; some hypotheses are NULL and some references empty.

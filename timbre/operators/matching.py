@@ -58,22 +58,20 @@ def locate_clone(samples: DataFrame, inventory: DataFrame, key: str = "index") -
     )
     folders = inventory.select(F.col("parent").alias("_dir")).distinct().withColumn("_exists", F.lit(True))
     files = inventory.groupBy("parent", "name").agg(F.min_by("path", path_order("path")).alias("_path"))
-    hits = (
-        wanted.select(key, "_dir", F.explode("_candidates").alias("_c"))
-        .join(files, (F.col("_dir") == F.col("parent")) & (F.col("_c.name") == F.col("name")))
-        .groupBy(key)
-        .agg(F.min(F.struct(F.col("_c.priority").alias("priority"), F.col("_path").alias("path"))).alias("_hit"))
+    tried = wanted.select(key, "_dir", F.explode_outer("_candidates").alias("_c")).select(
+        key, "_dir", F.col("_c.priority").alias("priority"), F.col("_c.name").alias("_name")
     )
-    return (
-        wanted.select(key, "_dir")
-        .join(hits, key, "left")
-        .join(folders, "_dir", "left")
-        .select(
-            key,
-            F.col("_hit.path").alias("clone_path"),
-            F.col("_hit.priority").alias("priority"),
-            F.coalesce("_exists", F.lit(False)).alias("speaker_dir_exists"),
-        )
+    hit = F.struct("priority", F.col("_path").alias("path"))
+    best = (
+        tried.join(files, (F.col("_dir") == F.col("parent")) & (F.col("_name") == F.col("name")), "left")
+        .groupBy(key, "_dir")
+        .agg(F.min(F.when(F.col("_path").isNotNull(), hit)).alias("_hit"))
+    )
+    return best.join(folders, "_dir", "left").select(
+        key,
+        F.col("_hit.path").alias("clone_path"),
+        F.col("_hit.priority").alias("priority"),
+        F.coalesce("_exists", F.lit(False)).alias("speaker_dir_exists"),
     )
 
 
@@ -390,7 +388,7 @@ def pair_by_index(test_list: DataFrame, synthesized: DataFrame, strict: bool = T
     )
     checked = (
         F.when(counts != 0, F.raise_error(F.lit("file count differs from list length")).cast("string"))
-        .when(~agrees, F.raise_error(F.lit("speaker of file and list differ")).cast("string"))
+        .when(~F.col("speaker_agrees"), F.raise_error(F.lit("speaker of file and list differ")).cast("string"))
         .otherwise(F.col("synthesized_path"))
     )
     return out.withColumn("synthesized_path", checked)

@@ -85,16 +85,20 @@ def _draw(values: np.ndarray, counts: np.ndarray, draws: np.ndarray, rng: np.ran
     return sums
 
 
-def resample_sums(
-    values: DataFrame, by: list[str], config: BootstrapConfig, bucket_values: int = _BUCKET_VALUES
-) -> DataFrame:
-    """``(*by, resample, total, weight)`` from a long table with a ``value`` column."""
+def count_values(values: DataFrame, by: list[str], bucket_values: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct values with their counts, and per group its size, mean and bucket number."""
     counted = values.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("_count"))
-    sizes = counted.groupBy(*by).agg(
+    stats = counted.groupBy(*by).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(bucket_values)).cast("int").alias("_buckets"),
-        F.sum("_count").alias("_rows"),
+        F.sum("_count").alias("n"),
+        (F.sum(F.col("value") * F.col("_count")) / F.sum("_count")).alias("avg"),
     )
-    placed = counted.join(sizes, by).filter("_rows > 1").withColumn(
+    return counted, stats
+
+
+def resample_sums(counted: DataFrame, stats: DataFrame, by: list[str], config: BootstrapConfig) -> DataFrame:
+    """``(*by, resample, total, weight)`` from the tables of :func:`count_values`."""
+    placed = counted.join(stats.filter("n > 1").select(*by, "_buckets"), by).withColumn(
         "_bucket", F.pmod(F.xxhash64("value"), F.col("_buckets")).cast("int")
     )
     seed = config.seed if config.seed is not None else 0
@@ -119,7 +123,7 @@ def resample_sums(
             out.insert(0, c, first[c])
         return out
 
-    kinds = ", ".join(f"`{c}` {values.schema[c].dataType.simpleString()}" for c in by)
+    kinds = ", ".join(f"`{c}` {counted.schema[c].dataType.simpleString()}" for c in by)
     parts = spread(placed, *by, "_bucket").groupBy(*by, "_bucket").applyInPandas(
         run, f"{kinds}, resample int, total double, weight bigint"
     )
@@ -151,23 +155,17 @@ def bootstrap_ci(
     """One row per group and metric: ``lower, upper, confidence_level, num_resamples, std, avg, n,
     method``. A metric with fewer than two finite values has NULL bounds."""
     keys = [*by, "metric"]
-    values = finite_values(df, by, metrics)
-    plain = values.groupBy(*keys).agg(
-        F.avg("value").alias("avg"), F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("_distinct")
-    )
-    sums = resample_sums(values, keys, config, bucket_values).select(
-        *keys, (F.col("total") / F.nullif("weight", F.lit(0))).alias("_mean")
+    counted, stats = count_values(finite_values(df, by, metrics), keys, bucket_values)
+    means = resample_sums(counted, stats, keys, config).select(
+        *keys, (F.col("total") / F.nullif("weight", F.lit(0).cast("bigint"))).alias("_mean")
     )
-    bounds = interval(sums, keys, "_mean", config)
+    bounds = interval(means, keys, "_mean", config)
     enough = F.col("n") > 1
-    method = F.when(F.col("_distinct") <= bucket_values, "multinomial").otherwise("poisson")
-    return plain.join(bounds, keys, "left").select(
+    method = F.when(F.col("_buckets") == 1, "multinomial").otherwise("poisson")
+    known = ("lower", "upper", "confidence_level", "num_resamples", "std")
+    return stats.join(bounds, keys, "left").select(
         *keys,
-        *[
-            F.when(enough, F.col(c)).alias(c)
-            for c in ("lower", "upper", "confidence_level", "num_resamples", "std")
-        ],
-        F.when(enough, F.col("avg")).alias("avg"),
+        *[F.when(enough, F.col(c)).alias(c) for c in (*known, "avg")],
         "n",
         F.when(enough, method).alias("method"),
     )

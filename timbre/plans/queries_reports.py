@@ -294,7 +294,7 @@ def r9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "R10_long_to_wide_metrics",
-    with_ctes(_MX, """SELECT model, unnest(['sim', 'wer', 'wer_ci_lower', 'wer_ci_upper']) AS metric, unnest([round(avg(sim), 6), round(avg(wer), 6), min(wer), max(wer)]) AS value FROM metrics GROUP BY model"""),
+    with_ctes(_MX, """SELECT model, unnest(['sim', 'wer', 'wer_ci_lower', 'wer_ci_upper']) AS metric, unnest([round(avg(sim), 6), round(avg(wer), 6), round(min(wer), 6), round(max(wer), 6)]) AS value FROM metrics GROUP BY model"""),
 )
 def r10(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = rounded(fx.metrics(spark, sf_dir).groupBy("model").agg(F.avg("sim").alias("sim"), F.avg("wer").alias("wer"), F.min("wer").alias("lower"), F.max("wer").alias("upper")))

@@ -138,6 +138,15 @@ def test_snr_edges(spark):
     assert got[0] == (math.inf,) and got[1][0] == pytest.approx(20.0) and got[2] == (-math.inf,)
 
 
+def test_batched_snr_agrees(spark):
+    rng = random.Random(9)
+    clip = lambda n: [rng.uniform(-1, 1) for _ in range(n)]
+    rows = [(clip(n), clip(n)) for n in (5, 0, 300)] + [([0.5], [0.5]), (None, [1.0]), ([0.0], [1.0])]
+    got = values(spark, rows, "a array<double>, b array<double>", k.snr_db("a", "b"), k.snr_db_clips("a", "b"))
+    for native, batched in got:
+        assert batched == (pytest.approx(native) if native is not None else None)
+
+
 def test_verification_tokens(spark):
     rows = [(" YES ",), ("0",), ("maybe",), (None,)]
     assert [g[0] for g in values(spark, rows, "x string", k.verify_decision("x"))] == [True, False, None, None]

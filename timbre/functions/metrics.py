@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from timbre.functions.expr import blank_to_null, col, let, strip
@@ -90,10 +93,7 @@ def difference_power(left: Column, right: Column) -> Column:
     return power(gaps)
 
 
-def snr_db(original: Column | str, processed: Column | str) -> Column:
-    """Signal-to-noise ratio in dB; infinite for identical audio."""
-    noise = difference_power(col(original), col(processed))
-    signal = power(col(original))
+def _ratio_db(signal: Column, noise: Column) -> Column:
     return (
         F.when(noise == 0, F.lit(float("inf")))
         .when(signal == 0, F.lit(float("-inf")))
@@ -101,6 +101,48 @@ def snr_db(original: Column | str, processed: Column | str) -> Column:
     )
 
 
+def snr_db(original: Column | str, processed: Column | str) -> Column:
+    """Signal-to-noise ratio in dB; infinite for identical audio. For short arrays."""
+    return _ratio_db(power(col(original)), difference_power(col(original), col(processed)))
+
+
+def _segment_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sum of each run of ``lengths`` values; empty runs sum to zero."""
+    sums = np.zeros(lengths.size)
+    filled = lengths > 0
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])[filled]
+    if starts.size:
+        sums[filled] = np.add.reduceat(values, starts)
+    return sums
+
+
+def clip_powers(original: Column | str, processed: Column | str) -> Column:
+    """struct(signal, noise): sums of squares of aligned, equally long clips, in Arrow batches.
+
+    Built-in array functions visit one boxed element at a time; for clips of many thousand samples
+    one vectorised pass over the batch is several times faster.
+    """
+
+    @F.arrow_udf("struct<signal: double, noise: double>")
+    def powers(left: pa.Array, right: pa.Array) -> pa.Array:
+        valid = pc.and_(left.is_valid(), right.is_valid())
+        clean, other = left.filter(valid), right.filter(valid)
+        lengths = pc.list_value_length(clean).to_numpy(zero_copy_only=False).astype(np.int64)
+        x = clean.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        y = other.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        kept = [pa.array(_segment_sums(v, lengths)) for v in (x * x, (x - y) ** 2)]
+        places = pa.array(np.flatnonzero(valid.to_numpy(zero_copy_only=False)))
+        rows = pc.index_in(pa.array(np.arange(len(left))), value_set=places)
+        return pa.StructArray.from_arrays([v.take(rows) for v in kept], ["signal", "noise"])
+
+    return powers(col(original), col(processed))
+
+
+def snr_db_clips(original: Column | str, processed: Column | str) -> Column:
+    """:func:`snr_db` for long clips."""
+    return let(clip_powers(original, processed), lambda p: _ratio_db(p["signal"], p["noise"]))
+
+
 def align_pair(df: DataFrame, left: str, right: str) -> DataFrame:
     """Cut both arrays to the shorter one; pairs without overlap are dropped."""
     shared = F.least(F.size(left), F.size(right))

@@ -51,7 +51,7 @@ def positions_by_integer(
     for a dense key that is also the row bound of the task.
     """
     by = by or []
-    keyed = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(width)))
+    keyed = df.withColumn("_bucket", F.expr(f"`{order}` div {width}L"))
     keys = [*by, "_bucket"]
     counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(
@@ -107,7 +107,8 @@ def positions_in_group(df: DataFrame, by: str, position: str, out: str) -> DataF
 def top_n(df: DataFrame, by: list[str], order: list[Column | str], n: int, out: str = "rank") -> DataFrame:
     """First ``n`` rows per group; Spark limits every group map-side before the shuffle."""
     window = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(window)).filter(F.col(out) <= n)
+    kept = df.withColumn(out, F.row_number().over(window)).filter(F.col(out) <= n)
+    return kept.withColumn(out, F.col(out).cast("bigint"))
 
 
 def salted_join(

@@ -26,7 +26,7 @@ def leaderboard(df: DataFrame, model: str = "model", score: str = "sim", order:
     best = F.max(score).over(Window.partitionBy())
     return df.withColumns(
         {
-            "rank": F.row_number().over(ranked),
+            "rank": F.row_number().over(ranked).cast("bigint"),
             "medal": F.row_number().over(ranked) <= 3,
             "bar": round_half_even(F.col(score) / best * 100, 1),
         }

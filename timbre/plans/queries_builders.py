@@ -249,7 +249,7 @@ _BOUNDS = [0, 1, 500, 1000, 2000, 5000]
 @query(
     "B5_length_buckets",
     """WITH b AS (SELECT doc_id, n_chars, CASE WHEN n_chars > 0 AND n_chars <= 1 THEN 0 WHEN n_chars > 1 AND n_chars <= 500 THEN 1 WHEN n_chars > 500 AND n_chars <= 1000 THEN 2 WHEN n_chars > 1000 AND n_chars <= 2000 THEN 3 WHEN n_chars > 2000 AND n_chars <= 5000 THEN 4 END AS raw_bucket FROM documents)
-    SELECT doc_id, raw_bucket, dense_rank() OVER (ORDER BY raw_bucket) - 1 AS bucket FROM b WHERE raw_bucket IS NOT NULL""",
+    SELECT doc_id, raw_bucket, (dense_rank() OVER (ORDER BY raw_bucket) - 1)::INTEGER AS bucket FROM b WHERE raw_bucket IS NOT NULL""",
 )
 def b5(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = fx.table(spark, sf_dir, "documents").select("doc_id", "n_chars")

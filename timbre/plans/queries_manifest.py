@@ -399,7 +399,7 @@ def m23_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "M24_plan_counts",
-    with_ctes(_S, """SELECT count(*) AS utterances, count(DISTINCT speaker_id) AS speakers, count_if(doc_id % 10 <> 3) AS available_prompts,
+    with_ctes(_S, """SELECT count(*) AS utterances, count(DISTINCT speaker_id) AS speakers, count_if(doc_id % 10 <> 3)::BIGINT AS available_prompts,
       (SELECT string_agg(speaker_id, ', ' ORDER BY speaker_id) FROM (SELECT DISTINCT speaker_id FROM samples ORDER BY 1 LIMIT 8)) AS speaker_preview
     FROM samples"""),
 )

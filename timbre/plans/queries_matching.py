@@ -130,7 +130,7 @@ def p5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "P6_override_by_basename",
-    with_ctes(_S, """SELECT s."index", coalesce(o.path, s.target_path) AS resolved_path, coalesce(o.n - 1, 0) AS duplicates FROM samples s
+    with_ctes(_S, """SELECT s."index", coalesce(o.path, s.target_path) AS resolved_path, coalesce(o.n - 1, 0)::BIGINT AS duplicates FROM samples s
       LEFT JOIN (SELECT 'utt' || doc_id || '.wav' AS name, CASE WHEN doc_id % 4 = 0 THEN 'orig/a/' ELSE 'orig/b/' END || 'utt' || doc_id || '.wav' AS path,
           CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END AS n FROM documents WHERE doc_id % 3 <> 0) o
       ON o.name = string_split(s.target_path, '/')[-1]"""),
@@ -207,7 +207,7 @@ def _across(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("P9_resolve_across_models", f"SELECT doc_id AS utterance, model, model || '/' || parent || '/' || name AS path, i + 1 AS rule FROM ({_ACROSS})")
+@query("P9_resolve_across_models", f"SELECT doc_id AS utterance, model, model || '/' || parent || '/' || name AS path, (i + 1)::INTEGER AS rule FROM ({_ACROSS})")
 def p9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.resolve_across_models(_utterances(spark, sf_dir), _across(spark, sf_dir))
 

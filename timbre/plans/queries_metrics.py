@@ -8,7 +8,7 @@ from timbre.functions import metrics as k
 from timbre.functions.text import norm_en_delete, norm_en_space, words
 from timbre.plans import fixtures as fx
 from timbre.plans.fixtures import with_ctes
-from timbre.plans.registry import query
+from timbre.plans.registry import ORACLES, query
 from timbre.schema import FIDELITY_METRICS, GENERATION_METRICS, ddl_fields
 
 _PUNCT = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -83,6 +83,11 @@ def k3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _aligned(spark, sf_dir).select("clip", F.round(k.snr_db("orig", "proc"), 6).alias("snr_db"))
 
 
+@query("K3_snr_db_clips", ORACLES["K3_snr_db"])
+def k3_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _aligned(spark, sf_dir).select("clip", F.round(k.snr_db_clips("orig", "proc"), 6).alias("snr_db"))
+
+
 @query(
     "K4_align_pair",
     with_ctes(["waves"], f"SELECT clip, len(o) AS frames, len(p) AS processed_frames, round(list_sum(o), 6) AS total FROM {_ALIGNED} WHERE len(p) > 0 AND clip % 20 <> 0"),
@@ -244,7 +249,7 @@ def k13_personalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH f AS (SELECT doc_id, n_chars AS n, CAST(ceil((n_chars + 1) / 10.0::DOUBLE) AS BIGINT) AS frames FROM documents),
       s AS (SELECT doc_id, n, (greatest(1, frames - 16 + 8 + 1) - 1) // 8 AS last FROM f),
       c AS (SELECT *, CASE WHEN (n - last * 80) / 160.0::DOUBLE < 0.75 AND last > 0 THEN last - 1 ELSE last END AS keep FROM s)
-    SELECT doc_id, slice, slice * 8 AS mel_start, slice * 8 + 16 AS mel_stop, slice * 80 AS wav_start, slice * 80 + 160 AS wav_stop
+    SELECT doc_id, slice::INTEGER AS slice, slice * 8 AS mel_start, slice * 8 + 16 AS mel_stop, slice * 80 AS wav_start, slice * 80 + 160 AS wav_stop
     FROM (SELECT doc_id, unnest(range(0, keep + 1)) AS slice FROM c)""",
 )
 def k14(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,14 +3,14 @@
 The resampled means depend only on how often each value occurs, so values are counted first
 (with map-side combine) and every later step works on distinct values:
 
-* the distinct values of a group are cut into buckets of bounded size;
-* each bucket draws its part of every resample inside a task and returns one weighted sum and
-  one weight per resample;
-* the partial sums are added up and the interval is taken over the resample means.
-
-A group that fits one bucket is resampled exactly (multinomial, n out of n). A larger group lets
-every bucket draw its own Poisson number of rows and divides by the weight drawn; at that size the
-two agree far below the Monte-Carlo error. ``method`` tells which one was used.
+* a group whose distinct values fit one task is resampled there and returns its interval;
+* a larger group is cut into buckets of bounded size. How many of the n draws of a resample fall
+  into a bucket is settled by halving: from the root, every node of a binary tree over the buckets
+  splits its draws between its two halves by a binomial draw whose generator is keyed by the node.
+  Each bucket walks its own path and so agrees with all others without exchanging anything; the
+  partial sums are then added up per resample.
+
+Both ways draw n out of n with replacement. Results depend on the seed alone, not on partitions.
 """
 
 from __future__ import annotations
@@ -96,40 +96,99 @@ def count_values(values: DataFrame, by: list[str], bucket_values: int) -> tuple[
     return counted, stats
 
 
-def resample_sums(counted: DataFrame, stats: DataFrame, by: list[str], config: BootstrapConfig) -> DataFrame:
-    """``(*by, resample, total, weight)`` from the tables of :func:`count_values`."""
-    placed = counted.join(stats.filter("n > 1").select(*by, "_buckets"), by).withColumn(
-        "_bucket", F.pmod(F.xxhash64("value"), F.col("_buckets")).cast("int")
-    )
-    seed = config.seed if config.seed is not None else 0
-    resamples = config.num_resamples
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        name = "|".join(str(first[c]) for c in by)
-        digest = hashlib.sha256(f"{seed}|{name}|{first['_bucket']}".encode()).digest()[:16]
-        rng = np.random.Generator(np.random.Philox(key=np.frombuffer(digest, dtype=np.uint64)))
-        ordered = pdf.sort_values("value")
-        observed, counts = ordered["value"].to_numpy(np.float64), ordered["_count"].to_numpy(np.int64)
+def _generator(seed: int, key: tuple) -> np.random.Generator:
+    """Random numbers keyed by (seed, group, bucket), so a retried task draws the same."""
+    text = "|".join(str(part) for part in (seed, *key))
+    digest = hashlib.sha256(text.encode()).digest()[:16]
+    return np.random.Generator(np.random.Philox(key=np.frombuffer(digest, dtype=np.uint64)))
+
+
+def _ordered(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    rows = pdf.sort_values("value")
+    return rows["value"].to_numpy(np.float64), rows["_count"].to_numpy(np.int64)
+
+
+def _key_ddl(df: DataFrame, by: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+
+
+def small_group_bounds(placed: DataFrame, by: list[str], config: BootstrapConfig) -> DataFrame:
+    """Exact intervals of groups whose distinct values fit one task: ``(*by, lower, upper, std)``.
+
+    The resample means never leave the task.
+    """
+    seed, resamples = config.seed or 0, config.num_resamples
+    tail = 0.5 * (1.0 - config.confidence_level)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        observed, counts = _ordered(pdf)
         size = int(counts.sum())
-        if int(first["_buckets"]) == 1:
-            draws = np.full(resamples, size, dtype=np.int64)
-        else:
-            draws = rng.poisson(size, resamples).astype(np.int64)
-        out = pd.DataFrame(
-            {"resample": np.arange(resamples), "total": _draw(observed, counts, draws, rng), "weight": draws}
-        )
-        for c in reversed(by):
-            out.insert(0, c, first[c])
+        draws = np.full(resamples, size, dtype=np.int64)
+        means = _draw(observed, counts, draws, _generator(seed, key)) / size
+        lower, upper = np.quantile(means, [tail, 1.0 - tail])
+        std = means.std(ddof=1) if resamples > 1 else 0.0
+        return pd.DataFrame([[*key, lower, upper, std]], columns=[*by, "lower", "upper", "std"])
+
+    ddl = f"{_key_ddl(placed, by)}, lower double, upper double, std double"
+    return spread(placed, *by).groupBy(*by).applyInPandas(run, ddl)
+
+
+def _path_sizes(bucketed: DataFrame, by: list[str]) -> DataFrame:
+    """``(*by, _bucket, _path)``: sizes of the tree nodes from the root down to each bucket."""
+    leaves = bucketed.groupBy(*by, "_depth", "_bucket").agg(F.sum("_count").alias("_size"))
+    level = F.explode(F.sequence(F.lit(0), F.col("_depth"))).alias("_level")
+    steps = leaves.select(*by, "_bucket", "_depth", "_size", level).withColumn(
+        "_node", F.expr("shiftright(_bucket, _depth - _level)")
+    )
+    nodes = steps.groupBy(*by, "_level", "_node").agg(F.sum("_size").alias("_total"))
+    ordered = F.array_sort(F.collect_list(F.struct("_level", "_total")))
+    return (
+        steps.select(*by, "_bucket", "_level", "_node")
+        .join(nodes, [*by, "_level", "_node"])
+        .groupBy(*by, "_bucket")
+        .agg(F.transform(ordered, lambda p: p["_total"]).alias("_path"))
+    )
+
+
+def _bucket_draws(path: np.ndarray, bucket: int, resamples: int, seed: int, group: tuple) -> np.ndarray:
+    """Draws of every resample that fall into a bucket."""
+    depth = len(path) - 1
+    draws = np.full(resamples, path[0], dtype=np.int64)
+    for level in range(depth):
+        left = (bucket >> (depth - 1 - level)) & 1 == 0
+        left_size = path[level + 1] if left else path[level] - path[level + 1]
+        rng = _generator(seed, (*group, level, bucket >> (depth - level)))
+        to_left = rng.binomial(draws, left_size / path[level])
+        draws = to_left if left else draws - to_left
+    return draws
+
+
+def large_group_sums(placed: DataFrame, by: list[str], config: BootstrapConfig) -> DataFrame:
+    """``(*by, resample, total, weight)`` of groups that are cut into buckets."""
+    seed, resamples = config.seed or 0, config.num_resamples
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        *group, bucket = key
+        observed, counts = _ordered(pdf)
+        path = np.asarray(pdf["_path"].iloc[0], dtype=np.int64)
+        draws = _bucket_draws(path, int(bucket), resamples, seed, tuple(group))
+        sums = _draw(observed, counts, draws, _generator(seed, (*group, "values", bucket)))
+        out = pd.DataFrame({"resample": np.arange(resamples), "total": sums, "weight": draws})
+        for c, part in reversed(list(zip(by, group))):
+            out.insert(0, c, part)
         return out
 
-    kinds = ", ".join(f"`{c}` {counted.schema[c].dataType.simpleString()}" for c in by)
-    parts = spread(placed, *by, "_bucket").groupBy(*by, "_bucket").applyInPandas(
-        run, f"{kinds}, resample int, total double, weight bigint"
-    )
-    return parts.groupBy(*by, "resample").agg(
-        F.sum("total").alias("total"), F.sum("weight").alias("weight")
+    bucketed = placed.withColumns(
+        {
+            "_bucket": F.pmod(F.xxhash64("value"), F.col("_buckets")).cast("int"),
+            "_depth": F.ceil(F.log2(F.col("_buckets").cast("double")) - F.lit(1e-9)).cast("int"),
+        }
     )
+    paths = _path_sizes(bucketed, by)
+    walked = bucketed.select(*by, "_bucket", "value", "_count").join(paths, [*by, "_bucket"])
+    ddl = f"{_key_ddl(placed, by)}, resample int, total double, weight bigint"
+    parts = spread(walked, *by, "_bucket").groupBy(*by, "_bucket").applyInPandas(run, ddl)
+    return parts.groupBy(*by, "resample").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
 
 
 def interval(means: DataFrame, by: list[str], mean: Column | str, config: BootstrapConfig) -> DataFrame:
@@ -152,22 +211,25 @@ def bootstrap_ci(
     config: BootstrapConfig = BootstrapConfig(),
     bucket_values: int = _BUCKET_VALUES,
 ) -> DataFrame:
-    """One row per group and metric: ``lower, upper, confidence_level, num_resamples, std, avg, n,
-    method``. A metric with fewer than two finite values has NULL bounds."""
+    """One row per group and metric: ``lower, upper, confidence_level, num_resamples, std, avg, n``.
+    A metric with fewer than two finite values has NULL bounds."""
     keys = [*by, "metric"]
     counted, stats = count_values(finite_values(df, by, metrics), keys, bucket_values)
-    means = resample_sums(counted, stats, keys, config).select(
-        *keys, (F.col("total") / F.nullif("weight", F.lit(0).cast("bigint"))).alias("_mean")
+    placed = counted.join(stats.filter("n > 1").select(*keys, "_buckets"), keys)
+    small = small_group_bounds(placed.filter("_buckets = 1").drop("_buckets"), keys, config)
+    means = large_group_sums(placed.filter("_buckets > 1"), keys, config).select(
+        *keys, (F.col("total") / F.col("weight")).alias("_mean")
+    )
+    large = interval(means, keys, "_mean", config).select(*keys, "lower", "upper", "std")
+    bounds = small.unionByName(large).withColumns(
+        {"confidence_level": F.lit(config.confidence_level), "num_resamples": F.lit(config.num_resamples)}
     )
-    bounds = interval(means, keys, "_mean", config)
     enough = F.col("n") > 1
-    method = F.when(F.col("_buckets") == 1, "multinomial").otherwise("poisson")
     known = ("lower", "upper", "confidence_level", "num_resamples", "std")
     return stats.join(bounds, keys, "left").select(
         *keys,
         *[F.when(enough, F.col(c)).alias(c) for c in (*known, "avg")],
         "n",
-        F.when(enough, method).alias("method"),
     )
 
 

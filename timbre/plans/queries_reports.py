@@ -135,10 +135,10 @@ def a7_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(b.interval(means, ["model"], "mean", _FEW))
 
 
-@query("A7_bootstrap_point", with_ctes(_MX, "SELECT model, metric, round(avg(value), 6) AS avg, count(*) AS n, 'multinomial' AS method FROM (SELECT model, unnest(['wer', 'snr_db']) AS metric, unnest([wer, snr_db]) AS value FROM metrics) WHERE value IS NOT NULL AND isfinite(value) GROUP BY model, metric"))
+@query("A7_bootstrap_point", with_ctes(_MX, "SELECT model, metric, round(avg(value), 6) AS avg, count(*) AS n FROM (SELECT model, unnest(['wer', 'snr_db']) AS metric, unnest([wer, snr_db]) AS value FROM metrics) WHERE value IS NOT NULL AND isfinite(value) GROUP BY model, metric"))
 def a7_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     few = b.BootstrapConfig(num_resamples=10, seed=1)
-    return rounded(b.bootstrap_ci(fx.metrics(spark, sf_dir), ["model"], ["wer", "snr_db"], few)).select("model", "metric", "avg", "n", "method")
+    return rounded(b.bootstrap_ci(fx.metrics(spark, sf_dir), ["model"], ["wer", "snr_db"], few)).select("model", "metric", "avg", "n")
 
 
 # settings are read from a table of runs: every status is one configuration

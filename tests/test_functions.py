@@ -129,6 +129,13 @@ def test_wer_of_long_texts_with_many_words(spark):
     assert [g[0] for g in got] == [edit_distance(reference, hypothesis) / 700, None, None, 1.0]
 
 
+def test_failed_transcriptions(spark):
+    rows = [("It's ok", None), ("", "x"), (None, "x"), ("It's ok", "it s ok"), ("摩洛 哥", "摩洛")]
+    got = values(spark, rows, "r string, h string", k.generation_wer("r", "h"), k.fidelity_wer("r", "h"))
+    assert [g[0] for g in got] == [None, None, None, 1.0, pytest.approx(1 / 3)]
+    assert [g[1] for g in got] == [1.0, None, None, 0.0, 0.5]
+
+
 def test_cer_edges(spark):
     assert [g[0] for g in values(spark, [("ab", None), ("", "x"), (None, "x"), ("ab", "abcdef")], "r string, h string", k.cer("r", "h"))] == [1.0, None, None, 2.0]
 

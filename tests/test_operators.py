@@ -78,6 +78,18 @@ def test_clone_filename_forms(spark):
     assert got == ["p_1_to_t+2_cloned.wav", "p_x_cloned.wav", "t_cloned.wav", "sample_3_cloned.wav"]
 
 
+def test_request_policies(spark):
+    rows = [(0, "s", "in/p.wav", "t/dir/a.wav", "", "", "EN", ""), (1, "s", "in/q.wav", None, " hi ", "", "", "")]
+    ddl = "index bigint, speaker_id string, prompt_path string, target_path string, prompt_text string, target_text string, target_language string, prompt_language string"
+    samples = spark.createDataFrame(rows, ddl)
+    out = m.synthesis_requests(samples, transcript_policy="default", default_text="hello", folder="target").orderBy("index").collect()
+    assert [(x["text"], x["prompt_transcript"], x["x_vector_only"]) for x in out] == [("hello", "hello", False), ("hi", "hi", False)]
+    assert [x["output_path"] for x in out] == ["generated_audio/dir/p_to_a_cloned.wav", "generated_audio/s/q_cloned.wav"]
+    assert m.synthesis_requests(samples, default_text=None).count() == 1
+    assert m.synthesis_requests(samples, transcript_policy="drop").count() == 1
+    assert m.synthesis_requests(samples, samples.select(F.lit("in/q.wav").alias("path"))).first()["index"] == 1
+
+
 # --- ordering ---------------------------------------------------------------------------------------
 def test_positions_with_a_hot_group(spark):
     rng = random.Random(1)
@@ -297,6 +309,20 @@ def test_heat_scale(spark):
 
 
 # --- builders, batching, signal, scoring --------------------------------------------------------------
+def test_compression_manifest(spark):
+    rows = [("s2", "v/b.wav", "g/b_cloned.wav"), ("s1", "v/c.wav", "g/c_cloned.wav"), ("s1", "v/a.wav", "g/a_cloned.wav")]
+    listed = spark.createDataFrame(rows, "speaker_id string, ground_truth_path string, generated_path string")
+    assert [x["gt_stem"] for x in builders.compression_manifest(listed).collect()] == ["a", "c", "b"]
+    assert builders.compression_manifest(listed, ["s2"]).count() == 1
+    with pytest.raises(ValueError, match="generated_path"):
+        builders.compression_manifest(listed.drop("generated_path"))
+
+
+def test_model_folders(spark):
+    df = spark.createDataFrame([("f5_ots_on_robotcall",), ("f5_ots_on_other",)], "folder string")
+    assert [x[0] for x in df.select(builders.model_of_folder("folder")).collect()] == ["f5", None]
+
+
 def test_cross_emotion_pairs_are_linear(spark):
     rows = [(n, "hot", e) for n, e in enumerate(["ang"] * 500 + ["neu"] * 3 + ["sad"] * 40)] + [(1000, "one", "ang")]
     pairs = builders.cross_emotion_pairs(spark.createDataFrame(rows, "k int, speaker string, emotion string"), "speaker", "emotion", "k").collect()

@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from timbre.functions.expr import blank_to_null, col, let, strip
+from timbre.functions.text import norm_en_space, wer_tokens, words
 from timbre.schema import FIDELITY_METRICS, GENERATION_METRICS, ddl_fields
 
 # --- fixed values ------------------------------------------------------------
@@ -74,6 +75,25 @@ def wer(reference: Column | str, hypothesis: Column | str) -> Column:
     return F.when(F.size(ref) > 0, word_distance(ref, hyp) / F.size(ref))
 
 
+def generation_wer(
+    reference: Column | str, hypothesis: Column | str, detected_language: Column | None = None
+) -> Column:
+    """Word error rate of a generated clip; a failed transcription (NULL) is not counted."""
+    ref = F.coalesce(col(reference), F.lit(""))
+    return wer(
+        wer_tokens(ref, ref, detected_language), wer_tokens(col(hypothesis), ref, detected_language)
+    )
+
+
+def fidelity_wer(reference: Column | str, hypothesis: Column | str) -> Column:
+    """Word error rate of a protected clip; a failed transcription (NULL) counts as empty, a
+    missing transcript is not counted."""
+    return wer(
+        words(norm_en_space(blank_to_null(reference))),
+        words(norm_en_space(F.coalesce(col(hypothesis), F.lit("")))),
+    )
+
+
 def cer(reference: Column | str, hypothesis: Column | str) -> Column:
     """Character error rate; a missing hypothesis counts as empty."""
     ref = blank_to_null(reference)

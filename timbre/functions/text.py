@@ -228,39 +228,49 @@ def lexicon_phonemes(df: DataFrame, key: str, text: str, lexicon: DataFrame, sym
     """Phonemes, tones and word2ph of every text through a lexicon ``(word, phones)``.
 
     Words are looked up in upper case; words outside the lexicon are counted in ``oov`` and
-    contribute no phones. The word stream is aggregated back per text.
+    contribute no phones. Phones are refined once per lexicon entry, and the word stream carries
+    them as short blank-separated strings until it is put together per text.
     """
     marks = "".join("\\" + s for s in SPEECH_SYMBOLS if s != "'")
     tokens = F.regexp_extract_all(F.col(text), F.lit(rf"[\p{{L}}\p{{N}}']+|[{marks}]"), F.lit(0))
     stream = df.select(key, F.posexplode_outer(tokens).alias("_pos", "_word"))
-    entries = lexicon.select(F.col("word").alias("_entry"), F.col("phones").alias("_phones"))
+    refined = lexicon.select("word", F.transform("phones", refine_phone).alias("_spoken"))
+    entries = refined.select(
+        F.col("word").alias("_entry"),
+        F.array_join(F.transform("_spoken", lambda p: repair_symbol(p["phone"], symbols)), " ").alias("_phones"),
+        F.array_join(F.transform("_spoken", lambda p: p["tone"].cast("string")), " ").alias("_tones"),
+        F.size("_spoken").alias("_n"),
+    )
     looked = stream.join(entries, F.upper("_word") == F.col("_entry"), "left")
     is_mark = F.col("_word").isin(SPEECH_SYMBOLS)
-    spoken = F.transform(F.col("_phones"), refine_phone)
-    silent = F.array().cast("array<struct<phone:string,tone:int>>")
     token = looked.select(
         key,
-        "_pos",
-        "_word",
-        F.when(is_mark, F.array(F.struct(F.col("_word").alias("phone"), F.lit(0).alias("tone"))))
-        .otherwise(F.coalesce(spoken, silent))
-        .alias("_spoken"),
+        F.when(
+            F.col("_word").isNotNull(),
+            F.struct(
+                "_pos",
+                F.when(is_mark, repair_symbol(F.col("_word"), symbols)).otherwise(F.col("_phones")).alias("phones"),
+                F.when(is_mark, "0").otherwise(F.col("_tones")).alias("tones"),
+                F.when(is_mark, 1).otherwise(F.coalesce("_n", F.lit(0))).alias("n"),
+            ),
+        ).alias("_token"),
         (F.col("_word").isNotNull() & ~is_mark & F.col("_entry").isNull()).cast("int").alias("_oov"),
     )
     grouped = token.groupBy(key).agg(
-        F.array_sort(
-            F.collect_list(F.when(F.col("_word").isNotNull(), F.struct("_pos", "_spoken")))
-        ).alias("_words"),
-        F.sum("_oov").cast("bigint").alias("oov"),
+        F.array_sort(F.collect_list("_token")).alias("_words"), F.sum("_oov").cast("bigint").alias("oov")
     )
-    edge_phone, edge_int = F.array(F.lit("_")), lambda v: F.array(F.lit(v))
-    flat = F.flatten(F.transform("_words", lambda w: w["_spoken"]))
-    counts = F.transform("_words", lambda w: F.size(w["_spoken"]))
+
+    def spread_out(field: str) -> Column:
+        # array_join skips the NULLs of words without phones
+        joined = F.nullif(F.array_join(F.transform("_words", lambda w: w[field]), " "), F.lit(""))
+        return F.coalesce(F.split(joined, " "), F.array().cast("array<string>"))
+
+    edge, one, zero = F.array(F.lit("_")), F.array(F.lit(1)), F.array(F.lit(0))
     return grouped.select(
         key,
-        F.concat(edge_phone, F.transform(flat, lambda p: repair_symbol(p["phone"], symbols)), edge_phone).alias("phones"),
-        F.concat(edge_int(0), F.transform(flat, lambda p: p["tone"]), edge_int(0)).alias("tones"),
-        F.concat(edge_int(1), counts, edge_int(1)).alias("word2ph"),
+        F.concat(edge, spread_out("phones"), edge).alias("phones"),
+        F.concat(zero, spread_out("tones").cast("array<int>"), zero).alias("tones"),
+        F.concat(one, F.transform("_words", lambda w: w["n"]), one).alias("word2ph"),
         "oov",
     )
 

@@ -22,6 +22,12 @@ MODEL_FOLDER_SUFFIX = "_ots_on_robotcall"
 # -----------------------------------------------------------------------------
 
 
+def model_of_folder(folder: Column | str, suffix: str = MODEL_FOLDER_SUFFIX) -> Column:
+    """Model name of a result folder, NULL when the folder is not one of the wanted runs."""
+    name = F.col(folder) if isinstance(folder, str) else folder
+    return F.when(name.endswith(suffix), F.replace(name, F.lit(suffix), F.lit("")))
+
+
 def _detection_row(model: Column, label: str) -> list[Column]:
     message = F.struct(F.lit("user").alias("role"), F.lit(DETECTION_PROMPT).alias("content"))
     return [
@@ -69,7 +75,8 @@ def longest_per_speaker(
 
 
 def compression_manifest(df: DataFrame, speakers: list[str] | None = None) -> DataFrame:
-    """Selected utterances in stable order columns; missing required columns are an error."""
+    """Selected utterances ordered by speaker and file name; missing required columns are an
+    error."""
     required = {"speaker_id", "ground_truth_path", "generated_path"}
     missing = sorted(required - set(df.columns))
     if missing:
@@ -87,7 +94,7 @@ def compression_manifest(df: DataFrame, speakers: list[str] | None = None) -> Da
         "ground_truth_path",
         optional["gt_basename"].alias("gt_basename"),
         optional["gt_stem"].alias("gt_stem"),
-    )
+    ).orderBy("speaker_id", "gen_basename")
 
 
 def compression_set(

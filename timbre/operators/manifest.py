@@ -11,6 +11,7 @@ from timbre.functions.expr import (
     first_truthy,
     first_truthy_or_blank,
     literal_map,
+    parent_name,
     stem,
     strip,
 )
@@ -411,13 +412,15 @@ def synthesis_requests(
     default_language: str | None = "Auto",
     language_table: str = "names",
     output_root: str = "generated_audio",
+    folder: str = "speaker",
 ) -> DataFrame:
     """Request table of a synthesis run.
 
     Samples without an existing prompt file are dropped. ``text_policy`` is ``target_first`` or
     ``prompt_first``; with ``default_text=None`` samples without any text are dropped.
     ``transcript_policy`` flags (``x_vector``) or drops (``drop``) samples without a prompt
-    transcript, or ignores them (``none``).
+    transcript, fills it with the default text (``default``), or ignores it (``none``). ``folder``
+    names the output folder: the ``speaker`` or the folder of the ``target`` file.
     """
     usable = samples.filter(F.col("prompt_path").isNotNull())
     if inventory is not None:
@@ -425,13 +428,19 @@ def synthesis_requests(
         usable = usable.join(files, F.col("prompt_path") == F.col("_file"), "left_semi")
     prompt, target = strip(F.coalesce("prompt_text", F.lit(""))), strip(F.coalesce("target_text", F.lit("")))
     order = [target, prompt] if text_policy == "target_first" else [prompt, target]
+    transcript = prompt
+    if transcript_policy == "default":
+        transcript = first_truthy_or_blank(prompt, F.lit(default_text or ""))
+    owner = F.col("speaker_id")
+    if folder == "target":
+        owner = first_truthy(parent_name("target_path"), "speaker_id")
     text = first_truthy(*order) if default_text is None else first_truthy(*order, F.lit(default_text))
     requests = usable.select(
         "index",
         "speaker_id",
         "prompt_path",
         "target_path",
-        prompt.alias("prompt_transcript"),
+        transcript.alias("prompt_transcript"),
         text.alias("text"),
         select_language("target_language", "prompt_language", language_source, default_language, language_table).alias(
             "language"
@@ -440,7 +449,7 @@ def synthesis_requests(
         F.concat_ws(
             "/",
             F.lit(output_root),
-            speaker_slug("speaker_id"),
+            speaker_slug(owner),
             clone_filename("prompt_path", "target_path", "index"),
         ).alias("output_path"),
     )

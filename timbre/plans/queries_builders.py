@@ -63,7 +63,7 @@ def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "D3_compression_set",
-    """WITH u AS (SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2', 'src5')),
+    """WITH u AS (SELECT doc_id, source FROM documents),
       refs AS (SELECT doc_id, source, CASE doc_id % 4 WHEN 0 THEN 'vault/' || source || '/utt' || doc_id || '.wav' ELSE 'ref/' || source || '/utt' || doc_id || '.flac' END AS src FROM u WHERE doc_id % 4 <> 3),
       gens AS (SELECT doc_id, source, m.model, m.model || '/' || source || '/' || CASE m.i WHEN 0 THEN 'utt' || doc_id || '_cloned.wav' WHEN 1 THEN 'ref_to_utt' || doc_id || '_cloned.wav'
           WHEN 2 THEN 'a_to_b_to_utt' || doc_id || '_cloned.mp3' ELSE 'utt' || doc_id || '_cloned.v2.flac' END AS src
@@ -78,7 +78,7 @@ def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("vault/"), "source", F.lit("/utt"), doc, F.lit(".wav")).alias("ground_truth_path"),
         F.concat(F.lit("gen/"), "source", F.lit("/utt"), doc, F.lit("_cloned.wav")).alias("generated_path"),
     )
-    chosen = bd.compression_manifest(listed, ["src1", "src2", "src5"])
+    chosen = bd.compression_manifest(listed)
     keyed = chosen.withColumn("utterance", F.regexp_extract("gt_stem", r"utt(\d+)", 1).cast("bigint"))
     return bd.compression_set(keyed, _across(spark, sf_dir), _references(spark, sf_dir), "out")
 

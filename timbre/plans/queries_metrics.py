@@ -24,8 +24,7 @@ def _wer_sql(source: str, keys: str) -> str:
 
 
 def turn_wer(df: DataFrame) -> DataFrame:
-    tokens = df.withColumns({"_r": words(norm_en_delete("ref")), "_h": words(norm_en_delete("hyp"))})
-    return tokens.withColumn("wer", k.wer("_r", "_h"))
+    return df.withColumns({"_r": words(norm_en_delete("ref")), "wer": k.generation_wer("ref", "hyp")})
 
 
 @query(
@@ -313,5 +312,7 @@ def k18(spark: SparkSession, sf_dir: str) -> DataFrame:
         _WORDS.replace('{x}', 'hyp'), f"list_filter(string_split(trim(regexp_replace(lower(translate(hyp, '{_PUNCT}', repeat(' ', 32))), '\\s+', ' ', 'g')), ' '), lambda w: w <> '')") + ")"),
 )
 def k1_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = fx.turns(spark, sf_dir).withColumns({"_r": words(norm_en_space("ref")), "_h": words(norm_en_space("hyp"))})
-    return tokens.select("conv_id", "turn", F.size("_r").cast("bigint").alias("ref_words"), F.round(k.wer("_r", "_h"), 6).alias("wer"))
+    return fx.turns(spark, sf_dir).select(
+        "conv_id", "turn", F.size(words(norm_en_space("ref"))).cast("bigint").alias("ref_words"),
+        F.round(k.fidelity_wer("ref", "hyp"), 6).alias("wer"),
+    )

@@ -59,20 +59,19 @@ def _word_string(tokens: Column, shared: Column, own_mark: int) -> Column:
 
 def word_distance(reference: Column, hypothesis: Column) -> Column:
     """Word-level edit distance of two token arrays."""
-    pair = F.struct(reference.alias("ref"), hypothesis.alias("hyp"))
     return let(
-        pair,
-        lambda p: let(
-            F.array_intersect(p["ref"], p["hyp"]),
-            lambda shared: F.levenshtein(_word_string(p["ref"], shared, 0), _word_string(p["hyp"], shared, 1)),
-        ),
+        F.array_intersect(reference, hypothesis),
+        lambda shared: F.levenshtein(_word_string(reference, shared, 0), _word_string(hypothesis, shared, 1)),
     )
 
 
 def wer(reference: Column | str, hypothesis: Column | str) -> Column:
     """Word error rate of two token arrays; NULL without reference words or hypothesis."""
-    ref, hyp = col(reference), col(hypothesis)
-    return F.when(F.size(ref) > 0, word_distance(ref, hyp) / F.size(ref))
+    pair = F.struct(col(reference).alias("ref"), col(hypothesis).alias("hyp"))
+    return let(
+        pair,
+        lambda p: F.when(F.size(p["ref"]) > 0, word_distance(p["ref"], p["hyp"]) / F.size(p["ref"])),
+    )
 
 
 def generation_wer(

@@ -51,9 +51,42 @@ def p2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.locate_clone(fx.samples(spark, sf_dir), fx.generated(spark, sf_dir))
 
 
-@query("P3_resolve_generated")
+# Forty target names shared by all samples, and files under prefixes and numbers of those names.
+# The SQL walks the samples one by one and lets each take its first free file.
+_CLAIMS = """
+  s AS MATERIALIZED (SELECT "index" AS i, speaker_id AS t, 'take' || (doc_id % 40) AS b FROM samples),
+  f AS MATERIALIZED (SELECT name, path, row_number() OVER (ORDER BY string_split(path, '/')) AS place FROM (
+    SELECT name, min_by(path, string_split(path, '/')) AS path FROM (SELECT name, 'gen/' || source || '/' || name AS path FROM (
+      SELECT source, CASE doc_id % 3 WHEN 0 THEN 'take' || (doc_id % 40) || '_cloned_' || doc_id WHEN 1 THEN 'take' || (doc_id % 40) || '_' || (doc_id % 200) || '_x'
+        ELSE source || '_' || (doc_id % 500) END || '.wav' AS name FROM documents)) GROUP BY name)),
+  w AS (SELECT i, unnest(range(0, 6)) AS level, unnest([b || '_cloned', t || '_' || t || '_' || i, t || '_' || b || '_' || i, b || '_' || t || '_' || i, b || '_' || i, t || '_' || i]) AS stem FROM s),
+  e AS (SELECT i, level, place, path FROM w JOIN f ON f.name = stem || '.wav' UNION ALL SELECT i, level + 6, place, path FROM w JOIN f ON starts_with(f.name, stem)),
+  c AS MATERIALIZED (SELECT s.i, list(path ORDER BY level, place) AS paths FROM s LEFT JOIN e USING (i) GROUP BY s.i),
+  walk AS (SELECT -1::BIGINT AS i, []::VARCHAR[] AS taken, NULL::VARCHAR AS pick
+    UNION ALL SELECT i, CASE WHEN p IS NULL THEN taken ELSE list_append(taken, p) END, p
+      FROM (SELECT c.i, walk.taken, list_filter(c.paths, lambda x: NOT list_contains(walk.taken, x))[1] AS p FROM walk JOIN c ON c.i = walk.i + 1))
+"""
+
+
+@query(
+    "P3_resolve_generated",
+    with_ctes(_S, f"-- claims\n, {_CLAIMS} SELECT i AS \"index\", pick AS path FROM walk WHERE pick IS NOT NULL").replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def p3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve_generated(fx.samples(spark, sf_dir).select("index", "speaker_id", "target_path"), fx.generated(spark, sf_dir))
+    doc = F.col("doc_id")
+    number = lambda n: (doc % n).cast("string")
+    take = F.concat(F.lit("take"), number(40))
+    rows = fx.samples(spark, sf_dir).select(
+        "index", "speaker_id", F.concat(F.lit("data/"), "speaker_id", F.lit("/"), take, F.lit(".wav")).alias("target_path")
+    )
+    name = (
+        F.when(doc % 3 == 0, F.concat(take, F.lit("_cloned_"), doc.cast("string")))
+        .when(doc % 3 == 1, F.concat(take, F.lit("_"), number(200), F.lit("_x")))
+        .otherwise(F.concat("source", F.lit("_"), number(500)))
+    )
+    files = fx.table(spark, sf_dir, "documents").select("source", F.concat(name, F.lit(".wav")).alias("name"))
+    inventory = files.select("name", F.concat_ws("/", F.lit("gen"), "source", "name").alias("path"))
+    return resolve_generated(rows, inventory).select("index", "path")
 
 
 @query(

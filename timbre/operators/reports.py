@@ -49,7 +49,8 @@ def robustness_matrix(df: DataFrame, score: str = "sim", by: str = "model", colu
 
 
 def strongest_protection(matrix: DataFrame, model: str = "model", methods: list[str] = PROTECTIONS) -> DataFrame:
-    """Per model the method with the lowest score and its drop from clean."""
+    """Per model the method with the lowest score and its drop from clean; a model without any
+    protected score keeps its row with NULLs."""
     rows = F.filter(
         F.array(
             *[

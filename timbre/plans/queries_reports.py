@@ -239,7 +239,7 @@ _LONG = f"SELECT dataset, clean, unnest({PROTECTIONS!r}) AS method, unnest([{',
 
 @query(
     "R4_strongest_protection",
-    with_ctes(_MX, f"SELECT dataset, any_value(clean) AS clean, first(method ORDER BY score, place) AS method, min(score) AS score, round(any_value(clean) - min(score), 6) AS \"drop\" FROM ({_LONG}) WHERE score IS NOT NULL GROUP BY dataset"),
+    with_ctes(_MX, f"SELECT dataset, any_value(clean) AS clean, first(method ORDER BY score, place) FILTER (WHERE score IS NOT NULL) AS method, min(score) AS score, round(any_value(clean) - min(score), 6) AS \"drop\" FROM ({_LONG}) GROUP BY dataset"),
 )
 def r4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(r.strongest_protection(_matrix(spark, sf_dir), "dataset"))

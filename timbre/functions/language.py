@@ -25,33 +25,50 @@ LANGUAGE_NAMES = {
     "pt": "Portuguese",
     "ru": "Russian",
 }
-ISO_NAMES = {
-    "ar": "arabic",
-    "cs": "czech",
-    "de": "german",
-    "en": "english",
-    "es": "spanish",
-    "fr": "french",
-    "hi": "hindi",
-    "hu": "hungarian",
-    "it": "italian",
-    "ja": "japanese",
-    "ko": "korean",
-    "nl": "dutch",
-    "pl": "polish",
-    "pt": "portuguese",
-    "ru": "russian",
-    "tr": "turkish",
-    "zh-cn": "chinese",
+LANGUAGE_CODES = {
+    "ar": "ar",
+    "arabic": "ar",
+    "cs": "cs",
+    "czech": "cs",
+    "de": "de",
+    "german": "de",
+    "en": "en",
+    "english": "en",
+    "es": "es",
+    "spanish": "es",
+    "fr": "fr",
+    "french": "fr",
+    "hi": "hi",
+    "hindi": "hi",
+    "hu": "hu",
+    "hungarian": "hu",
+    "it": "it",
+    "italian": "it",
+    "ja": "ja",
+    "jp": "ja",
+    "japanese": "ja",
+    "ko": "ko",
+    "kr": "ko",
+    "korean": "ko",
+    "nl": "nl",
+    "dutch": "nl",
+    "pl": "pl",
+    "polish": "pl",
+    "pt": "pt",
+    "portuguese": "pt",
+    "pt-br": "pt",
+    "ru": "ru",
+    "russian": "ru",
+    "tr": "tr",
+    "turkish": "tr",
+    "zh": "zh-cn",
+    "zh-cn": "zh-cn",
+    "zh-tw": "zh-cn",
+    "cn": "zh-cn",
+    "chinese": "zh-cn",
 }
-ISO_ALIASES = {"jp": "ja", "kr": "ko", "pt-br": "pt", "zh": "zh-cn", "zh-tw": "zh-cn", "cn": "zh-cn"}
 # -----------------------------------------------------------------------------
 
-LANGUAGE_CODES = {
-    **{code: code for code in ISO_NAMES},
-    **{name: code for code, name in ISO_NAMES.items()},
-    **ISO_ALIASES,
-}
 LANGUAGE_TABLES = {"names": LANGUAGE_NAMES, "codes": LANGUAGE_CODES}
 
 

@@ -42,24 +42,94 @@ ZH_PUNCTUATION = {
     "』": '"',
 }
 
-# Punctuation classes of the phoneme front ends: every key maps to its group's value.
-SPEECH_PUNCTUATION_COMMON = {
-    ",": "：；，·、",
-    ".": "。\n$",
-    "!": "！",
-    "?": "？",
-    "'": "“”\"‘’（）()《》【】[]「」",
-    "-": "—～~",
+# Punctuation of the phoneme front ends, English and Japanese.
+SPEECH_PUNCTUATION = {
+    "：": ",",
+    "；": ",",
+    "，": ",",
+    "。": ".",
+    "！": "!",
+    "？": "?",
+    "\n": ".",
+    "．": ".",
+    "…": "...",
+    "···": "...",
+    "・・・": "...",
+    "·": ",",
+    "・": ",",
+    "、": ",",
+    "$": ".",
+    "“": "'",
+    "”": "'",
+    '"': "'",
+    "‘": "'",
+    "’": "'",
+    "（": "'",
+    "）": "'",
+    "(": "'",
+    ")": "'",
+    "《": "'",
+    "》": "'",
+    "【": "'",
+    "】": "'",
+    "[": "'",
+    "]": "'",
+    "—": "-",
+    "−": "-",
+    "～": "-",
+    "~": "-",
+    "「": "'",
+    "」": "'",
 }
-SPEECH_PUNCTUATION_EXTRA = {
-    "EN": {",": "・", ".": "．", "-": "−"},
-    "JP": {",": "・", ".": "．", "-": "−"},
-    "ZH": {},
+# The same for Chinese.
+SPEECH_PUNCTUATION_ZH = {
+    "：": ",",
+    "；": ",",
+    "，": ",",
+    "。": ".",
+    "！": "!",
+    "？": "?",
+    "\n": ".",
+    "·": ",",
+    "、": ",",
+    "...": "…",
+    "$": ".",
+    "“": "'",
+    "”": "'",
+    '"': "'",
+    "‘": "'",
+    "’": "'",
+    "（": "'",
+    "）": "'",
+    "(": "'",
+    ")": "'",
+    "《": "'",
+    "》": "'",
+    "【": "'",
+    "】": "'",
+    "[": "'",
+    "]": "'",
+    "—": "-",
+    "～": "-",
+    "~": "-",
+    "「": "'",
+    "」": "'",
 }
-SPEECH_RUNS = {
-    "EN": [("···", "..."), ("・・・", "..."), ("…", "...")],
-    "JP": [("···", "..."), ("・・・", "..."), ("…", "...")],
-    "ZH": [("...", "…")],
+# Repair of single phones.
+PHONE_REPAIRS = {
+    "：": ",",
+    "；": ",",
+    "，": ",",
+    "。": ".",
+    "！": "!",
+    "？": "?",
+    "\n": ".",
+    "·": ",",
+    "、": ",",
+    "…": "...",
+    "···": "...",
+    "・・・": "...",
+    "v": "V",
 }
 SPEECH_SYMBOLS = ["!", "?", "…", ",", ".", "'", "-"]
 ZH_INTERJECTIONS = {"嗯": "恩", "呣": "母"}
@@ -175,14 +245,12 @@ def map_punctuation(text: Column | str, language: str) -> Column:
     out = col(text)
     if language == "ZH":
         out = F.translate(out, "".join(ZH_INTERJECTIONS), "".join(ZH_INTERJECTIONS.values()))
-    for run, plain in SPEECH_RUNS[language]:
-        out = F.replace(out, F.lit(run), F.lit(plain))
-    source, target = "", ""
-    for table in (SPEECH_PUNCTUATION_COMMON, SPEECH_PUNCTUATION_EXTRA[language]):
-        for plain, marks in table.items():
-            source += marks
-            target += plain * len(marks)
-    out = F.translate(out, source, target)
+    table = SPEECH_PUNCTUATION_ZH if language == "ZH" else SPEECH_PUNCTUATION
+    single = {mark: plain for mark, plain in table.items() if len(mark) == len(plain) == 1}
+    # runs first and longest first, so that their characters are not mapped one by one
+    for run in sorted(table.keys() - single.keys(), key=len, reverse=True):
+        out = F.replace(out, F.lit(run), F.lit(table[run]))
+    out = F.translate(out, "".join(single), "".join(single.values()))
     if language == "EN":
         return out
     keep = ZH_KEEP if language == "ZH" else JP_KEEP
@@ -202,16 +270,10 @@ def refine_phone(phone: Column) -> Column:
 
 def repair_symbol(phone: Column, symbols: list[str]) -> Column:
     """Map a phone into the symbol set: punctuation map, ``v`` -> ``V``, unknown -> ``UNK``."""
-    mapped = F.coalesce(F.element_at(literal_map(_symbol_repairs()), phone), phone)
+    mapped = F.coalesce(F.element_at(literal_map(PHONE_REPAIRS), phone), phone)
     return F.when(mapped.isin(symbols), mapped).otherwise(F.lit("UNK"))
 
 
-def _symbol_repairs() -> dict[str, str]:
-    marks = {m: plain for plain in (",", ".", "!", "?") for m in SPEECH_PUNCTUATION_COMMON[plain]}
-    marks.pop("$")
-    return {**marks, **dict(SPEECH_RUNS["EN"]), "v": "V"}
-
-
 def distribute_phones(n_phones: Column | str, n_words: Column | str) -> Column:
     """Phones per word: an even split, the remainder goes to the first words."""
     phones, n = col(n_phones).cast("int"), col(n_words).cast("int")

@@ -32,22 +32,22 @@ MANIFEST_COLUMNS = [
     "source_row",
 ]
 
-# --- fixed values: per-side suffixes of the legacy layout --------------------
-LEGACY_SUFFIXES = {
-    "pth": "file_name",
-    "spk": "speaker_id",
-    "lang": "language",
-    "text": "text",
-    "phonemes": "phonemes",
-    "tone": "tone",
-    "word2ph": "word2ph",
-}
-LEGACY_SIDES = {"ori": "prompt", "gt": "target"}
-
+# --- fixed values: legacy column -> canonical column --------------------------
 LEGACY_TO_CANONICAL = {
-    f"{side}_{old}": f"{role}_{new}"
-    for side, role in LEGACY_SIDES.items()
-    for old, new in LEGACY_SUFFIXES.items()
+    "ori_pth": "prompt_file_name",
+    "ori_spk": "prompt_speaker_id",
+    "ori_lang": "prompt_language",
+    "ori_text": "prompt_text",
+    "ori_phonemes": "prompt_phonemes",
+    "ori_tone": "prompt_tone",
+    "ori_word2ph": "prompt_word2ph",
+    "gt_pth": "target_file_name",
+    "gt_spk": "target_speaker_id",
+    "gt_lang": "target_language",
+    "gt_text": "target_text",
+    "gt_phonemes": "target_phonemes",
+    "gt_tone": "target_tone",
+    "gt_word2ph": "target_word2ph",
 }
 CANONICAL_TO_LEGACY = {new: old for old, new in LEGACY_TO_CANONICAL.items()}
 

@@ -73,29 +73,20 @@ def _draw(values: np.ndarray, counts: np.ndarray, draws: np.ndarray, rng: np.ran
         share = counts / total
         return np.array([rng.multinomial(int(m), share) @ values for m in draws])
     rows = np.repeat(values, counts)
-    sums, start = np.empty(draws.size), 0
+    sums, start = np.zeros(draws.size), 0
     while start < draws.size:
         ends = np.cumsum(draws[start:])
         stop = start + max(int(np.searchsorted(ends, _CHUNK_DRAWS, side="right")), 1)
-        drawn = rows[rng.integers(0, rows.size, int(draws[start:stop].sum()))]
-        edges = np.concatenate([[0], np.cumsum(draws[start:stop])])
-        running = np.concatenate([[0.0], np.cumsum(drawn)])
-        sums[start:stop] = running[edges[1:]] - running[edges[:-1]]
+        part = draws[start:stop]
+        drawn = rows[rng.integers(0, rows.size, int(part.sum()))]
+        filled = part > 0
+        if filled.any():
+            firsts = (np.cumsum(part) - part)[filled]
+            sums[start:stop][filled] = np.add.reduceat(drawn, firsts)
         start = stop
     return sums
 
 
-def count_values(values: DataFrame, by: list[str], bucket_values: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct values with their counts, and per group its size, mean and bucket number."""
-    counted = values.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("_count"))
-    stats = counted.groupBy(*by).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(bucket_values)).cast("int").alias("_buckets"),
-        F.sum("_count").alias("n"),
-        (F.sum(F.col("value") * F.col("_count")) / F.sum("_count")).alias("avg"),
-    )
-    return counted, stats
-
-
 def _generator(seed: int, key: tuple) -> np.random.Generator:
     """Random numbers keyed by (seed, group, bucket), so a retried task draws the same."""
     text = "|".join(str(part) for part in (seed, *key))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from timbre.functions.expr import basename, blank_to_null, parent_dir, parent_name, path_order, stem, suffix
+from timbre.functions.expr import basename, blank_to_null, parent_name, path_order, stem, suffix
 from timbre.functions.text import sanitize, speaker_slug
 from timbre.operators.claims import first_by_name, resolve_generated
 from timbre.operators.ordering import positions_by_sort

@@ -106,10 +106,14 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """(toxic, text) of at most ``per_class`` labelled documents of either class, whole texts."""
+def training_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the documents that labels are learned from."""
     one = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    one = one.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    return one.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def labelled_sample(docs: DataFrame, one: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+    """(toxic, text) of at most ``per_class`` labelled documents of either class, whole texts."""
     shuffled = [F.xxhash64("doc_id"), F.col("doc_id")]
     parts = [one.filter(F.col("toxic") == k).orderBy(*shuffled).limit(per_class) for k in (0, 1)]
     # at most 2 * per_class ids, so the broadcast is bounded
@@ -164,10 +168,13 @@ def _descend(labels: np.ndarray, rows: list[list[int]], changes: list[tuple[list
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, categories: tuple = IDENTITY_TERMS) -> Model:
     """Model fitted on a bounded sample; what reaches the driver are its kept features, by row."""
-    sample = cut_lineage(labelled_sample(docs, labels, per_class))
-    totals = {0: 0, 1: 0} | {int(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
-    if not totals[0] or not totals[1]:
-        return Model(math.log((totals[1] + 0.5) / (totals[0] + 0.5)))
+    counts = lambda df: {0: 0, 1: 0} | {int(r["toxic"]): r["count"] for r in df.groupBy("toxic").count().collect()}
+    one = cut_lineage(training_labels(docs, labels))
+    there = counts(one)
+    if not there[0] or not there[1]:
+        return Model(math.log((there[1] + 0.5) / (there[0] + 0.5)))
+    sample = cut_lineage(labelled_sample(docs, one, per_class))
+    totals = counts(sample)
     exchange = swaps(categories)
     kept = {f: i for i, f in enumerate(_telling(sample, totals, FEATURES))}
 
@@ -187,6 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, c
     real = rows[rows["toxic"] >= 0]
     changes = [(list(a), list(b)) for a, b in zip(rows.loc[rows["toxic"] < 0, "gone"], rows.loc[rows["toxic"] < 0, "come"], strict=True)]
     bias, weights = _descend(real["toxic"].to_numpy(float), [list(r) for r in real["gone"]], changes, len(kept))
+    # the sample may hold another share of toxic rows than the labels do
+    bias += math.log(there[1] / there[0]) - math.log(totals[1] / totals[0])
     return Model(bias, {f: float(weights[i]) for f, i in kept.items()})
 
 

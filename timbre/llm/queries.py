@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timbre.llm import query_chat, query_multi_index, query_packing, query_simhash, query_substrings, query_topk, query_toxicity
+from timbre.llm import query_chat, query_multi_index, query_packing, query_simhash, query_substrings, query_topk, query_toxicity, query_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = [query_chat, query_multi_index, query_packing, query_simhash, query_substrings, query_topk, query_toxicity]
+_MODULES = [query_chat, query_multi_index, query_packing, query_simhash, query_substrings, query_topk, query_toxicity, query_warc]
 
 QUERIES: dict[str, Query] = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLES", {}).items()}

@@ -15,7 +15,9 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import combinations
@@ -38,7 +40,7 @@ _OPEN_BELOW = 0.95
 #: Fuller bins, fullest first, that the search tries for one giving bin.
 _TRIED = 64
 #: Words whose ids a Python worker remembers.
-_REMEMBERED = 400_000
+_REMEMBERED = 700_000
 
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED_DDL = PIECES_DDL + ", sequence_id long, offset long, fill long"
@@ -56,34 +58,39 @@ class WordIds(dict):
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
-        self._plain = regex.compile(_PLAIN).fullmatch
+        self._pieces: dict[str, bytes] = {}
+        self._plain = re.compile(_PLAIN).fullmatch
         # the byte-to-character table of byte-level vocabularies
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self._letters = str.maketrans({chr(b): chr(256 + i) for i, b in enumerate(hidden)})
 
-    def _piece(self, text: str) -> list[int]:
-        spelled = text.encode().decode("latin-1").translate(self._letters)
-        return [t.id for t in self._model.tokenize(spelled)]
+    def _piece(self, text: str) -> bytes:
+        """Ids of a run of letters or of stops, which is one word to the model."""
+        found = self._pieces.get(text)
+        if found is None:
+            spelled = text if text.isascii() else text.encode().decode("latin-1").translate(self._letters)
+            found = self._pieces[text] = array("I", [t.id for t in self._model.tokenize(spelled)]).tobytes()
+        return found
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         plain = self._plain(text)
         if plain:
-            ids = self._piece(plain[1].lower())
+            found = self._piece(plain[1].lower())
             if plain[2]:
-                ids += self._piece(plain[2])
+                found += self._piece(plain[2])
         else:
-            ids = self._tokenizer.encode(text, add_special_tokens=False).ids
+            found = array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self) >= _REMEMBERED:
             self.clear()
-        found = self[word] = np.array(ids, "<u4").tobytes()
+            self._pieces.clear()
+        self[word] = found
         return found
 
     def text(self, text: str | None) -> bytes:

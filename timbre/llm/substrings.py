@@ -56,10 +56,10 @@ def _word_hashes(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _rolled(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hash of every run of ``width`` neighbours."""
-    size, total, power = len(hashes) - width + 1, 0, np.uint64(1)
+    size, total, power = len(hashes) - width + 1, 0, 1
     for k in range(width):
-        total = total + hashes[k : k + size] * power
-        power = power * _STEP
+        total = total + hashes[k : k + size] * np.uint64(power)
+        power = power * int(_STEP) % (1 << 64)
     return _mixed(total)
 
 

@@ -199,8 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, c
     return Model(bias, {f: float(weights[i]) for f, i in kept.items()})
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (``doc_id`` by default) and ``toxicity``, the score of the whole text."""
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "toxicity") -> DataFrame:
+    """``keep`` columns (``doc_id`` by default) and ``name``, the score of the whole text."""
     keep = keep or ["doc_id"]
 
     @F.pandas_udf("double")
@@ -208,4 +208,4 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
         for texts in batches:
             yield pd.Series([model.score(t) for t in texts], dtype="float64")
 
-    return docs.select(*keep, scored("text").alias("toxicity"))
+    return docs.select(*keep, scored("text").alias(name))

@@ -205,20 +205,31 @@ class _Bins:
         order = lambda k: (self.fill[k], k)
         live = sorted((k for k in range(len(self.items)) if self.fill[k] < self.capacity), key=order)
         stuck: set[int] = set()
+        version = [0] * len(self.items)
+        failed: set[tuple[int, int, int, int]] = set()
         while giver := next(([k] for k in live if k not in stuck), None):
             giver, moved = giver[0], False
             for taker in live[: -_TRIED - 1 : -1]:
                 if taker == giver or self.fill[taker] < self.fill[giver] or self.fill[taker] == self.capacity:
                     continue
+                pair = (giver, taker, version[giver], version[taker])
+                if pair in failed:
+                    continue
                 found = self._exchange(giver, taker)
-                if found:
-                    self._apply(giver, taker, *found)
-                    moved = True
-                    if not self.items[giver]:
-                        break
-            if not moved:
+                if not found:
+                    failed.add(pair)
+                    continue
+                self._apply(giver, taker, *found)
+                version[giver] += 1
+                version[taker] += 1
+                moved = True
+                if not self.items[giver]:
+                    break
+            if moved:  # bins that were stuck may fit what has changed
+                stuck.clear()
+                live = sorted((k for k in live if self.items[k] and self.fill[k] < self.capacity), key=order)
+            else:
                 stuck.add(giver)
-            live = sorted((k for k in live if self.items[k] and self.fill[k] < self.capacity), key=order)
 
 
 def _pack_group(pdf: pd.DataFrame, round_no: int, capacity: int) -> pd.DataFrame:

@@ -41,11 +41,52 @@ def test_legacy_files(spark, tmp_path):
     out = manifests.read_legacy_manifests(spark, str(tmp_path), "set").orderBy("source_manifest", "source_row").collect()
     assert [(o["source_manifest"], o["source_row"], o["prompt_file_name"]) for o in out] == [("s1.json", 0, "c.wav"), ("s2.json", 0, "a.wav"), ("s2.json", 1, "b.wav")]
     assert out[1]["prompt_phonemes"] == "h i" and out[1]["prompt_tone"] == "1 2"
-    assert out[1]["spam_type"] == "tax" and out[1]["target_text"] == "größe" and out[2]["pair_id"] == "set-unknown-000001"
+    assert out[1]["extras"] == {"spam_type": "tax"} and out[1]["target_text"] == "größe" and out[2]["pair_id"] == "set-unknown-000001"
+    assert out[0]["prompt_text"] == ""  # the canonical key is there, so its null counts
+    named = manifests.read_legacy_manifests(spark, str(tmp_path), "set", extras=["spam_type"])
+    assert {r["spam_type"] for r in named.collect()} == {"tax", None}
     only = manifests.read_legacy_manifests(spark, str(tmp_path), "set", speaker="s1").collect()
     assert len(only) == 1
 
 
+def test_names_that_spark_hides(spark, tmp_path):
+    for name in ("_anna_/a_cloned.wav", "bob/_x_cloned.wav", "bob/y_cloned.wav", "bob/Z.WAV", ".h/q.wav", "filelists/_u.json", "filelists/v.json", "filelists/.hidden.json", "filelists/deep/w.json"):
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / name).write_text('[{"ori_pth": "a.wav"}]')
+    listed = sorted(r["relative_path"] for r in audio.audio_inventory(spark, str(tmp_path)).collect())
+    assert listed == [".h/q.wav", "_anna_/a_cloned.wav", "bob/_x_cloned.wav", "bob/y_cloned.wav"]
+    assert audio.audio_inventory(spark, str(tmp_path), (".wav", ".flac"), any_case=True).count() == 5
+    assert audio.ingest_audio(spark, str(tmp_path)).filter("rate IS NULL").count() == 4
+    assert sorted(r["source_manifest"] for r in manifests.read_legacy_manifests(spark, str(tmp_path), "set").collect()) == ["_u.json", "v.json"]
+    assert manifests.read_manifest_json(spark, str(tmp_path / "filelists" / "_u.json"), "set").count() == 1
+    assert audio.audio_inventory(spark, str(tmp_path / "gone")).collect() == []
+
+
+def test_json_values(spark, tmp_path):
+    (tmp_path / "filelists").mkdir()
+    record = {"speaker_id": 0, "prompt_speaker_id": "", "target_speaker_id": "t", "split": False, "prompt_text": True, "prompt_tone": [1, None, 2.0], "target_text": 10000000.0}
+    rows = [record, {"speaker_id": 7, "target_text": 1e-5, "prompt_text": None, "ori_text": "old"}, {"target_file_name": 0, "prompt_file_name": 5}]
+    (tmp_path / "filelists" / "s.json").write_text(json.dumps(rows))
+    a, b, c = manifests.read_legacy_manifests(spark, str(tmp_path), "set").orderBy("source_row").collect()
+    assert (a["prompt_speaker_id"], a["speaker_id"], a["target_speaker_id"], a["split"]) == ("0", "0", "t", "default")
+    assert (a["prompt_text"], a["prompt_tone"], a["target_text"]) == ("True", "1 None 2.0", "10000000.0")
+    assert (b["speaker_id"], b["target_text"], b["prompt_text"], c["target_file_name"]) == ("7", "1e-05", "", "5")
+
+
+def test_dataset_loader(spark, tmp_path):
+    root = tmp_path / "set"
+    (root / "filelists").mkdir(parents=True)
+    (root / "filelists" / "s1.json").write_text(json.dumps([{"ori_pth": "a.wav", "ori_spk": "s1"}]))
+    (root / "filelists" / "s2.json").write_text(json.dumps([{"ori_pth": "b.wav", "ori_spk": "s2"}] * 2))
+    (root / "pairs.json").write_text(json.dumps([{"ori_pth": "c.wav", "ori_spk": "s3"}, 4]))
+    load = lambda **o: manifests.load_dataset(spark, str(root), **o)
+    assert load().count() == 3 and load(speaker="s2").count() == 2
+    assert [r["prompt_file_name"] for r in load(manifest_name="pairs.json").collect()] == ["c.wav"]
+    assert load(manifest_name="pairs.json", speaker="s1").count() == 0
+    load().drop("extras").write.parquet(str(root / "metadata.parquet"))
+    assert load(speaker="s2").count() == 2 and {"_file", "_row"} <= set(load().columns)
+
+
 def test_build_manifests_reports_status(spark, tmp_path):
     good, bare, blank = tmp_path / "good", tmp_path / "bare", tmp_path / "blank"
     for root in (good, blank):

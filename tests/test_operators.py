@@ -395,3 +395,39 @@ def test_synthesis_failures_stay_visible(spark):
     assert rows["o0"]["samples"] == [0.0, 1.0] and rows["o0"]["rate"] == 8000
     counts = scoring.synthesis_counts(made).first()
     assert (counts["requested"], counts["completed"], counts["failed"]) == (4, 3, 1)
+
+
+def test_sample_index_counts_stored_rows(spark, tmp_path):
+    from timbre.operators.manifest import zero_shot_samples
+    from timbre.sources.manifests import read_manifest
+
+    rows = [("b", 5, "b5"), ("a", 9, "a9"), ("b", 2, "b2"), ("a", 0, "a0"), ("c", 0, "c0")]
+    frame = spark.createDataFrame(rows, "source_manifest string, source_row long, pair_id string")
+    full = read_columns(frame)
+    got = {r["pair_id"]: r["index"] for r in zero_shot_samples(full).collect()}
+    assert got == {"a0": 0, "a9": 1, "b2": 2, "b5": 3, "c0": 4}
+    # without source_row the place in the stored file counts
+    stored = spark.createDataFrame([(p,) for *_, p in rows], "pair_id string").coalesce(1)
+    stored.write.parquet(str(tmp_path / "metadata.parquet"))
+    samples = zero_shot_samples(read_manifest(spark, str(tmp_path), file_order=True)).orderBy("index").collect()
+    assert [r["pair_id"] for r in samples] == [p for *_, p in rows]
+
+
+def read_columns(frame):
+    from timbre.operators.manifest import order_columns, with_missing_columns
+
+    return order_columns(with_missing_columns(frame))
+
+
+def test_odd_numbers(spark):
+    from timbre.functions.expr import float_text
+    from timbre.functions.text import duration_tag
+    from timbre.operators.manifest import digit_tokens
+
+    values = [0.0, -0.0, 1e7, -1e-4, 1e16, 1.5e16, 1e-5, 0.00012345, 123456789.125, 2.0**-24, 999999.5, 0.000099999996, 1e300, 100.0]
+    frame = spark.createDataFrame([(v,) for v in values], "v double").select("v", float_text("v").alias("t"), duration_tag("v").alias("d"))
+    for r in frame.collect():
+        assert r["t"] == repr(r["v"])
+        assert r["d"] == ("%g" % abs(r["v"]) if r["v"] == 0 else "%g" % r["v"]).replace(".", "p")
+    digits = spark.range(1).select(digit_tokens(F.lit("1 99999999999 99999999999999999999999 x")).alias("d")).first()["d"]
+    assert digits == [1, 99999999999, None]

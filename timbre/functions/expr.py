@@ -85,3 +85,38 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     element; a lambda variable is not.
     """
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def float_text(value: Column | str) -> Column:
+    """A double as Python writes it: plain from 1e-4 up to below 1e16, else with a signed exponent."""
+
+    def shortest(v: Column) -> Column:
+        # the platform's text may hold a digit or two more than are needed
+        java, tries = v.cast("string"), [F.upper(F.format_string(f"%.{n}e", v)) for n in (14, 15)]
+        long = F.length(F.regexp_replace(java, "E.*|[.-]", "")) > 15
+        same = [F.when(long & (t.try_cast("double") == v), t) for t in tries]
+        return F.coalesce(*same, java)
+
+    def parts(java: Column) -> Column:
+        mantissa = F.ltrim(F.substring_index(java, "E", 1), F.lit("-"))
+        return F.struct(
+            java.alias("java"),
+            F.when(java.startswith("-"), "-").otherwise("").alias("sign"),
+            F.rtrim(F.replace(mantissa, F.lit(".")), F.lit("0")).alias("digits"),
+            F.when(F.contains(java, F.lit("E")), F.regexp_extract(java, r"E\+?(-?\d+)$", 1)).try_cast("int").alias("exponent"),
+        )
+
+    def spelled(p: Column) -> Column:
+        digits, exponent = p["digits"], p["exponent"]
+        rest = F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise("")
+        power = F.format_string("%s%02d", F.when(exponent < 0, "-").otherwise("+"), F.abs(exponent))
+        text = (
+            F.when((exponent >= 16) | (exponent < -4), F.concat(F.left(digits, F.lit(1)), rest, F.lit("e"), power))
+            .when(exponent < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits))
+            .when(F.length(digits) <= exponent + 1, F.concat(F.rpad(digits, exponent + 1, "0"), F.lit(".0")))
+            .otherwise(F.concat(F.substr(digits, F.lit(1), exponent + 1), F.lit("."), F.substr(digits, exponent + 2)))
+        )
+        odd = F.create_map(*[F.lit(x) for x in ("NaN", "nan", "Infinity", "inf", "-Infinity", "-inf")])
+        return F.when(exponent.isNull(), F.coalesce(odd[p["java"]], p["java"])).otherwise(F.concat(p["sign"], text))
+
+    return let(let(let(col(value).cast("double"), shortest), parts), spelled)

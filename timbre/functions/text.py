@@ -356,10 +356,10 @@ def speaker_slug(value: Column | str) -> Column:
 def duration_tag(seconds: Column | str) -> Column:
     """Six significant digits without trailing zeros, the decimal point written as ``p``."""
     value = col(seconds).cast("double")
-    exponent = F.floor(F.log10(F.abs(value)))
-    # fixed notation: scientific digits carry the rounding, a decimal cast drops the exponent
+    # scientific digits carry the rounding, so the exponent is taken from them; a decimal cast drops it
     rounded = F.format_string("%.5e", value)
-    plain = F.regexp_replace(rounded.cast("double").cast("decimal(30,12)").cast("string"), r"\.?0+$", "")
+    exponent = F.regexp_extract(rounded, r"e([+-]\d+)$", 1).try_cast("int")
+    plain = F.regexp_replace(rounded.try_cast("double").try_cast("decimal(30,12)").cast("string"), r"\.?0+$", "")
     scientific = F.regexp_replace(rounded, r"\.?0*e", "e")
     text = (
         F.when(value == 0, F.lit("0"))

@@ -10,15 +10,17 @@ from timbre.functions.expr import (
     col,
     first_truthy,
     first_truthy_or_blank,
+    float_text,
     literal_map,
     parent_name,
+    path_order,
     stem,
     strip,
 )
 from timbre.functions.language import select_language
 from timbre.functions.text import sanitize, speaker_slug
 from timbre.operators.ordering import positions_by_integer, positions_by_sort
-from timbre.schema import CANONICAL_TO_LEGACY, LEGACY_TO_CANONICAL, MANIFEST_COLUMNS
+from timbre.schema import CANONICAL_TO_LEGACY, FALSY, FILE_ORDER, LEGACY_TO_CANONICAL, MANIFEST_COLUMNS
 
 # --- fixed values ------------------------------------------------------------
 DEFAULT_SPLIT = "default"
@@ -31,17 +33,20 @@ TONES_PER_LANGUAGE = {"ZH": 6, "JP": 2, "EN": 4}
 
 
 def stringify(value: Column | str, data_type: T.DataType) -> Column:
-    """NULL and NaN to an empty string, lists joined by a blank, booleans capitalised."""
+    """NULL and NaN to an empty string, lists joined by a blank, numbers and booleans as Python writes them."""
     value = col(value)
+    text = F.coalesce(_item_text(value, data_type), F.lit(""))
+    return F.when(F.isnan(value), "").otherwise(text) if isinstance(data_type, (T.DoubleType, T.FloatType)) else text
+
+
+def _item_text(value: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, T.ArrayType):
-        text = F.array_join(F.transform(value, lambda v: stringify(v, data_type.elementType)), " ")
-    elif isinstance(data_type, (T.DoubleType, T.FloatType)):
-        text = F.when(~F.isnan(value), value.cast("string"))
-    elif isinstance(data_type, T.BooleanType):
-        text = F.initcap(value.cast("string"))
-    else:
-        text = value.cast("string")
-    return F.coalesce(text, F.lit(""))
+        return F.array_join(F.transform(value, lambda v: F.coalesce(_item_text(v, data_type.elementType), F.lit("None"))), " ")
+    if isinstance(data_type, T.DoubleType):
+        return float_text(value)
+    if isinstance(data_type, T.FloatType):
+        return float_text(value.cast("string").cast("double"))
+    return F.initcap(value.cast("string")) if isinstance(data_type, T.BooleanType) else value.cast("string")
 
 
 def truthy(value: Column | str, data_type: T.DataType) -> Column:
@@ -59,38 +64,6 @@ def truthy(value: Column | str, data_type: T.DataType) -> Column:
     return F.nullif(stringify(value, data_type), F.lit(""))
 
 
-def _variant_text(record: str, field: str) -> Column:
-    """Text of a JSON field: a list is joined by blanks, an absent field is NULL."""
-    as_list = F.try_variant_get(F.col(record), f"$.{field}", "array<string>")
-    as_text = F.try_variant_get(F.col(record), f"$.{field}", "string")
-    return F.coalesce(F.array_join(as_list, " "), as_text)
-
-
-def variant_fields(records: DataFrame, record: str = "record") -> list[str]:
-    """Distinct field names of the records; one small aggregate, one row per name."""
-    keys = records.select(
-        F.explode(F.json_object_keys(F.to_json(F.col(record)))).alias("name")
-    ).distinct()
-    return sorted(r["name"] for r in keys.collect())
-
-
-def records_from_variant(records: DataFrame, extras: list[str] | None = None) -> DataFrame:
-    """One string column per field of the JSON records.
-
-    All canonical and legacy fields are read; ``extras`` names the further fields to keep (by
-    default they are discovered with one pass over the field names).
-    """
-    known = [*MANIFEST_COLUMNS[:-2], *LEGACY_TO_CANONICAL]
-    if extras is None:
-        reserved = {*MANIFEST_COLUMNS, *LEGACY_TO_CANONICAL}
-        extras = [f for f in variant_fields(records) if f not in reserved]
-    return records.select(
-        "source_manifest",
-        "source_row",
-        *[_variant_text("record", f).alias(f) for f in [*known, *extras]],
-    )
-
-
 def make_pair_id(dataset: Column | str, speaker: Column | str, row: Column | str) -> Column:
     """``dataset-speaker-000012``; a blank speaker is written ``unknown``."""
     known = F.coalesce(blank_to_null(speaker), F.lit("unknown"))
@@ -106,6 +79,11 @@ def canonicalize(df: DataFrame, dataset: str) -> DataFrame:
     """
     types = {f.name: f.dataType for f in df.schema.fields}
 
+    def true(name: str, data_type: T.DataType) -> Column:
+        """``truthy``, also where the text of a JSON value hides that it was zero or false."""
+        text = truthy(name, data_type)
+        return F.when(~F.array_contains(FALSY, name), text) if FALSY in types else text
+
     def read(name: str, how) -> Column:
         """The canonical column, else its legacy one, as NULL-for-blank text."""
         sources = [n for n in (name, CANONICAL_TO_LEGACY.get(name)) if n in types]
@@ -118,7 +96,7 @@ def canonicalize(df: DataFrame, dataset: str) -> DataFrame:
         return F.coalesce(read(name, lambda n, t: stringify(n, t)), F.lit(""))
 
     def given(name: str) -> Column:
-        return read(name, truthy)
+        return read(name, true)
 
     def written(name: str) -> Column:
         return read(name, lambda n, t: blank_to_null(stringify(n, t)) if not isinstance(t, T.StringType) else truthy(n, t))
@@ -152,7 +130,7 @@ def canonicalize(df: DataFrame, dataset: str) -> DataFrame:
 
 def extra_columns(df: DataFrame) -> list[str]:
     """Columns that are neither canonical nor legacy, in their order."""
-    reserved = {*MANIFEST_COLUMNS, *LEGACY_TO_CANONICAL}
+    reserved = {*MANIFEST_COLUMNS, *LEGACY_TO_CANONICAL, FALSY, *FILE_ORDER}
     return [c for c in df.columns if c not in reserved]
 
 
@@ -220,16 +198,34 @@ def union_manifests(*frames: DataFrame) -> DataFrame:
 
 
 def sample_index(df: DataFrame) -> DataFrame:
-    """0-based position of each row over all manifest files in file-name order.
+    """0-based position of each stored row over all manifest files.
 
-    ``source_row`` already counts the rows of a file, so only the file sizes are accumulated.
+    With the place of each row in its file (``FILE_ORDER``, see ``read_manifest``) only the file
+    sizes are accumulated and nothing is shuffled. Otherwise rows are ordered by file name and
+    ``source_row``; gaps are closed, and only these two columns pass the window.
     """
-    sizes = df.groupBy("source_manifest").agg((F.max("source_row") + 1).alias("_n"))
-    before = Window.orderBy("source_manifest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = sizes.select("source_manifest", (F.sum("_n").over(before) - F.col("_n")).alias("_offset"))
-    return df.join(offsets, "source_manifest").withColumn(
-        "index", (F.col("_offset") + F.col("source_row")).cast("bigint")
-    ).drop("_offset")
+    if set(FILE_ORDER) <= set(df.columns):
+        file, row = FILE_ORDER
+        sizes = df.groupBy(file).agg((F.max(row) + 1).alias("_n"))
+        before = Window.orderBy(path_order(file)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        offsets = sizes.select(file, (F.sum("_n").over(before) - F.col("_n")).alias("_offset"))
+        placed = df.join(offsets, file).withColumn("index", (F.col("_offset") + F.col(row)).cast("bigint"))
+        return placed.drop("_offset")
+    number = F.col("source_row").try_cast("bigint")
+    keyed = df.withColumns({"_name": F.coalesce("source_manifest", F.lit("")), "_number": F.coalesce(number, F.lit(0).cast("bigint"))})
+    keys = keyed.groupBy("_name", "_number").agg(F.count(F.lit(1)).alias("_same"))
+    sizes = keys.groupBy("_name").agg(F.sum("_same").alias("_n"))
+    before = Window.orderBy("_name").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = sizes.select("_name", (F.sum("_n").over(before) - F.col("_n")).alias("_offset"))
+    inside = positions_by_integer(keys.filter("_same = 1"), "_number", ["_name"], out="_at")
+    repeated = keys.filter("_same > 1")
+    checked = inside.select("_name", "_number", "_at").unionAll(
+        repeated.select("_name", "_number", F.raise_error(F.lit("rows of one file share a source_row; read the manifest with file order")).cast("bigint"))
+    )
+    placed = keyed.join(checked, ["_name", "_number"]).join(offsets, "_name")
+    return placed.withColumn("index", (F.col("_offset") + F.col("_at")).cast("bigint")).drop(
+        "_name", "_number", "_at", "_offset"
+    )
 
 
 def zero_shot_samples(df: DataFrame, speaker: str | None = None, max_samples: int | None = None) -> DataFrame:
@@ -300,9 +296,10 @@ def transcript_map(df: DataFrame, path: str = "prompt_path", order: str = "index
 
 
 def digit_tokens(value: Column | str) -> Column:
-    """Integers of a blank-separated list; tokens with anything but digits are dropped."""
+    """Integers of a blank-separated list; tokens with anything but digits are dropped, and one
+    beyond 64 bits is NULL."""
     tokens = F.filter(F.split(col(value), " "), lambda t: strip(t).rlike("^[0-9]+$"))
-    return F.transform(tokens, lambda t: strip(t).cast("int"))
+    return F.transform(tokens, lambda t: strip(t).try_cast("bigint"))
 
 
 def filter_trainable(
@@ -352,13 +349,14 @@ def canonical_speaker(value: Column | str) -> Column:
 
 
 def speaker_number(df: DataFrame, speaker: str, order: str, out: str = "speaker_number") -> DataFrame:
-    """Trailing digits of the canonical speaker; without digits a dense id by first appearance."""
+    """Trailing digits of the canonical speaker; without digits, or with more than 64 bits hold, a
+    dense id by first appearance."""
     keyed = df.withColumn("_token", canonical_speaker(speaker))
-    digits = F.regexp_extract("_token", r"(\d+)$", 1)
-    unnumbered = keyed.filter(digits == "").groupBy("_token").agg(F.min(order).alias("_first"))
+    number = F.regexp_extract("_token", r"(\d+)$", 1).try_cast("bigint")
+    unnumbered = keyed.filter(number.isNull()).groupBy("_token").agg(F.min(order).alias("_first"))
     ids = positions_by_integer(unnumbered, "_first", out="_id").select("_token", "_id")
     return keyed.join(ids, "_token", "left").withColumn(
-        out, F.when(digits != "", digits.cast("bigint")).otherwise(F.col("_id"))
+        out, F.coalesce(number, F.col("_id"))
     ).drop("_token", "_id")
 
 

@@ -10,6 +10,8 @@ from timbre.plans import fixtures as fx
 from timbre.plans.fixtures import with_ctes
 from timbre.plans.registry import query
 from timbre.schema import CANONICAL_TO_LEGACY
+from timbre.session import scratch_path
+from timbre.sources.manifests import read_manifest
 
 _M = ["legacy", "manifest"]
 _S = [*_M, "samples"]
@@ -43,7 +45,8 @@ def m2(spark: SparkSession, sf_dir: str) -> DataFrame:
     "M3_stringify",
     """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE value::VARCHAR END AS number,
       coalesce(event_type, '') AS word, CASE WHEN value > 50 THEN 'True' ELSE 'False' END AS flag,
-      event_type || ' ' || user_id AS list FROM events""",
+      event_type || ' ' || user_id AS list, (round(value) * 10000000 + 0.5)::VARCHAR AS large, (round(value) / 4096 / 4096)::VARCHAR AS small,
+      event_type || ' None ' || user_id AS gaps FROM events""",
 )
 def m3(spark: SparkSession, sf_dir: str) -> DataFrame:
     event = F.col("event_id")
@@ -53,8 +56,11 @@ def m3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("word"),
         (F.col("value") > 50).alias("flag"),
         F.array("event_type", F.col("user_id").cast("string")).alias("list"),
+        (F.round("value") * 10_000_000 + 0.5).alias("large"),
+        (F.round("value") / 4096 / 4096).alias("small"),
+        F.array("event_type", F.lit(None).cast("string"), F.col("user_id").cast("string")).alias("gaps"),
     )
-    texts = {c: m.stringify(c, raw.schema[c].dataType) for c in ("number", "word", "flag", "list")}
+    texts = {c: m.stringify(c, raw.schema[c].dataType) for c in ("number", "word", "flag", "list", "large", "small", "gaps")}
     return raw.select("event_id", *[t.alias(c) for c, t in texts.items()])
 
 
@@ -112,6 +118,25 @@ def m10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.samples(spark, sf_dir)
 
 
+@query("M10_stored_manifest_samples", with_ctes(_S, "SELECT * EXCLUDE (doc_id) FROM samples WHERE speaker_id <> 'src3'"))
+def m10_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the stored rows are numbered, whatever their source_row says
+    root = scratch_path(spark, "manifest")
+    order = ["source_manifest", "source_row"]
+    stored = fx.manifest(spark, sf_dir).drop("doc_id").repartitionByRange(*order).sortWithinPartitions(*order)
+    stored.write.parquet(f"{root}/metadata.parquet")
+    samples = m.zero_shot_samples(read_manifest(spark, root, file_order=True))
+    return samples.filter("speaker_id <> 'src3'")
+
+
+@query(
+    "M10_samples_with_gaps",
+    with_ctes(_M, """SELECT pair_id, row_number() OVER (ORDER BY source_manifest, source_row) - 1 AS "index" FROM manifest WHERE source_row % 3 <> 1"""),
+)
+def m10_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.zero_shot_samples(fx.manifest(spark, sf_dir).filter("source_row % 3 <> 1")).select("pair_id", "index")
+
+
 @query(
     "M10_zero_shot_samples_limit",
     with_ctes(_S, """SELECT "index", pair_id, target_path FROM samples WHERE speaker_id = 'src4' ORDER BY "index" LIMIT 25"""),
@@ -230,9 +255,9 @@ def m17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "M18_speaker_number",
-    """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source || '_x.wav' ELSE 'd/' || lang || '-' || doc_id END AS speaker FROM documents),
+    """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN lang || '99999999999999999999' || doc_id % 2 WHEN doc_id % 2 = 0 THEN source || '_x.wav' ELSE 'd/' || lang || '-' || doc_id END AS speaker FROM documents),
       u AS (SELECT *, lower(regexp_extract(string_split(speaker, '/')[-1], '^([^._\\-]*)', 1)) AS token FROM t),
-      f AS (SELECT token, row_number() OVER (ORDER BY min(doc_id)) - 1 AS id FROM u WHERE NOT regexp_matches(token, '[0-9]$') GROUP BY token)
+      f AS (SELECT token, row_number() OVER (ORDER BY min(doc_id)) - 1 AS id FROM u WHERE try_cast(nullif(regexp_extract(token, '([0-9]+)$', 1), '') AS BIGINT) IS NULL GROUP BY token)
     SELECT doc_id, coalesce(try_cast(nullif(regexp_extract(token, '([0-9]+)$', 1), '') AS BIGINT), id) AS speaker_number
     FROM u LEFT JOIN f USING (token)""",
 )
@@ -240,7 +265,8 @@ def m18(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("doc_id").cast("string")
     rows = fx.table(spark, sf_dir, "documents").select(
         "doc_id",
-        F.when(F.col("doc_id") % 2 == 0, F.concat("source", F.lit("_x.wav")))
+        F.when(F.col("doc_id") % 7 == 3, F.concat("lang", F.lit("99999999999999999999"), (F.col("doc_id") % 2).cast("string")))
+        .when(F.col("doc_id") % 2 == 0, F.concat("source", F.lit("_x.wav")))
         .otherwise(F.concat(F.lit("d/"), "lang", F.lit("-"), number))
         .alias("speaker"),
     )

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from timbre.operators.manifest import canonicalize, records_from_variant
+from timbre.functions.expr import basename
 from timbre.operators.summary import generation_summary
 from timbre.plans import fixtures as fx
 from timbre.plans.fixtures import with_ctes
 from timbre.plans.registry import query
 from timbre.schema import FILELIST_FIELDS, GENERATION_METRICS, FIDELITY_METRICS, MANIFEST_COLUMNS, ddl_fields
-from timbre.session import scratch_path
-from timbre.sources.audio import decode_wav, encode_pcm16, inventory_columns, wav_header
+from timbre.session import cut_lineage, scratch_path
+from timbre.sources.audio import audio_inventory, audio_only_records, encode_pcm16, ingest_audio, wav_header
 from timbre.sources.filelists import (
     format_filelist,
     numbered_lines,
@@ -20,11 +20,13 @@ from timbre.sources.filelists import (
     read_raw_filelist,
     write_filelist,
 )
+from timbre.sources.listing import write_files
 from timbre.sources.manifests import (
     build_manifests,
-    json_records,
-    keep_legacy_names,
+    load_dataset,
+    read_legacy_manifests,
     read_manifest,
+    read_manifest_json,
     write_manifest,
 )
 from timbre.sources.results import (
@@ -59,64 +61,82 @@ def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_manifest(spark, root)
 
 
-def _json_files(spark: SparkSession, sf_dir: str, name: str = "source_manifest", where: str = "") -> str:
-    """One JSON array file per (source, block of rows), every second record followed by items that
-    are not objects; returns the folder."""
+def _json_files(spark: SparkSession, sf_dir: str, folder: str = "filelists") -> str:
+    """One JSON array file per (source, block of rows), written by tasks; every second record is
+    followed by items that are not objects. Some names begin with an underscore or a dot, some are
+    combined files. Returns the root."""
     records = fx.legacy(spark, sf_dir)
+    source = F.regexp_replace("source_manifest", r"\.json$", "")
+    prefix = F.when(source == "src17", "_").when(source == "src18", ".").when(source == "src19", "ALL_speakers_").otherwise("")
     block = F.floor(F.col("source_row") / _FILE_ROWS).cast("string")
-    base = F.regexp_replace("source_manifest", r"\.json$", "")
+    number = F.col("doc_id").cast("string")
+    fields = F.to_json(F.struct(*_LEGACY_FIELDS, "n_chars"), {"ignoreNullFields": "false"})
+    odd = F.concat(  # values whose text depends on their JSON type
+        F.lit(',"flag":'), (F.col("doc_id") % 2 == 0).cast("string"), F.lit(',"whole":'), number, F.lit('.0,"mixed":['), number,
+        F.lit(',null,true],"large":1e7,"small":1e-4,"speaker_id":'), F.when(F.col("doc_id") % 3 == 0, "0").otherwise("null"), F.lit("}"),
+    )
     items = records.select(
-        F.concat(base, F.lit("_"), block, F.lit(".json")).alias(name),
+        F.concat(F.lit(f"{folder}/"), prefix, source, F.lit("_"), block, F.lit(".json")).alias("path"),
         "source_row",
-        F.concat(
-            F.to_json(F.struct(*_LEGACY_FIELDS, "n_chars"), {"ignoreNullFields": "false"}),
-            F.when(F.col("source_row") % 2 == 0, ',"note",3').otherwise(""),
-        ).alias("item"),
+        F.concat(F.regexp_replace(fields, r"\}$", ""), odd, F.when(F.col("source_row") % 2 == 0, ',"note",3').otherwise("")).alias("item"),
     )
-    files = items.groupBy(name).agg(
+    files = items.groupBy("path").agg(
         F.concat(
             F.lit("["),
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_row", "item"))), lambda r: r["item"]), ","),
             F.lit("]"),
-        ).alias("value")
+        ).alias("content")
     )
-    path = scratch_path(spark, "legacy")
-    files.repartition(F.col(name)).write.partitionBy(name).text(f"{path}{where}")
-    return path
+    root = scratch_path(spark, "legacy")
+    write_files(files, root)
+    return root
 
 
 _FILE_MANIFEST = with_ctes(
     _M,
     f"""SELECT {', '.join(c for c in MANIFEST_COLUMNS if c not in ('source_manifest', 'source_row', 'pair_id'))},
-      replace(source_manifest, '.json', '') || '_' || (source_row // {_FILE_ROWS}) || '.json' AS source_manifest,
+      CASE speaker_id WHEN 'src17' THEN '_' ELSE '' END || replace(source_manifest, '.json', '') || '_' || (source_row // {_FILE_ROWS}) || '.json' AS source_manifest,
       source_row % {_FILE_ROWS} AS source_row,
       'docs-' || speaker_id || '-' || lpad((source_row % {_FILE_ROWS})::VARCHAR, 6, '0') AS pair_id,
-      n_chars::VARCHAR AS n_chars
-    FROM manifest""",
+      n_chars::VARCHAR AS n_chars, CASE WHEN doc_id % 2 = 0 THEN 'True' ELSE 'False' END AS flag, doc_id || '.0' AS whole,
+      doc_id || ' None True' AS mixed, '10000000.0' AS large, '0.0001' AS small
+    FROM manifest WHERE speaker_id NOT IN ('src18', 'src19')""",
 )
+_EXTRAS = ["n_chars", "flag", "whole", "mixed", "large", "small"]
 
 
-@query("S2_read_manifest_json", _FILE_MANIFEST)
+@query("S2_read_manifest_json", with_ctes(
+    _M,
+    f"""SELECT {', '.join(c for c in MANIFEST_COLUMNS if c not in ('source_manifest', 'source_row', 'pair_id'))},
+      '_pairs.json' AS source_manifest, row_number() OVER (ORDER BY doc_id) - 1 AS source_row,
+      'docs-' || speaker_id || '-' || lpad((row_number() OVER (ORDER BY doc_id) - 1)::VARCHAR, 6, '0') AS pair_id,
+      n_chars::VARCHAR AS n_chars FROM manifest WHERE speaker_id = 'src1'""",
+))
 def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).text(_json_files(spark, sf_dir))
-    payloads = files.select("source_manifest", F.col("value").alias("content"))
-    return canonicalize(records_from_variant(json_records(payloads), ["n_chars"]), fx.DATASET)
+    # one array is one file and one task, so this format is for a manifest of one speaker
+    records = fx.legacy(spark, sf_dir).filter("ori_spk = 'src1'")
+    item = F.to_json(F.struct(*_LEGACY_FIELDS, "n_chars"), {"ignoreNullFields": "false"})
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item")))), lambda r: r["item"])
+    root = scratch_path(spark, "pairs")
+    write_files(records.agg(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("content")).withColumn("path", F.lit("_pairs.json")), root)
+    return read_manifest_json(spark, f"{root}/_pairs.json", fx.DATASET, ["n_chars"])
 
 
-@query(
-    "S3_read_legacy_manifests",
-    f"""SELECT * FROM ({_FILE_MANIFEST}) WHERE speaker_id NOT IN ('src18', 'src19')""",
-)
+@query("S3_read_legacy_manifests", _FILE_MANIFEST)
 def s3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).text(_json_files(spark, sf_dir))
-    # two of the sources carry names that the reader must skip
-    name = (
-        F.when(F.col("source_manifest").startswith("src18_"), F.concat(F.lit("."), F.col("source_manifest")))
-        .when(F.col("source_manifest").startswith("src19_"), F.concat(F.lit("ALL_speakers_"), F.col("source_manifest")))
-        .otherwise(F.col("source_manifest"))
-    )
-    payloads = keep_legacy_names(files.select(name.alias("source_manifest"), F.col("value").alias("content")))
-    return canonicalize(records_from_variant(json_records(payloads)), fx.DATASET)
+    return read_legacy_manifests(spark, _json_files(spark, sf_dir), fx.DATASET, extras=_EXTRAS)
+
+
+@query("S3_load_dataset_legacy", f"SELECT * FROM ({_FILE_MANIFEST}) WHERE source_manifest = 'src4_0.json'")
+def s3_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_dataset(spark, _json_files(spark, sf_dir), fx.DATASET, speaker="src4_0", extras=_EXTRAS)
+
+
+@query("S1_load_dataset_canonical", with_ctes(_M, f"SELECT {_CANONICAL}, n_chars FROM manifest WHERE speaker_id = 'src4'"))
+def s1_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "manifest")
+    fx.manifest(spark, sf_dir).drop("doc_id").write.parquet(f"{root}/metadata.parquet")
+    return load_dataset(spark, root, fx.DATASET, speaker="src4")
 
 
 _LINE_FIELDS = """
@@ -170,16 +190,41 @@ def s6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_lines(numbered_lines(spark, path), ["file"]).drop("file", "pair")
 
 
+_WAV_SQL = "CASE doc_id % 3 WHEN 0 THEN '_' ELSE '' END || 'utt.' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.WAV' ELSE '.wav' END"
+_FOLDER_SQL = "CASE source WHEN 'src2' THEN '_anna_' ELSE source END"
+
+
+def _audio_tree(spark: SparkSession, sf_dir: str) -> str:
+    """A file for each document, in folders and under names some of which begin with an underscore."""
+    doc, source = F.col("doc_id"), F.col("source")
+    name = F.concat(F.when(doc % 3 == 0, "_").otherwise(""), F.lit("utt."), doc.cast("string"), F.when(doc % 5 == 0, ".WAV").otherwise(".wav"))
+    folder = F.when(source == "src2", "_anna_").otherwise(source)
+    files = fx.table(spark, sf_dir, "documents").select(F.concat(F.lit("audios/"), folder, F.lit("/"), name).alias("path"), F.col("n_chars").cast("string").alias("content"))
+    root = scratch_path(spark, "tree")
+    write_files(files, root)
+    return root
+
+
 @query(
     "S7_audio_inventory",
-    """SELECT 'data/audios/' || source || '/utt.' || doc_id || '.wav' AS path, 'utt.' || doc_id || '.wav' AS name,
-      'utt.' || doc_id AS stem, source AS parent, n_chars AS bytes,
-      'audios/' || source || '/utt.' || doc_id || '.wav' AS relative_path FROM documents""",
+    f"""SELECT {_WAV_SQL} AS name, regexp_replace({_WAV_SQL}, '[.][^.]+$', '') AS stem, {_FOLDER_SQL} AS parent,
+      length(n_chars::VARCHAR) AS bytes, 'audios/' || {_FOLDER_SQL} || '/' || {_WAV_SQL} AS relative_path FROM documents WHERE doc_id % 5 <> 0""",
 )
 def s7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = fx.table(spark, sf_dir, "documents")
-    path = F.concat(F.lit("data/audios/"), "source", F.lit("/utt."), F.col("doc_id").cast("string"), F.lit(".wav"))
-    return inventory_columns(docs.select(path.alias("path"), F.col("n_chars").alias("bytes")), "data")
+    return audio_inventory(spark, _audio_tree(spark, sf_dir)).drop("path")
+
+
+@query(
+    "S7_audio_only_records",
+    f"""SELECT source_row, speaker_id, prompt_file_name, target_file_name, prompt_text, 'tree-' || speaker_id || '-' || lpad(source_row::VARCHAR, 6, '0') AS pair_id
+    FROM (SELECT row_number() OVER (ORDER BY 'audios', {_FOLDER_SQL}, {_WAV_SQL}) - 1 AS source_row, {_FOLDER_SQL} AS speaker_id,
+      'audios/' || {_FOLDER_SQL} || '/' || {_WAV_SQL} AS prompt_file_name, 'audios/' || {_FOLDER_SQL} || '/' || {_WAV_SQL} AS target_file_name,
+      '' AS prompt_text FROM documents)""",
+)
+def s7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio_only_records(spark, _audio_tree(spark, sf_dir), "tree").select(
+        "source_row", "speaker_id", "prompt_file_name", "target_file_name", "prompt_text", "pair_id"
+    )
 
 
 _PCM = "list_transform(embedding, lambda x: round(least(greatest(x::DOUBLE, -1.0::DOUBLE), 1.0::DOUBLE) * 32767) / 32768)"
@@ -187,7 +232,7 @@ _PCM = "list_transform(embedding, lambda x: round(least(greatest(x::DOUBLE, -1.0
 
 @query(
     "S8_ingest_audio",
-    f"""SELECT 'clips/' || label || '/v' || vec_id || '.wav' AS path, 'v' || vec_id AS stem, label::VARCHAR AS parent,
+    f"""SELECT '_v' || vec_id || '.wav' AS name, '_v' || vec_id AS stem, label::VARCHAR AS parent,
       (44 + 2 * len(embedding))::BIGINT AS bytes, 16000 AS rate, 1 AS channels, len(embedding)::BIGINT AS frames,
       len(embedding)::BIGINT AS header_frames, len(embedding) / 16000.0::DOUBLE AS duration_sec,
       round(list_sum({_PCM}), 6) AS total, round(list_max({_PCM}), 6) AS peak
@@ -195,12 +240,14 @@ _PCM = "list_transform(embedding, lambda x: round(least(greatest(x::DOUBLE, -1.0
 )
 def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = fx.table(spark, sf_dir, "embeddings")
-    path = F.concat(F.lit("clips/"), F.col("label").cast("string"), F.lit("/v"), F.col("vec_id").cast("string"), F.lit(".wav"))
-    files = vectors.select(path.alias("path"), encode_pcm16("embedding", 16_000).alias("content"))
-    headers = files.select("path", wav_header("content")["frames"].alias("header_frames"))
+    path = F.concat(F.lit("clips/"), F.col("label").cast("string"), F.lit("/_v"), F.col("vec_id").cast("string"), F.lit(".wav"))
+    files = cut_lineage(vectors.select(path.alias("path"), encode_pcm16("embedding", 16_000).alias("content")))
+    root = scratch_path(spark, "clips")
+    write_files(files, root)
+    headers = files.select(basename("path").alias("name"), wav_header("content")["frames"].alias("header_frames"))
     samples = F.transform("samples", lambda x: x.cast("double"))
-    return decode_wav(files).join(headers, "path").select(
-        "path", "stem", "parent", "bytes", "rate", "channels", "frames", "header_frames", "duration_sec",
+    return ingest_audio(spark, root).join(headers, "name").select(
+        "name", "stem", "parent", "bytes", "rate", "channels", "frames", "header_frames", "duration_sec",
         F.round(F.aggregate(samples, F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
         F.round(F.array_max(samples), 6).alias("peak"),
     )
@@ -321,10 +368,10 @@ def s16(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT * EXCLUDE (source_manifest), 'docs' AS built FROM ({_FILE_MANIFEST})",
 )
 def s17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = _json_files(spark, sf_dir, name="part", where="/filelists")
+    root = _json_files(spark, sf_dir)
     registry = [
         {"key": "docs", "name": fx.DATASET, "root_path": root},
         {"key": "absent", "name": "absent", "root_path": f"{root}/absent"},
     ]
-    build_manifests(spark, registry, only=["DOCS", "absent"], extras=["n_chars"], pattern="*")
+    build_manifests(spark, registry, only=["DOCS", "absent"], extras=_EXTRAS)
     return read_manifest(spark, root).drop("source_manifest").withColumn("built", F.lit("docs"))

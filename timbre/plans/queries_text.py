@@ -210,11 +210,14 @@ def t11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "T12_trim_name",
-    """SELECT event_id, 'v.' || user_id || '_cap' || replace(replace(printf('%g', value), '.', 'p'), 'e-0', 'e-0') || '_' || md5('out/v.' || user_id || '.wav')[1:8] || '.wav' AS name FROM events""",
+    """SELECT event_id, 'v.' || user_id || '_cap' || replace(replace(printf('%g', value), '.', 'p'), 'e-0', 'e-0') || '_' || md5('out/v.' || user_id || '.wav')[1:8] || '.wav' AS name,
+      'v.' || user_id || '_cap' || replace(printf('%g', value * 12345.678), '.', 'p') || '_' || md5('out/v.' || user_id || '.wav')[1:8] || '.wav' AS long_name FROM events""",
 )
 def t12(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("out/v."), F.col("user_id").cast("string"), F.lit(".wav"))
-    return fx.table(spark, sf_dir, "events").select("event_id", t.trim_name(path, "value").alias("name"))
+    return fx.table(spark, sf_dir, "events").select(
+        "event_id", t.trim_name(path, "value").alias("name"), t.trim_name(path, F.col("value") * 12345.678).alias("long_name")
+    )
 
 
 @query(

@@ -53,6 +53,11 @@ CANONICAL_TO_LEGACY = {new: old for old, new in LEGACY_TO_CANONICAL.items()}
 
 MANIFEST_NAME = "metadata.parquet"
 
+# names of a JSON record's fields whose values count as missing in a chain of alternatives
+FALSY = "__falsy"
+# place of a row in its manifest file
+FILE_ORDER = ("_file", "_row")
+
 # --- fixed values: pipe-delimited file lists ---------------------------------
 FILELIST_FIELDS = ["audio_path", "speaker", "language", "norm_text", "phones", "tones", "word2ph"]
 RAW_FILELIST_FIELDS = ["utt", "spk", "unused", "text"]

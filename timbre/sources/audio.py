@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from timbre.functions.expr import basename, col, parent_name, stem
+from timbre.functions.expr import basename, col, parent_name, path_order, stem
+from timbre.operators.manifest import canonicalize
+from timbre.operators.ordering import positions_by_sort
+from timbre.sources.listing import file_contents, list_files
 
 AUDIO_DDL = (
     "path string, name string, stem string, parent string, bytes bigint, rate int, channels int, "
@@ -36,17 +40,47 @@ def _quoted(root: str) -> str:
     return r"\Q" + root.rstrip("/").removeprefix("file:") + r"\E"
 
 
-def audio_inventory(spark: SparkSession, root: str, extensions: tuple[str, ...] = (".wav",)) -> DataFrame:
-    """Recursive listing of audio files; file contents are never read."""
-    pattern = "*.{" + ",".join(e.lstrip(".") for e in extensions) + "}" if len(extensions) > 1 else f"*{extensions[0]}"
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .load(root)
-        .select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("bytes"))
+def _with_suffix(files: DataFrame, extensions: tuple[str, ...], any_case: bool) -> DataFrame:
+    name = F.lower(basename("path")) if any_case else basename("path")
+    wanted = [name.endswith(e.lower() if any_case else e) for e in extensions]
+    return files.filter(reduce(lambda a, b: a | b, wanted))
+
+
+def _plain_path(path: str = "path") -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def audio_inventory(
+    spark: SparkSession, root: str, extensions: tuple[str, ...] = (".wav",), any_case: bool = False
+) -> DataFrame:
+    """Recursive listing of audio files, whatever their names begin with; contents are never read.
+
+    ``any_case`` compares suffixes without regard to case, as audio-only datasets do.
+    """
+    files = _with_suffix(list_files(spark, root), extensions, any_case)
+    return inventory_columns(files.select(_plain_path().alias("path"), "bytes"), root)
+
+
+def audio_only_records(spark: SparkSession, root: str, dataset: str) -> DataFrame:
+    """Manifest records of a dataset that is only a tree of audio files: no transcripts, the speaker
+    is the file's folder (empty for files in the root), one record per file in path order."""
+    files = audio_inventory(spark, root, (".wav", ".flac"), any_case=True)
+    inside = F.instr("relative_path", "/") > 0
+    placed = positions_by_sort(
+        files.select("relative_path", F.when(inside, F.col("parent")).otherwise("").alias("speaker_id")),
+        [path_order("relative_path")],
+        out="source_row",
+    )
+    return canonicalize(
+        placed.select(
+            F.lit("").alias("source_manifest"),
+            "source_row",
+            "speaker_id",
+            F.col("relative_path").alias("prompt_file_name"),
+            F.lit("").alias("prompt_text"),
+        ),
+        dataset,
     )
-    return inventory_columns(files, root)
 
 
 def wav_header(content: Column | str) -> Column:
@@ -136,14 +170,9 @@ def decode_wav(files: DataFrame) -> DataFrame:
 
 def ingest_audio(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
     """Read and decode every WAV file below ``root``."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.wav")
-        .load(root)
-        .select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
-    )
-    return decode_wav(files if partitions is None else files.repartition(partitions))
+    files = _with_suffix(list_files(spark, root), (".wav",), False).select("path")
+    read = file_contents(spark, files, root).select(_plain_path().alias("path"), "content")
+    return decode_wav(read if partitions is None else read.repartition(partitions))
 
 
 def encode_pcm16(samples: Column | str, rate: int) -> Column:

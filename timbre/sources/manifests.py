@@ -4,67 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from timbre.operators.manifest import (
-    canonicalize,
-    order_columns,
-    records_from_variant,
-    with_missing_columns,
-)
-from timbre.schema import MANIFEST_NAME
+from timbre.functions.expr import basename
+from timbre.operators.manifest import canonicalize, filter_speaker, order_columns, with_missing_columns
+from timbre.schema import FILE_ORDER, MANIFEST_NAME
+from timbre.session import cut_lineage
+from timbre.sources.json_records import json_records
+from timbre.sources.listing import file_contents, list_files
 
 
-def read_manifest(spark: SparkSession, root: str, manifest_name: str = MANIFEST_NAME) -> DataFrame:
+def read_manifest(spark: SparkSession, root: str, manifest_name: str = MANIFEST_NAME, file_order: bool = False) -> DataFrame:
     """Canonical manifest below ``root``: missing columns as ``""``, canonical order first.
 
-    The hidden ``_metadata`` column stays available to callers that need the file order.
+    ``file_order`` adds the place of each row in its file, by which samples are numbered.
     """
     df = spark.read.option("mergeSchema", True).parquet(f"{root}/{manifest_name}")
+    if file_order:
+        df = df.withColumns(dict(zip(FILE_ORDER, (F.col("_metadata.file_path"), F.col("_metadata.row_index")))))
     return order_columns(with_missing_columns(df))
 
 
-def with_file_order(df: DataFrame) -> DataFrame:
-    """Add ``_file`` and ``_row``, the place of each row in a Parquet manifest."""
-    return df.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
-
-
-def json_records(payloads: DataFrame, name: str = "source_manifest", content: str = "content") -> DataFrame:
-    """``(source_manifest, source_row, record)`` from one JSON array per row.
-
-    Unreadable and non-list payloads give no rows, items that are not objects are dropped, and
-    ``source_row`` counts the remaining items.
-    """
-    items = payloads.select(
-        F.col(name).alias("source_manifest"),
-        F.from_json(content, "array<variant>").alias("_items"),
-    )
-    objects = F.filter("_items", lambda v: F.schema_of_variant(v).startswith("OBJECT"))
-    return items.select("source_manifest", F.posexplode(objects).alias("source_row", "record")).withColumn(
-        "source_row", F.col("source_row").cast("bigint")
-    )
-
-
 def read_manifest_json(
     spark: SparkSession, path: str, dataset: str, extras: list[str] | None = None
 ) -> DataFrame:
-    """A manifest stored as one JSON array, canonicalised."""
-    payloads = spark.read.option("wholetext", True).text(path).select(
-        F.col("_metadata.file_name").alias("source_manifest"), F.col("value").alias("content")
-    )
-    return canonicalize(records_from_variant(json_records(payloads), extras), dataset)
+    """A manifest stored as one JSON array, canonicalised; any file name will do."""
+    files = spark.range(1).select(F.lit(path).alias("path"))
+    return canonicalize(json_records(_named(file_contents(spark, files, path.rsplit("/", 1)[0])), extras), dataset)
 
 
-def legacy_payloads(
-    spark: SparkSession, root: str, speaker: str | None = None, pattern: str = "*.json"
-) -> DataFrame:
+def _named(read: DataFrame) -> DataFrame:
+    return read.select(basename("path").alias("source_manifest"), F.col("content").cast("string").alias("content"))
+
+
+def legacy_payloads(spark: SparkSession, root: str, speaker: str | None = None) -> DataFrame:
     """``(source_manifest, content)`` of the legacy files, skipping hidden and combined ones."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(f"{root}/filelists")
-    named = files.select(F.col("_metadata.file_name").alias("source_manifest"), F.col("value").alias("content"))
-    return keep_legacy_names(named, speaker)
+    folder = f"{root}/filelists"
+    files = list_files(spark, folder, recursive=False).withColumn("source_manifest", basename("path"))
+    return _named(file_contents(spark, keep_legacy_names(files, speaker).select("path"), folder))
 
 
 def keep_legacy_names(named: DataFrame, speaker: str | None = None) -> DataFrame:
     name = F.col("source_manifest")
-    kept = named.filter(~name.startswith(".") & ~F.lower(name).startswith("all_speakers"))
+    kept = named.filter(name.endswith(".json") & ~name.startswith(".") & ~F.lower(name).startswith("all_speakers"))
     return kept if speaker is None else kept.filter(name == f"{speaker}.json")
 
 
@@ -74,11 +54,32 @@ def read_legacy_manifests(
     dataset: str,
     speaker: str | None = None,
     extras: list[str] | None = None,
-    pattern: str = "*.json",
 ) -> DataFrame:
     """All legacy per-speaker files of a dataset, canonicalised."""
-    records = json_records(legacy_payloads(spark, root, speaker, pattern))
-    return canonicalize(records_from_variant(records, extras), dataset)
+    return canonicalize(json_records(legacy_payloads(spark, root, speaker), extras), dataset)
+
+
+def load_dataset(
+    spark: SparkSession,
+    root: str,
+    dataset: str | None = None,
+    speaker: str | None = None,
+    manifest_name: str = MANIFEST_NAME,
+    extras: list[str] | None = None,
+) -> DataFrame:
+    """The canonical manifest if there is one (Parquet, or JSON by its suffix), else the legacy files.
+
+    With ``speaker``, a canonical manifest is filtered by its column and legacy files by their name.
+    """
+    name = dataset or root.rstrip("/").rsplit("/", 1)[-1]
+    path = f"{root}/{manifest_name}"
+    if not _exists(spark, path):
+        return read_legacy_manifests(spark, root, name, speaker, extras)
+    if manifest_name.lower().endswith(".json"):
+        df = read_manifest_json(spark, path, root.rstrip("/").rsplit("/", 1)[-1], extras)
+    else:
+        df = read_manifest(spark, root, manifest_name, file_order=speaker is None)
+    return df if speaker is None else filter_speaker(df, speaker)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -92,10 +93,11 @@ def write_manifest(df: DataFrame, root: str, force: bool = False, manifest_name:
     target = f"{root}/{manifest_name}"
     if _exists(spark, target) and not force:
         return False, f"skip existing manifest: {target}"
-    if df.isEmpty():
+    df = cut_lineage(order_columns(with_missing_columns(df)))
+    rows = df.count()
+    if not rows:
         return False, f"skip empty manifest: {root}"
-    order_columns(with_missing_columns(df)).write.mode("overwrite").parquet(target)
-    rows = spark.read.parquet(target).count()
+    df.write.mode("overwrite").parquet(target)
     return True, f"wrote {rows} rows -> {target}"
 
 
@@ -105,7 +107,6 @@ def build_manifests(
     only: list[str] | None = None,
     force: bool = False,
     extras: list[str] | None = None,
-    pattern: str = "*.json",
 ) -> list[str]:
     """Build the canonical manifest of every registered dataset; one status line each.
 
@@ -124,6 +125,6 @@ def build_manifests(
             status = f"skip no filelists: {root}"
         else:
             name = entry.get("name") or root.rstrip("/").rsplit("/", 1)[-1] or entry["key"]
-            status = write_manifest(read_legacy_manifests(spark, root, name, extras=extras, pattern=pattern), root, force)[1]
+            status = write_manifest(read_legacy_manifests(spark, root, name, extras=extras), root, force)[1]
         lines.append(f"[{entry['key']}] {status}")
     return lines

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from timbre.functions.expr import blank_to_null, strip
+from timbre.functions.expr import blank_to_null, float_text, strip
 from timbre.functions.metrics import fidelity_row, generation_row
 from timbre.schema import FIDELITY_METRICS, GENERATION_METRICS, TIMINGS, ddl_fields
 
@@ -78,20 +78,11 @@ def write_sample_metrics(df: DataFrame, path: str, kind: str = "generation", mod
     """Fixed-column CSV with a header; quotes are doubled and infinities written as ``inf``."""
     shaped = generation_row(df) if kind == "generation" else fidelity_row(df)
     fields = ddl_fields(GENERATION_METRICS if kind == "generation" else FIDELITY_METRICS)
-    text = {n: number_text(F.col(n)) for n, t in fields if t == "DOUBLE"}
+    text = {n: float_text(n) for n, t in fields if t == "DOUBLE"}
     text |= {n: F.initcap(F.col(n).cast("string")) for n, t in fields if t == "BOOLEAN"}
     shaped.withColumns(text).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
-def number_text(value: Column) -> Column:
-    return (
-        F.when(F.isnan(value), "nan")
-        .when(value == float("inf"), "inf")
-        .when(value == float("-inf"), "-inf")
-        .otherwise(value.cast("string"))
-    )
-
-
 def read_run_summaries(
     spark: SparkSession, paths: str | list[str], schema: str | None = None, multi_line: bool = True
 ) -> DataFrame:

@@ -217,7 +217,8 @@ def brute_force(values, resamples, level, seed):
 
 
 @pytest.mark.parametrize("bucket_values", [20_000, 50])
-def test_interval_agrees_with_brute_force(spark, bucket_values):
+def test_interval_agrees_with_brute_force(spark, monkeypatch, bucket_values):
+    monkeypatch.setattr(b, "_LEAF_VALUES", 40)
     values = np.random.default_rng(3).gamma(2.0, 1.0, 800)
     df = spark.createDataFrame([("g", float(v)) for v in values] + [("tiny", 1.0)], "model string, x double")
     got = {x["model"]: x for x in b.bootstrap_ci(df, ["model"], ["x"], b.BootstrapConfig(2000, 0.9, 5), bucket_values).collect()}
@@ -227,11 +228,12 @@ def test_interval_agrees_with_brute_force(spark, bucket_values):
     assert got["tiny"]["lower"] is None and got["tiny"]["avg"] is None and got["tiny"]["n"] == 1
 
 
-def test_large_groups_draw_exactly_n(spark):
+def test_large_groups_draw_exactly_n(spark, monkeypatch):
     rows = [("a", float(v % 97)) for v in range(1000)] + [("b", float(v)) for v in range(40)]
     values = spark.createDataFrame(rows, "model string, value double")
+    monkeypatch.setattr(b, "_LEAF_VALUES", 4)
     counted, stats = b.count_values(values, ["model"], 9)
-    placed = counted.join(stats.select("model", "_buckets"), "model")
+    placed = counted.join(stats.select("model", "_depth", "_leaf"), "model").withColumn("_hash", F.xxhash64("value"))
     sums = b.large_group_sums(placed, ["model"], b.BootstrapConfig(30, seed=2)).collect()
     assert len(sums) == 60 and {x["weight"] for x in sums if x["model"] == "a"} == {1000}
     assert {x["weight"] for x in sums if x["model"] == "b"} == {40}
@@ -239,6 +241,22 @@ def test_large_groups_draw_exactly_n(spark):
     assert abs(means.mean() - 19.5) < 1.5 and means.std() > 0.5
 
 
+@pytest.mark.parametrize("leaf", [256, 8])
+def test_draws_depend_on_the_seed_alone(spark, monkeypatch, leaf):
+    monkeypatch.setattr(b, "_LEAF_VALUES", leaf)
+    values = np.random.default_rng(3).gamma(2.0, 1.0, 700).round(2)
+    df = spark.createDataFrame([("g", float(v)) for v in values] + [("h", float(i % 3)) for i in range(50)], "model string, x double")
+    config = b.BootstrapConfig(300, 0.9, 5)
+    bounds = {}
+    for tuning, parts in ((20_000, 1), (20_000, 7), (300, 3), (50, 2), (7, 5), (1, 4)):
+        for r in b.bootstrap_ci(df.repartition(parts), ["model"], ["x"], config, tuning).collect():
+            bounds.setdefault(r["model"], []).append([r["lower"], r["upper"], r["std"]])
+    for found in bounds.values():
+        assert len(found) == 6 and np.allclose(found, found[0], rtol=1e-12, atol=0)
+    other = b.bootstrap_ci(df, ["model"], ["x"], b.BootstrapConfig(300, 0.9, 6)).filter("model = 'g'").first()
+    assert other["lower"] != bounds["g"][0][0]
+
+
 def test_repeated_values_and_seeds(spark):
     df = spark.createDataFrame([("g", float(i % 2)) for i in range(5000)], "model string, x double")
     config = b.BootstrapConfig(400, 0.95, 8)

@@ -1,16 +1,16 @@
 """Bootstrap confidence intervals of metric means.
 
 The resampled means depend only on how often each value occurs, so values are counted first
-(with map-side combine) and every later step works on distinct values:
-
-* a group whose distinct values fit one task is resampled there and returns its interval;
-* a larger group is cut into buckets of bounded size. How many of the n draws of a resample fall
-  into a bucket is settled by halving: from the root, every node of a binary tree over the buckets
-  splits its draws between its two halves by a binomial draw whose generator is keyed by the node.
-  Each bucket walks its own path and so agrees with all others without exchanging anything; the
-  partial sums are then added up per resample.
-
-Both ways draw n out of n with replacement. Results depend on the seed alone, not on partitions.
+(with map-side combine) and every later step works on distinct values. The n draws of a resample
+are dealt down a binary tree over the bits of the values' hashes: every node splits its draws
+between its two halves by a binomial draw whose generator is keyed by the node, until a node holds
+one value, or, from a level on that follows from the group's distinct values, few rows, which are
+then drawn by number. That is the n-out-of-n scheme with replacement.
+
+A group whose distinct values fit one task walks the whole tree there. A larger group is cut into
+buckets, the nodes of one level; each bucket walks its own path from the root and so agrees with all
+others without exchanging anything, and the partial sums are added up per resample. The draws are
+those of the tree in both cases, so neither ``bucket_values`` nor partitions change them.
 """
 
 from __future__ import annotations
@@ -30,9 +30,12 @@ DEFAULT_RESAMPLES = 1000
 DEFAULT_LEVEL = 0.95
 # -----------------------------------------------------------------------------
 
+#: Distinct values that one task walks, about; it changes the work's division only.
 _BUCKET_VALUES = 20_000
-_EXPAND_LIMIT = 200_000
-_CHUNK_DRAWS = 4_000_000
+_HASH_BITS = 64
+#: Distinct values of a leaf, about, and how often they may repeat there to be drawn row by row.
+_LEAF_VALUES, _ROWS_PER_VALUE = 256, 16
+_DRAWS_AT_ONCE = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -66,32 +69,62 @@ def finite_values(df: DataFrame, by: list[str], metrics: list[str]) -> DataFrame
     return long.filter(value.isNotNull() & ~F.isnan(value) & ~value.isin(float("inf"), float("-inf")))
 
 
-def _draw(values: np.ndarray, counts: np.ndarray, draws: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Sum of ``draws[b]`` values drawn with replacement, for every resample b."""
-    total = int(counts.sum())
-    if total > _EXPAND_LIMIT or values.size * 16 < total:
-        share = counts / total
-        return np.array([rng.multinomial(int(m), share) @ values for m in draws])
-    rows = np.repeat(values, counts)
+def _index_sums(rows: np.ndarray, draws: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Sum of ``draws[b]`` rows drawn with replacement, for every resample b."""
     sums, start = np.zeros(draws.size), 0
     while start < draws.size:
         ends = np.cumsum(draws[start:])
-        stop = start + max(int(np.searchsorted(ends, _CHUNK_DRAWS, side="right")), 1)
+        stop = start + max(int(np.searchsorted(ends, _DRAWS_AT_ONCE, side="right")), 1)
         part = draws[start:stop]
         drawn = rows[rng.integers(0, rows.size, int(part.sum()))]
         filled = part > 0
         if filled.any():
-            firsts = (np.cumsum(part) - part)[filled]
-            sums[start:stop][filled] = np.add.reduceat(drawn, firsts)
+            sums[start:stop][filled] = np.add.reduceat(drawn, (np.cumsum(part) - part)[filled])
         start = stop
     return sums
 
 
+def _walk(
+    values: np.ndarray, hashes: np.ndarray, counts: np.ndarray, draws: np.ndarray, leaf: int, seed: int, group: tuple
+) -> np.ndarray:
+    """Sum of the values drawn in every resample, below the node that holds ``values``.
+
+    ``hashes`` ascend; ``draws`` are the node's draws. Nodes of level ``leaf`` whose values hardly
+    repeat draw their rows by number.
+    """
+    before = np.concatenate([[0], np.cumsum(counts)])
+    sums = np.zeros(draws.size)
+    open_nodes = [(0, values.size, draws)]
+    while open_nodes:
+        low, high, here = open_nodes.pop()
+        if high - low == 1:
+            sums += here * values[low]
+            continue
+        last = int(hashes[high - 1])
+        differing = (int(hashes[low]) ^ last).bit_length()
+        total = before[high] - before[low]
+        if not differing or (_HASH_BITS - differing >= leaf and total <= _ROWS_PER_VALUE * (high - low)):
+            rng = _generator(seed, (*group, "rows", _HASH_BITS - differing, last >> differing))
+            sums += _index_sums(np.repeat(values[low:high], counts[low:high]), here, rng)
+            continue
+        first_right = np.uint64(last >> (differing - 1) << (differing - 1))
+        middle = low + int(np.searchsorted(hashes[low:high], first_right))
+        rng = _generator(seed, (*group, _HASH_BITS - differing, last >> differing))
+        left = rng.binomial(here, (before[middle] - before[low]) / total)
+        open_nodes += [(middle, high, here - left), (low, middle, left)]
+    return sums
+
+
 def count_values(values: DataFrame, by: list[str], bucket_values: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct values with their counts, and per group its size, mean and bucket number."""
+    """Distinct values with their counts, and per group its size, mean and the level of its buckets."""
+
+    def level(size: int) -> Column:
+        return F.greatest(F.lit(0), F.ceil(F.log2(F.count(F.lit(1)) / F.lit(size)) - F.lit(1e-9))).cast("int")
+
     counted = values.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("_count"))
     stats = counted.groupBy(*by).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(bucket_values)).cast("int").alias("_buckets"),
+        F.least(level(bucket_values), level(_LEAF_VALUES)).alias("_depth"),
+        level(_LEAF_VALUES).alias("_leaf"),
         F.sum("_count").alias("n"),
         (F.sum(F.col("value") * F.col("_count")) / F.sum("_count")).alias("avg"),
     )
@@ -105,9 +138,11 @@ def _generator(seed: int, key: tuple) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(key=np.frombuffer(digest, dtype=np.uint64)))
 
 
-def _ordered(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = pdf.sort_values("value")
-    return rows["value"].to_numpy(np.float64), rows["_count"].to_numpy(np.int64)
+def _ordered(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, hashes and counts by ascending (unsigned) hash."""
+    hashes = pdf["_hash"].to_numpy(np.int64).view(np.uint64)
+    order = np.lexsort((pdf["value"].to_numpy(np.float64), hashes))
+    return pdf["value"].to_numpy(np.float64)[order], hashes[order], pdf["_count"].to_numpy(np.int64)[order]
 
 
 def _key_ddl(df: DataFrame, by: list[str]) -> str:
@@ -123,10 +158,10 @@ def small_group_bounds(placed: DataFrame, by: list[str], config: BootstrapConfig
     tail = 0.5 * (1.0 - config.confidence_level)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        observed, counts = _ordered(pdf)
+        values, hashes, counts = _ordered(pdf)
         size = int(counts.sum())
         draws = np.full(resamples, size, dtype=np.int64)
-        means = _draw(observed, counts, draws, _generator(seed, key)) / size
+        means = _walk(values, hashes, counts, draws, int(pdf["_leaf"].iloc[0]), seed, key) / size
         lower, upper = np.quantile(means, [tail, 1.0 - tail])
         std = means.std(ddof=1) if resamples > 1 else 0.0
         return pd.DataFrame([[*key, lower, upper, std]], columns=[*by, "lower", "upper", "std"])
@@ -171,23 +206,18 @@ def large_group_sums(placed: DataFrame, by: list[str], config: BootstrapConfig)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         *group, bucket = key
-        observed, counts = _ordered(pdf)
+        values, hashes, counts = _ordered(pdf)
         path = np.asarray(pdf["_path"].iloc[0], dtype=np.int64)
         draws = _bucket_draws(path, int(bucket), resamples, seed, tuple(group))
-        sums = _draw(observed, counts, draws, _generator(seed, (*group, "values", bucket)))
+        sums = _walk(values, hashes, counts, draws, int(pdf["_leaf"].iloc[0]), seed, tuple(group))
         out = pd.DataFrame({"resample": np.arange(resamples), "total": sums, "weight": draws})
         for c, part in reversed(list(zip(by, group))):
             out.insert(0, c, part)
         return out
 
-    bucketed = placed.withColumns(
-        {
-            "_bucket": F.pmod(F.xxhash64("value"), F.col("_buckets")).cast("int"),
-            "_depth": F.ceil(F.log2(F.col("_buckets").cast("double")) - F.lit(1e-9)).cast("int"),
-        }
-    )
+    bucketed = placed.withColumn("_bucket", F.expr(f"shiftrightunsigned(_hash, {_HASH_BITS} - _depth)"))
     paths = _path_sizes(bucketed, by)
-    walked = bucketed.select(*by, "_bucket", "value", "_count").join(paths, [*by, "_bucket"])
+    walked = bucketed.select(*by, "_bucket", "_leaf", "value", "_hash", "_count").join(paths, [*by, "_bucket"])
     ddl = f"{_key_ddl(placed, by)}, resample int, total double, weight bigint"
     parts = spread(walked, *by, "_bucket").groupBy(*by, "_bucket").applyInPandas(run, ddl)
     return parts.groupBy(*by, "resample").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
@@ -217,9 +247,9 @@ def bootstrap_ci(
     A metric with fewer than two finite values has NULL bounds."""
     keys = [*by, "metric"]
     counted, stats = count_values(finite_values(df, by, metrics), keys, bucket_values)
-    placed = counted.join(stats.filter("n > 1").select(*keys, "_buckets"), keys)
-    small = small_group_bounds(placed.filter("_buckets = 1").drop("_buckets"), keys, config)
-    means = large_group_sums(placed.filter("_buckets > 1"), keys, config).select(
+    placed = counted.join(stats.filter("n > 1").select(*keys, "_depth", "_leaf"), keys).withColumn("_hash", F.xxhash64("value"))
+    small = small_group_bounds(placed.filter("_depth = 0").drop("_depth"), keys, config)
+    means = large_group_sums(placed.filter("_depth > 0"), keys, config).select(
         *keys, (F.col("total") / F.col("weight")).alias("_mean")
     )
     large = interval(means, keys, "_mean", config).select(*keys, "lower", "upper", "std")

@@ -58,7 +58,7 @@ def _prefix_files(wishes: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def resolve_generated(
-    samples: DataFrame, inventory: DataFrame, held: DataFrame | None = None, keep: str = "first", max_rounds: int = 10_000
+    samples: DataFrame, inventory: DataFrame, held: DataFrame | None = None, keep: str = "first"
 ) -> DataFrame:
     """``(index, path, rank)`` of the samples that get a file.
 
@@ -86,7 +86,7 @@ def resolve_generated(
     closed = cut_lineage(closed)
     taken = closed.select("place", "index", F.lit(0).alias("rank")).limit(0)
 
-    for _ in range(max_rounds):
+    while True:  # a round without a proposal comes, as every round closes places or advances samples
         proposals = cut_lineage(_proposals(wishes, exact, edges, closed, taken))
         if proposals.isEmpty():
             break

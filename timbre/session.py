@@ -18,6 +18,8 @@ def build_session(app_name: str = "timbre", master: str | None = None, **conf: s
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # checkpoints go once nothing refers to them
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # call-site capture costs several driver round trips per column expression
         "spark.python.sql.dataFrameDebugging.enabled": "false",

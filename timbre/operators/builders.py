@@ -127,9 +127,10 @@ def compression_set(
 
 
 def noisy_clean_pairs(
-    noisy: DataFrame, clean: DataFrame, n: int = 20, order: str = "utterance"
+    noisy: DataFrame, clean: DataFrame, n: int = 20, clean_only: int = 10, order: str = "utterance"
 ) -> DataFrame:
-    """Noisy/clean pairs of one utterance key, at most ``n`` per speaker and environment.
+    """At most ``n`` noisy/clean pairs of one utterance key per speaker, over all environments, and
+    ``clean_only`` clean items of utterances without a noisy take (environment and noisy path NULL).
 
     ``noisy``: ``speaker``, ``utterance``, ``environment``, ``path``; ``clean``: ``speaker``,
     ``utterance``, ``path``.
@@ -138,8 +139,11 @@ def noisy_clean_pairs(
         F.min_by("path", path_order("path")).alias("clean_path")
     )
     pairs = noisy.withColumnRenamed("path", "noisy_path").join(references, ["speaker", "utterance"])
-    keys = top_n(pairs, ["speaker", "environment"], [order, path_order("noisy_path")], n)
-    return keys.select("speaker", "environment", "utterance", "noisy_path", "clean_path", "rank")
+    paired = top_n(pairs, ["speaker"], [order, "environment", path_order("noisy_path")], n)
+    alone = references.join(noisy.select("speaker", "utterance"), ["speaker", "utterance"], "left_anti")
+    single = top_n(alone, ["speaker"], [order], clean_only)
+    columns = ["speaker", "environment", "utterance", "noisy_path", "clean_path", "rank"]
+    return paired.select(*columns).unionByName(single, allowMissingColumns=True).select(*columns)
 
 
 def cross_emotion_pairs(df: DataFrame, speaker: str, emotion: str, key: str) -> DataFrame:
@@ -205,12 +209,21 @@ def bilingual_pairs(
 
 
 def balanced_speakers(
-    speakers: DataFrame, strata: list[str], speaker: str, per_stratum: int, exclude: list | None = None
+    speakers: DataFrame, strata: list[str], speaker: str, per_stratum: int | DataFrame, exclude: list | None = None
 ) -> DataFrame:
-    """A fixed number of speakers per stratum in hash order, without the excluded ones."""
+    """A number of speakers per stratum in hash order, without the excluded ones.
+
+    ``per_stratum`` is one number for all, or a table of the strata columns and ``quota``; a
+    stratum that the table lacks gives no speakers.
+    """
     kept = speakers.filter(~F.col(speaker).isin(exclude)) if exclude else speakers
     hashed = kept.select(*strata, speaker).distinct().withColumn("_h", unit_hash(speaker))
-    return top_n(hashed, strata, [F.col("_h"), F.col(speaker)], per_stratum).drop("_h")
+    order = [F.col("_h"), F.col(speaker)]
+    if isinstance(per_stratum, int):
+        return top_n(hashed, strata, order, per_stratum).drop("_h")
+    # one window over the largest quota, so that groups are still cut before the shuffle
+    most = per_stratum.agg(F.max("quota")).first()[0] or 0
+    return top_n(hashed, strata, order, most).join(per_stratum, strata).filter("rank <= quota").drop("_h", "quota")
 
 
 def pairs_of_speakers(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from timbre.functions.expr import basename, blank_to_null, parent_name, path_order, stem, suffix
+from timbre.functions.expr import basename, blank_to_null, parent_dir, parent_name, path_order, stem, suffix
 from timbre.functions.text import sanitize, speaker_slug
 from timbre.operators.claims import first_by_name, resolve_generated
 from timbre.operators.ordering import positions_by_sort
@@ -47,9 +47,12 @@ def clone_candidates(target_path: Column, prompt_path: Column) -> Column:
 def locate_clone(samples: DataFrame, inventory: DataFrame, key: str = "index") -> DataFrame:
     """Direct clone matches: ``(key, clone_path, priority, speaker_dir_exists)`` for every sample.
 
-    The folder is the slug of the target's parent folder (or the speaker). ``inventory`` lists
-    the generated files with ``parent`` folder and ``name``.
+    The folder is the slug of the target's parent folder (or the speaker), directly below the root
+    of the generated files. ``inventory`` lists them with ``name`` and ``relative_path`` (or, for
+    files that all lie one folder deep, ``parent``).
     """
+    below = parent_dir("relative_path") if "relative_path" in inventory.columns else F.col("parent")
+    inventory = inventory.withColumn("parent", below)
     hint = F.coalesce(blank_to_null(parent_name("target_path")), blank_to_null("speaker_id"))
     wanted = samples.select(
         key,

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from timbre.operators.ordering import positions_by_sort
 from timbre.schema import CLEAN, HEAT_MAX, HEAT_TEXT_FLIP, METRIC_DIRECTIONS, PROTECTIONS
 
 # --- fixed values: dataset columns grouped by what they test ------------------
@@ -22,25 +23,21 @@ def round_half_even(value: Column, scale: int = 0) -> Column:
 
 def leaderboard(df: DataFrame, model: str = "model", score: str = "sim", order: str | None = None) -> DataFrame:
     """Models by descending score with sequential ranks; ties keep the ``order`` column."""
-    ranked = Window.orderBy(F.desc(score), order or model)
-    best = F.max(score).over(Window.partitionBy())
-    return df.withColumns(
-        {
-            "rank": F.row_number().over(ranked).cast("bigint"),
-            "medal": F.row_number().over(ranked) <= 3,
-            "bar": round_half_even(F.col(score) / best * 100, 1),
-        }
+    best = df.agg(F.max(score)).scalar()
+    placed = positions_by_sort(df, [F.desc(score), F.col(order or model)], out="_position")
+    return placed.select(
+        *df.columns,
+        (F.col("_position") + 1).alias("rank"),
+        (F.col("_position") < 3).alias("medal"),
+        round_half_even(F.col(score) / best * 100, 1).alias("bar"),
     )
 
 
 def best_per_column(df: DataFrame, metrics: dict[str, str] = METRIC_DIRECTIONS) -> DataFrame:
     """Flag the best value of every metric; ties are all flagged."""
-    everything = Window.partitionBy()
-    flags = {}
-    for name, direction in metrics.items():
-        best = (F.max if direction == "max" else F.min)(name).over(everything)
-        flags[f"best_{name}"] = F.coalesce(F.col(name) == best, F.lit(False))
-    return df.withColumns(flags)
+    extremes = [(F.max if direction == "max" else F.min)(name).alias(name) for name, direction in metrics.items()]
+    best = df.agg(F.struct(*extremes)).scalar()
+    return df.withColumns({f"best_{name}": F.coalesce(F.col(name) == best[name], F.lit(False)) for name in metrics})
 
 
 def robustness_matrix(df: DataFrame, score: str = "sim", by: str = "model", column: str = "protection") -> DataFrame:
@@ -104,24 +101,32 @@ def heat_scale(value: Column | str) -> dict[str, Column]:
 
 
 def coverage_matrix(
-    runs: DataFrame, dims: dict[str, list[str]] | None = None, keys: tuple[str, ...] = ("model", "dataset", "protection")
+    runs: DataFrame,
+    dims: dict[str, list[str]] | None = None,
+    keys: tuple[str, ...] = ("model", "dataset", "protection"),
+    ran: Column | None = None,
 ) -> DataFrame:
     """Every cell of the experiment grid with its run count and a ``covered`` flag.
 
-    The axes are the configured values, or the distinct ones of the runs; they travel as small
-    arrays and the grid is the report itself.
+    The axes are the configured values, or the distinct ones of the runs; the grid is the report
+    itself, spread by its first axis. ``ran`` tells rows that were run from planned ones.
     """
-    counted = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs"))
-    axes = {
-        k: F.array(*[F.lit(v) for v in dims[k]]) if dims and k in dims
-        else counted.agg(F.array_sort(F.collect_set(k))).scalar()
-        for k in keys
-    }
-    grid = runs.sparkSession.range(1)
-    for k in keys:
-        grid = grid.withColumn(k, F.explode(axes[k]))
-    return grid.drop("id").join(counted, list(keys), "left").select(
-        *keys, F.coalesce("runs", F.lit(0)).cast("bigint").alias("runs"), F.col("runs").isNotNull().alias("covered")
+    counted = runs.groupBy(*keys).agg(F.count_if(F.lit(True) if ran is None else ran).alias("runs"))
+    first, *others = keys
+
+    def axis(key: str) -> Column:
+        if dims and key in dims:
+            return F.array(*[F.lit(v) for v in dims[key]])
+        return counted.agg(F.array_sort(F.collect_set(key))).scalar()
+
+    if dims and first in dims:
+        grid = runs.sparkSession.range(1).select(F.explode(axis(first)).alias(first))
+    else:
+        grid = counted.select(first).filter(F.col(first).isNotNull()).distinct()
+    for key in others:
+        grid = grid.withColumn(key, F.explode(axis(key)))
+    return grid.join(counted, list(keys), "left").select(
+        *keys, F.coalesce("runs", F.lit(0)).cast("bigint").alias("runs"), (F.coalesce("runs", F.lit(0)) > 0).alias("covered")
     )
 
 

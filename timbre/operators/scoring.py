@@ -15,17 +15,15 @@ Loader = Callable[[], Scorer]
 
 
 def _isolated(scorer: Scorer, batch: pd.DataFrame) -> pd.Series:
-    """Whole-batch call; when it fails, rows are tried one by one and failures become NULL."""
+    """Whole-batch call; a batch that fails is halved, down to the rows that fail, which become NULL."""
     try:
         return pd.Series(scorer(batch)).reset_index(drop=True)
     except Exception:
-        values = []
-        for i in range(len(batch)):
-            try:
-                values.append(pd.Series(scorer(batch.iloc[i : i + 1])).iloc[0])
-            except Exception:
-                values.append(None)
-        return pd.Series(values, dtype="object")
+        if len(batch) <= 1:
+            return pd.Series([None] * len(batch), dtype="object")
+        middle = len(batch) // 2
+        halves = [_isolated(scorer, part.reset_index(drop=True)) for part in (batch.iloc[:middle], batch.iloc[middle:])]
+        return pd.concat([half.astype("object") for half in halves], ignore_index=True)
 
 
 def score_pairs(df: DataFrame, scorers: dict[str, tuple[Loader, str]], partitions: int | None = None) -> DataFrame:

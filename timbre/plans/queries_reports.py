@@ -94,6 +94,27 @@ def a6_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SEEDED = b.bootstrap_config({"enabled": True, "num_samples": 1000, "confidence_level": 0.95, "seed": 7})
 
 
+@query(
+    "A7_interval_facts",
+    with_ctes(_MX, """SELECT model, metric, count(v) AS n, round(avg(v), 6) AS avg, 0.95::DOUBLE AS confidence_level, 1000 AS num_resamples,
+      true AS ordered, true AS close_to_normal, true AS spread_fits
+    FROM (SELECT model, unnest(['wer', 'sim']) AS metric, unnest([wer, sim]) AS v FROM metrics) WHERE v IS NOT NULL AND NOT isinf(v) AND NOT isnan(v) GROUP BY ALL"""),
+)
+def a7_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # what SQL can confirm of an interval: its order, and its width against the standard error
+    metrics = fx.metrics(spark, sf_dir)
+    ci = b.bootstrap_ci(metrics, ["model"], ["wer", "sim"], b.BootstrapConfig(1000, 0.95, 7))
+    spread = metrics.groupBy("model").agg(F.struct(F.stddev_samp("wer").alias("wer"), F.stddev_samp("sim").alias("sim")).alias("_s"))
+    error = F.when(F.col("metric") == "wer", F.col("_s.wer")).otherwise(F.col("_s.sim")) / F.sqrt("n")
+    half = (F.col("upper") - F.col("lower")) / 2
+    return ci.join(spread, "model").select(
+        "model", "metric", "n", F.round("avg", 6).alias("avg"), "confidence_level", "num_resamples",
+        F.col("avg").between(F.col("lower"), F.col("upper")).alias("ordered"),
+        half.between(1.96 * error * 0.85, 1.96 * error * 1.15).alias("close_to_normal"),
+        F.col("std").between(error * 0.85, error * 1.15).alias("spread_fits"),
+    )
+
+
 @query("A7_bootstrap_ci")
 def a7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.bootstrap_ci(fx.metrics(spark, sf_dir), ["model"], ["wer", "sim", "mcd", "snr_db", "speechmos_mos"], _SEEDED)
@@ -226,7 +247,8 @@ _MATRIX = "SELECT dataset, " + ", ".join(f"round(avg(CASE WHEN protection = '{p}
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one cell was never evaluated
     run = ~((F.col("dataset") == "ds4") & (F.col("protection") == "ek"))
-    return rounded(r.robustness_matrix(fx.metrics(spark, sf_dir).filter(run), by="dataset"))
+    scored = fx.metrics(spark, sf_dir).withColumn("sim", F.when(run, F.col("sim")))
+    return rounded(r.robustness_matrix(scored, by="dataset"))
 
 
 @query("R3_robustness_matrix", with_ctes(_MX, _MATRIX))
@@ -280,7 +302,7 @@ def r7(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def r8(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = ~((F.col("model") == "click") & (F.col("dataset") == "ds4"))
-    return r.coverage_matrix(fx.metrics(spark, sf_dir).filter(run))
+    return r.coverage_matrix(fx.metrics(spark, sf_dir), ran=run)
 
 
 @query(

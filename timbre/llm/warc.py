@@ -29,6 +29,8 @@ from timbre.session import cut_lineage, scratch_path
 
 #: Compressed bytes after which a new archive is begun; a longer record gets one of its own.
 ARCHIVE_BYTES = 4 << 20
+#: Payload bytes of a writing task, about, so that small inputs make no swarm of tiny archives.
+TASK_BYTES = 16 << 20
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MEMBER, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
@@ -183,6 +185,7 @@ def write_archives(pages: DataFrame, path: str, revisit_from: int = 0, archive_b
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
     # a checkpoint, so that both sides of the join have exchanges of their own and a hot payload can be split
     largest = cut_lineage(rows.filter(F.octet_length("payload") >= revisit_from).groupBy("sha1").agg(F.max("page_id").alias("response")))
+    size = rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
     is_response = F.col("response").isNull() | F.col("page_id").eqNullSafe(F.col("response"))
     joined = rows.join(largest, "sha1", "left").select("page_id", "url", "payload", F.when(~is_response, F.col("response")).alias("refers_to"))
 
@@ -200,7 +203,7 @@ def write_archives(pages: DataFrame, path: str, revisit_from: int = 0, archive_b
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["content"])
 
-    written = joined.mapInArrow(archives, "content binary").select(F.col("content").cast("string").alias("value"))
+    written = joined.coalesce(-(-size // TASK_BYTES) or 1).mapInArrow(archives, "content binary").select(F.col("content").cast("string").alias("value"))
     written.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 

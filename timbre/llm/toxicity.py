@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ SAMPLE_PER_CLASS = 4_096
 FEATURES, SUPPORT = 4_096, 3
 PREFIXES = (4, 5, 6)
 RIDGE, COUNTERFACTUAL_WEIGHT, STEPS = 1e-3, 4.0, 400
-_COUNT_TASKS = 4
+_COUNT_TASKS, _COUNTS_AT_ONCE = 16, 50_000
 _ERRORS, _MARGIN = 1.5, 1.0  # a kept feature has at least this log odds ratio, so many standard errors off
 
 # Identity terms by category, the neutral noun of the category first.
@@ -118,7 +119,8 @@ def labelled_sample(docs: DataFrame, one: DataFrame, per_class: int = SAMPLE_PER
     parts = [one.filter(F.col("toxic") == k).orderBy(*shuffled).limit(per_class) for k in (0, 1)]
     # at most 2 * per_class ids, so the broadcast is bounded
     chosen = F.broadcast(parts[0].unionAll(parts[1]))
-    return docs.select("doc_id", "text").dropDuplicates(["doc_id"]).join(chosen, "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"))
+    joined = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    return joined.select("toxic", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _telling(sample: DataFrame, totals: dict[int, int], size: int) -> list[str]:
@@ -129,8 +131,9 @@ def _telling(sample: DataFrame, totals: dict[int, int], size: int) -> list[str]:
         for frame in frames:
             for toxic, text in zip(frame["toxic"], frame["text"], strict=True):
                 seen[int(toxic)].update(features(words(text)))
-        names = list(seen[0] | seen[1])
-        yield pd.DataFrame({"feature": names, "clean": [seen[0][n] for n in names], "toxic": [seen[1][n] for n in names]})
+        names = chain(seen[0], (n for n in seen[1] if n not in seen[0]))
+        while part := list(islice(names, _COUNTS_AT_ONCE)):
+            yield pd.DataFrame({"feature": part, "clean": [seen[0][n] for n in part], "toxic": [seen[1][n] for n in part]})
 
     counted = sample.coalesce(_COUNT_TASKS).mapInPandas(count, "feature string, clean long, toxic long")
     sums = counted.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))

@@ -1,12 +1,30 @@
-"""Connected components of a link table, by alternating star operations."""
+"""Connected components of a link table.
+
+Links that one task can hold, by their count, are merged in one task. More links go through
+alternating star operations, each round checkpointed; both ways give the same components.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from timbre.session import cut_lineage
 
 
+#: Rows of a checkpoint's file, about: many tiny files cost more than the rows in them.
+FILE_ROWS = 65_536
+#: Links that one task merges: 16 bytes each.
+TASK_LINKS = 1_000_000
+
+
+def parts_for(rows: int) -> int:
+    return -(-rows // FILE_ROWS) or 1
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node of its neighbourhood."""
     both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -22,19 +40,43 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.select(F.col("b").alias("a"), F.col("_least").alias("b")).unionAll(least.select("a", F.col("_least").alias("b")))
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def _merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of all links of a partition."""
+    whole = pd.concat([pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)}), *frames])
+    nodes, number = np.unique(whole.to_numpy(np.int64).ravel(), return_inverse=True)
+    yield pd.DataFrame({"node": nodes, "component": nodes[smallest_labels(number[0::2], number[1::2], len(nodes))]})
+
+
+def smallest_labels(a: np.ndarray, b: np.ndarray, size: int, label: np.ndarray | None = None) -> np.ndarray:
+    """The smallest position that each position reaches through the pairs (a, b)."""
+    label = np.arange(size) if label is None else label
+    while True:
+        left, right = label[a], label[b]
+        open_pairs = left != right
+        if not open_pairs.any():
+            return label
+        a, b, left, right = a[open_pairs], b[open_pairs], left[open_pairs], right[open_pairs]
+        np.minimum.at(label, np.maximum(left, right), np.minimum(left, right))
+        while not np.array_equal(jumped := label[label], label):
+            label = jumped
+
+
+def connected_components(links: DataFrame, about: int | None = None) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b); the component is its smallest node.
 
-    Each round is checkpointed; the rounds end when the links no longer change.
+    ``about`` is a number of rows that the links hardly exceed, by which their files are sized.
     """
     at = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
-    at, before = cut_lineage(at), None
+    at = cut_lineage(at if about is None else at.coalesce(parts_for(about)))
+    if at.count() <= TASK_LINKS:
+        return at.coalesce(1).mapInPandas(_merge, "node long, component long")
+    before = None
     while True:
-        state = at.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == before or state[0] == 0:
+        state = tuple(at.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if state == before:
             break
-        before = tuple(state)
-        at = cut_lineage(_small_star(_large_star(at)).distinct())
+        before = state
+        at = cut_lineage(_small_star(_large_star(at)).distinct().coalesce(parts_for(state[0])))
     return at.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(
         at.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from timbre.llm.components import smallest_labels
+
 #: Fingerprints that call one shard their home, about.
 SHARD_SIZE = 16_384
 #: Most fingerprints that the dealing tree is fitted on, and how many for each shard.
@@ -108,15 +110,7 @@ class _Union:
     def settle(self) -> np.ndarray:
         if self._held:
             a, b = (np.concatenate(x) for x in zip(*self._held, strict=True))
-            while True:
-                left, right = self.label[a], self.label[b]
-                open_pairs = left != right
-                if not open_pairs.any():
-                    break
-                a, b, left, right = a[open_pairs], b[open_pairs], left[open_pairs], right[open_pairs]
-                np.minimum.at(self.label, np.maximum(left, right), np.minimum(left, right))
-                while not np.array_equal(jumped := self.label[self.label], self.label):
-                    self.label = jumped
+            self.label = smallest_labels(a, b, len(self.label), self.label)
             self._held, self._count = [], 0
         return self.label
 

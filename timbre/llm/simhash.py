@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from timbre.llm.components import connected_components
+from timbre.llm.components import connected_components, parts_for
 from timbre.llm.hamming import close_links
 from timbre.session import cut_lineage
 
@@ -57,12 +57,14 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, differing_bits: int = DIFFERING_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id): the component's smallest ``doc_id``, links being transitive."""
     prints = cut_lineage(fingerprints(docs, shingle_words))
-    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = connected_components(close_links(nodes, differing_bits))
+    rows = prints.count()
+    parts = parts_for(rows)
+    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).coalesce(parts))
+    found = connected_components(close_links(nodes, differing_bits), rows)
     named = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     # a checkpoint, so that the join below has an exchange of its own on either side and can split hot fingerprints
-    groups = cut_lineage(named.join(smallest, "component").select("fp", "component_id"))
+    groups = cut_lineage(named.join(smallest, "component").select("fp", "component_id").coalesce(parts))
     return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -35,9 +35,9 @@ SAMPLE_PER_CLASS = 4_096
 #: Features kept, and the documents of a class that a feature must occur in.
 FEATURES, SUPPORT = 4_096, 3
 PREFIXES = (4, 5, 6)
-RIDGE, COUNTERFACTUAL_WEIGHT, STEPS = 1e-3, 4.0, 400
+RIDGE, COUNTERFACTUAL_WEIGHT, STEPS = 2e-4, 4.0, 400
 _COUNT_TASKS, _COUNTS_AT_ONCE = 16, 50_000
-_ERRORS, _MARGIN = 1.5, 1.0  # a kept feature has at least this log odds ratio, so many standard errors off
+_ERRORS, _MARGIN = 2.0, 1.0  # a kept feature has at least this log odds ratio, so many standard errors off
 
 # Identity terms by category, the neutral noun of the category first.
 IDENTITY_TERMS = (

@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
+from timbre.llm import subwords
 from timbre.llm.subwords import Vocabulary, decoded, sample_segmentations, sampled, split_words
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -20,14 +21,14 @@ def vocab():
 def segmentations(vocab, text):
     """All of them with their probabilities, by enumeration."""
     found = [((), 0.0)]
-    for places, _ in (vocab.lattice(w) for w in split_words(text)):
+    for word in split_words(text):
         whole = []
 
-        def walk(at, ids, log, places=places, whole=whole):
-            if at == len(places):
+        def walk(at, ids, log, word=word, whole=whole):
+            if at == len(word):
                 whole.append((ids, log))
             else:
-                for end, i, own in zip(places[at].ends, places[at].ids, places[at].logs, strict=True):
+                for end, i, own in vocab.edges(word, at):
                     walk(end, ids + i, log + own)
 
         walk(0, (), 0.0)
@@ -78,6 +79,16 @@ def test_inclusion_weights_are_unbiased(vocab):
     assert abs(total / draws - truth) < 0.1 * truth
 
 
+def test_neighbours_and_memory_change_nothing(vocab, monkeypatch):
+    texts = [*ODD, "some more words here", "and the end of it"] * 3
+    keys = [b"%d" % n for n in range(len(texts))]
+    alone = [sample_segmentations(vocab, t, k) for t, k in zip(texts, keys, strict=True)]
+    assert list(subwords.sample_texts(vocab, texts, keys, 4)) == alone
+    monkeypatch.setattr(subwords, "_CHARACTERS", 30)
+    monkeypatch.setattr(subwords, "_REMEMBERED", 2)
+    assert list(subwords.sample_texts(Vocabulary(PATH), texts[::-1], keys[::-1], 4))[::-1] == alone
+
+
 def test_table(spark, vocab):
     rows = [(n, 0, t, "x", 1) for n, t in enumerate(ODD)] + [(50, 0, None, "x", 1), (0, 1, "same row", "x", 1), (0, 1, "same row", "x", 1), (None, None, "no key", "x", 1)]
     frame = spark.createDataFrame(rows, DDL)

@@ -10,7 +10,10 @@ its beginning. So segmentations come out in the order of their perturbed log pro
 sample without replacement, with the chance of inclusion given the first one that was left out.
 
 Text is cut into words (a word begins at its space mark), whose lattices are remembered; masses
-multiply over words. The random numbers of a row are seeded by its key alone.
+multiply over words. The searches of many texts go on side by side: in each round every text takes
+its best region, and the new paths of all texts are drawn and cut together in arrays. A random
+number is a hash of the row's key, the round and the place in the text, so neither batches nor
+retries change a row's samples.
 
 Defined results: null and empty texts have one segmentation, the empty one; texts with fewer
 segmentations than asked for give them all, with inclusion 1; rows repeating a key and text give
@@ -22,12 +25,10 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
+from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
 from heapq import heappop, heappush
 from itertools import count
-from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -38,19 +39,22 @@ SAMPLES = 4
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
 _LONGEST_WORD = 64
-#: Words whose lattices a Python worker remembers.
-_REMEMBERED = 60_000
+#: Words whose lattices a Python worker remembers, and characters that are searched side by side.
+_REMEMBERED, _CHARACTERS = 150_000, 200_000
+#: Words up to this size have masses that floats hold; longer ones are summed in logarithms.
+_PLAIN_SIZE = 16
+_MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_DRAW, _PERTURB = np.uint64(0), np.uint64(1)
 
 
-@dataclass
-class Place:
-    """Edges from one place of a word: ends, ids, log probabilities, and their shares of the mass."""
-
-    ends: list[int]
-    ids: list[tuple[int, ...]]
-    logs: list[float]
-    shares: list[float]
-    upto: list[float]
+def _uniform(seeds: np.ndarray, round_no: int, use: np.uint64, places: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) that depend on the arguments alone (the finaliser of SplitMix64 over a counter)."""
+    x = seeds + _MIX[0] * ((np.uint64(2 * round_no) + use << np.uint64(40)) + places.astype(np.uint64) + np.uint64(1))
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+        x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+        x = x ^ (x >> np.uint64(31))
+    return ((x >> np.uint64(12)).astype(float) + 0.5) * 2.0**-52
 
 
 class Vocabulary:
@@ -60,7 +64,8 @@ class Vocabulary:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.pieces: dict[str, tuple[int, float]] = {}
+        #: beginnings of pieces; a whole piece has (ids, log probability), else None
+        self.begun: dict[str, tuple[tuple[int], float] | None] = {}
         self.bytes: dict[int, int] = {}
         self.names: list[str | int] = []  # a byte as its number
         size = model.get_piece_size()
@@ -73,46 +78,89 @@ class Vocabulary:
                 self.names.append("")
             else:
                 self.names.append(piece)
-                self.pieces[piece] = (i, -math.log(2.0 + min(size, -model.get_score(i))))
+                self.begun[piece] = ((i,), -math.log(2.0 + min(size, -model.get_score(i))))
+                for n in range(1, len(piece)):
+                    self.begun.setdefault(piece[:n])
         self._byte_log = -math.log(2.0 + size)
-        self.longest = max(map(len, self.pieces))
-        self._words: dict[str, tuple[list[Place], list[float]]] = {}
-
-    def lattice(self, word: str) -> tuple[list[Place], list[float]]:
-        """Edges from every place of a word, and the log mass from every place to its end."""
-        found = self._words.get(word)
-        if found is None:
-            size = len(word)
-            places: list[Place] = [None] * size  # type: ignore[list-item]
-            mass = [0.0] * (size + 1)
-            for at in range(size - 1, -1, -1):
-                ends, ids, logs = [], [], []
-                for end in range(at + 1, min(size, at + self.longest) + 1):
-                    piece = self.pieces.get(word[at:end])
-                    if piece:
-                        ends.append(end)
-                        ids.append((piece[0],))
-                        logs.append(piece[1])
-                if not ends or ends[0] != at + 1:
-                    spelled = tuple(self.bytes[b] for b in word[at].encode())
-                    ends.insert(0, at + 1)
-                    ids.insert(0, spelled)
-                    logs.insert(0, self._byte_log * len(spelled))
-                whole = [a + mass[e] for a, e in zip(logs, ends, strict=True)]
-                top = max(whole)
-                parts = [math.exp(w - top) for w in whole]
-                total = sum(parts)
-                mass[at] = top + math.log(total)
-                shares, upto, run = [p / total for p in parts], [], 0.0
-                for share in shares:
-                    run += share
-                    upto.append(run)
-                places[at] = Place(ends, ids, logs, shares, upto)
-            if len(self._words) >= _REMEMBERED:
-                self._words.clear()
-            found = self._words[word] = (places, mass)
+        self.forget()
+
+    def forget(self) -> None:
+        """Begin anew with an empty memory of words."""
+        self.words: dict[str, int] = {}  # first node; node k belongs to the word's k-th character
+        self.edge_ids: list[tuple[int, ...]] = []
+        self._first, self._end = array("q"), array("q")  # of a node: its first edge; of an edge: its node, -1 behind the word
+        self._mass, self._log, self._upto, self._rest = (array("d") for _ in range(4))
+        self._first.append(0)
+
+    def edges(self, text: str, at: int) -> list[tuple[int, tuple[int, ...], float]]:
+        """(end, ids, log probability) of the pieces at a place; one character always has an edge."""
+        found, begun = [], self.begun
+        for end in range(at + 1, len(text) + 1):
+            part = text[at:end]
+            if part not in begun:  # no piece begins like this
+                break
+            piece = begun[part]
+            if piece:
+                found.append((end, *piece))
+        if not found or found[0][0] != at + 1:
+            spelled = tuple(self.bytes[b] for b in text[at].encode())
+            found.insert(0, (at + 1, spelled, self._byte_log * len(spelled)))
         return found
 
+    def node(self, word: str) -> int:
+        """First node of a word, whose lattice is added if it isn't there."""
+        begin = self.words.get(word)
+        if begin is not None:
+            return begin
+        size, begin = len(word), len(self._mass)
+        edges = [self.edges(word, at) for at in range(size)]
+        plain = size <= _PLAIN_SIZE and word.isprintable()
+        mass, shares = (self._masses if plain else self._log_masses)(edges)
+        for at in range(size):
+            own, total = shares[at], 0.0
+            behind = [0.0]
+            for share in own[:0:-1]:
+                behind.append(behind[-1] + share)
+            for (end, ids, log), share, after in zip(edges[at], own, reversed(behind), strict=True):
+                self._rest.append(total + after)
+                total += share
+                self.edge_ids.append(ids)
+                self._end.append(begin + end if end < size else -1)
+                self._log.append(log)
+                self._upto.append(total)
+            self._mass.append(mass[at])
+            self._first.append(len(self._log))
+        self.words[word] = begin
+        return begin
+
+    @staticmethod
+    def _masses(edges: list) -> tuple[list[float], list[list[float]]]:
+        """Log mass from each place to the end, and each edge's share of it."""
+        mass, shares = [0.0] * len(edges) + [1.0], [[]] * len(edges)
+        for at in range(len(edges) - 1, -1, -1):
+            parts = [math.exp(log) * mass[end] for end, _, log in edges[at]]
+            mass[at] = total = sum(parts)
+            shares[at] = [p / total for p in parts]
+        return [math.log(m) for m in mass[:-1]], shares
+
+    @staticmethod
+    def _log_masses(edges: list) -> tuple[list[float], list[list[float]]]:
+        mass, shares = [0.0] * (len(edges) + 1), [[]] * len(edges)
+        for at in range(len(edges) - 1, -1, -1):
+            whole = [log + mass[end] for end, _, log in edges[at]]
+            top = max(whole)
+            parts = [math.exp(w - top) for w in whole]
+            total = sum(parts)
+            mass[at] = top + math.log(total)
+            shares[at] = [p / total for p in parts]
+        return mass[:-1], shares
+
+    def tables(self) -> dict[str, np.ndarray]:
+        """Views of the lattices; they must be gone before a word is added."""
+        names = {"first": (self._first, np.int64), "end": (self._end, np.int64), "mass": (self._mass, float)}
+        names |= {"log": (self._log, float), "upto": (self._upto, float), "rest": (self._rest, float)}
+        return {n: np.frombuffer(a, kind) if len(a) else np.zeros(0, kind) for n, (a, kind) in names.items()}
+
     def decode(self, ids: list[int]) -> str:
         out, spelled = [], bytearray()
         for i in ids:
@@ -150,93 +198,165 @@ def split_words(text: str) -> list[str]:
     return words
 
 
-class _Search:
-    """The search over one text. A node is (word, place); a path is a list of nodes with the edges taken."""
-
-    def __init__(self, vocabulary: Vocabulary, text: str, seed: int) -> None:
-        self.words = [vocabulary.lattice(w) for w in split_words(text)] if text else []
-        self.random = Random(seed).random
-        # log mass of all words from the k-th on
-        self.after = np.append(np.cumsum([m[0] for _, m in self.words][::-1])[::-1], 0.0) if self.words else np.zeros(1)
-
-    def _finish(self, word: int, place: int, ruled_out: frozenset[int]) -> list[tuple[int, int, int]]:
-        """The rest of a path, sampled: (word, place, edge) of each step."""
-        steps = []
-        draw = self.random
-        while word < len(self.words):
-            places, size = self.words[word][0], len(self.words[word][0])
-            while place < size:
-                here = places[place]
-                if ruled_out:
-                    open_edges = [e for e in range(len(here.ends)) if e not in ruled_out]
-                    left = draw() * sum(here.shares[e] for e in open_edges)
-                    for edge in open_edges:
-                        left -= here.shares[edge]
-                        if left < 0:
-                            break
-                    ruled_out = frozenset()
-                elif len(here.ends) == 1:
-                    edge = 0
-                else:
-                    edge = min(bisect_right(here.upto, draw() * here.upto[-1]), len(here.ends) - 1)
-                steps.append((word, place, edge))
-                place = here.ends[edge]
-            word, place = word + 1, 0
-        return steps
-
-    def sample(self, wanted: int) -> list[tuple[list[int], float, float, float]]:
-        """(ids, log probability, perturbed one, inclusion) of up to ``wanted`` segmentations, best first."""
-        total = float(self.after[0])
-        limit = total - math.log(-math.log(self._uniform()))
-        order = count()
-        # (-perturbed, tie, path before the node, log probability of it, node, edges ruled out there)
-        regions = [(-limit, next(order), [], 0.0, (0, 0), frozenset())]
-        found: list[tuple[list[tuple[int, int, int]], float, float]] = []
-        while regions and len(found) < wanted:
-            negative, _, path, log_before, (word, place), ruled_out = heappop(regions)
-            bound = -negative
-            steps = self._finish(word, place, ruled_out)
-            logs = [self.words[w][0][p].logs[e] for w, p, e in steps]
-            found.append((path + steps, log_before + sum(logs), bound))
-            self._cut(regions, order, path, log_before, steps, logs, ruled_out, bound, wanted + 1 - len(found))
-        threshold = -regions[0][0] if regions else -math.inf
+class _Searches:
+    """The searches over several texts. A path is three arrays: words, nodes and the edges taken."""
+
+    def __init__(self, vocabulary: Vocabulary, texts: list[str], keys: list[bytes], wanted: int) -> None:
+        if len(vocabulary.words) > _REMEMBERED:
+            vocabulary.forget()
+        words = [split_words(t) if t else [] for t in texts]
+        sizes = np.array([len(w) for w in words], np.int64)
+        flat = [w for ws in words for w in ws]
+        self.nodes = np.array([vocabulary.node(w) for w in flat], np.int64)
+        self.tables = vocabulary.tables()
+        self.ids = vocabulary.edge_ids
+        self.wanted, self.texts = wanted, len(texts)
+        self.seeds = np.array([xxhash.xxh64_intdigest(k, 42) for k in keys], np.uint64)
+        self.stop = np.cumsum(sizes)  # word after the last one of each text
+        self.start = self.stop - sizes
+        self.text = np.repeat(np.arange(len(texts)), sizes)
+        lengths, mass = np.array([len(w) for w in flat], np.int64), self.tables["mass"][self.nodes] if flat else np.zeros(0)
+        self.place, self.after = np.zeros(len(flat), np.int64), np.zeros(len(flat))
+        self.total = np.zeros(len(texts))
+        for t in range(len(texts)):  # sums within a text only, so that its neighbours don't change a bit of them
+            own = slice(self.start[t], self.stop[t])
+            self.place[own] = np.cumsum(lengths[own]) - lengths[own]
+            behind = np.cumsum(mass[own][::-1])[::-1]
+            self.after[own] = np.append(behind[1:], 0.0)[: sizes[t]]
+            self.total[t] = behind[0] if sizes[t] else 0.0
+        self.order = count()
+        self.found: list[list[tuple[tuple, float, float]]] = [[] for _ in texts]
+        self.regions: list[list[tuple]] = [[] for _ in texts]
+
+    def _places(self, words: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        return self.place[words] + nodes - self.nodes[words]
+
+    def _walk(self, words: np.ndarray, nodes: np.ndarray, round_no: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Draw the edges from each node to the end of its word."""
+        tables, steps = self.tables, []
+        while len(words):
+            edges, last = tables["first"][nodes], tables["first"][nodes + 1] - 1
+            u = _uniform(self.seeds[self.text[words]], round_no, _DRAW, self._places(words, nodes))
+            moving = np.flatnonzero(edges < last)
+            while len(moving):
+                moving = moving[(u[moving] >= tables["upto"][edges[moving]]) & (edges[moving] < last[moving])]
+                edges[moving] += 1
+            steps.append((words, nodes, edges))
+            nodes = tables["end"][edges]
+            on = nodes >= 0
+            words, nodes = words[on], nodes[on]
+        return tuple(np.concatenate(x) for x in zip(*steps, strict=True)) if steps else tuple(np.zeros(0, np.int64) for _ in range(3))
+
+    def _first_edge(self, t: int, word: int, node: int, gone: frozenset[int], round_no: int) -> tuple[int, float]:
+        """An edge that isn't ruled out, and the share of the others."""
+        tables = self.tables
+        open_edges = [e for e in range(tables["first"][node], tables["first"][node + 1]) if e not in gone]
+        first, last = tables["first"][node], tables["first"][node + 1]
+        shares = np.diff(tables["upto"][first:last], prepend=0.0)[[e - first for e in open_edges]]
+        place = self._places(np.array([word]), np.array([node]))
+        left = _uniform(self.seeds[t : t + 1], round_no, _DRAW, place)[0] * shares.sum()
+        k = min(int(np.searchsorted(np.cumsum(shares), left, "right")), len(open_edges) - 1)
+        return open_edges[k], float(np.delete(shares, k).sum())
+
+    def _round(self, round_no: int) -> bool:
+        """Each open text takes its best region; False if there is none."""
+        taken, words, nodes, firsts = {}, [], [], []
+        for t in range(self.texts):
+            if round_no == 0:
+                perturb = _uniform(self.seeds[t : t + 1], 0, _PERTURB, np.array([(1 << 40) - 2]))[0]
+                bound = self.total[t] - math.log(-math.log(perturb))
+                if self.start[t] == self.stop[t]:
+                    self.found[t].append((tuple(np.zeros(0, np.int64) for _ in range(3)), 0.0, bound))
+                    continue
+                taken[t] = (bound, tuple(np.zeros(0, np.int64) for _ in range(3)), 0.0, frozenset(), 0.0)
+                words.append(np.arange(self.start[t], self.stop[t]))
+                nodes.append(self.nodes[self.start[t] : self.stop[t]])
+                continue
+            if not self.regions[t]:
+                continue
+            negative, _, path, at, before, gone = heappop(self.regions[t])
+            word, node = int(path[0][at]), int(path[1][at])
+            edge, rest = self._first_edge(t, word, node, gone, round_no)
+            taken[t] = (-negative, tuple(x[:at] for x in path), before, gone | {edge}, rest)
+            firsts.append((word, node, edge))
+            behind = int(self.tables["end"][edge])
+            if behind >= 0:
+                words.append(np.array([word]))
+                nodes.append(np.array([behind]))
+            words.append(np.arange(word + 1, self.stop[t]))
+            nodes.append(self.nodes[word + 1 : self.stop[t]])
+        if not taken:
+            return False
+        drawn = self._walk(np.concatenate(words), np.concatenate(nodes), round_no)
+        if firsts:
+            drawn = tuple(np.concatenate([np.array(f), d]) for f, d in zip(zip(*firsts, strict=True), drawn, strict=True))
+        order = np.lexsort((drawn[1] - self.nodes[drawn[0]], drawn[0]))
+        drawn = tuple(d[order] for d in drawn)
+        self._cut(taken, drawn, round_no)
+        return True
+
+    def _cut(self, taken: dict[int, tuple], drawn: tuple[np.ndarray, ...], round_no: int) -> None:
+        """Note the new paths, and push what is left of their regions: one region for each step."""
+        words, nodes, edges = drawn
+        tables, text = self.tables, self.text[words]
+        logs, rest = tables["log"][edges], tables["rest"][edges].copy()
+        begin = np.searchsorted(text, list(taken))
+        stop = np.searchsorted(text, list(taken), "right")
+        before, bound = np.zeros(len(words)), np.zeros(len(words))
+        for (t, (own_bound, prefix, log_before, gone, first_rest)), a, b in zip(taken.items(), begin.tolist(), stop.tolist(), strict=True):
+            run = log_before + np.concatenate([[0.0], np.cumsum(logs[a:b])])
+            before[a:b], bound[a:b] = run[:-1], own_bound
+            path = tuple(np.concatenate([p, d[a:b]]) for p, d in zip(prefix, drawn, strict=True))
+            self.found[t].append((path, float(run[-1]), own_bound))
+            if gone:
+                rest[a] = first_rest
+        u = _uniform(self.seeds[text], round_no, _PERTURB, self._places(words, nodes))
+        with np.errstate(divide="ignore"):
+            middle = before + tables["mass"][nodes] + self.after[words] + np.log(rest)
+            perturbed = middle - np.logaddexp(middle - bound, np.log(-np.log(u)))
+        perturbed[rest <= 0] = -np.inf
+        # no region behind the best ones can give a segmentation that is still wanted, or the threshold
+        order = np.lexsort((-perturbed, text))
+        rank = np.arange(len(order)) - np.repeat(begin, stop - begin)
+        best = order[(rank < self.wanted - round_no) & (perturbed[order] > -np.inf)]
+        where = dict(zip(taken, begin.tolist(), strict=True))
+        for k in best.tolist():
+            t = int(text[k])
+            _, prefix, _, gone, _ = taken[t]
+            step = k - where[t]
+            ruled_out = (gone if step == 0 else frozenset()) | {int(edges[k])}
+            heappush(self.regions[t], (-float(perturbed[k]), next(self.order), self.found[t][-1][0], len(prefix[0]) + step, float(before[k]), ruled_out))
+
+    def run(self) -> list[list[tuple[list[int], float, float, float]]]:
+        """For each text (ids, log probability, perturbed one, inclusion), best first."""
+        for round_no in range(self.wanted):
+            if not self._round(round_no):
+                break
         out = []
-        for path, log, bound in found:
-            ids = [i for w, p, e in path for i in self.words[w][0][p].ids[e]]
-            inclusion = -math.expm1(-math.exp(min(700.0, log - threshold))) if regions else 1.0
-            out.append((ids, log, bound, inclusion))
+        for found, regions in zip(self.found, self.regions, strict=True):
+            threshold = -regions[0][0] if regions else -math.inf
+            rows = []
+            for (_, _, edges), log, bound in found:
+                ids = [i for e in edges.tolist() for i in self.ids[e]]
+                rows.append((ids, log, bound, -math.expm1(-math.exp(min(700.0, log - threshold))) if regions else 1.0))
+            out.append(rows)
         return out
 
-    def _uniform(self) -> float:
-        return max(self.random(), 1e-300)
-
-    def _cut(self, regions, order, path, log_before, steps, logs, ruled_out, bound, keep) -> None:
-        """Push what is left of a region without the path: one region for each node behind its beginning."""
-        if not steps:
-            return
-        rest, mass = np.empty(len(steps)), np.empty(len(steps))
-        for k, (word, place, edge) in enumerate(steps):
-            here = self.words[word][0][place]
-            gone = ruled_out | {edge} if k == 0 else {edge}
-            rest[k] = sum(s for e, s in enumerate(here.shares) if e not in gone) if len(here.ends) > 1 else 0.0
-            mass[k] = self.words[word][1][place] + self.after[word + 1]
-        before = log_before + np.concatenate([[0.0], np.cumsum(logs[:-1])])
-        there = np.flatnonzero(rest > 0)
-        if not len(there):
-            return
-        middle = before[there] + mass[there] + np.log(rest[there])
-        draws = np.log(-np.log([self._uniform() for _ in there]))
-        perturbed = middle - np.logaddexp(middle - bound, draws)
-        # no region behind the best ``keep`` can give one of the segmentations that are still wanted
-        for k in np.argsort(-perturbed, kind="stable")[:keep].tolist():
-            at = int(there[k])
-            word, place, edge = steps[at]
-            gone = (ruled_out if at == 0 else frozenset()) | {edge}
-            heappush(regions, (-float(perturbed[k]), next(order), path + steps[:at], float(before[at]), (word, place), gone))
-
 
 def sample_segmentations(vocab: Vocabulary, text: str | None, key: bytes, wanted: int = SAMPLES) -> list[tuple[list[int], float, float, float]]:
-    return _Search(vocab, text or "", xxhash.xxh64_intdigest(key, 42)).sample(wanted)
+    """(ids, log probability, perturbed one, inclusion) of up to ``wanted`` segmentations of one text, best first."""
+    return _Searches(vocab, [text or ""], [key], wanted).run()[0]
+
+
+def sample_texts(vocab: Vocabulary, texts: list[str], keys: list[bytes], wanted: int) -> Iterator[list[tuple[list[int], float, float, float]]]:
+    """``sample_segmentations`` of many texts, a bounded number of characters side by side."""
+    at = 0
+    while at < len(texts):
+        size, end = 0, at
+        while end < len(texts) and (end == at or size + len(texts[end]) <= _CHARACTERS):
+            size, end = size + len(texts[end]), end + 1
+        yield from _Searches(vocab, texts[at:end], keys[at:end], wanted).run()
+        at = end
 
 
 def sampled(rows: DataFrame, keys: list[str], model: str, wanted: int = SAMPLES) -> DataFrame:
@@ -248,10 +368,11 @@ def sampled(rows: DataFrame, keys: list[str], model: str, wanted: int = SAMPLES)
         vocab = vocabulary(model)
         for batch in batches:
             own, out = [], []
-            for k, (text, row_key) in enumerate(zip(batch.column("text").to_pylist(), batch.column("_key").to_pylist(), strict=True)):
-                for n, found in enumerate(sample_segmentations(vocab, text, row_key.encode(), wanted), start=1):
-                    own.append(k)
-                    out.append((n, *found))
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            row_keys = [k.encode() for k in batch.column("_key").to_pylist()]
+            for k, samples in enumerate(sample_texts(vocab, texts, row_keys, wanted)):
+                own += [k] * len(samples)
+                out += [(n, *found) for n, found in enumerate(samples, start=1)]
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = [pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64()]
             taken = [batch.column(c).take(pa.array(own, pa.int64())) for c in keys]

@@ -40,7 +40,7 @@ _OPEN_BELOW = 0.95
 #: Fuller bins, fullest first, that the search tries for one giving bin.
 _TRIED = 64
 #: Words whose ids a Python worker remembers.
-_REMEMBERED = 700_000
+_REMEMBERED = 450_000
 
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED_DDL = PIECES_DDL + ", sequence_id long, offset long, fill long"

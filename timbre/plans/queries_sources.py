@@ -20,13 +20,14 @@ from timbre.sources.filelists import (
     read_raw_filelist,
     write_filelist,
 )
-from timbre.sources.listing import write_files
+from timbre.sources.listing import list_files, write_files
 from timbre.sources.manifests import (
     build_manifests,
     load_dataset,
     read_legacy_manifests,
     read_manifest,
     read_manifest_json,
+    read_manifests_json,
     write_manifest,
 )
 from timbre.sources.results import (
@@ -122,6 +123,23 @@ def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_manifest_json(spark, f"{root}/_pairs.json", fx.DATASET, ["n_chars"])
 
 
+@query("S2_read_manifest_json_all_sources", with_ctes(
+    _M,
+    f"""SELECT {', '.join(c for c in MANIFEST_COLUMNS if c not in ('source_manifest', 'source_row', 'pair_id'))},
+      CASE speaker_id WHEN 'src17' THEN '_' WHEN 'src18' THEN '.' WHEN 'src19' THEN 'ALL_speakers_' ELSE '' END
+        || replace(source_manifest, '.json', '') || '_' || (source_row // {_FILE_ROWS}) || '.json' AS source_manifest,
+      source_row % {_FILE_ROWS} AS source_row,
+      'docs-' || speaker_id || '-' || lpad((source_row % {_FILE_ROWS})::VARCHAR, 6, '0') AS pair_id,
+      n_chars::VARCHAR AS n_chars, CASE WHEN doc_id % 2 = 0 THEN 'True' ELSE 'False' END AS flag, doc_id || '.0' AS whole,
+      doc_id || ' None True' AS mixed, '10000000.0' AS large, '0.0001' AS small
+    FROM manifest""",
+))
+def s2_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a manifest of a bounded block of rows each, whatever its name
+    folder = f"{_json_files(spark, sf_dir)}/filelists"
+    return read_manifests_json(spark, list_files(spark, folder, recursive=False).select("path"), folder, fx.DATASET, _EXTRAS)
+
+
 @query("S3_read_legacy_manifests", _FILE_MANIFEST)
 def s3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_legacy_manifests(spark, _json_files(spark, sf_dir), fx.DATASET, extras=_EXTRAS)

@@ -28,7 +28,14 @@ def read_manifest_json(
 ) -> DataFrame:
     """A manifest stored as one JSON array, canonicalised; any file name will do."""
     files = spark.range(1).select(F.lit(path).alias("path"))
-    return canonicalize(json_records(_named(file_contents(spark, files, path.rsplit("/", 1)[0])), extras), dataset)
+    return read_manifests_json(spark, files, path.rsplit("/", 1)[0], dataset, extras)
+
+
+def read_manifests_json(
+    spark: SparkSession, files: DataFrame, root: str, dataset: str, extras: list[str] | None = None
+) -> DataFrame:
+    """The manifests at the ``path`` of each row of ``files`` below ``root``, each one JSON array, read in tasks."""
+    return canonicalize(json_records(_named(file_contents(spark, files, root)), extras), dataset)
 
 
 def _named(read: DataFrame) -> DataFrame:

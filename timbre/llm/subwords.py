@@ -9,8 +9,9 @@ The best region gives the next segmentation and falls apart into regions, one fo
 its beginning. So segmentations come out in the order of their perturbed log probabilities: a
 sample without replacement, with the chance of inclusion given the first one that was left out.
 
-Text is cut into words (a word begins at its space mark), whose lattices are remembered; masses
-multiply over words. The searches of many texts go on side by side: in each round every text takes
+Text is cut into words (a word begins at its space marks), whose lattices are remembered; masses
+multiply over words. No piece crosses from one word into the next, and a long word is cut again
+only at places that none of its pieces crosses, so no edge is lost. The searches of many texts go on side by side: in each round every text takes
 its best region, and the new paths of all texts are drawn and cut together in arrays. A random
 number is a hash of the row's key, the round and the place in the text, so neither batches nor
 retries change a row's samples.
@@ -38,9 +39,12 @@ from pyspark.sql import DataFrame, functions as F
 SAMPLES = 4
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
+#: Characters from which on a word is cut at the next place that no piece crosses.
 _LONGEST_WORD = 64
 #: Words whose lattices a Python worker remembers, and characters that are searched side by side.
 _REMEMBERED, _CHARACTERS = 150_000, 200_000
+#: Characters of a remembered word, on average at most, and ids of a batch that is returned, about.
+_WORD_SIZE, _IDS = 8, 1_000_000
 #: Words up to this size have masses that floats hold; longer ones are summed in logarithms.
 _PLAIN_SIZE = 16
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -107,6 +111,22 @@ class Vocabulary:
             found.insert(0, (at + 1, spelled, self._byte_log * len(spelled)))
         return found
 
+    def size(self) -> int:
+        """Characters of the words in memory."""
+        return len(self._mass)
+
+    def blocks(self, word: str) -> list[str]:
+        """A long word cut at places that no piece crosses, others as they are."""
+        if len(word) <= _LONGEST_WORD:
+            return [word]
+        found, begin, reach = [], 0, 0
+        for at in range(len(word)):
+            if reach <= at and at - begin >= _LONGEST_WORD:
+                found.append(word[begin:at])
+                begin = at
+            reach = max(reach, self.edges(word, at)[-1][0])
+        return [*found, word[begin:]]
+
     def node(self, word: str) -> int:
         """First node of a word, whose lattice is added if it isn't there."""
         begin = self.words.get(word)
@@ -185,26 +205,17 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def split_words(text: str) -> list[str]:
-    """Words with their space marks; no piece but runs of marks crosses them, and those are not sampled."""
-    marked = MARK + text.replace(" ", MARK)
-    words = []
-    for word in _WORD.findall(marked):
-        # several marks: all but the last are words of their own
-        head = len(word) - len(word.lstrip(MARK))
-        if head > 1:
-            words += [MARK] * (head - 1)
-            word = word[head - 1 :]
-        words += [word[k : k + _LONGEST_WORD] for k in range(0, len(word), _LONGEST_WORD)]
-    return words
+    """Words, each with all of its space marks, and runs of line ends; no piece crosses from one to the next."""
+    return _WORD.findall(MARK + text.replace(" ", MARK))
 
 
 class _Searches:
     """The searches over several texts. A path is three arrays: words, nodes and the edges taken."""
 
     def __init__(self, vocabulary: Vocabulary, texts: list[str], keys: list[bytes], wanted: int) -> None:
-        if len(vocabulary.words) > _REMEMBERED:
+        if len(vocabulary.words) > _REMEMBERED or vocabulary.size() > _REMEMBERED * _WORD_SIZE:
             vocabulary.forget()
-        words = [split_words(t) if t else [] for t in texts]
+        words = [[b for w in split_words(t) for b in vocabulary.blocks(w)] if t else [] for t in texts]
         sizes = np.array([len(w) for w in words], np.int64)
         flat = [w for ws in words for w in ws]
         self.nodes = np.array([vocabulary.node(w) for w in flat], np.int64)
@@ -364,20 +375,28 @@ def sampled(rows: DataFrame, keys: list[str], model: str, wanted: int = SAMPLES)
     key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_key")
     plain = rows.select(*[F.col(k).cast("bigint") for k in keys], F.col("text"), key)
 
+    kinds = [pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64()]
+
+    def part(batch: pa.RecordBatch, own: list[int], out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [[]] * 5
+        taken = [batch.column(c).take(pa.array(own, pa.int64())) for c in keys]
+        arrays = [*taken, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
+        return pa.RecordBatch.from_arrays(arrays, [*keys, "sample", "ids", "logprob", "perturbed", "inclusion"])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
         for batch in batches:
-            own, out = [], []
+            own, out, ids = [], [], 0
             texts = [t or "" for t in batch.column("text").to_pylist()]
             row_keys = [k.encode() for k in batch.column("_key").to_pylist()]
             for k, samples in enumerate(sample_texts(vocab, texts, row_keys, wanted)):
                 own += [k] * len(samples)
                 out += [(n, *found) for n, found in enumerate(samples, start=1)]
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = [pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64()]
-            taken = [batch.column(c).take(pa.array(own, pa.int64())) for c in keys]
-            arrays = [*taken, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, [*keys, "sample", "ids", "logprob", "perturbed", "inclusion"])
+                ids += sum(len(found[0]) for found in samples)
+                if ids > _IDS:
+                    yield part(batch, own, out)
+                    own, out, ids = [], [], 0
+            yield part(batch, own, out)
 
     ddl = ", ".join(f"`{k}` long" for k in keys)
     return plain.mapInArrow(read, f"{ddl}, sample int, ids array<int>, logprob double, perturbed double, inclusion double")

@@ -23,8 +23,8 @@ def test_query(spark, duck, name):
         assert difference(rows, duck_rows(duck, ORACLES[name])) == ""
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+def test_every_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
 
 
 def test_formatted_conversation_of_odd_text(spark):

@@ -7,7 +7,7 @@ from timbre.plans import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["S2_read_manifest_json_all_sources", "M10_stored_manifest_samples_all_speakers", "M10_samples_with_gaps_all_rows"])
+@pytest.mark.parametrize("name", ["S2_read_manifest_json", "M10_stored_manifest_samples", "M10_samples_with_gaps"])
 def test_no_row_is_left_out(spark, name):
     rows = QUERIES[name](spark, SF)
     documents = spark.read.parquet(f"{SF}/documents.parquet")
@@ -17,5 +17,5 @@ def test_no_row_is_left_out(spark, name):
 
 
 def test_gaps_are_gaps(spark):
-    rows = QUERIES["M10_samples_with_gaps_all_rows"](spark, SF)
+    rows = QUERIES["M10_samples_with_gaps"](spark, SF)
     assert rows.filter("source_row % 3 <> 0").isEmpty() and not rows.filter("source_row > index").isEmpty()

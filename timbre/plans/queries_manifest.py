@@ -127,29 +127,16 @@ def _stored_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.zero_shot_samples(read_manifest(spark, root, file_order=True))
 
 
-@query("M10_stored_manifest_samples", with_ctes(_S, "SELECT * EXCLUDE (doc_id) FROM samples WHERE speaker_id <> 'src3'"))
+@query("M10_stored_manifest_samples", with_ctes(_S, "SELECT * EXCLUDE (doc_id) FROM samples"))
 def m10_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored_samples(spark, sf_dir).filter("speaker_id <> 'src3'")
-
-
-@query("M10_stored_manifest_samples_all_speakers", with_ctes(_S, "SELECT * EXCLUDE (doc_id) FROM samples"))
-def m10_stored_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored_samples(spark, sf_dir)
 
 
 @query(
     "M10_samples_with_gaps",
-    with_ctes(_M, """SELECT pair_id, row_number() OVER (ORDER BY source_manifest, source_row) - 1 AS "index" FROM manifest WHERE source_row % 3 <> 1"""),
-)
-def m10_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.zero_shot_samples(fx.manifest(spark, sf_dir).filter("source_row % 3 <> 1")).select("pair_id", "index")
-
-
-@query(
-    "M10_samples_with_gaps_all_rows",
     with_ctes(_M, """SELECT pair_id, source_row * 3 AS source_row, row_number() OVER (ORDER BY source_manifest, source_row) - 1 AS "index" FROM manifest"""),
 )
-def m10_gaps_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def m10_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     spread = fx.manifest(spark, sf_dir).withColumn("source_row", F.col("source_row") * 3)
     return m.zero_shot_samples(spread).select("pair_id", "source_row", "index")
 

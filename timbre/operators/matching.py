@@ -8,6 +8,7 @@ from timbre.functions.expr import basename, blank_to_null, parent_dir, parent_na
 from timbre.functions.text import sanitize, speaker_slug
 from timbre.operators.claims import first_by_name, resolve_generated
 from timbre.operators.ordering import positions_by_sort
+from timbre.session import cut_lineage
 
 # --- fixed values ------------------------------------------------------------
 RUN_FOLDER = r"^\d{8}-\d{6}$"
@@ -116,8 +117,11 @@ def collect_pairs(
         resolved = resolved.join(files, F.col("target_path") == F.col("_gt"), "left")
     else:
         resolved = resolved.withColumn("_gt", F.col("target_path"))
-    usable = resolved.filter(F.col("_gt").isNotNull())
-    direct = locate_clone(usable, inventory)
+    resolved = resolved.withColumn("_ready", F.col("_gt").isNotNull())
+    # matching reads these columns several times, the texts never
+    keys = cut_lineage(resolved.select("index", "speaker_id", "target_path", "prompt_path", "_ready"))
+    usable = keys.filter("_ready").drop("_ready")
+    direct = cut_lineage(locate_clone(usable, inventory))
     found = direct.select("index", "clone_path", F.lit("direct").alias("rule")).filter("clone_path is not null")
     if fallback:
         # a direct hit takes the listed file of its name out of the pool for later samples
@@ -129,12 +133,15 @@ def collect_pairs(
         found = found.unionByName(
             claimed.select("index", F.col("path").alias("clone_path"), F.lit("claimed").alias("rule"))
         )
-    return resolved.join(found, "index", "left").select(
+    # the keys serve a caller that asks for no more of the samples
+    rest = [c for c in samples.columns if c not in keys.columns]
+    whole = keys if not rest else keys.join(resolved.select("index", *rest), "index")
+    return whole.join(found, "index", "left").select(
         *samples.columns,
         "clone_path",
         "rule",
         F.when(F.col("target_path").isNull(), "no_target")
-        .when(F.col("_gt").isNull(), "no_ground_truth")
+        .when(~F.col("_ready"), "no_ground_truth")
         .when(F.col("clone_path").isNull(), "no_clone")
         .otherwise("paired")
         .alias("status"),

@@ -1,14 +1,18 @@
 """Row positions without sending an ordered group to one task.
 
 ``row_number()`` over a hot group (or over the whole table) sorts that group in a
-single task. The two functions here give the same positions in two levels: rows are
+single task. The functions here give the same positions in two levels: rows are
 counted per small bucket, the bucket counts are accumulated, and only the rows of one
 bucket are ever sorted together.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from timbre.session import cut_lineage
 
@@ -98,10 +102,29 @@ def positions_by_sort(df: DataFrame, order: list[Column | str], out: str = "posi
     )
 
 
-def positions_in_group(df: DataFrame, by: str, position: str, out: str) -> DataFrame:
-    """Turn a global position sorted by group first into a position inside the group."""
-    first = df.groupBy(by).agg(F.min(position).alias("_first"))
-    return df.join(first, by).withColumn(out, F.col(position) - F.col("_first")).drop("_first")
+def running_total(df: DataFrame, order: list[Column | str], value: str, out: str = "before") -> DataFrame:
+    """The sum of the integer column ``value`` over all rows that come earlier in ``order``.
+
+    Like :func:`positions_by_sort`, with sums in place of counts: each sorted partition adds up its
+    own rows, one total a partition supplies the offsets. The result reads a checkpoint.
+    """
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = ordered.columns.index(value)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            own = batch.column(at).to_numpy(zero_copy_only=False).astype("int64")
+            inside = total + own.cumsum() - own
+            total += int(own.sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(inside)], [*batch.schema.names, "_inside"])
+
+    schema = StructType([*ordered.schema, StructField("_inside", LongType())])
+    fixed = cut_lineage(ordered.mapInArrow(add_up, schema).withColumn("_part", F.spark_partition_id()))
+    totals = fixed.groupBy("_part").agg(F.sum(value).alias("_total"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = totals.select("_part", (F.sum("_total").over(before) - F.col("_total")).alias("_offset"))
+    return fixed.join(offsets, "_part").withColumn(out, F.col("_inside") + F.col("_offset")).drop("_part", "_inside", "_offset")
 
 
 def top_n(df: DataFrame, by: list[str], order: list[Column | str], n: int, out: str = "rank") -> DataFrame:

@@ -104,10 +104,38 @@ def p4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("index", "clone_path", "status")
 
 
-@query("P4_collect_pairs_with_claims")
+# Samples without a direct hit take, in their order, the first free file of their names; a direct hit
+# closes its file to later samples. The SQL walks them one by one.
+_PAIRED = f"""
+  direct AS MATERIALIZED ({_DIRECT}),
+  listed AS MATERIALIZED (SELECT name, path, row_number() OVER (ORDER BY string_split(path, '/')) AS place
+    FROM (SELECT name, min_by(path, string_split(path, '/')) AS path FROM generated GROUP BY name)),
+  closed AS (SELECT clone_path AS path, min("index") AS holder FROM direct GROUP BY clone_path),
+  asking AS MATERIALIZED (SELECT "index" AS i, row_number() OVER (ORDER BY "index") AS turn, speaker_id AS t,
+      {_STEM.format(p='target_path')} AS b, string_split(target_path, '/')[-2] AS p
+    FROM samples WHERE "index" NOT IN (SELECT "index" FROM direct) AND string_split(target_path, '/')[-2] IN (SELECT parent FROM generated)),
+  wishes AS (SELECT i, unnest(range(0, 6)) AS level,
+      unnest([b || '_cloned', t || '_' || p || '_' || i, t || '_' || b || '_' || i, b || '_' || t || '_' || i, b || '_' || i, t || '_' || i]) AS stem FROM asking),
+  edges AS (SELECT i, level, place, path FROM wishes JOIN listed ON name = stem || '.wav' UNION ALL SELECT i, level + 6, place, path FROM wishes JOIN listed ON starts_with(name, stem)),
+  choices AS MATERIALIZED (SELECT a.i, a.turn, list(e.path ORDER BY level, place) FILTER (holder IS NULL OR holder > a.i) AS paths
+    FROM asking a LEFT JOIN edges e USING (i) LEFT JOIN closed USING (path) GROUP BY a.i, a.turn),
+  walk AS (SELECT 0::BIGINT AS turn, -1::BIGINT AS i, []::VARCHAR[] AS taken, NULL::VARCHAR AS pick
+    UNION ALL SELECT turn, i, CASE WHEN p IS NULL THEN taken ELSE list_append(taken, p) END, p
+      FROM (SELECT c.turn, c.i, walk.taken, list_filter(c.paths, lambda x: NOT list_contains(walk.taken, x))[1] AS p FROM walk JOIN choices c ON c.turn = walk.turn + 1))
+"""
+
+
+@query(
+    "P4_collect_pairs_with_claims",
+    with_ctes(_G, f"""-- claims
+, {_PAIRED} SELECT s."index", coalesce(d.clone_path, w.pick) AS clone_path,
+      CASE WHEN d.clone_path IS NOT NULL THEN 'direct' WHEN w.pick IS NOT NULL THEN 'claimed' END AS rule,
+      CASE WHEN coalesce(d.clone_path, w.pick) IS NULL THEN 'no_clone' ELSE 'paired' END AS status
+    FROM samples s LEFT JOIN direct d USING ("index") LEFT JOIN walk w ON w.i = s."index\"""").replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def p4_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = mt.collect_pairs(fx.samples(spark, sf_dir), fx.generated(spark, sf_dir))
-    return pairs.groupBy("status", "rule").agg(F.count(F.lit(1)).alias("samples"))
+    wanted = fx.samples(spark, sf_dir).select("index", "speaker_id", "prompt_path", "target_path")
+    return mt.collect_pairs(wanted, fx.generated(spark, sf_dir)).select("index", "clone_path", "rule", "status")
 
 
 # Protected copies of the documents: by stem, with a mark, by numeric suffix (twice), by number.

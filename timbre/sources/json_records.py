@@ -9,7 +9,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from timbre.functions.expr import basename
 from timbre.schema import FALSY, LEGACY_TO_CANONICAL, MANIFEST_COLUMNS
+from timbre.sources.splits import SPLIT_BYTES, json_objects
 
 
 def value_text(value: object) -> str:
@@ -19,6 +21,15 @@ def value_text(value: object) -> str:
     return " ".join(map(str, value)) if isinstance(value, list) else str(value)
 
 
+_FIELDS = f"fields map<string,string>, `{FALSY}` array<string>"
+
+
+def _columns(items: list[dict]) -> list[pa.Array]:
+    """The text of all fields of each record, and the names of those that are false."""
+    fields = pa.array([[(k, value_text(v)) for k, v in i.items()] for i in items], pa.map_(pa.string(), pa.string()))
+    return [fields, pa.array([[k for k, v in i.items() if not v] for i in items], pa.list_(pa.string()))]
+
+
 def json_records(payloads: DataFrame, extras: list[str] | None = None) -> DataFrame:
     """One row per object of each JSON array in ``payloads`` (``source_manifest``, ``content``).
 
@@ -36,14 +47,22 @@ def json_records(payloads: DataFrame, extras: list[str] | None = None) -> DataFr
                 except (TypeError, ValueError, RecursionError):
                     continue
                 items = [i for i in payload if isinstance(i, dict)] if isinstance(payload, list) else []
-                fields = [[(k, value_text(v)) for k, v in i.items()] for i in items]
-                falsy = [[k for k, v in i.items() if not v] for i in items]
-                kinds = [pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.list_(pa.string())]
-                columns = [[name] * len(items), list(range(len(items))), fields, falsy]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["source_manifest", "source_row", "fields", FALSY])
-
-    ddl = f"source_manifest string, source_row long, fields map<string,string>, `{FALSY}` array<string>"
-    found = payloads.select("source_manifest", "content").mapInArrow(read, ddl)
+                columns = [pa.array([name] * len(items), pa.string()), pa.array(range(len(items)), pa.int64()), *_columns(items)]
+                yield pa.RecordBatch.from_arrays(columns, ["source_manifest", "source_row", "fields", FALSY])
+
+    return _shaped(payloads.select("source_manifest", "content").mapInArrow(read, f"source_manifest string, source_row long, {_FIELDS}"), extras)
+
+
+def json_file_records(files: DataFrame, extras: list[str] | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Like :func:`json_records` for files (``path``, ``bytes``), each read by as many tasks as it has ranges.
+
+    Here text that isn't JSON ends the job.
+    """
+    found = json_objects(files, _columns, _FIELDS, split_bytes)
+    return _shaped(found.select(basename("path").alias("source_manifest"), "source_row", "fields", FALSY), extras)
+
+
+def _shaped(found: DataFrame, extras: list[str] | None) -> DataFrame:
     known = [*MANIFEST_COLUMNS[:-2], *LEGACY_TO_CANONICAL]
     if extras is None:
         rest = F.map_filter("fields", lambda k, _: ~k.isin(*known, "source_manifest", "source_row")).alias("extras")

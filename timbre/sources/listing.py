@@ -3,12 +3,15 @@
 Spark's file readers hide names that begin with ``_`` or ``.``, but a sanitised name often begins
 with an underscore. Here folders are rows: tasks list them level by level, read the files they are
 given, and write files under the names they are given. Tasks open files with Arrow's file systems
-(local and mounted paths, HDFS, S3, GCS). Other schemes are listed through Hadoop on the driver,
-one entry at a time, and their contents are read by Spark; names that Spark hides end that job.
+(local and mounted paths, HDFS, S3, GCS, Azure), whatever name Hadoop has for the store. Other schemes
+are listed through Hadoop on the driver, one entry at a time, and their contents are read by Spark;
+names that Spark hides end that job. Links to folders are not followed. A file or folder that can't be read
+ends the task, so that Spark tries again and no row is lost in silence.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -18,18 +21,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from timbre.functions.expr import basename
 from timbre.session import cut_lineage
 
-_ARROW_SCHEMES = ("", "file", "hdfs", "s3", "gs")
+#: Arrow's scheme for each one that Hadoop knows the store by.
+_ARROW_SCHEMES = {"": "file", "file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
 _LISTED = "path string, bytes long, folder boolean"
 _LISTED_AT_ONCE = 10_000
 
 
-def _opened(path: str):
+def opened(path: str):
     """(file system, path in it, prefix of its paths)."""
     from pyarrow import fs
 
-    if urlsplit(path).scheme in ("", "file"):
+    scheme = urlsplit(path).scheme
+    if _ARROW_SCHEMES[scheme] == "file":
         return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/"), ""
-    system, inner = fs.FileSystem.from_uri(path)
+    system, inner = fs.FileSystem.from_uri(_ARROW_SCHEMES[scheme] + path[len(scheme) :])
     return system, inner, path[: path.index(inner)] if inner and inner in path else ""
 
 
@@ -38,7 +43,7 @@ def _list_folders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for frame in frames:
         for folder in frame["path"]:
-            system, inner, prefix = _opened(folder)
+            system, inner, prefix = opened(folder)
             found = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
             for at in range(0, len(found), _LISTED_AT_ONCE):
                 part = found[at : at + _LISTED_AT_ONCE]
@@ -48,7 +53,7 @@ def _list_folders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         "bytes": [int(f.size or 0) for f in part],
                         "folder": [f.type == fs.FileType.Directory for f in part],
                     }
-                )
+                ).drop(index=[k for k, f in enumerate(part) if f.type == fs.FileType.Directory and not prefix and os.path.islink(f.path)])
 
 
 def _hadoop_files(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
@@ -65,7 +70,7 @@ def _hadoop_files(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
 
 def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """``(path, bytes)`` of all files below ``root``, whatever their names; no rows if it is missing."""
-    if urlsplit(root).scheme not in _ARROW_SCHEMES:
+    if not known_to_arrow(root):
         return _hadoop_files(spark, root, recursive)
     folders = spark.range(1).select(F.lit(root).alias("path"))
     levels = []
@@ -83,19 +88,16 @@ def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFr
 
 
 def read_files(files: DataFrame) -> DataFrame:
-    """Add ``content`` (binary) to rows with a ``path``; a file that can't be read gives NULL."""
+    """Add ``content`` (binary) to rows with a ``path``; one of Arrow's file systems must know it."""
     names = files.columns
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(len(frame)):  # one file at a time: contents may be large
                 row = frame.iloc[at : at + 1].copy()
-                try:
-                    system, inner, _ = _opened(row["path"].iloc[0])
-                    with system.open_input_stream(inner) as stream:
-                        row["content"] = [stream.read()]
-                except OSError:
-                    row["content"] = [None]
+                system, inner, _ = opened(row["path"].iloc[0])
+                with system.open_input_stream(inner) as stream:
+                    row["content"] = [stream.read()]
                 yield row
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
@@ -103,9 +105,32 @@ def read_files(files: DataFrame) -> DataFrame:
     return spread.select(*names).mapInPandas(read, f"{fields}, content binary")
 
 
+def known_to_arrow(root: str) -> bool:
+    return urlsplit(root).scheme in _ARROW_SCHEMES
+
+
+def with_bytes(files: DataFrame) -> DataFrame:
+    """``(path, bytes)`` of existing files, asked in tasks; a missing one ends the job."""
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for frame in frames:
+            found = []
+            for path in frame["path"]:
+                system, inner, _ = opened(path)
+                info = system.get_file_info(inner)
+                if info.type != fs.FileType.File:
+                    raise FileNotFoundError(path)
+                found.append(int(info.size))
+            yield frame.assign(bytes=found)
+
+    return files.select("path").mapInPandas(ask, "path string, bytes long")
+
+
 def file_contents(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
     """``files`` with their ``content``, by Arrow where it knows the scheme, else by Spark's reader."""
-    if urlsplit(root).scheme in _ARROW_SCHEMES:
+    if known_to_arrow(root):
         return read_files(files)
     hidden = files.filter(basename("path").rlike("^[_.]"))
     if not hidden.isEmpty():
@@ -126,7 +151,7 @@ def write_files(rows: DataFrame, root: str) -> int:
         attempt = TaskContext.get().taskAttemptId()
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                system, inner, _ = _opened(f"{root.rstrip('/')}/{path}")
+                system, inner, _ = opened(f"{root.rstrip('/')}/{path}")
                 system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
                 with system.open_output_stream(f"{inner}.{attempt}.part") as stream:
                     stream.write(bytes(content))

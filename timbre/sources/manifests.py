@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from timbre.functions.expr import basename
 from timbre.operators.manifest import canonicalize, filter_speaker, order_columns, with_missing_columns
 from timbre.schema import FILE_ORDER, MANIFEST_NAME
-from timbre.session import cut_lineage
-from timbre.sources.json_records import json_records
-from timbre.sources.listing import file_contents, list_files
+from timbre.sources.json_records import json_file_records, json_records
+from timbre.sources.listing import file_contents, known_to_arrow, list_files, with_bytes
+from timbre.sources.splits import SPLIT_BYTES
 
 
 def read_manifest(spark: SparkSession, root: str, manifest_name: str = MANIFEST_NAME, file_order: bool = False) -> DataFrame:
@@ -24,18 +24,25 @@ def read_manifest(spark: SparkSession, root: str, manifest_name: str = MANIFEST_
 
 
 def read_manifest_json(
-    spark: SparkSession, path: str, dataset: str, extras: list[str] | None = None
+    spark: SparkSession, path: str, dataset: str, extras: list[str] | None = None, split_bytes: int = SPLIT_BYTES
 ) -> DataFrame:
-    """A manifest stored as one JSON array, canonicalised; any file name will do."""
+    """A manifest stored as one JSON array, canonicalised; any file name will do, and any size.
+
+    A missing file, or one that isn't JSON, ends the job.
+    """
     files = spark.range(1).select(F.lit(path).alias("path"))
-    return read_manifests_json(spark, files, path.rsplit("/", 1)[0], dataset, extras)
+    return read_manifests_json(spark, files, path.rsplit("/", 1)[0], dataset, extras, split_bytes)
 
 
 def read_manifests_json(
-    spark: SparkSession, files: DataFrame, root: str, dataset: str, extras: list[str] | None = None
+    spark: SparkSession, files: DataFrame, root: str, dataset: str, extras: list[str] | None = None, split_bytes: int = SPLIT_BYTES
 ) -> DataFrame:
-    """The manifests at the ``path`` of each row of ``files`` below ``root``, each one JSON array, read in tasks."""
-    return canonicalize(json_records(_named(file_contents(spark, files, root)), extras), dataset)
+    """The manifests at the ``path`` of each row of ``files`` below ``root``, each one JSON array, read in ranges."""
+    if known_to_arrow(root):
+        records = json_file_records(with_bytes(files), extras, split_bytes)
+    else:
+        records = json_records(_named(file_contents(spark, files, root)), extras)
+    return canonicalize(records, dataset)
 
 
 def _named(read: DataFrame) -> DataFrame:
@@ -100,12 +107,12 @@ def write_manifest(df: DataFrame, root: str, force: bool = False, manifest_name:
     target = f"{root}/{manifest_name}"
     if _exists(spark, target) and not force:
         return False, f"skip existing manifest: {target}"
-    df = cut_lineage(order_columns(with_missing_columns(df)))
-    rows = df.count()
-    if not rows:
+    df = order_columns(with_missing_columns(df))
+    if df.isEmpty():
         return False, f"skip empty manifest: {root}"
-    df.write.mode("overwrite").parquet(target)
-    return True, f"wrote {rows} rows -> {target}"
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(target)
+    return True, f"wrote {seen.get['rows']} rows -> {target}"
 
 
 def build_manifests(

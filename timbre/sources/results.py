@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from timbre.functions.expr import blank_to_null, float_text, strip
 from timbre.functions.metrics import fidelity_row, generation_row
 from timbre.schema import FIDELITY_METRICS, GENERATION_METRICS, TIMINGS, ddl_fields
+from timbre.session import cut_lineage
+from timbre.sources.listing import known_to_arrow
+from timbre.sources.splits import SPLIT_BYTES, csv_records, splittable
 
 # --- fixed value: folder layout <run_name>/<YYYYMMDD-HHMMSS>/ ----------------
 RUN_PATH = r"([^/]+)/(\d{8}-\d{6})/[^/]*$"
@@ -56,22 +59,34 @@ def run_columns(path: Column) -> dict[str, Column]:
     }
 
 
-def read_sample_metrics(spark: SparkSession, paths: str | list[str], kind: str = "generation") -> DataFrame:
-    """Per-sample metric files of many runs with their run identity."""
+def read_sample_metrics(spark: SparkSession, paths: str | list[str], kind: str = "generation", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Per-sample metric files of many runs with their run identity.
+
+    Texts may hold line breaks in quotes; still, a file is read by as many tasks as it has ranges.
+    Compressed files, and those of stores that tasks can't open, are read whole, one by a task.
+    """
     fields = ddl_fields(GENERATION_METRICS if kind == "generation" else FIDELITY_METRICS)
-    raw = (
-        spark.read.schema(", ".join(f"{n} STRING" for n, _ in fields))
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .csv(paths)
-    )
+    schema = ", ".join(f"{n} STRING" for n, _ in fields)
+    listed = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"))
+    files = cut_lineage(listed.withColumn("_split", splittable(F.col("path"))))
+    whole = [r["path"] for r in files.filter(~F.col("_split")).select("path").toLocalIterator()]
+    first = files.select("path").first()
+    names = [n for n, _ in fields]
+    if first is not None and known_to_arrow(first["path"]):
+        records = csv_records(files.filter("_split").select("path", "bytes"), split_bytes)
+        raw = records.select("path", F.from_csv("record", schema, {"escape": '"'}).alias("_r")).select("path", *[F.col(f"_r.{n}") for n in names])
+    else:
+        raw, whole = None, paths
+    if whole:
+        reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
+        other = reader.csv(whole).select(F.col("_metadata.file_path").alias("path"), *names)
+        raw = other if raw is None else raw.unionByName(other)
     typed = {
         n: to_number(F.col(n)) if t == "DOUBLE" else F.col(n).try_cast("boolean")
         for n, t in fields
         if t != "STRING"
     }
-    return raw.withColumns({**run_columns(F.col("_metadata.file_path")), **typed})
+    return raw.withColumns({**run_columns(F.col("path")), **typed}).drop("path")
 
 
 def write_sample_metrics(df: DataFrame, path: str, kind: str = "generation", mode: str = "overwrite") -> None:

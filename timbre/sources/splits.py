@@ -29,12 +29,18 @@ _STEP[[ord("["), _BRACE]], _STEP[[ord("]"), ord("}")]] = 1, -1
 
 
 def byte_ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """``(path, bytes, part, start, stop)``: the ranges of each file (``path``, ``bytes``), every one in a task of its own."""
+    """``(path, bytes, part, start, stop)``: the ranges of each file (``path``, ``bytes``), small ones sharing a task."""
     parts = F.greatest(F.ceil(F.col("bytes") / split_bytes).cast("bigint"), F.lit(1).cast("bigint"))
     ranges = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"))
     ranges = ranges.select("path", "bytes", "part", (F.col("part") * split_bytes).alias("start"), F.least((F.col("part") + 1) * split_bytes, "bytes").alias("stop"))
-    many = ranges.count()
-    return ranges.repartition(max(1, min(many, 65_536)), "path", "part")
+    return ranges.repartition(_tasks(ranges, split_bytes), "path", "part")
+
+
+def _tasks(ranges: DataFrame, split_bytes: int) -> int:
+    """One for each full range's worth of bytes, and enough to keep the cluster busy."""
+    facts = ranges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stop") - F.col("start")).alias("bytes")).first()
+    cores = ranges.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(facts["n"], cores), -(-(facts["bytes"] or 0) // split_bytes))
 
 
 def blocks(path: str, start: int, stop: int | None = None) -> Iterator[bytes]:
@@ -50,7 +56,7 @@ def blocks(path: str, start: int, stop: int | None = None) -> Iterator[bytes]:
             yield block
 
 
-def _chained(summaries: DataFrame, fold: Callable[[list[dict]], list[dict]], fields: str) -> DataFrame:
+def _chained(summaries: DataFrame, fold: Callable[[list[dict]], list[dict]], fields: str, split_bytes: int) -> DataFrame:
     """Each range with the state that ``fold`` finds for it, from the summaries of one file in order."""
     names = [f.split()[0] for f in fields.split(", ")]
 
@@ -61,7 +67,7 @@ def _chained(summaries: DataFrame, fold: Callable[[list[dict]], list[dict]], fie
 
     held = cut_lineage(summaries)
     chained = held.groupBy("path").applyInArrow(link, fields)
-    return chained.repartition(max(1, min(held.count(), 65_536)), "path", "part")
+    return chained.repartition(_tasks(held, split_bytes), "path", "part")
 
 
 def _summaries(ranges: DataFrame, summarise: Callable[[dict], dict]) -> DataFrame:
@@ -190,7 +196,7 @@ def json_objects(files: DataFrame, make: Callable[[list[dict]], list[pa.Array]],
     """
     names = ["path", "source_row", *[f.split()[0].strip("`") for f in fields.split(", ")]]
     states = "path string, part long, start long, stop long, inside boolean, escaped boolean, depth long, first long, listed boolean"
-    chained = _chained(_summaries(byte_ranges(files, split_bytes), _json_summary), _json_states, states)
+    chained = _chained(_summaries(byte_ranges(files, split_bytes), _json_summary), _json_states, states, split_bytes)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,7 +325,7 @@ def _still_inside(line: bytes, inside: bool) -> bool:
 def csv_records(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """``(path, record)``: the text of every record but the header of each file (``path``, ``bytes``); empty lines are skipped."""
     states = "path string, part long, start long, stop long, inside boolean, regular boolean"
-    chained = _chained(_summaries(byte_ranges(files, split_bytes), _csv_summary), _csv_states, states)
+    chained = _chained(_summaries(byte_ranges(files, split_bytes), _csv_summary), _csv_states, states, split_bytes)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -290,36 +290,37 @@ def lexicon_phonemes(df: DataFrame, key: str, text: str, lexicon: DataFrame, sym
     """Phonemes, tones and word2ph of every text through a lexicon ``(word, phones)``.
 
     Words are looked up in upper case; words outside the lexicon are counted in ``oov`` and
-    contribute no phones. Phones are refined once per lexicon entry, and the word stream carries
-    them as short blank-separated strings until it is put together per text.
+    contribute no phones. Only the distinct words of a text meet the lexicon; what is found comes back as
+    one map a text, through which its tokens go in place. ``key`` names a text.
     """
     marks = "".join("\\" + s for s in SPEECH_SYMBOLS if s != "'")
     tokens = F.regexp_extract_all(F.col(text), F.lit(rf"[\p{{L}}\p{{N}}']+|[{marks}]"), F.lit(0))
-    stream = df.select(key, F.posexplode_outer(tokens).alias("_pos", "_word"))
+    words = df.select(key, tokens.alias("_tokens")).select(key, "_tokens", F.posexplode_outer(F.array_distinct("_tokens")).alias("_pos", "_word"))
+    stream = words.select(key, F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_tokens")).alias("_tokens"), "_word")
     refined = lexicon.select("word", F.transform("phones", refine_phone).alias("_spoken"))
     entries = refined.select(
         F.col("word").alias("_entry"),
-        F.array_join(F.transform("_spoken", lambda p: repair_symbol(p["phone"], symbols)), " ").alias("_phones"),
-        F.array_join(F.transform("_spoken", lambda p: p["tone"].cast("string")), " ").alias("_tones"),
-        F.size("_spoken").alias("_n"),
+        F.struct(
+            F.array_join(F.transform("_spoken", lambda p: repair_symbol(p["phone"], symbols)), " ").alias("phones"),
+            F.array_join(F.transform("_spoken", lambda p: p["tone"].cast("string")), " ").alias("tones"),
+            F.size("_spoken").alias("n"),
+        ).alias("_found"),
     )
     looked = stream.join(entries, F.upper("_word") == F.col("_entry"), "left")
-    is_mark = F.col("_word").isin(SPEECH_SYMBOLS)
-    token = looked.select(
-        key,
-        F.when(
-            F.col("_word").isNotNull(),
-            F.struct(
-                "_pos",
-                F.when(is_mark, repair_symbol(F.col("_word"), symbols)).otherwise(F.col("_phones")).alias("phones"),
-                F.when(is_mark, "0").otherwise(F.col("_tones")).alias("tones"),
-                F.when(is_mark, 1).otherwise(F.coalesce("_n", F.lit(0))).alias("n"),
-            ),
-        ).alias("_token"),
-        (F.col("_word").isNotNull() & ~is_mark & F.col("_entry").isNull()).cast("int").alias("_oov"),
+    hit = F.when(F.col("_entry").isNotNull(), F.struct("_word", "_found"))
+    texts = looked.groupBy(key).agg(
+        F.first("_tokens", ignorenulls=True).alias("_tokens"), F.map_from_entries(F.collect_list(hit)).alias("_map")
     )
-    grouped = token.groupBy(key).agg(
-        F.array_sort(F.collect_list("_token")).alias("_words"), F.sum("_oov").cast("bigint").alias("oov")
+    is_mark = lambda w: w.isin(SPEECH_SYMBOLS)
+    silent = F.struct(F.lit(None).cast("string").alias("phones"), F.lit(None).cast("string").alias("tones"), F.lit(0).alias("n"))
+
+    def spoken(word: Column) -> Column:
+        mark = F.struct(repair_symbol(word, symbols).alias("phones"), F.lit("0").alias("tones"), F.lit(1).alias("n"))
+        return F.when(is_mark(word), mark).otherwise(F.coalesce(F.try_element_at("_map", word), silent))
+
+    missing = F.filter("_tokens", lambda w: ~is_mark(w) & ~F.map_contains_key("_map", w))
+    grouped = texts.withColumn("_tokens", F.coalesce("_tokens", F.array().cast("array<string>"))).select(
+        key, F.transform("_tokens", spoken).alias("_words"), F.size(missing).cast("bigint").alias("oov")
     )
 
     def spread_out(field: str) -> Column:

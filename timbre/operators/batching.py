@@ -17,17 +17,28 @@ def padded_batches(
     size: int,
 ) -> DataFrame:
     """Batches of ``size`` rows in manifest order per ``by`` value; inside a batch rows go by
-    descending length and every array is zero-padded to the batch maximum."""
-    placed = positions_by_integer(df, order, [by], out="_position")
+    descending length and every array is zero-padded to the batch maximum.
+
+    ``order`` is an integer that names a row of its ``by`` value; two rows that share it end the job. Positions, slots and
+    maxima are found on keys and sizes alone, and join the arrays once.
+    """
+    rows = df.select(by, order, F.col(length).alias("_length"), *[F.size(a).alias(f"{a}_len") for a in arrays])
+    told = [F.first(c).alias(c) for c in rows.columns[2:]]
+    single = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(f"rows share their {order}"))).cast("int")
+    keys = rows.groupBy(by, order).agg(*told, single.alias("_single")).filter("_single IS NULL").drop("_single")
+    placed = positions_by_integer(keys, order, [by], out="_position")
     batched = placed.withColumn("batch", F.floor(F.col("_position") / size).cast("bigint"))
     batch = Window.partitionBy(by, "batch")
     sized = batched.withColumns(
         {
-            "slot": F.row_number().over(batch.orderBy(F.desc(length), "_position")) - 1,
-            **{f"{a}_len": F.size(a) for a in arrays},
-            **{f"_max_{a}": F.max(F.size(a)).over(batch) for a in arrays},
+            "slot": F.row_number().over(batch.orderBy(F.desc("_length"), "_position")) - 1,
+            **{f"_max_{a}": F.max(f"{a}_len").over(batch) for a in arrays},
         }
     )
+    names = [by, order]
+    found = sized.select(*[F.col(c).alias(f"_{n}") for n, c in enumerate(names)], "batch", "slot", *[f"{a}_len" for a in arrays], *[f"_max_{a}" for a in arrays])
+    same = F.col(by).eqNullSafe(F.col("_0")) & F.col(order).eqNullSafe(F.col("_1"))
+    joined = df.join(found, same)
     pads = {
         a: F.concat(
             F.col(a),
@@ -35,7 +46,7 @@ def padded_batches(
         )
         for a in arrays
     }
-    return sized.withColumns(pads).drop("_position", *[f"_max_{a}" for a in arrays])
+    return joined.withColumns(pads).select(*df.columns, "batch", "slot", *[f"{a}_len" for a in arrays])
 
 
 def bucket_of(length: Column, bounds: list[int]) -> Column:

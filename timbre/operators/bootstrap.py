@@ -16,13 +16,16 @@ those of the tree in both cases, so neither ``bucket_values`` nor partitions cha
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from timbre.operators.counters import key_word, mix
 from timbre.operators.ordering import spread
 
 # --- fixed values ------------------------------------------------------------
@@ -292,6 +295,65 @@ def hashed_resample_means(
     )
 
 
+_POISSON = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(12)])
+#: Weights of a batch that are held at once, groups whose sums a task holds, and sums that one task adds up.
+_WEIGHTS_AT_ONCE, _GROUPS_HELD, _SUMS_ADDED = 1 << 22, 256, 64
+
+
+def poisson_resample_means(values: DataFrame, by: list[str], key: str, config: BootstrapConfig) -> DataFrame:
+    """``(*by, resample, mean)``: resample means with Poisson(1) weights that are a function of (seed, ``key``, resample).
+
+    A task keeps one array of weighted sums and one of weights for each group, ``num_resamples`` long. These
+    are merged element by element, a few tasks' arrays at a time, so no row is repeated for every resample.
+    ``values`` has a column ``value``; rows without one don't count, nor do resamples without weight.
+    """
+    resamples, seed = config.num_resamples, config.seed or 0
+    turns = mix(np.arange(resamples, dtype=np.uint64))
+    width = len(by)
+    names = [*by, "totals", "weights"]
+    arrays = (pa.list_(pa.float64()), pa.list_(pa.int64()))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[np.ndarray]] = {}
+        for batch in batches:
+            groups: dict[tuple, list[int]] = {}
+            for k, group in enumerate(zip(*[batch.column(c).to_pylist() for c in range(width)], strict=True) if width else [()] * batch.num_rows):
+                groups.setdefault(group, []).append(k)
+            own, word = batch.column(width).to_numpy(), batch.column(width + 1).to_numpy().astype(np.uint64)
+            step = max(1, _WEIGHTS_AT_ONCE // resamples)
+            for group, rows in groups.items():
+                sums = held.setdefault(group, [np.zeros(resamples), np.zeros(resamples, np.int64)])
+                for at in range(0, len(rows), step):
+                    part = np.array(rows[at : at + step])
+                    uniform = mix(mix(word[part])[:, None] ^ turns[None, :]) / float(1 << 32)
+                    weight = np.searchsorted(_POISSON, uniform, side="right")
+                    sums[0] += own[part] @ weight
+                    sums[1] += weight.sum(axis=0)
+            if len(held) > _GROUPS_HELD:
+                yield packed(held, batch.schema)
+                held = {}
+        if held:
+            yield packed(held, batch.schema)
+
+    def packed(held: dict[tuple, list[np.ndarray]], schema: pa.Schema) -> pa.RecordBatch:
+        keys = [pa.array([g[c] for g in held], schema.field(c).type) for c in range(width)]
+        sums = [pa.array([s[c].tolist() for s in held.values()], arrays[c]) for c in (0, 1)]
+        return pa.RecordBatch.from_arrays([*keys, *sums], names)
+
+    def merge(table: pa.Table) -> pa.Table:
+        sums = [np.array(table.column(c).to_pylist()).sum(axis=0).tolist() for c in ("totals", "weights")]
+        first = table.slice(0, 1)
+        return pa.table([*[first.column(c) for c in by], *[pa.array([s], t) for s, t in zip(sums, arrays, strict=True)]], names)
+
+    known = values.filter("value IS NOT NULL").select(*by, F.col("value").cast("double").alias("value"), key_word(F.col(key), seed, 0).alias("word"))
+    ddl = ", ".join(filter(None, (_key_ddl(values, by), "totals array<double>, weights array<bigint>")))
+    parts = known.mapInArrow(add_up, ddl)
+    some = F.pmod(F.spark_partition_id(), F.lit(_SUMS_ADDED)).alias("_some")
+    merged = parts.withColumn("_some", some).groupBy(*by, "_some").applyInArrow(merge, ddl).groupBy(*by).applyInArrow(merge, ddl)
+    spread_out = merged.select(*by, F.posexplode(F.arrays_zip("totals", "weights")).alias("resample", "_s")).filter("_s.weights > 0")
+    return spread_out.select(*by, "resample", (F.col("_s.totals") / F.col("_s.weights")).alias("mean"))
+
+
 def attach_intervals(summary: DataFrame, intervals: DataFrame, by: list[str], names: dict[str, str]) -> DataFrame:
     """Add ``<summary column>_ci`` structs; ``names`` maps a metric to its summary column."""
     ci = F.when(

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from timbre.functions.expr import basename, path_order, stem, unit_hash
 from timbre.functions.text import speaker_prefix
 from timbre.operators.matching import latest_run, resolve_across_models, resolve_reference
-from timbre.operators.ordering import positions_by_integer, salted_join, top_n
+from timbre.operators.ordering import positions_by_integer, top_n
+from timbre.session import cut_lineage
 
 # --- fixed values ------------------------------------------------------------
 DETECTION_TASK = "FakeDetection"
@@ -21,6 +26,9 @@ MIXTURE_SNR_DB = [-5.0, 0.0, 5.0, 10.0]
 MODEL_FOLDER_SUFFIX = "_ots_on_robotcall"
 # -----------------------------------------------------------------------------
 
+#: Differences of vector components that a task holds at once.
+_DIFFERENCES = 1 << 22
+
 
 def model_of_folder(folder: Column | str, suffix: str = MODEL_FOLDER_SUFFIX) -> Column:
     """Model name of a result folder, NULL when the folder is not one of the wanted runs."""
@@ -246,39 +254,99 @@ def split_overlap(df: DataFrame, speaker: str, split: str = "split") -> DataFram
     return sides[0].intersect(sides[1])
 
 
-def farthest_target(sources: DataFrame, candidates: DataFrame, block_size: int = 256, salt: int = 8) -> DataFrame:
+def farthest_target(sources: DataFrame, candidates: DataFrame, block_size: int = 1_024) -> DataFrame:
     """The candidate speaker most different from every source: ``(speaker, target, difference)``.
 
-    Both tables have ``speaker``, ``encoder``, ``embedding``. Per encoder the L1 distances are
-    divided by their mean over the candidates, then added up; the first name wins a tie.
-    Candidates travel as blocks of ``block_size`` embeddings, and the few (encoder, block) keys are
-    salted.
+    Both tables have ``speaker``, ``encoder``, ``embedding``; rows repeating a speaker and encoder count
+    once. Per encoder the L1 distances are divided by their mean over the candidates, then added up;
+    the first name wins a tie. Embeddings that hold a null, or have another length, are not compared.
+
+    Blocks of sources meet blocks of candidates twice, as matrices: first each pair of blocks gives
+    the sum of distances of every source, then, the means being known, only its best candidate.
     """
-    blocks = F.ceil(F.count(F.lit(1)) / F.lit(block_size)).cast("int")
-    sizes = candidates.groupBy("encoder").agg(blocks.alias("_blocks"))
-    listed = (
-        candidates.join(sizes, "encoder")
-        .withColumn("_block", F.pmod(F.xxhash64("speaker"), F.col("_blocks")).cast("int"))
-        .groupBy("encoder", "_block")
-        .agg(F.collect_list(F.struct(F.col("speaker").alias("target"), F.col("embedding").alias("other"))).alias("_list"))
-    )
-    spread = sources.join(sizes, "encoder").select(
-        "speaker", "encoder", "embedding", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block")
-    )
-    paired = salted_join(spread, listed, ["encoder", "_block"], spread_by="speaker", salt=salt)
-    gap = F.aggregate(
-        F.zip_with("embedding", "other", lambda a, b: F.abs(a.cast("double") - b.cast("double"))),
-        F.lit(0.0),
-        lambda total, x: total + x,
-    )
-    gaps = paired.select("speaker", "encoder", "embedding", F.inline("_list")).select(
-        "speaker", "encoder", "target", gap.alias("gap")
-    )
-    means = gaps.groupBy("speaker", "encoder").agg(F.avg("gap").alias("_mean"))
-    totals = (
-        gaps.join(means, ["speaker", "encoder"])
-        .groupBy("speaker", "target")
-        .agg(F.sum(F.col("gap") / F.nullif("_mean", F.lit(0.0))).alias("difference"))
+    embedding = F.transform("embedding", lambda x: x.cast("double"))
+    usable = F.col("speaker").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
+
+    def packed(df: DataFrame) -> DataFrame:
+        single = df.filter(usable).groupBy("speaker", "encoder").agg(F.min(embedding).alias("embedding"))
+        held = F.array_sort(F.collect_list(F.struct("encoder", "embedding"))).alias("embeddings")
+        return cut_lineage(single.groupBy("speaker").agg(held))
+
+    left, right = packed(sources), packed(candidates)
+    down, across = (max(1, -(-side.count() // block_size)) for side in (left, right))
+    place = F.xxhash64("speaker")
+    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    others = right.select(F.col("speaker").alias("target"), F.col("embeddings").alias("others"), F.pmod(place, F.lit(across)).cast("int").alias("across"), everywhere(down).alias("down"))
+    asking = left.select("speaker", "embeddings", F.pmod(place, F.lit(down)).cast("int").alias("down"), everywhere(across).alias("across"))
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((left, "speaker"), (others, "target"))}
+    encoder = left.schema["embeddings"].dataType.elementType["encoder"].dataType.simpleString()
+    keys = ("down", "across")
+    sums = asking.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInArrow(_distance_sums, f"speaker {kinds['speaker']}, encoder {encoder}, total double, n long")
+    mean = F.sum("total") / F.nullif(F.sum("n"), F.lit(0))
+    means = sums.groupBy("speaker", "encoder").agg(mean.alias("mean"))
+    scaled = cut_lineage(left.join(means.groupBy("speaker").agg(F.array_sort(F.collect_list(F.struct("encoder", "mean"))).alias("means")), "speaker"))
+    asking = scaled.select("speaker", "embeddings", "means", F.pmod(place, F.lit(down)).cast("int").alias("down"), everywhere(across).alias("across"))
+    found = asking.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInArrow(
+        _farthest, f"speaker {kinds['speaker']}, target {kinds['target']}, difference double"
     )
     best = F.min_by(F.struct("target", "difference"), F.struct(F.negative("difference"), F.col("target")))
-    return totals.groupBy("speaker").agg(best.alias("_b")).select("speaker", "_b.*")
+    return found.groupBy("speaker").agg(best.alias("_b")).select("speaker", "_b.*")
+
+
+def _by_encoder(embeddings: list[list[dict]]) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
+    """Rows and their matrix, for each encoder and length."""
+    rows: dict[tuple, tuple[list, list]] = {}
+    for k, held in enumerate(embeddings):
+        for e in held:
+            own = rows.setdefault((e["encoder"], len(e["embedding"])), ([], []))
+            own[0].append(k)
+            own[1].append(e["embedding"])
+    return {key: (np.array(k), np.array(m, float).reshape(len(k), -1)) for key, (k, m) in rows.items()}
+
+
+def _distances(left: pa.Table, right: pa.Table) -> Iterator[tuple[object, np.ndarray, np.ndarray, np.ndarray]]:
+    """(encoder, rows, candidates, L1 distances) of embeddings that can be compared."""
+    one, other = _by_encoder(left.column("embeddings").to_pylist()), _by_encoder(right.column("others").to_pylist())
+    for key in sorted(one.keys() & other.keys(), key=lambda k: (str(k[0]), k[1])):
+        (rows, a), (candidates, b) = one[key], other[key]
+        step = max(1, _DIFFERENCES // max(1, b.size))
+        for at in range(0, len(rows), step):
+            yield key[0], rows[at : at + step], candidates, np.abs(a[at : at + step, None, :] - b[None, :, :]).sum(axis=2)
+
+
+def _distance_sums(left: pa.Table, right: pa.Table) -> pa.Table:
+    rows, encoders, totals, counts = [], [], [], []
+    for encoder, own, candidates, gaps in _distances(left, right):
+        rows += own.tolist()
+        encoders += [encoder] * len(own)
+        totals += gaps.sum(axis=1).tolist()
+        counts += [len(candidates)] * len(own)
+    kind = left.schema.field("embeddings").type.value_type.field("encoder").type
+    columns = [left.column("speaker").take(pa.array(rows, pa.int64())), pa.array(encoders, kind), pa.array(totals, pa.float64()), pa.array(counts, pa.int64())]
+    return pa.table(columns, ["speaker", "encoder", "total", "n"])
+
+
+def _farthest(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The best candidate of the block for every source; a mean of zero says nothing."""
+    means = [{m["encoder"]: m["mean"] for m in held} for held in left.column("means").to_pylist()]
+    shares = np.zeros((len(left), len(right)))
+    told, met = np.zeros(shares.shape, bool), np.zeros(shares.shape, bool)
+    for encoder, rows, candidates, gaps in _distances(left, right):
+        mean = np.array([means[k].get(encoder) or np.nan for k in rows.tolist()])[:, None]
+        place = np.ix_(rows, candidates)
+        met[place] = True
+        told[place] |= ~np.isnan(mean)
+        shares[place] += np.nan_to_num(gaps / mean)
+    names = right.column("target").to_pylist()
+    order = np.array(sorted(range(len(names)), key=names.__getitem__), np.int64)
+    rows, best, values = [], [], []
+    for k in range(len(left)):
+        open_to = order[met[k, order]]
+        if len(open_to):
+            silent = open_to[~told[k, open_to]]  # nothing is known of these, which comes before any difference
+            at = int(silent[0]) if len(silent) else int(open_to[np.argmax(shares[k, open_to])])
+            rows.append(k)
+            best.append(at)
+            values.append(None if len(silent) else float(shares[k, at]))
+    columns = [left.column("speaker").take(pa.array(rows, pa.int64())), right.column("target").take(pa.array(best, pa.int64())), pa.array(values, pa.float64())]
+    return pa.table(columns, ["speaker", "target", "difference"])

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from timbre.functions.expr import col, let
 from timbre.functions.metrics import clamp, power
+from timbre.operators.counters import key_word, mix
 from timbre.operators.ordering import salted_join
 
 # --- fixed value: default noise level ----------------------------------------
@@ -18,24 +19,34 @@ DEFAULT_EPSILON = 8 / 255
 
 
 def add_gaussian(df: DataFrame, clip: str, samples: str, epsilon: float = DEFAULT_EPSILON, seed: int = 0) -> DataFrame:
-    """Add N(0, epsilon^2) to every clip and clamp to [-1, 1].
+    """Add N(0, epsilon^2) to every clip and clamp to [-1, 1]; a null clip of samples stays null.
 
-    The generator of a clip is keyed by (seed, clip), so a retried task writes the same noise.
+    The noise of a sample is a function of (seed, clip, place): two uniform numbers for each pair of places,
+    turned into two normal ones (Box-Muller). So any task, and any engine, finds the same noise, and the
+    samples of a whole batch are done at once.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            noisy = []
-            for name, wave in zip(batch[clip], batch[samples]):
-                key = hashlib.sha256(f"{seed}|{name}".encode()).digest()[:8]
-                generator = np.random.Generator(np.random.Philox(int.from_bytes(key, "little")))
-                clean = np.asarray(wave, dtype=np.float64)
-                noise = generator.standard_normal(clean.size) * epsilon
-                noisy.append(np.clip(clean + noise, -1.0, 1.0).astype(np.float32))
-            yield pd.DataFrame({clip: batch[clip], samples: noisy})
+            waves = batch.column(1)
+            sizes = np.where(waves.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(waves), 0).to_numpy(zero_copy_only=False), 0)
+            clean = waves.flatten().to_numpy(zero_copy_only=False).astype(float)
+            first, second = (np.repeat(batch.column(k).to_numpy().astype(np.uint64), sizes) for k in (2, 3))
+            place = (np.arange(len(clean)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint64)
+            pair, low = place >> np.uint64(1), np.uint64(0xFFFFFFFF)
+            one = (mix(mix(pair + first & low) ^ second).astype(float) + 1) / (1 << 32)
+            other = mix(mix(pair + second & low) ^ first).astype(float) / (1 << 32)
+            angle = 2 * np.pi * other
+            normal = np.sqrt(-2 * np.log(one)) * np.where(place & np.uint64(1), np.sin(angle), np.cos(angle))
+            noisy = np.clip(clean + normal * epsilon, -1.0, 1.0).astype(np.float32)
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            mask = pa.array(~waves.is_valid().to_numpy(zero_copy_only=False))
+            lists = pa.ListArray.from_arrays(ends, pa.array(noisy, from_pandas=True), mask=mask)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], [clip, samples])
 
     kind = df.schema[clip].dataType.simpleString()
-    return df.select(clip, samples).mapInPandas(run, f"{clip} {kind}, {samples} array<float>")
+    keyed = df.select(F.col(clip).alias("_clip"), F.col(samples).alias("_samples"), key_word(F.col(clip), seed, 0).alias("_first"), key_word(F.col(clip), seed, 1).alias("_second"))
+    return keyed.mapInArrow(run, f"`{clip}` {kind}, `{samples}` array<float>")
 
 
 def apply_noise(samples: Column | str, noise: Column | str, epsilon: float = DEFAULT_EPSILON) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from timbre.operators.counters import MIX
 from timbre.operators.manifest import canonicalize, zero_shot_samples
 from timbre.operators.ordering import positions_by_integer, spread, spread_scan
 
@@ -29,6 +30,20 @@ def with_ctes(names: list[str], body: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in names) + "\n" + body
 
 
+def mix_sql(name: str, source: str, column: str, then: str) -> tuple[str, str]:
+    """Expressions that scramble a 32-bit ``column`` of ``source`` (see ``counters.mix``), and the name of the last one.
+
+    DuckDB has no 32-bit multiplication that wraps, so products are taken in 128 bits.
+    """
+    steps = []
+    for k, (shift, factor) in enumerate(MIX):
+        value = f"((xor({column}, {column} >> {shift})::HUGEINT * {factor}) % 4294967296)::BIGINT"
+        steps.append(f"{name}{k} AS (SELECT * REPLACE ({value} AS {column}) FROM {source}),")
+        source = f"{name}{k}"
+    ended = then.format(f"xor({column}, {column} >> 16)")
+    return "\n  ".join([*steps, f"{name} AS (SELECT * REPLACE ({ended} AS {column}) FROM {source}),"]), name
+
+
 CTES: dict[str, str] = {}
 
 # --- legacy manifest: a document is the prompt, the next document the target ---------------------

@@ -218,12 +218,33 @@ def d10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- waveform columns -------------------------------------------------------------------------------
-@query("B1_add_gaussian")
+_NOISE = f"""
+  WITH words AS (SELECT vec_id, embedding, ('0x' || substr(md5('3|' || vec_id), 1, 8))::BIGINT AS k1, ('0x' || substr(md5('3|' || vec_id), 9, 8))::BIGINT AS k2 FROM embeddings),
+  places AS (SELECT vec_id, k1, k2, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM words),
+  a0 AS (SELECT *, (i // 2 + k1) % 4294967296 AS a, (i // 2 + k2) % 4294967296 AS b FROM places),
+  {{rounds}}
+  uniform AS (SELECT vec_id, i, x, (a + 1) / 4294967296.0::DOUBLE AS u, 2 * pi() * (b / 4294967296.0::DOUBLE) AS angle FROM {{last}}),
+  noisy AS (SELECT vec_id, x, least(greatest(x + sqrt(-2 * ln(u)) * CASE WHEN i % 2 = 1 THEN sin(angle) ELSE cos(angle) END * {sg.DEFAULT_EPSILON!r}::DOUBLE, -1), 1)::FLOAT::DOUBLE AS y FROM uniform)
+  SELECT vec_id, round(sum(y - x), 4) AS added, round(sum(y * y), 4) AS energy FROM noisy GROUP BY vec_id
+"""
+
+
+def _noise_sql() -> str:
+    first, one = fx.mix_sql("n1", "a0", "a", "xor({}, k2)")
+    second, two = fx.mix_sql("n2", one, "b", "xor({}, k1)")
+    third, three = fx.mix_sql("n3", two, "a", "{}")
+    fourth, last = fx.mix_sql("n4", three, "b", "{}")
+    return _NOISE.format(rounds="\n  ".join((first, second, third, fourth)), last=last)
+
+
+@query("B1_add_gaussian", _noise_sql())
 def b1(spark: SparkSession, sf_dir: str) -> DataFrame:
     clips = fx.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     noisy = sg.add_gaussian(clips, "vec_id", "embedding", seed=3).withColumnRenamed("embedding", "noisy")
-    gap = F.zip_with("noisy", "embedding", lambda n, c: (n - c).cast("double"))
-    return noisy.join(clips, "vec_id").select("vec_id", F.round(F.aggregate(gap, F.lit(0.0), lambda a, x: a + x), 6).alias("added"))
+    total = lambda array: F.round(F.aggregate(array, F.lit(0.0), lambda a, x: a + x), 4)
+    gap = F.zip_with("noisy", "embedding", lambda n, c: n.cast("double") - c.cast("double"))
+    energy = F.transform("noisy", lambda n: n.cast("double") * n.cast("double"))
+    return noisy.join(clips, "vec_id").select("vec_id", total(gap).alias("added"), total(energy).alias("energy"))
 
 
 @query(

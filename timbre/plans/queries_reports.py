@@ -156,6 +156,38 @@ def a7_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(b.interval(means, ["model"], "mean", _FEW))
 
 
+_POISSON = b.BootstrapConfig(num_resamples=200, confidence_level=0.95, seed=5)
+
+
+def _poisson_sql() -> str:
+    terms, cumulative, probability = [], 0.0, math.exp(-1.0)
+    for k in range(12):
+        cumulative += probability
+        terms.append(f"(u >= {cumulative!r}::DOUBLE)::INT")
+        probability /= k + 1
+    first, one = fx.mix_sql("p1", "fanned", "w", "xor({}, t)")
+    turn, two = fx.mix_sql("p0", "turns", "t", "{}")
+    second, last = fx.mix_sql("p2", one, "w", "{}")
+    return f""",
+  turns AS (SELECT unnest(range(200)) AS resample, unnest(range(200)) AS t),
+  {turn}
+  fanned AS (SELECT model, value, metric, resample, t, ('0x' || substr(md5('5|' || event_id), 1, 8))::BIGINT AS w
+    FROM (SELECT model, event_id, unnest(['sim', 'wer']) AS metric, unnest([sim, wer]) AS value FROM metrics), {two} WHERE value IS NOT NULL),
+  {first}
+  {second}
+  drawn AS (SELECT model, metric, resample, value, {' + '.join(terms)} AS weight FROM (SELECT *, w / 4294967296.0::DOUBLE AS u FROM {last})),
+  means AS (SELECT model, metric, resample, sum(weight * value) / sum(weight) AS mean FROM drawn GROUP BY ALL HAVING sum(weight) > 0)
+  SELECT model, metric, round(quantile_cont(mean, 0.025), 6) AS lower, round(quantile_cont(mean, 0.975), 6) AS upper, 0.95::DOUBLE AS confidence_level,
+    200 AS num_resamples, round(stddev_samp(mean), 6) AS std FROM means GROUP BY model, metric"""
+
+
+@query("A7_bootstrap_poisson", with_ctes(_MX, _poisson_sql()).replace("\n,\n  turns", ",\n  turns"))
+def a7_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = fx.metrics(spark, sf_dir).select("model", "event_id", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in ("sim", "wer")])))
+    means = b.poisson_resample_means(long, ["model", "metric"], "event_id", _POISSON)
+    return rounded(b.interval(means, ["model", "metric"], "mean", _POISSON))
+
+
 @query("A7_bootstrap_point", with_ctes(_MX, "SELECT model, metric, round(avg(value), 6) AS avg, count(*) AS n FROM (SELECT model, unnest(['wer', 'snr_db']) AS metric, unnest([wer, snr_db]) AS value FROM metrics) WHERE value IS NOT NULL AND isfinite(value) GROUP BY model, metric"))
 def a7_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     few = b.BootstrapConfig(num_resamples=10, seed=1)

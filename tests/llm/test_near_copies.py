@@ -49,7 +49,9 @@ def brute(docs):
 def test_edited_copies_go(spark, monkeypatch, seed, at_once, sample):
     monkeypatch.setattr(module, "_PAIRS_A_PLACE", at_once)
     monkeypatch.setattr(module, "_SAMPLE", sample)
-    monkeypatch.setattr(module, "_LISTED", 100_000 if seed == 1 else 0)
+    monkeypatch.setattr(module, "_BLOCK", 2_048 if seed == 1 else 16)
+    monkeypatch.setattr(module, "_BUCKET_BYTES", 16 << 20 if seed == 1 else 5_000)
+    monkeypatch.setattr(module, "_PACKED", 1 << 21 if seed == 1 else 500)
     docs = corpus(seed)
     left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(docs, DDL), "")
     assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]

@@ -76,7 +76,6 @@ def test_dense_cluster_gives_no_pairs(monkeypatch):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_close_links_over_shards(spark, monkeypatch, seed):
-    monkeypatch.setattr(components_module, "TASK_LINKS", 1_000_000 if seed == 1 else 0)
     monkeypatch.setattr(hamming, "SHARD_SIZE", 60)
     found = prints(seed)
     frame = spark.createDataFrame([(int(x),) for x in found.view(np.int64)], "fp long").cache()
@@ -86,9 +85,9 @@ def test_close_links_over_shards(spark, monkeypatch, seed):
     assert {n: labels.get(n, n) for n in want} == want
 
 
-@pytest.mark.parametrize("in_task", [1_000_000, 0])
-def test_components_of_long_chains_and_hubs(spark, monkeypatch, in_task):
-    monkeypatch.setattr(components_module, "TASK_LINKS", in_task)
+@pytest.mark.parametrize("rows", [65_536, 8])
+def test_components_of_long_chains_and_hubs(spark, monkeypatch, rows):
+    monkeypatch.setattr(components_module, "FILE_ROWS", rows)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(5, 5), (200, 201), (201, 200), (200, 201)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = components({x for link in links for x in link}, links)

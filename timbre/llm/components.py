@@ -1,7 +1,7 @@
 """Connected components of a link table.
 
-Links that one task can hold, by their count, are merged in one task. More links go through
-alternating star operations, each round checkpointed; both ways give the same components.
+Every partition first merges its own links into stars. Alternating star operations over all links follow,
+each round checkpointed, until a round changes nothing.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ from timbre.session import cut_lineage
 
 #: Rows of a checkpoint's file, about: many tiny files cost more than the rows in them.
 FILE_ROWS = 65_536
-#: Links that one task merges: 16 bytes each.
-TASK_LINKS = 1_000_000
 
 
 def parts_for(rows: int) -> int:
@@ -41,10 +39,12 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def _merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Components of all links of a partition."""
-    whole = pd.concat([pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)}), *frames])
-    nodes, number = np.unique(whole.to_numpy(np.int64).ravel(), return_inverse=True)
-    yield pd.DataFrame({"node": nodes, "component": nodes[smallest_labels(number[0::2], number[1::2], len(nodes))]})
+    """Stars with the components of the links of each batch."""
+    for frame in frames:
+        nodes, number = np.unique(frame[["a", "b"]].to_numpy(np.int64).ravel(), return_inverse=True)
+        label = smallest_labels(number[0::2], number[1::2], len(nodes))
+        outer = np.flatnonzero(label != np.arange(len(nodes)))
+        yield pd.DataFrame({"a": nodes[outer], "b": nodes[label[outer]]})
 
 
 def smallest_labels(a: np.ndarray, b: np.ndarray, size: int, label: np.ndarray | None = None) -> np.ndarray:
@@ -68,15 +68,18 @@ def connected_components(links: DataFrame, about: int | None = None) -> DataFram
     """
     at = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
     at = cut_lineage(at if about is None else at.coalesce(parts_for(about)))
-    if at.count() <= TASK_LINKS:
-        return at.coalesce(1).mapInPandas(_merge, "node long, component long")
-    before = None
-    while True:
-        state = tuple(at.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == before:
+    at = cut_lineage(at.coalesce(parts_for(at.count())).mapInPandas(_merge, "a long, b long"))
+    before = _state(at)
+    while before[0]:
+        at = cut_lineage(_small_star(_large_star(at)).distinct().coalesce(parts_for(before[0])))
+        after = _state(at)
+        if after == before:
             break
-        before = state
-        at = cut_lineage(_small_star(_large_star(at)).distinct().coalesce(parts_for(state[0])))
+        before = after
     return at.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(
         at.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def _state(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

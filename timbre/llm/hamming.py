@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from timbre.llm.components import smallest_labels
 
-#: Fingerprints that call one shard their home, about.
-SHARD_SIZE = 16_384
+#: Fingerprints that call one shard their home, about: ever more as there are more of them, for the visits
+#: beyond a shard's boundary grow with the number of shards, but no more than a task holds easily.
+SHARD_SIZE, MOST_SHARD_SIZE, SHARDS = 16_384, 1 << 20, 64
 #: Most fingerprints that the dealing tree is fitted on, and how many for each shard.
 SAMPLE_LIMIT, SAMPLE_PER_SHARD = 262_144, 64
 _LEAF = 256
@@ -143,13 +144,33 @@ def local_stars(prints: np.ndarray, home: np.ndarray, reach: int) -> tuple[np.nd
     return prints[linked], prints[label[linked]]
 
 
+def close_pairs(prints: np.ndarray, asking: np.ndarray, members: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (a, b) of all pairs of ``asking`` and ``members`` that differ in at most ``reach`` bits, in parts."""
+    work = [(build(prints, members, _LEAF), asking)]
+    while work:
+        node, open_to = work.pop()
+        if not len(open_to):
+            continue
+        if node.members is None:
+            away = distances(prints[open_to], node.vantage)
+            work.append((node.near, open_to[away - reach <= node.radius]))
+            work.append((node.far, open_to[away + reach > node.radius]))
+            continue
+        rows = max(1, _PAIRS_AT_ONCE // max(1, len(node.members)))
+        for at in range(0, len(open_to), rows):
+            part = open_to[at : at + rows]
+            i, j = np.nonzero(np.bitwise_count(prints[part][:, None] ^ prints[node.members][None, :]) <= reach)
+            yield part[i], node.members[j]
+
+
 def close_links(prints: DataFrame, reach: int) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of ``fp`` (distinct) differing in at most ``reach`` bits.
 
     ``prints`` is read three times; pass a checkpoint.
     """
     spark = prints.sparkSession
-    shards = max(1, prints.count() // SHARD_SIZE)
+    many = prints.count()
+    shards = max(1, many // max(SHARD_SIZE, min(MOST_SHARD_SIZE, many // SHARDS)))
     wanted = min(SAMPLE_LIMIT, SAMPLE_PER_SHARD * shards)
     # a hashed order is a random sample that every attempt repeats; nothing is collected for one shard
     rows = prints.orderBy(F.xxhash64("fp"), "fp").limit(wanted).collect() if shards > 1 else []

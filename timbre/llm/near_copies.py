@@ -1,17 +1,26 @@
-"""Near copies by exact Jaccard similarity of word shingles, found through prefix filtering.
-
-All sets list their shingles in one order, rare ones first. Two sets with a Jaccard similarity of at
-least ``SHARED / OUT_OF`` then have a shingle in common among the first ``n - ceil(0.8 n) + 1`` of each, so
-the shared beginnings give every pair there is. The order takes its frequent shingles from a bounded
-sample: what the sample holds changes the cost, never the result. A shingle is its XXH64.
-
-Links are transitive, so pairs inside a component need no check. Every shared shingle first offers
-one hub, another one in each round, to which its sets are compared; when the pairs that are left
-are few, or hubs link nothing more, all of them are compared. A pair is compared by its texts only if
+"""Near copies: SimHash fingerprints in vantage-point trees over shards of shared shingles, checked exactly.
+
+Two texts are linked if their sets of five-word shingles have a Jaccard similarity of ``SHARED / OUT_OF`` or more.
+Fingerprints alone can't find such pairs at scale: at 0.8 they differ in 10 bits on average and in up to 20,
+and at that reach no tree over all fingerprints prunes anything. So fingerprints are dealt into shards by
+the shingles that their texts share. If all sets list their shingles in one order, two similar sets have
+one in common among the first ``n - ceil(0.8 n) + 1`` of each; each of these names a shard that the text visits.
+The order puts rare shingles first, so most texts visit no shard that another one visits.
+
+To know which are rare, half of all shingles (those with an even hash) are counted, in packed
+buckets. What a bounded sample of texts holds repeatedly is not counted but comes last in the order. Both change
+the cost, never a shard's sharing. A shingle is its XXH64.
+
+In a shard, every text first meets the shard's hub, the one with the least hash, for links are transitive and pairs
+inside a component need no check; another hub follows in the next round. When the open pairs are few, or
+hubs link nothing more, a vantage-point tree over the shard's fingerprints finds its pairs within ``REACH``
+bits, a large shard being cut into blocks that meet in pairs. Pairs are checked by their texts if the
 counts of both sets' shingles in ``_CELLS`` cells of hashes allow the similarity.
 
 Defined results: texts with equal sets (null and wordless ones have the empty set) are one node; texts
-with fewer words than a shingle are one shingle; a null ``doc_id`` takes part but never names a component.
+with fewer words than a shingle are one shingle; repeated rows are one node; a null ``doc_id`` takes part but never
+names a component; an empty table gives no rows; other columns are ignored. Of pairs that only the trees look at, those
+at a similarity of 0.8 lie within ``REACH`` bits but for about one in 100,000.
 """
 
 from __future__ import annotations
@@ -21,25 +30,38 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from timbre.llm.components import connected_components
+from timbre.llm.hamming import close_pairs
 from timbre.session import cut_lineage
 
 SHINGLE_WORDS = 5
 #: The least Jaccard similarity, as a fraction.
 SHARED, OUT_OF = 4, 5
+#: Differing bits up to which a tree offers a pair.
+REACH = 22
 _SEED = 42
-#: Rows whose shingles are counted for the order, and frequent shingles that it lists last.
+#: Rows whose shingles are counted for the end of the order, and frequent shingles that it lists last.
 _SAMPLE, _FREQUENT = 2_048, 20_000
-#: Cells of the counts, and nodes whose texts are picked by a list instead of a join.
-_CELLS, _LISTED = 256, 100_000
-#: Pairs for each set's place in a shared shingle that are compared without more hubs.
+#: Cells of the counts.
+_CELLS = 256
+#: Bytes of text whose shingles share a bucket, and shingles that a task packs at once.
+_BUCKET_BYTES, _PACKED = 16 << 20, 1 << 21
+#: Bits of a shingle that are kept in its bucket.
+_KEPT_BITS = 40
+#: Members of a shard that meet in one task; those of small shards share tasks.
+_BLOCK = 2_048
+#: Pairs for each text's visit to a shard that are left to the trees.
 _PAIRS_A_PLACE = 4
 
 
 def shingle_set(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
-    """Distinct XXH64 of the shingles, ascending; A-Z lower-cased, words split at ASCII white space."""
+    """Distinct XXH64 of the shingles, ascending as signed numbers; A-Z lower-cased, words split at ASCII white space."""
+    return np.unique(_shingles(text, shingle_words))
+
+
+def _shingles(text: bytes | None, shingle_words: int) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.int64)
@@ -49,7 +71,16 @@ def shingle_set(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> np.nd
     width = min(shingle_words, len(words))
     spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
     hashed = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((hashed(joined[a:b], _SEED) for a, b in spans), np.uint64, len(words) - width + 1).view(np.int64))
+    return np.fromiter((hashed(joined[a:b], _SEED) for a, b in spans), np.uint64, len(words) - width + 1).view(np.int64)
+
+
+def _fingerprint(shingles: np.ndarray) -> int:
+    """Majority bits of the shingles, repeats included, as a signed number."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), _PACKED >> 5):
+        part = shingles[at : at + (_PACKED >> 5)]
+        ones += np.unpackbits(part.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view("<i8")[0])
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -71,43 +102,116 @@ def _frequent(docs: DataFrame, shingle_words: int) -> tuple[np.ndarray, np.ndarr
     return np.array([s for s, _ in found], np.int64), np.array([n for _, n in found], np.int64)
 
 
-def _sets(docs: DataFrame, shingle_words: int, shingles: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(doc_id, node, size, prefix) of each row."""
+class _Order:
+    """Counted shingles, then the odd ones, then those that are frequent in the sample."""
 
-    def prefix(own: np.ndarray) -> np.ndarray:
+    def __init__(self, shingles: np.ndarray, counts: np.ndarray, buckets: int) -> None:
+        self.shingles, self.counts, self.buckets = shingles, counts, buckets
+
+    def split(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The counted shingles of a set, and the others in their order."""
         seen = np.zeros(len(own), np.int64)
-        if len(shingles):
-            at = np.minimum(np.searchsorted(shingles, own), len(shingles) - 1)
-            seen = np.where(shingles[at] == own, counts[at], 0)
-        return own[np.lexsort((own, seen))][: len(own) + 1 - -(-SHARED * len(own) // OUT_OF)] if len(own) else own
+        if len(self.shingles):
+            at = np.minimum(np.searchsorted(self.shingles, own), len(self.shingles) - 1)
+            seen = np.where(self.shingles[at] == own, self.counts[at], 0)
+        counted = (seen == 0) & (own & 1 == 0)
+        other = own[~counted]
+        return own[counted], other[np.lexsort((other, seen[~counted]))]
 
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(t.as_py(), shingle_words) for t in batch.column(1)]
-            nodes, sizes = pa.array([_node(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64())
-            prefixes = pa.array([prefix(s) for s in found], pa.list_(pa.int64()))
-            cells = [np.minimum(np.bincount(s & (_CELLS - 1), minlength=_CELLS), 255).astype(np.uint8).tobytes() for s in found]
-            arrays = [batch.column(0).cast(pa.int64()), nodes, sizes, prefixes, pa.array(cells, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "size", "prefix", "cells"])
+    def names(self, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bucket of each counted shingle, and what is kept of it there."""
+        whole = counted.view(np.uint64) >> np.uint64(1)
+        kept = whole & np.uint64((1 << _KEPT_BITS) - 1)
+        return (whole >> np.uint64(_KEPT_BITS)).astype(np.int64) % self.buckets, kept.astype(np.int64)
 
-    fields = "doc_id long, node long, size long, prefix array<long>, cells binary"
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(compute, fields)
 
+def prefix_size(size: int) -> int:
+    return size + 1 - -(-SHARED * size // OUT_OF) if size else 0
 
-def _texts(docs: DataFrame, shingle_words: int, wanted: DataFrame) -> DataFrame:
-    """(node, text): a text of each wanted node."""
-    listed = None
-    if wanted.count() <= _LISTED:
-        listed = frozenset(r[0] for r in wanted.collect())
+
+def _packed(docs: DataFrame, shingle_words: int, order: _Order) -> DataFrame:
+    """(bucket, nodes, kept): the counted shingles of many texts, packed; five bytes a shingle and eight for its text."""
+
+    def pack(nodes: list[np.ndarray], parts: list[np.ndarray]) -> pa.RecordBatch:
+        node, (bucket, kept) = np.concatenate(nodes), order.names(np.concatenate(parts))
+        by = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[by], np.arange(order.buckets + 1))
+        rows = [(b, by[cuts[b] : cuts[b + 1]]) for b in range(order.buckets) if cuts[b] < cuts[b + 1]]
+        small = kept.astype("<i8").view(np.uint8).reshape(-1, 8)[:, : _KEPT_BITS // 8]
+        columns = [pa.array([b for b, _ in rows], pa.int32()), pa.array([node[r].tobytes() for _, r in rows], pa.binary()), pa.array([small[r].tobytes() for _, r in rows], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "nodes", "kept"])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, parts, held = [], [], 0
         for batch in batches:
-            nodes = [_node(shingle_set(t.as_py(), shingle_words)) for t in batch.column(0)]
-            named = pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(0)], ["node", "text"])
-            yield named if listed is None else named.filter(pa.array([n in listed for n in nodes], pa.bool_()))
+            for text in batch.column(0):
+                own = shingle_set(text.as_py(), shingle_words)
+                counted, _ = order.split(own)
+                nodes.append(np.full(len(counted), _node(own), np.int64))
+                parts.append(counted)
+                held += len(counted)
+                if held >= _PACKED:
+                    yield pack(nodes, parts)
+                    nodes, parts, held = [], [], 0
+        if held:
+            yield pack(nodes, parts)
+
+    return docs.select(F.col("text").cast("binary")).mapInArrow(compute, "bucket int, nodes binary, kept binary")
+
+
+def _repeated(table: pa.Table) -> pa.Table:
+    """(node, shingle, many): the shingles of a bucket that more than one node holds."""
+    node = np.concatenate([np.frombuffer(n, np.int64) for n in table.column("nodes").to_pylist()])
+    width = _KEPT_BITS // 8
+    small = np.concatenate([np.frombuffer(k, np.uint8).reshape(-1, width) for k in table.column("kept").to_pylist()])
+    whole = np.zeros((len(small), 8), np.uint8)
+    whole[:, :width] = small
+    kept = whole.view("<i8").ravel()
+    by = np.lexsort((node, kept))
+    node, kept = node[by], kept[by]
+    first = np.append(True, (np.diff(kept) != 0) | (node[1:] != node[:-1]))
+    node, kept = node[first], kept[first]
+    starts = np.flatnonzero(np.append(True, np.diff(kept) != 0))
+    many = np.repeat(np.diff(np.append(starts, len(kept))), np.diff(np.append(starts, len(kept))))
+    again = many > 1
+    shingle = (int(table.column("bucket")[0].as_py()) << _KEPT_BITS) + kept[again]
+    return pa.table([pa.array(node[again]), pa.array(shingle), pa.array(many[again], pa.int64())], ["node", "shingle", "many"])
+
+
+def _nodes(docs: DataFrame, shingle_words: int, order: _Order) -> DataFrame:
+    """(doc_id, digest, node, size, counted, print, rest, cells) of each row; ``rest`` are the last shingles of its beginning."""
 
-    named = docs.select(F.col("text").cast("binary")).mapInArrow(compute, "node long, text binary")
-    return (named.join(wanted, "node", "left_semi") if listed is None else named).dropDuplicates(["node"])
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list] = [[] for _ in range(6)]
+            for text in batch.column(2):
+                every = _shingles(text.as_py(), shingle_words)
+                own = np.unique(every)
+                counted, other = order.split(own)
+                cells = np.minimum(np.bincount(own & (_CELLS - 1), minlength=_CELLS), 255).astype(np.uint8)
+                rest = other[: max(0, prefix_size(len(own)) - len(counted))]
+                for column, value in zip(rows, (_node(own), len(own), len(counted), _fingerprint(every), rest, cells.tobytes()), strict=True):
+                    column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            columns = [pa.array(r, t) for r, t in zip(rows, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), *columns], ["doc_id", "digest", "node", "size", "counted", "print", "rest", "cells"])
+
+    fields = "doc_id long, digest binary, node long, size long, counted long, print long, rest array<long>, cells binary"
+    return docs.select("doc_id", _digest().alias("digest"), F.col("text").cast("binary")).mapInArrow(compute, fields)
+
+
+def _places(nodes: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(shingle, node, size, print): the shards that each node visits, if another one does."""
+    listed = repeated.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("many", "shingle"))).alias("listed"))
+    beginning = F.col("size") + 1 - F.ceil(F.col("size") * SHARED / OUT_OF)
+    alone = F.col("counted") - F.size("listed")
+    taken = F.greatest(F.least(beginning, F.col("counted")) - alone, F.lit(0)).cast("int")
+    known = ("node", "size", "print")
+    first = nodes.join(listed, "node").select(*known, F.explode(F.slice("listed", 1, taken)).alias("_s")).select(*known, F.col("_s.shingle").alias("shingle"))
+    places = first.unionByName(nodes.select(*known, F.explode("rest").alias("shingle")))
+    places = cut_lineage(places)
+    met = places.groupBy("shingle").count().filter("count > 1").select("shingle")
+    return cut_lineage(places.join(met, "shingle", "left_semi"))
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -115,12 +219,13 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for one, other, both in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
-                least = np.minimum(np.frombuffer(one.as_py(), np.uint8), np.frombuffer(other.as_py(), np.uint8))
-                full = (least == 255).any()  # a count that doesn't fit a byte says nothing
-                keep.append(bool(full) or (SHARED + OUT_OF) * int(least.sum(dtype=np.int64)) >= SHARED * both.as_py())
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            one, other = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, _CELLS) for k in (2, 3))
+            least = np.minimum(one, other)
+            full = (least == 255).any(axis=1)  # a count that doesn't fit a byte says nothing
+            keep = full | ((SHARED + OUT_OF) * least.sum(axis=1, dtype=np.int64) >= SHARED * batch.column(4).to_numpy())
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
     left = nodes.select(F.col("node").alias("a"), F.col("cells").alias("left"), F.col("size").alias("_left"))
     right = nodes.select(F.col("node").alias("b"), F.col("cells").alias("right"), F.col("size").alias("_right"))
@@ -128,66 +233,117 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.mapInArrow(compute, "a long, b long")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, shingle_words: int) -> DataFrame:
+def _similar(pairs: DataFrame, texts: DataFrame, shingle_words: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                one, other = shingle_set(left.as_py(), shingle_words), shingle_set(right.as_py(), shingle_words)
+            keep, sets = [], {}
+            for row in range(batch.num_rows):
+                one, other = (_held(sets, batch.column(k)[row].as_py(), batch.column(k + 2)[row], shingle_words) for k in (0, 1))
                 both = len(np.intersect1d(one, other, assume_unique=True))
                 keep.append(OUT_OF * both >= SHARED * (len(one) + len(other) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = cut_lineage(_texts(docs, shingle_words, wanted))
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(compute, "a long, b long")
 
 
-def _pairs(places: DataFrame, partners: DataFrame) -> DataFrame:
-    """Distinct pairs of places and partners in a shingle, of different components and fitting sizes."""
-    other = partners.select("shingle", *[F.col(c).alias(f"_{c}") for c in ("node", "size", "component")])
+def _held(sets: dict[int, np.ndarray], node: int, text: pa.Scalar, shingle_words: int) -> np.ndarray:
+    """The set of a node, remembered for the next pairs."""
+    if node not in sets:
+        if len(sets) >= 256:
+            sets.clear()
+        sets[node] = shingle_set(text.as_py(), shingle_words)
+    return sets[node]
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text): a text of each wanted node, found by its digest."""
+    named = nodes.join(wanted, "node", "left_semi").select("node", "digest")
+    texts = docs.select(F.col("text").cast("binary").alias("text")).withColumn("digest", _digest())
+    return texts.join(named, "digest").dropDuplicates(["node"]).select("node", "text")
+
+
+def _digest() -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
+
+
+def _from_hubs(places: DataFrame, round_no: int) -> DataFrame:
+    """Pairs of every text and its shard's hub, the one with the least hash in this round."""
+    hub = F.min_by(F.struct("node", "size", "component"), F.xxhash64("node", F.lit(round_no))).alias("hub")
+    hubs = places.groupBy("shingle").agg(hub).select("shingle", *[F.col(f"hub.{c}").alias(f"_{c}") for c in ("node", "size", "component")])
     fits = (F.col("component") != F.col("_component")) & (OUT_OF * F.least("size", "_size") >= SHARED * F.greatest("size", "_size"))
-    pairs = places.join(other, "shingle").filter(fits)
+    pairs = places.join(hubs, "shingle").filter(fits)
     return pairs.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
 
 
+def _from_trees(places: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs of each shard within ``REACH`` bits, of different components and fitting sizes."""
+    blocks = F.ceil(F.col("n") / _BLOCK).cast("int")
+    sized = places.join(groups.select("shingle", blocks.alias("blocks")), "shingle")
+    tasks = max(1, -(-places.count() // _BLOCK))
+    own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    # a block meets itself and every other one
+    meetings = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"))))
+    some = F.pmod(F.xxhash64("shingle"), F.lit(tasks)).cast("long")
+    dealt = sized.withColumn("own", own).withColumn("_m", meetings).select(
+        "shingle", "node", "size", "print", "component", "own", F.col("_m.i").alias("i"), F.col("_m.j").alias("j"), F.when(F.col("blocks") > 1, F.col("shingle")).otherwise(some).alias("deal")
+    )
+
+    def search(table: pa.Table) -> pa.Table:
+        columns = {c: table.column(c).to_numpy() for c in ("shingle", "node", "size", "print", "component", "own", "i", "j")}
+        by = np.lexsort((columns["node"], columns["shingle"]))
+        columns = {c: v[by] for c, v in columns.items()}
+        prints = columns["print"].view(np.uint64)
+        cuts = np.flatnonzero(np.append(True, np.diff(columns["shingle"]) != 0)).tolist()
+        left, right = [], []
+        for low, high in zip(cuts, [*cuts[1:], len(by)], strict=True):
+            members = np.arange(low, high)
+            here, there = (members[columns["own"][low:high] == columns[side][low]] for side in ("i", "j"))
+            for a, b in close_pairs(prints, here, there, REACH):
+                one, other = columns["size"][a], columns["size"][b]
+                fits = (columns["component"][a] != columns["component"][b]) & (OUT_OF * np.minimum(one, other) >= SHARED * np.maximum(one, other))
+                left.append(columns["node"][a[fits]])
+                right.append(columns["node"][b[fits]])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *side]) for side in (left, right))
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    return dealt.groupBy("deal", "i", "j").applyInArrow(search, "a long, b long").distinct()
+
+
 def near_copies(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(component, component_id) of each component of similar texts: its smallest ``doc_id``."""
-    sets = _sets(docs, shingle_words, *_frequent(docs, shingle_words))
-    firsts = [F.first(c).alias(c) for c in ("size", "prefix", "cells")]
-    nodes = cut_lineage(sets.groupBy("node").agg(F.min("doc_id").alias("least"), *firsts))
-    places = nodes.select("node", "size", F.explode("prefix").alias("shingle"))
-    held = places.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("shingle")))
-    places = cut_lineage(held.filter("n > 1").drop("n"))
-    count, found, links, components, round_no = places.count(), True, None, None, 0
-    while True:
-        named = places if components is None else places.join(components, "node", "left")
-        named = named.withColumn("component", F.col("node") if components is None else F.coalesce("component", "node"))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    order = _Order(*_frequent(docs, shingle_words), int(size // _BUCKET_BYTES) + 1)
+    firsts = [F.first(c).alias(c) for c in ("digest", "size", "counted", "print", "rest", "cells")]
+    nodes = cut_lineage(_nodes(docs, shingle_words, order).groupBy("node").agg(F.min("doc_id").alias("least"), *firsts))
+    repeated = _packed(docs, shingle_words, order).groupBy("bucket").applyInArrow(_repeated, "node long, shingle long, many long")
+    places = _places(nodes, repeated)
+    count, found, round_no = places.count(), True, 0
+    wanted = places.select("node").distinct()
+    texts = cut_lineage(_texts(docs, nodes, wanted)) if count else None
+    components = nodes.select("node", F.col("node").alias("component"))
+    while count:
+        named = places.join(components, "node")
         groups = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
         open_groups = cut_lineage(groups.filter("low != high").select("shingle", "n"))
         left = open_groups.agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0]
         if not left:
             break
-        open_places = cut_lineage(named.join(open_groups, "shingle", "left_semi").select("shingle", "node", "size", "component"))
-        last = not found or left <= _PAIRS_A_PLACE * count
-        if last:
-            partners = open_places
-        else:
-            hub = F.min_by(F.struct("node", "size", "component"), F.xxhash64("shingle", "node", F.lit(round_no)))
-            partners = open_places.groupBy("shingle").agg(hub.alias("hub")).select("shingle", "hub.*")
-        possible = cut_lineage(_possible(_pairs(open_places, partners), nodes))
-        new = cut_lineage(_similar(possible, docs, shingle_words))
+        open_places = cut_lineage(named.join(open_groups, "shingle", "left_semi"))
+        last = round_no > 0 and (not found or left <= _PAIRS_A_PLACE * count)
+        pairs = _from_trees(open_places, open_groups) if last else _from_hubs(open_places, round_no)
+        new = cut_lineage(_similar(cut_lineage(_possible(cut_lineage(pairs), nodes)), texts, shingle_words))
         found, round_no = not new.isEmpty(), round_no + 1
         if found:
-            links = new if links is None else links.unionByName(new)
-            components = cut_lineage(connected_components(links))
+            # links between components, so that only these are merged
+            one, other = (components.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in ("a", "b"))
+            links = new.join(one, "a").join(other, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+            merged = connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("_new"))
+            components = cut_lineage(components.join(merged, "component", "left").select("node", F.coalesce("_new", "component").alias("component")))
         if last:
             break
-    if components is None:
-        return nodes.select(F.col("node").alias("component"), F.col("least").alias("component_id"))
-    named = nodes.select("node", "least").join(components, "node", "left")
-    return named.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("least").alias("component_id"))
+    return components.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))

@@ -29,13 +29,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest ``doc_id`` of each near-duplicate group, and rows without a ``doc_id``.
 
-    Texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more;
-    the fingerprints of ``op5_simhash_dedup`` have parameters of their own and aren't used here.
-    Of rows repeating a ``doc_id`` one stays.
+    Texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. SimHash
+    fingerprints of five words in vantage-point trees offer the pairs, inside shards of shared shingles; the
+    texts decide. Of rows repeating a ``doc_id`` the smallest one stays.
     """
     kept = cut_lineage(near_copies(docs).filter("component_id IS NOT NULL").select(F.col("component_id").alias("doc_id")).distinct())
-    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    rest = [c for c in docs.columns if c != "doc_id"]
+    chosen = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row"))
+    chosen = chosen.select("doc_id", *[F.col(f"_row.`{c}`").alias(c) for c in rest]).select(*docs.columns)
+    return chosen.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

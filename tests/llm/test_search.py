@@ -58,6 +58,17 @@ def test_top_k(spark, monkeypatch, seed):
     assert got == brute(whole, 10, 10)
 
 
+@pytest.mark.parametrize("scale", [3e4, 1e6, 1e30])
+def test_large_components(spark, monkeypatch, scale):
+    monkeypatch.setattr(topk, "CANDIDATES", 40)
+    draw = np.random.default_rng(4)
+    rows = [(k, [float(np.float32(x * scale)) for x in draw.normal(size=5)], 1, "x") for k in range(90)]
+    whole = {i: [math.floor(1024 * x) if abs(x) < 2**53 else 1024 * int(x) for x in v] for i, v, *_ in rows}
+    clip = lambda s: max(-(2**63), min(2**63 - 1, s))
+    want = {q: [(r, i, clip(s)) for r, i, s in found] for q, found in brute(whole, 10, 10).items()}
+    assert grouped(top_k(spark.createDataFrame(rows, DDL), F.col("vec_id") % 10 == 0)) == want
+
+
 def test_sparse_and_few_rows(spark):
     rows = [(0, [0.0, 0.0, 1.0], 1, "x"), (1, [0.0, 5.0, 0.0], 1, "x"), (2, [0.0, 0.0, 0.0], 1, "x"), (3, [0.0, 0.0, -1.0], 1, "x")]
     got = grouped(top_k(spark.createDataFrame(rows, DDL), F.col("vec_id") % 100 == 0))

@@ -39,9 +39,10 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def _merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stars with the components of the links of each batch."""
-    for frame in frames:
-        nodes, number = np.unique(frame[["a", "b"]].to_numpy(np.int64).ravel(), return_inverse=True)
+    """Stars with the components of the links of a partition, which holds about ``FILE_ROWS``."""
+    held = [frame[["a", "b"]].to_numpy(np.int64) for frame in frames]
+    if held:
+        nodes, number = np.unique(np.concatenate(held).ravel(), return_inverse=True)
         label = smallest_labels(number[0::2], number[1::2], len(nodes))
         outer = np.flatnonzero(label != np.arange(len(nodes)))
         yield pd.DataFrame({"a": nodes[outer], "b": nodes[label[outer]]})

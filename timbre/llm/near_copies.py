@@ -47,7 +47,7 @@ _SAMPLE, _FREQUENT = 2_048, 20_000
 #: Cells of the counts.
 _CELLS = 256
 #: Bytes of text whose shingles share a bucket, and shingles that a task packs at once.
-_BUCKET_BYTES, _PACKED = 16 << 20, 1 << 21
+_BUCKET_BYTES, _PACKED = 16 << 20, 1 << 19
 #: Bits of a shingle that are kept in its bucket.
 _KEPT_BITS = 40
 #: Members of a shard that meet in one task; those of small shards share tasks.
@@ -328,12 +328,15 @@ def near_copies(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFram
     components = nodes.select("node", F.col("node").alias("component"))
     while count:
         named = places.join(components, "node")
-        groups = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
-        open_groups = cut_lineage(groups.filter("low != high").select("shingle", "n"))
-        left = open_groups.agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0]
+        sizes = named.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("_n"))
+        groups = sizes.groupBy("shingle").agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("_n")).alias("_same"), F.count(F.lit(1)).alias("_parts"))
+        open_groups = cut_lineage(groups.filter("_parts > 1").select("shingle", "n", "_same"))
+        left = open_groups.agg(F.sum(F.expr("(n * n - _same) / 2"))).first()[0]
         if not left:
             break
-        open_places = cut_lineage(named.join(open_groups, "shingle", "left_semi"))
+        # shards that are of one component stay so
+        open_places = cut_lineage(named.join(open_groups.select("shingle"), "shingle", "left_semi"))
+        places = open_places.drop("component")
         last = round_no > 0 and (not found or left <= _PAIRS_A_PLACE * count)
         pairs = _from_trees(open_places, open_groups) if last else _from_hubs(open_places, round_no)
         new = cut_lineage(_similar(cut_lineage(_possible(cut_lineage(pairs), nodes)), texts, shingle_words))

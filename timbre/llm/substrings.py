@@ -2,7 +2,9 @@
 
 Windows of consecutive words that share a minimiser (the least hash of a few neighbouring words in
 the window) travel as one packed string to the bucket of that minimiser, where their windows are
-sorted and counted. Equal windows have equal minimisers, so they always meet.
+sorted and counted. Equal windows have equal minimisers, so they always meet. Phrases that a bounded sample
+of the documents holds often are taken as minimisers only where a window has no other, so no phrase
+gathers the many different passages that it stands in.
 
 Documents are dealt into batches of bounded bytes by a hash. A batch sends each distinct string
 once, with the smallest and largest ``doc_id`` it has there, so a passage that a third of all
@@ -31,7 +33,9 @@ WINDOW_WORDS = 13
 MINIMISER_WORDS = 3
 #: Text bytes of a batch, from MIN up to MAX, which is reached beyond BATCHES batches; packed bytes of a bucket.
 MIN_BATCH_BYTES, MAX_BATCH_BYTES, BATCHES = 4 << 20, 32 << 20, 2048
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 6 << 20
+#: Documents sampled for frequent phrases, how often they stand there, and how many are told to the tasks.
+SAMPLE, OFTEN, PHRASES = 4_096, 6, 100_000
 _CHUNK_BYTES = 1 << 19
 _LAST = np.iinfo(np.int64).max
 _FACTOR, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -84,7 +88,19 @@ class Cuts:
     n_words: np.ndarray
 
 
-def cut(texts: list[bytes | None], window: int) -> Cuts:
+def _ranked(phrases: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The order by which minimisers are chosen: by hash, the frequent phrases after all others."""
+    late = np.zeros(len(phrases), np.uint64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, phrases), len(frequent) - 1)
+        late = (frequent[at] == phrases).astype(np.uint64) << np.uint64(63)
+    return phrases >> np.uint64(1) | late
+
+
+_NONE = np.zeros(0, np.uint64)
+
+
+def cut(texts: list[bytes | None], window: int, frequent: np.ndarray = _NONE) -> Cuts:
     """Cut whole texts into super-k-mers; the numbers depend on the texts and their order alone."""
     joined = [b" ".join((t or b"").split()) for t in texts]
     counts = np.array([t.count(b" ") + 1 if t else 0 for t in joined], np.int64)
@@ -104,7 +120,7 @@ def cut(texts: list[bytes | None], window: int) -> Cuts:
             continue
         text = b" ".join([joined[k] for k in own]) + b" "
         starts, ends, hashes = _word_hashes(text)
-        least = _sliding_least(_rolled(hashes, width), window - width + 1)
+        least = _sliding_least(_ranked(_rolled(hashes, width), frequent), window - width + 1)
         stop = np.repeat(np.cumsum(counts[own]), counts[own])
         windows = np.flatnonzero(stop[: len(least)] - np.arange(len(least)) >= window)
         value = least[windows]
@@ -146,10 +162,10 @@ def _in_order(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
     return table.take(pa.array(order)), ids[order]
 
 
-def _send(table: pa.Table, window: int, buckets: int, batch: int) -> Iterator[tuple[int, int, bytes]]:
+def _send(table: pa.Table, window: int, buckets: int, batch: int, frequent: np.ndarray = _NONE) -> Iterator[tuple[int, int, bytes]]:
     """(bucket, batch, packed super-k-mers with their smallest and largest document)."""
     table, ids = _in_order(table)
-    cuts = cut(table.column("text").to_pylist(), window)
+    cuts = cut(table.column("text").to_pylist(), window, frequent)
     if not cuts.strings:
         return
     least, most = np.full(len(cuts.strings), _LAST), np.full(len(cuts.strings), -_LAST - 1)
@@ -226,11 +242,11 @@ def _answer(frame: pd.DataFrame, window: int) -> Iterator[tuple[int, bytes]]:
             yield int(batch[m[0]]), _pack([local[m], run_at[r], length[r], run_least[r]])
 
 
-def _cover(table: pa.Table, blobs: list[bytes], window: int) -> tuple[pa.Table, list[int], list[int], list[bytes]]:
+def _cover(table: pa.Table, blobs: list[bytes], window: int, frequent: np.ndarray = _NONE) -> tuple[pa.Table, list[int], list[int], list[bytes]]:
     """The batch's rows in order, words and removed words of each, and the texts that are left."""
     table, ids = _in_order(table)
     texts = table.column("text").to_pylist()
-    cuts = cut(texts, window)
+    cuts = cut(texts, window, frequent)
     total = int(cuts.n_words.sum())
     change = np.zeros(total + 1, np.int64)
     for blob in blobs:
@@ -258,6 +274,24 @@ def _cover(table: pa.Table, blobs: list[bytes], window: int) -> tuple[pa.Table,
     return table, cuts.n_words.tolist(), removed, left
 
 
+def frequent_phrases(docs: DataFrame, rows: int, window: int = WINDOW_WORDS) -> np.ndarray:
+    """Hashes of the phrases that stand often in a sample of the documents, ascending; they change costs only."""
+    width = min(MINIMISER_WORDS, window)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                joined = b" ".join((text.as_py() or b"").split())
+                if joined.count(b" ") + 1 >= width and joined:
+                    found, many = np.unique(_rolled(_word_hashes(joined + b" ")[2], width), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(many)], ["phrase", "n"])
+
+    texts = docs.select(F.col("text").cast("binary")).sample(min(1.0, SAMPLE / max(rows, 1)), 7)
+    counted = texts.mapInArrow(count, "phrase long, n long").groupBy("phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
+    found = [r[0] for r in counted.orderBy(F.desc("n"), "phrase").limit(PHRASES).select("phrase").collect()]
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, keep: list[str] | None = None) -> DataFrame:
     """``doc_id``, the ``keep`` columns, ``text`` (words left, joined by one space), ``n_words``, ``n_removed``.
 
@@ -265,7 +299,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, keep: list[str]
     smaller ``doc_id``. Kept columns named like the results are replaced by them.
     """
     carried = [c for c in keep or [] if c not in ("doc_id", "text", "n_words", "n_removed")]
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    facts = docs.agg(F.sum(F.octet_length("text")).alias("size"), F.count(F.lit(1)).alias("rows")).first()
+    size = facts["size"] or 0
+    frequent = frequent_phrases(docs, facts["rows"], window)
     batch_bytes = min(MAX_BATCH_BYTES, max(MIN_BATCH_BYTES, size // BATCHES))
     batches = -(-size // batch_bytes) or 1
     buckets = -(-3 * size // BUCKET_BYTES) or 1
@@ -273,14 +309,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, keep: list[str]
     dealt = docs.select("doc_id", F.col("text").cast("binary").alias("text"), *carried, key.alias("__batch"))
 
     def send(batch: tuple, table: pa.Table) -> pa.Table:
-        rows = list(_send(table, window, buckets, batch[0].as_py()))
+        rows = list(_send(table, window, buckets, batch[0].as_py(), frequent))
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "batch": pa.array([r[1] for r in rows], pa.int64()), "blob": pa.array([r[2] for r in rows], pa.binary())})
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(list(_answer(frame, window)), columns=["batch", "blob"]).astype({"batch": "int64"})
 
     def cover(rows: pa.Table, marks: pa.Table) -> pa.Table:
-        rows, words, removed, texts = _cover(rows, marks.column("blob").to_pylist(), window)
+        rows, words, removed, texts = _cover(rows, marks.column("blob").to_pylist(), window, frequent)
         columns = {c: rows.column(c) for c in ["doc_id", *carried]}
         columns |= {"text": pa.array(texts, pa.binary()), "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
         return pa.table(columns)

@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from timbre.llm import packing
 from timbre.llm import packing
 from timbre.llm.packing import _Bins, assemble, pack, tokenize_pieces, word_ids
 
@@ -78,6 +79,29 @@ def test_search_keeps_all_pieces_and_raises_squared_fill(low, high, n):
     assert sum(f * f for f in bins.fill) >= before and sum(f > 0 for f in bins.fill) <= count
 
 
+def test_partners_among_all_open_bins():
+    # best fit needs 1270 bins, partners among the fullest 64 leave them as they are
+    sizes = np.random.default_rng(1).integers(500, 1100, 3000).tolist()
+    bins = _Bins(sizes, 2048)
+    bins.best_fit()
+    assert len(bins.items) == 1270
+    bins.improve()
+    assert sum(f > 0 for f in bins.fill) <= 1239
+
+
+def test_open_bins_of_all_groups_meet(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 40)
+    sizes = np.random.default_rng(2).integers(500, 1100, 400).tolist()
+    rows = spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(sizes)], packing.PIECES_DDL)
+    found = pack(rows).collect()
+    assert sorted((r.doc_id, r.length) for r in found) == list(enumerate(sizes))
+    fills = {}
+    for r in sorted(found, key=lambda r: r.offset):
+        assert r.offset == fills.get(r.sequence_id, 0)
+        fills[r.sequence_id] = r.offset + r.length
+    assert max(fills.values()) <= 2048 and len(fills) <= 1.05 * -(-sum(sizes) // 2048) + 3
+
+
 def test_exchanges():
     bins = _Bins([6, 5, 4, 7], 10)
     for items in ([0], [1], [2], [3]):

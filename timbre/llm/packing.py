@@ -3,9 +3,10 @@
 Documents are tokenised in Arrow batches, cut into pieces of at most one sequence, and only the
 lengths of the pieces travel. Pieces are dealt into groups of bounded size by a hash; each group is
 packed best-fit by decreasing length and then improved: pieces of the emptiest bin move into fuller
-bins, or are exchanged one for one, two for one or one for two, whenever the fuller bin gets fuller.
+bins, or are exchanged one for one, two for one or one for two, whenever the fuller bin gets fuller. All
+open bins of the group are partners, through an index of their pieces and pairs.
 Every exchange increases the sum of squared fills, so the search ends. Bins that are still open are
-dealt into new groups with those of other groups, a few rounds long.
+dealt into new groups with those of other groups, until a round frees hardly a bin.
 
 Defined results: null texts count as empty, an empty document is its closing id alone; rows
 repeating a ``doc_id`` are packed row by row; a null ``doc_id`` is carried along; an empty table
@@ -33,12 +34,9 @@ SEQUENCE_TOKENS = 2048
 CLOSING_ID = 0
 #: Pieces that one task packs together.
 GROUP_PIECES = 6_000
-#: Rounds in which open bins meet those of other groups.
-MERGE_ROUNDS = 3
-#: Bins below this share of a full one meet those of other groups.
-_OPEN_BELOW = 0.95
-#: Fuller bins, fullest first, that the search tries for one giving bin.
-_TRIED = 64
+#: Open bins meet those of other groups until a round frees no more than this share of them.
+LEAST_FREED = 0.001
+_MOST_ROUNDS = 127
 #: Words whose ids a Python worker remembers.
 _REMEMBERED = 450_000
 
@@ -200,36 +198,102 @@ class _Bins:
             self.fill[a] -= size
             self.fill[b] += size
 
+    def _partner(self, giver: int, live: np.ndarray) -> int | None:
+        """The open bin, as full as the giver at least, that can take most from it; None if nothing helps.
+
+        Taking b out of a bin with a gap of g makes room for anything up to b + g, so a piece (or two) of the
+        size a is of use where b < a <= b + g. All open bins are looked at, through their pieces and pairs.
+        """
+        one, two = self._sums(giver)
+        fill = self._fills
+        takers = live[(fill[live] >= fill[giver]) & (live != giver)]
+        if not len(takers):
+            return None
+        gaps = np.full(len(fill) + 1, -1)
+        gaps[takers] = self.capacity - fill[takers]
+        widest = int(gaps.max())
+        moved = max((a for a in (*one, *two) if a <= widest), default=0)
+        best, partner = 0, None
+        if moved:
+            best, partner = moved, int(np.flatnonzero(gaps >= moved)[np.argmin(gaps[gaps >= moved])])
+        pieces = np.flatnonzero(gaps[self._bin_of] >= 0)
+        singles = (self._sizes[pieces], self._bin_of[pieces])
+        open_pairs = gaps[self._pair_bin[: self._pairs]] >= 0
+        pairs = (self._pair_sum[: self._pairs][open_pairs], self._pair_bin[: self._pairs][open_pairs])
+        for given, (taken, bins) in (((*one, *two), singles), (one, pairs)):
+            reach = taken + gaps[bins]
+            for a in sorted(set(given), reverse=True):
+                fits = (taken < a - best) & (reach >= a)
+                if fits.any():
+                    at = np.flatnonzero(fits)
+                    least = at[np.argmin(taken[at])]
+                    best, partner = a - int(taken[least]), int(bins[least])
+        return partner
+
+    def _index(self) -> None:
+        self._sizes, self._fills = np.array(self.sizes, np.int64), np.array(self.fill, np.int64)
+        self._bin_of = np.zeros(len(self.sizes), np.int64)
+        for k, items in enumerate(self.items):
+            self._bin_of[items] = k
+        self._pairs, self._pair_sum, self._pair_bin = 0, np.zeros(64, np.int64), np.zeros(64, np.int64)
+        for k in range(len(self.items)):
+            if self.fill[k] < self.capacity:
+                self._add_pairs(k)
+
+    def _add_pairs(self, k: int) -> None:
+        sums = list(self._sums(k)[1])
+        if self._pairs + len(sums) > len(self._pair_sum):  # make room, without the pairs that are no more
+            there = self._pair_bin[: self._pairs] < len(self.fill)
+            held = [x[: self._pairs][there] for x in (self._pair_sum, self._pair_bin)]
+            room = 2 * (len(held[0]) + len(sums))
+            self._pair_sum, self._pair_bin = (np.concatenate([x, np.zeros(room - len(x), np.int64)]) for x in held)
+            self._pairs = len(held[0])
+        self._pair_sum[self._pairs : self._pairs + len(sums)] = sums
+        self._pair_bin[self._pairs : self._pairs + len(sums)] = k
+        self._pairs += len(sums)
+
+    def _changed(self, k: int) -> None:
+        """The index after a bin's pieces have changed; its former pairs go to a bin that never opens."""
+        self._fills[k] = self.fill[k]
+        self._bin_of[self.items[k]] = k
+        former = self._pair_bin[: self._pairs] == k
+        self._pair_bin[: self._pairs][former] = len(self.fill)
+        if self.items[k] and self.fill[k] < self.capacity:
+            self._add_pairs(k)
+
+    def _helped(self, k: int) -> list[int]:
+        """Bins that may find a use for bin ``k`` as a taker."""
+        gap = self.capacity - self.fill[k]
+        if not gap or not self.items[k]:
+            return []
+        one, two = self._sums(k)
+        pairs, bins = self._pair_sum[: self._pairs], self._pair_bin[: self._pairs]
+        found = []
+        for taken in (0, *one):
+            found.append(self._bin_of[(self._sizes > taken) & (self._sizes <= taken + gap)])
+            found.append(bins[(pairs > taken) & (pairs <= taken + gap)])
+        for taken in two:
+            found.append(self._bin_of[(self._sizes > taken) & (self._sizes <= taken + gap)])
+        return np.unique(np.concatenate(found)).tolist()
+
     def improve(self) -> None:
         """Empty the emptiest bins into fuller ones until no exchange makes a fuller bin fuller."""
-        order = lambda k: (self.fill[k], k)
-        live = sorted((k for k in range(len(self.items)) if self.fill[k] < self.capacity), key=order)
+        self._index()
+        live = [k for k in range(len(self.items)) if self.items[k] and self.fill[k] < self.capacity]
         stuck: set[int] = set()
-        version = [0] * len(self.items)
-        failed: set[tuple[int, int, int, int]] = set()
-        while giver := next(([k] for k in live if k not in stuck), None):
-            giver, moved = giver[0], False
-            for taker in live[: -_TRIED - 1 : -1]:
-                if taker == giver or self.fill[taker] < self.fill[giver] or self.fill[taker] == self.capacity:
-                    continue
-                pair = (giver, taker, version[giver], version[taker])
-                if pair in failed:
-                    continue
-                found = self._exchange(giver, taker)
-                if not found:
-                    failed.add(pair)
-                    continue
-                self._apply(giver, taker, *found)
-                version[giver] += 1
-                version[taker] += 1
-                moved = True
-                if not self.items[giver]:
-                    break
-            if moved:  # bins that were stuck may fit what has changed
-                stuck.clear()
-                live = sorted((k for k in live if self.items[k] and self.fill[k] < self.capacity), key=order)
-            else:
+        while True:
+            giver = min((k for k in live if k not in stuck), key=lambda k: (self.fill[k], k), default=None)
+            if giver is None:
+                return
+            taker = self._partner(giver, np.array(live))
+            if taker is None:
                 stuck.add(giver)
+                continue
+            self._apply(giver, taker, *self._exchange(giver, taker))
+            self._changed(giver)
+            self._changed(taker)
+            live = [k for k in live if k not in (giver, taker) or (self.items[k] and self.fill[k] < self.capacity)]
+            stuck.difference_update((giver, taker), self._helped(giver), self._helped(taker))
 
 
 def _pack_group(pdf: pd.DataFrame, round_no: int, capacity: int) -> pd.DataFrame:
@@ -237,7 +301,7 @@ def _pack_group(pdf: pd.DataFrame, round_no: int, capacity: int) -> pd.DataFrame
     bins = _Bins(pdf["length"].tolist(), capacity)
     bins.best_fit()
     bins.improve()
-    first = (round_no << 60) + (int(pdf["_group"].iloc[0]) << 20)
+    first = (round_no << 56) + (int(pdf["_group"].iloc[0]) << 20)
     sequence, offset, fill = (np.zeros(len(pdf), np.int64) for _ in range(3))
     for k, items in enumerate(bins.items):
         at = 0
@@ -262,12 +326,18 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS) -> DataFrame:
     """Place every piece: ``sequence_id``, ``offset`` in it, and the sequence's ``fill``."""
     packed, groups = _pack_round(cut_lineage(pieces), 0, capacity)
     done = []
-    for round_no in range(1, MERGE_ROUNDS + 1):
+    for round_no in range(1, _MOST_ROUNDS + 1):
         if groups <= 1:
             break
-        is_open = F.col("fill") < _OPEN_BELOW * capacity
+        is_open = F.col("fill") < capacity
         done.append(packed.filter(~is_open))
-        packed, groups = _pack_round(cut_lineage(packed.filter(is_open)), round_no, capacity)
+        packed = cut_lineage(packed.filter(is_open))
+        again, groups = _pack_round(packed, round_no, capacity)
+        before, after = (rows.filter("offset = 0").count() for rows in (packed, again))
+        if after < before:
+            packed = again
+        if before - after <= LEAST_FREED * before:
+            break
     for frame in done:
         packed = packed.unionByName(frame)
     return packed

@@ -13,7 +13,7 @@ the cost, never a shard's sharing. A shingle is its XXH64.
 
 In a shard, every text first meets the shard's hub, the one with the least hash, for links are transitive and pairs
 inside a component need no check; another hub follows in the next round. When the open pairs are few, or
-hubs link nothing more, a vantage-point tree over the shard's fingerprints finds its pairs within ``REACH``
+hubs link hardly anything more, a vantage-point tree over the shard's fingerprints finds its pairs within ``REACH``
 bits, a large shard being cut into blocks that meet in pairs. Pairs are checked by their texts if the
 counts of both sets' shingles in ``_CELLS`` cells of hashes allow the similarity.
 
@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from timbre.llm.components import connected_components
 from timbre.llm.hamming import close_pairs
+from timbre.llm.memory import release
 from timbre.session import cut_lineage
 
 SHINGLE_WORDS = 5
@@ -50,10 +51,10 @@ _CELLS = 256
 _BUCKET_BYTES, _PACKED = 16 << 20, 1 << 19
 #: Bits of a shingle that are kept in its bucket.
 _KEPT_BITS = 40
-#: Members of a shard that meet in one task; those of small shards share tasks.
-_BLOCK = 2_048
-#: Pairs for each text's visit to a shard that are left to the trees.
-_PAIRS_A_PLACE = 4
+#: Members of a shard that meet in one task; small shards share tasks, those of one hub up to so many places.
+_BLOCK, _TASK_PLACES = 2_048, 65_536
+#: Pairs for each visit to a shard that are left to the trees; links for each visit below which hubs end.
+_PAIRS_A_PLACE, _LEAST_LINKED = 4, 0.001
 
 
 def shingle_set(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -161,6 +162,7 @@ def _packed(docs: DataFrame, shingle_words: int, order: _Order) -> DataFrame:
 
 def _repeated(table: pa.Table) -> pa.Table:
     """(node, shingle, many): the shingles of a bucket that more than one node holds."""
+    release()
     node = np.concatenate([np.frombuffer(n, np.int64) for n in table.column("nodes").to_pylist()])
     width = _KEPT_BITS // 8
     small = np.concatenate([np.frombuffer(k, np.uint8).reshape(-1, width) for k in table.column("kept").to_pylist()])
@@ -237,6 +239,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle_words: int) -> DataFram
     """The pairs (a, b) whose sets are similar enough."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             keep, sets = [], {}
             for row in range(batch.num_rows):
@@ -283,13 +286,15 @@ def _from_trees(places: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs of each shard within ``REACH`` bits, of different components and fitting sizes."""
     blocks = F.ceil(F.col("n") / _BLOCK).cast("int")
     sized = places.join(groups.select("shingle", blocks.alias("blocks")), "shingle")
-    tasks = max(1, -(-places.count() // _BLOCK))
+    # shards with one hub share most of their pairs: they go to one task, as far as it holds them, and offer each pair once
+    hubs = sized.groupBy("shingle").agg(F.min_by("node", F.xxhash64("node")).alias("hub"), F.count(F.lit(1)).alias("_n"))
+    parts = hubs.groupBy("hub").agg(F.ceil(F.sum("_n") / _TASK_PLACES).cast("int").alias("_parts"))
+    hubs = hubs.join(parts, "hub").select("shingle", F.pmod(F.xxhash64("hub", F.pmod(F.xxhash64("shingle"), "_parts")), F.lit(max(1, -(-places.count() // _BLOCK)))).alias("some"))
     own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
     # a block meets itself and every other one
     meetings = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"))))
-    some = F.pmod(F.xxhash64("shingle"), F.lit(tasks)).cast("long")
-    dealt = sized.withColumn("own", own).withColumn("_m", meetings).select(
-        "shingle", "node", "size", "print", "component", "own", F.col("_m.i").alias("i"), F.col("_m.j").alias("j"), F.when(F.col("blocks") > 1, F.col("shingle")).otherwise(some).alias("deal")
+    dealt = sized.join(hubs, "shingle").withColumn("own", own).withColumn("_m", meetings).select(
+        "shingle", "node", "size", "print", "component", "own", F.col("_m.i").alias("i"), F.col("_m.j").alias("j"), F.when(F.col("blocks") > 1, F.col("shingle")).otherwise(F.col("some")).alias("deal")
     )
 
     def search(table: pa.Table) -> pa.Table:
@@ -322,7 +327,7 @@ def near_copies(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFram
     nodes = cut_lineage(_nodes(docs, shingle_words, order).groupBy("node").agg(F.min("doc_id").alias("least"), *firsts))
     repeated = _packed(docs, shingle_words, order).groupBy("bucket").applyInArrow(_repeated, "node long, shingle long, many long")
     places = _places(nodes, repeated)
-    count, found, round_no = places.count(), True, 0
+    count, linked, round_no = places.count(), 0, 0
     wanted = places.select("node").distinct()
     texts = cut_lineage(_texts(docs, nodes, wanted)) if count else None
     components = nodes.select("node", F.col("node").alias("component"))
@@ -337,11 +342,11 @@ def near_copies(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFram
         # shards that are of one component stay so
         open_places = cut_lineage(named.join(open_groups.select("shingle"), "shingle", "left_semi"))
         places = open_places.drop("component")
-        last = round_no > 0 and (not found or left <= _PAIRS_A_PLACE * count)
+        last = round_no > 0 and (linked <= _LEAST_LINKED * count or left <= _PAIRS_A_PLACE * count)
         pairs = _from_trees(open_places, open_groups) if last else _from_hubs(open_places, round_no)
         new = cut_lineage(_similar(cut_lineage(_possible(cut_lineage(pairs), nodes)), texts, shingle_words))
-        found, round_no = not new.isEmpty(), round_no + 1
-        if found:
+        linked, round_no = new.count(), round_no + 1
+        if linked:
             # links between components, so that only these are merged
             one, other = (components.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in ("a", "b"))
             links = new.join(one, "a").join(other, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))

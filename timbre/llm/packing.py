@@ -28,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from timbre.llm.memory import held
 from timbre.session import cut_lineage
 
 SEQUENCE_TOKENS = 2048
@@ -101,7 +102,7 @@ _WORD_IDS: dict[str, WordIds] = {}
 def word_ids(path: str) -> WordIds:
     """One memory of words for each Python worker, kept from task to task."""
     if path not in _WORD_IDS:
-        _WORD_IDS[path] = WordIds(path)
+        _WORD_IDS[path] = held(WordIds(path))
     return _WORD_IDS[path]
 
 

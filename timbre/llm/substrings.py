@@ -28,6 +28,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from timbre.llm.memory import release
+
 WINDOW_WORDS = 13
 #: Words that a minimiser hashes together.
 MINIMISER_WORDS = 3
@@ -309,13 +311,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, keep: list[str]
     dealt = docs.select("doc_id", F.col("text").cast("binary").alias("text"), *carried, key.alias("__batch"))
 
     def send(batch: tuple, table: pa.Table) -> pa.Table:
+        release()
         rows = list(_send(table, window, buckets, batch[0].as_py(), frequent))
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "batch": pa.array([r[1] for r in rows], pa.int64()), "blob": pa.array([r[2] for r in rows], pa.binary())})
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
+        release()
         return pd.DataFrame(list(_answer(frame, window)), columns=["batch", "blob"]).astype({"batch": "int64"})
 
     def cover(rows: pa.Table, marks: pa.Table) -> pa.Table:
+        release()
         rows, words, removed, texts = _cover(rows, marks.column("blob").to_pylist(), window, frequent)
         columns = {c: rows.column(c) for c in ["doc_id", *carried]}
         columns |= {"text": pa.array(texts, pa.binary()), "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64())}

@@ -143,6 +143,7 @@ def _packed(docs: DataFrame, shingle_words: int, order: _Order) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["bucket", "nodes", "kept"])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         nodes, parts, held = [], [], 0
         for batch in batches:
             for text in batch.column(0):
@@ -184,6 +185,7 @@ def _nodes(docs: DataFrame, shingle_words: int, order: _Order) -> DataFrame:
     """(doc_id, digest, node, size, counted, print, rest, cells) of each row; ``rest`` are the last shingles of its beginning."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
             for text in batch.column(2):

@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from timbre.llm.memory import release
 from timbre.session import cut_lineage
 
 THRESHOLD = 0.3
@@ -208,6 +209,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: st
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
         for texts in batches:
             yield pd.Series([model.score(t) for t in texts], dtype="float64")
 

@@ -101,6 +101,20 @@ def k4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "K4_mix_down",
+    with_ctes(["waves"], f"""SELECT clip, len(p) AS frames, round((list_sum(o) + list_sum(p)) / 2, 6) AS total,
+      round(list_max(list_transform(list_zip(o, p), lambda z: (z[1] + z[2]) / 2)), 6) AS peak FROM {_ALIGNED} WHERE len(p) > 0"""),
+)
+def k4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # both versions of a clip as the channels of one
+    mono = _aligned(spark, sf_dir).select("clip", k.mix_down(F.array("orig", "proc")).alias("mono"))
+    return mono.select(
+        "clip", F.size("mono").cast("bigint").alias("frames"),
+        F.round(F.aggregate("mono", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.array_max("mono"), 6).alias("peak"),
+    )
+
+
 @query("K5_pad_min_length", with_ctes(["waves"], "SELECT clip, 64::BIGINT AS frames, round(list_sum(proc), 6) AS total, 0.0::DOUBLE + CASE WHEN clip % 9 = 0 AND clip % 50 <> 0 THEN 0.0::DOUBLE ELSE round(proc[64], 6) END AS last FROM waves"))
 def k5(spark: SparkSession, sf_dir: str) -> DataFrame:
     padded = fx.waves(spark, sf_dir).select("clip", k.pad_min_length("proc", 64).alias("p"))

@@ -317,6 +317,19 @@ def r6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.select("model", *[F.round(F.col(f"`{n}`"), 6).alias(n) for n in r.DATASET_ORDER])
 
 
+@query(
+    "R6_scores_by_dimension",
+    with_ctes(_MX, """SELECT model, CASE WHEN place = 0 THEN 'Baseline' WHEN place <= 5 THEN 'Input Robustness' ELSE 'Generation Robustness' END AS dimension,
+      count(DISTINCT place) AS datasets, round(avg(sim), 6) AS sim FROM (SELECT model, sim, dataset[3:]::INT AS place FROM metrics) GROUP BY ALL"""),
+)
+def r6_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = F.element_at(F.array(*[F.lit(n) for n in r.DATASET_ORDER]), F.substring("dataset", 3, 2).cast("int") + 1)
+    scored = fx.metrics(spark, sf_dir).select("model", "sim", named.alias("dataset"))
+    return scored.groupBy("model", r.dataset_dimension(F.col("dataset")).alias("dimension")).agg(
+        F.countDistinct("dataset").alias("datasets"), F.round(F.avg("sim"), 6).alias("sim")
+    )
+
+
 @query(
     "R7_heat_scale",
     with_ctes(_MX, """SELECT event_id, round(t, 6) AS heat, round_even(t * 100, 0)::INT AS heat_percent, t > 0.52 AS heat_flip
@@ -346,6 +359,21 @@ def r9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.withColumnRenamed("region", "dataset"))
 
 
+@query(
+    "R9_corpus_sketches",
+    "WITH speakers AS (" + fx.CTES["speakers"] + ") SELECT region AS dataset, count(*) AS pairs, count(DISTINCT speaker) AS speakers, count(DISTINCT segment) AS languages, round(avg(balance), 6) AS mean_seconds, true AS speakers_close, true AS languages_close FROM speakers GROUP BY ROLLUP (region)",
+)
+def r9_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the estimates beside the exact counts, within four standard errors of them
+    speakers = fx.speakers(spark, sf_dir)
+    columns = ("region", "speaker", "segment", "balance")
+    exact, sketched = r.corpus_stats(speakers, *columns), r.corpus_sketches(speakers, *columns)
+    kept = sketched.select(F.col("region").alias("_region"), F.col("pairs").alias("_pairs"), F.col("speakers").alias("_speakers"), F.col("languages").alias("_languages"), F.col("mean_seconds").alias("_mean"))
+    close = lambda c: (F.abs(F.col(f"_{c}") - F.col(c)) <= 4 * 1.04 / 64 * F.col(c)).alias(f"{c}_close")
+    both = exact.join(kept, exact["region"].eqNullSafe(kept["_region"]))
+    return both.select(F.col("region").alias("dataset"), F.col("_pairs").alias("pairs"), "speakers", "languages", F.round("_mean", 6).alias("mean_seconds"), close("speakers"), close("languages"))
+
+
 @query(
     "R10_long_to_wide_metrics",
     with_ctes(_MX, """SELECT model, unnest(['sim', 'wer', 'wer_ci_lower', 'wer_ci_upper']) AS metric, unnest([round(avg(sim), 6), round(avg(wer), 6), round(min(wer), 6), round(max(wer), 6)]) AS value FROM metrics GROUP BY model"""),

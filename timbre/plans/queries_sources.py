@@ -28,8 +28,10 @@ from timbre.sources.manifests import (
     read_manifest,
     read_manifest_json,
     read_manifests_json,
+    read_registry,
     write_manifest,
 )
+from timbre.sources.recordings import recording_facts
 from timbre.sources.results import (
     read_run_summaries,
     read_sample_metrics,
@@ -254,6 +256,29 @@ def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_TAKE = 64
+
+
+@query(
+    "S8_recordings_in_ranges",
+    f"""SELECT 'take' || block || '.wav' AS name, (44 + 2 * frames)::BIGINT AS bytes, 16000 AS rate, 1 AS channels, frames,
+      frames / 16000.0::DOUBLE AS duration_sec, round(total, 6) AS total, round(energy, 6) AS energy, round(peak, 6) AS peak
+    FROM (SELECT vec_id // {_TAKE} AS block, sum(len(pcm))::BIGINT AS frames, sum(list_sum(pcm)) AS total, max(list_max(pcm)) AS peak,
+      sum(list_sum(list_transform(pcm, lambda x: x * x))) AS energy FROM (SELECT vec_id, {_PCM} AS pcm FROM embeddings) GROUP BY 1)""",
+)
+def s8_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a recording of a bounded block of rows each, read in ranges that end inside it
+    block = F.floor(F.col("vec_id") / _TAKE)
+    takes = fx.table(spark, sf_dir, "embeddings").groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("rows"))
+    path = F.concat(F.lit("takes/take"), F.col("block").cast("string"), F.lit(".wav"))
+    wave = takes.select(path.alias("path"), F.flatten(F.col("rows.embedding")).alias("wave"))
+    root = scratch_path(spark, "takes")
+    write_files(wave.select("path", encode_pcm16("wave", 16_000).alias("content")), root)
+    facts = recording_facts(spark, root, range_frames=1_000)
+    sums = [F.round(c, 6).alias(c) for c in ("total", "energy", "peak")]
+    return facts.select(basename("path").alias("name"), "bytes", "rate", "channels", "frames", "duration_sec", *sums)
+
+
 @query(
     "S9_read_synthesis_timings",
     """SELECT 'out/' || user_id || '.wav' AS generated_path, arg_max(value, event_id) AS synthesis_time_sec
@@ -376,3 +401,19 @@ def s17(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     build_manifests(spark, registry, only=["DOCS", "absent"], extras=_EXTRAS)
     return read_manifest(spark, root).drop("source_manifest").withColumn("built", F.lit("docs"))
+
+
+@query("S17_build_from_configs", f"SELECT * EXCLUDE (source_manifest), '[corpus.yaml] wrote' AS status FROM ({_FILE_MANIFEST})")
+def s17_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _json_files(spark, sf_dir, "data/corpus/filelists")
+    texts = {
+        "corpus.yaml": f"name: {fx.DATASET}\nroot_path: data/corpus\n",
+        "absent.yaml": "path: data/absent\n",
+        "unasked.yaml": "name: unasked\nroot_path: data/corpus\n",
+    }
+    configs = [F.struct(F.lit(f"configs/dataset/{n}").alias("path"), F.lit(t).alias("content")) for n, t in texts.items()]
+    write_files(spark.range(1).select(F.inline(F.array(*configs))), root)
+    lines = build_manifests(spark, read_registry(spark, f"{root}/configs/dataset"), only=["CORPUS", "absent"], extras=_EXTRAS)
+    built = next((line for line in lines if " wrote " in line), "")
+    status = " ".join(built.split(" ")[:2])
+    return read_manifest(spark, f"{root}/data/corpus").drop("source_manifest").withColumn("status", F.lit(status))

@@ -103,36 +103,56 @@ def wav_header(content: Column | str) -> Column:
     )
 
 
+def format_fields(body: bytes) -> tuple[int, int, int, int] | None:
+    """(code, channels, rate, bits) of a format chunk; None if it is cut off."""
+    extended = len(body) >= 2 and struct.unpack_from("<H", body)[0] == 0xFFFE
+    if len(body) < (26 if extended else 16):
+        return None
+    code, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", body)
+    return struct.unpack_from("<H", body, 24)[0] if extended else code, channels, rate, bits
+
+
+def _channel_samples(data: bytes, code: int, channels: int, bits: int) -> np.ndarray:
+    """samples[frames, channels] of interleaved bytes; an unfinished frame is left out."""
+    if code == 3:
+        wave = np.frombuffer(data, dtype=f"<f{bits // 8}").astype(np.float64)
+    elif bits == 8:
+        wave = (np.frombuffer(data, dtype=np.uint8).astype(np.float64) - 128.0) / 128.0
+    elif bits == 24:
+        raw = np.frombuffer(data[: len(data) // 3 * 3], dtype=np.uint8).reshape(-1, 3).astype(np.int32)
+        joined = raw[:, 0] | (raw[:, 1] << 8) | (raw[:, 2] << 16)
+        wave = ((joined ^ 0x800000) - 0x800000) / 8388608.0
+    else:
+        wave = np.frombuffer(data, dtype=f"<i{bits // 8}") / float(1 << (bits - 1))
+    frames = wave.size // channels
+    return wave[: frames * channels].reshape(frames, channels)
+
+
+def mono_samples(data: bytes, code: int, channels: int, bits: int) -> np.ndarray:
+    """Mean over channels, as 32-bit floats."""
+    wave = _channel_samples(data, code, channels, bits)
+    return (wave.mean(axis=1) if len(wave) else np.zeros(0)).astype(np.float32)
+
+
 def _parse_wav(content: bytes) -> tuple[int, int, np.ndarray]:
     """(rate, channels, samples[frames, channels]); walks the chunks of one file."""
     if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
         raise ValueError("not a RIFF/WAVE file")
-    fmt, data, at = None, None, 12
+    fields, data, at = None, None, 12
     while at + 8 <= len(content):
         tag, size = content[at : at + 4], struct.unpack_from("<I", content, at + 4)[0]
         body = content[at + 8 : at + 8 + size]
         if tag == b"fmt ":
-            fmt = struct.unpack_from("<HHIIHH", body)
-            if fmt[0] == 0xFFFE:
-                fmt = (struct.unpack_from("<H", body, 24)[0], *fmt[1:])
+            fields = format_fields(body)
+            if fields is None:
+                raise ValueError("format chunk is cut off")
         elif tag == b"data":
             data = body
         at += 8 + size + (size & 1)
-    if fmt is None or data is None:
+    if fields is None or data is None:
         raise ValueError("missing fmt or data chunk")
-    code, channels, rate, _, _, bits = fmt
-    if code == 3:
-        wave = np.frombuffer(data, dtype=f"<f{bits // 8}").astype(np.float64)
-    elif bits == 8:
-        wave = (np.frombuffer(data, dtype=np.uint8).astype(np.float64) - 128.0) / 128.0
-    elif bits == 24:
-        raw = np.frombuffer(data[: len(data) // 3 * 3], dtype=np.uint8).reshape(-1, 3).astype(np.int32)
-        joined = raw[:, 0] | (raw[:, 1] << 8) | (raw[:, 2] << 16)
-        wave = ((joined ^ 0x800000) - 0x800000) / 8388608.0
-    else:
-        wave = np.frombuffer(data, dtype=f"<i{bits // 8}") / float(1 << (bits - 1))
-    frames = wave.size // channels
-    return rate, channels, wave[: frames * channels].reshape(frames, channels)
+    code, channels, rate, bits = fields
+    return rate, channels, _channel_samples(data, code, channels, bits)
 
 
 def decode_wav(files: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from timbre.functions.expr import basename
@@ -115,6 +117,35 @@ def write_manifest(df: DataFrame, root: str, force: bool = False, manifest_name:
     return True, f"wrote {seen.get['rows']} rows -> {target}"
 
 
+def read_registry(spark: SparkSession, config_dir: str) -> list[dict[str, str]]:
+    """The datasets that the YAML files of a folder describe, for :func:`build_manifests`; one entry a file, by name.
+
+    The key is the file's stem. ``root_path``, or else ``path``, is taken from the folder two levels above
+    ``config_dir`` unless it is absolute; without either the root is empty. The name is ``name``, else the root's last
+    part, else the stem. A file that isn't a YAML mapping ends the read. The folder lists configured
+    datasets, not data, so its texts come to the driver.
+    """
+    try:
+        import yaml
+    except ImportError as missing:
+        raise RuntimeError("configuration files need PyYAML") from missing
+    folder = config_dir.rstrip("/")
+    base = folder.rsplit("/", 2)[0]
+    files = list_files(spark, folder, recursive=False).select("path").filter(F.col("path").endswith(".yaml"))
+    registry = []
+    for row in _named(file_contents(spark, files, folder)).collect():
+        data = yaml.safe_load(row["content"]) or {}
+        if not isinstance(data, dict):
+            raise ValueError(f"{row['source_manifest']} is not a mapping")
+        root = str(data.get("root_path") or data.get("path") or "")
+        if root and not root.startswith("/") and not urlsplit(root).scheme:
+            root = f"{base}/{root.removeprefix('./')}"
+        key = row["source_manifest"].removesuffix(".yaml")
+        name = str(data.get("name") or root.rstrip("/").rsplit("/", 1)[-1] or key.lower())
+        registry.append({"key": key, "name": name, "root_path": root, "file": row["source_manifest"]})
+    return sorted(registry, key=lambda e: e["file"])
+
+
 def build_manifests(
     spark: SparkSession,
     registry: list[dict[str, str]],
@@ -124,21 +155,21 @@ def build_manifests(
 ) -> list[str]:
     """Build the canonical manifest of every registered dataset; one status line each.
 
-    ``registry`` rows carry ``key``, ``name`` and ``root_path``; ``only`` selects keys without
-    regard to case. The loop runs over configured datasets, the data work is Spark's.
+    ``registry`` rows carry ``key``, ``name`` and ``root_path``, and ``file`` if they were read from one, by which
+    the lines then go; ``only`` selects keys without regard to case. The loop runs over configured datasets, the data work is Spark's.
     """
     wanted = {k.lower() for k in only or []}
     lines = []
-    for entry in sorted(registry, key=lambda e: e["key"]):
+    for entry in sorted(registry, key=lambda e: e.get("file", e["key"])):
         if wanted and entry["key"].lower() not in wanted:
             continue
         root = entry["root_path"]
-        if not _exists(spark, root):
+        if not root or not _exists(spark, root):
             status = f"skip missing root: {root}"
         elif not _exists(spark, f"{root}/filelists"):
             status = f"skip no filelists: {root}"
         else:
             name = entry.get("name") or root.rstrip("/").rsplit("/", 1)[-1] or entry["key"]
             status = write_manifest(read_legacy_manifests(spark, root, name, extras=extras), root, force)[1]
-        lines.append(f"[{entry['key']}] {status}")
+        lines.append(f"[{entry.get('file', entry['key'])}] {status}")
     return lines

@@ -1,4 +1,4 @@
-"""Recordings in ranges, datasets from configuration files, sketches."""
+"""Recordings in ranges, datasets from configuration files, sketches, batch generators."""
 
 import struct
 
@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from timbre.operators import reports
+from timbre.operators import reports, scoring
 from timbre.sources import audio, manifests, recordings
 
 
@@ -110,3 +110,24 @@ def test_sketches_merge_over_datasets(spark):
         assert abs(got[key]["speakers"] - row["speakers"]) <= 0.065 * row["speakers"]
         assert got[key]["languages"] == row["languages"] == 1 and got[key]["mean_seconds"] == row["mean_seconds"] == 2.0
     assert reports.corpus_sketches(rows.limit(0), "d", "s", "l", "t").filter("pairs > 0").count() == 0
+
+
+def test_a_failing_request_leaves_its_batch_alone(spark):
+    def loader():
+        def generate(batch):
+            assert 0 < len(batch) <= 8
+            if (batch["id"] % 10 == 3).any():
+                raise RuntimeError("no voice")
+            waves = [(np.array([float(i), -2.0, np.nan]), 8000) for i in batch["id"]]
+            return waves[:-1] if 20 in set(batch["id"]) else waves  # one result too few
+
+        return generate
+
+    requests = spark.range(40).withColumn("output_path", F.concat(F.lit("o"), F.col("id").cast("string")))
+    rows = {int(r["output_path"][1:]): r for r in scoring.synthesize_batches(requests, loader, batch_rows=8).collect()}
+    assert sorted(rows) == list(range(40))
+    assert {i for i, r in rows.items() if r["error"] == "no voice" and r["samples"] is None} == {3, 13, 23, 33}
+    assert "0 results for 1" in rows[20]["error"]
+    good = [r for i, r in rows.items() if i % 10 != 3 and i != 20]
+    assert all(r["samples"] == [min(float(r["output_path"][1:]), 1.0), -1.0, 0.0] and r["rate"] == 8000 and r["synthesis_time_sec"] >= 0 and r["error"] is None for r in good)
+    assert scoring.synthesize_batches(requests.limit(0), loader).count() == 0

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -61,15 +61,35 @@ def score_distinct(df: DataFrame, keys: list[str], scorers: dict[str, tuple[Load
     return df.join(scored, keys, "left")
 
 
-def synthesize(
+def _generated(generate: Callable[[pd.DataFrame], Iterable[tuple[np.ndarray, int]]], batch: pd.DataFrame) -> list[tuple]:
+    """(samples, rate, seconds, error) of each request; a batch that fails is halved, down to the requests that fail."""
+    if not len(batch):
+        return []
+    started = time.perf_counter()
+    try:
+        made = [(np.clip(np.nan_to_num(np.asarray(wave, dtype=np.float32)), -1.0, 1.0), int(rate)) for wave, rate in generate(batch)]
+        if len(made) != len(batch):
+            raise ValueError(f"{len(made)} results for {len(batch)} requests")
+        seconds = (time.perf_counter() - started) / len(batch)
+        return [(wave, rate, seconds, None) for wave, rate in made]
+    except Exception as exc:
+        if len(batch) == 1:
+            return [(None, None, None, str(exc))]
+        middle = len(batch) // 2
+        return [row for part in (batch.iloc[:middle], batch.iloc[middle:]) for row in _generated(generate, part.reset_index(drop=True))]
+
+
+def synthesize_batches(
     requests: DataFrame,
-    loader: Callable[[], Callable[[pd.Series], tuple[np.ndarray, int]]],
+    loader: Callable[[], Callable[[pd.DataFrame], Iterable[tuple[np.ndarray, int]]]],
     output_path: str = "output_path",
+    batch_rows: int = 32,
 ) -> DataFrame:
-    """Run a generator over a request table.
+    """Run a generator over a request table, at most ``batch_rows`` requests a call.
 
-    Returns ``(output_path, samples, rate, synthesis_time_sec, error)``; a failing request has
-    NULL samples and the message instead. Samples are made finite and clipped to [-1, 1].
+    The generator returns (wave, rate) for each row it is given. Returns ``(output_path, samples, rate,
+    synthesis_time_sec, error)``; a failing request has NULL samples and the message instead, whatever it was called
+    with. The time of a call is shared by its requests. Samples are made finite and clipped to [-1, 1].
     """
     schema = (
         "output_path string, samples array<float>, rate int, synthesis_time_sec double, error string"
@@ -78,23 +98,27 @@ def synthesize(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generate = loader()
         for batch in batches:
-            rows = []
-            for _, request in batch.iterrows():
-                started = time.perf_counter()
-                try:
-                    wave, rate = generate(request)
-                    elapsed = time.perf_counter() - started
-                    wave = np.clip(np.nan_to_num(np.asarray(wave, dtype=np.float32)), -1.0, 1.0)
-                    rows.append((request[output_path], wave, int(rate), elapsed, None))
-                except Exception as exc:
-                    rows.append((request[output_path], None, None, None, str(exc)))
-            yield pd.DataFrame(
-                rows, columns=["output_path", "samples", "rate", "synthesis_time_sec", "error"]
-            ).astype({"rate": "Int32"})
+            for at in range(0, len(batch), batch_rows):
+                part = batch.iloc[at : at + batch_rows].reset_index(drop=True)
+                rows = pd.DataFrame(_generated(generate, part), columns=["samples", "rate", "synthesis_time_sec", "error"])
+                rows.insert(0, "output_path", part[output_path])
+                yield rows.astype({"rate": "Int32"})
 
     return requests.mapInPandas(run, schema)
 
 
+def synthesize(
+    requests: DataFrame, loader: Callable[[], Callable[[dict], tuple[np.ndarray, int]]], output_path: str = "output_path"
+) -> DataFrame:
+    """:func:`synthesize_batches` for a generator that takes one request, a mapping of its columns, and is timed by itself."""
+
+    def load() -> Callable[[pd.DataFrame], Iterable[tuple[np.ndarray, int]]]:
+        generate = loader()
+        return lambda batch: [generate(request) for request in batch.to_dict("records")]
+
+    return synthesize_batches(requests, load, output_path, batch_rows=1)
+
+
 def synthesis_counts(results: DataFrame) -> DataFrame:
     """Requests, completed and failed rows of :func:`synthesize`."""
     return results.agg(

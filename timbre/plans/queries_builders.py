@@ -352,7 +352,7 @@ def u2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tone_generator():
-    def generate(request: pd.Series) -> tuple[np.ndarray, int]:
+    def generate(request: dict) -> tuple[np.ndarray, int]:
         if request["index"] % 10 == 0:
             raise RuntimeError("no voice")
         return np.array([len(request["text"]), np.nan, -3.0, 0.5]), 16_000
@@ -374,3 +374,29 @@ def u3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.sum(F.aggregate(samples, F.lit(0.0), lambda a, x: a + x)), 6).alias("total"),
         F.count("synthesis_time_sec").alias("timed"),
     )
+
+
+def _batch_generator():
+    def generate(batch: pd.DataFrame) -> list[tuple[np.ndarray, int]]:
+        if (batch["index"] % 100 == 0).any():
+            raise RuntimeError("no voice")
+        return [(np.append(np.full(int(i) % 7, 0.25), np.nan), 8_000) for i in batch["index"]]
+
+    return generate
+
+
+@query(
+    "U3_synthesize_batches",
+    with_ctes(["legacy", "manifest", "samples"], """SELECT 'generated_audio/' || speaker_id || '/utt' || doc_id || CASE WHEN target_path = prompt_path THEN '_to_utt' || doc_id
+        ELSE '_to_utt' || (doc_id + 1) END || '_cloned.wav' AS output_path,
+      CASE WHEN "index" % 100 <> 0 THEN "index" % 7 + 1 END::BIGINT AS frames, CASE WHEN "index" % 100 <> 0 THEN ("index" % 7) * 0.25::DOUBLE END AS total,
+      CASE WHEN "index" % 100 <> 0 THEN 8000 END AS rate, CASE WHEN "index" % 100 = 0 THEN 'no voice' END AS error, "index" % 100 <> 0 AS timed FROM samples"""),
+)
+def u3_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a request that fails takes no other one of its batch along
+    made = sc.synthesize_batches(synthesis_requests(fx.samples(spark, sf_dir)), _batch_generator)
+    samples = F.transform("samples", lambda x: x.cast("double"))
+    return made.select(
+        "output_path", F.size("samples").cast("bigint").alias("frames"), F.aggregate(samples, F.lit(0.0), lambda a, x: a + x).alias("total"),
+        "rate", "error", F.col("synthesis_time_sec").isNotNull().alias("timed"),
+    )

@@ -18,16 +18,22 @@ from timbre.session import cut_lineage
 
 _PARTITION_SHIFT = 33
 _ROW_MASK = (1 << _PARTITION_SHIFT) - 1
+#: Partitions for each split of a file whose rows are spread.
+_PARTITIONS_A_SPLIT = 4
 
 
 def spread_scan(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition a scan that has fewer partitions than the cluster has cores.
+    """Hash-partition a scan that may leave cores idle, for expensive work on each row.
 
-    Expensive per-row work on one small file would otherwise run in one task. A scan with enough
-    splits is returned unchanged, so nothing is shuffled at scale.
+    A split of a file is empty unless a block of rows begins in it, and one block may hold the whole file, so
+    splits say little about a few files: their rows go to some partitions for each split. Scans of many
+    files, and others with enough partitions, are returned unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    splits, files = df.rdd.getNumPartitions(), len(df.inputFiles())
+    if splits >= cores and (not files or files >= _PARTITIONS_A_SPLIT * cores):
+        return df
+    return df.repartition(max(cores, _PARTITIONS_A_SPLIT * splits if files else cores), *keys)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

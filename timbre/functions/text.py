@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from timbre.functions.expr import SPACE, col, literal_map, stem, strip, suffix
+from timbre.operators.ordering import spread
 
 # --- fixed values ------------------------------------------------------------
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -136,6 +141,8 @@ ZH_INTERJECTIONS = {"嗯": "恩", "呣": "母"}
 ZH_KEEP = r"\x{4e00}-\x{9fa5}"
 JP_KEEP = r"\x{3040}-\x{309f}\x{30a0}-\x{30ff}\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{3005}"
 LETTER_PHONE_TONE = 3
+#: Texts whose phonemes a task holds at once.
+_TEXTS = 256
 # -----------------------------------------------------------------------------
 
 
@@ -308,34 +315,66 @@ def lexicon_phonemes(df: DataFrame, key: str, text: str, lexicon: DataFrame, sym
     )
     looked = stream.join(entries, F.upper("_word") == F.col("_entry"), "left")
     hit = F.when(F.col("_entry").isNotNull(), F.struct("_word", "_found"))
-    texts = looked.groupBy(key).agg(
-        F.first("_tokens", ignorenulls=True).alias("_tokens"), F.map_from_entries(F.collect_list(hit)).alias("_map")
+    # words and marks are few bytes for what they become: partitions are not merged by their bytes
+    texts = spread(looked, key).groupBy(key).agg(
+        F.coalesce(F.first("_tokens", ignorenulls=True), F.array().cast("array<string>")).alias("_tokens"),
+        F.map_from_entries(F.collect_list(hit)).alias("_map"),
     )
-    is_mark = lambda w: w.isin(SPEECH_SYMBOLS)
-    silent = F.struct(F.lit(None).cast("string").alias("phones"), F.lit(None).cast("string").alias("tones"), F.lit(0).alias("n"))
+    marks = {m: _repaired(m, symbols) for m in SPEECH_SYMBOLS}
 
-    def spoken(word: Column) -> Column:
-        mark = F.struct(repair_symbol(word, symbols).alias("phones"), F.lit("0").alias("tones"), F.lit(1).alias("n"))
-        return F.when(is_mark(word), mark).otherwise(F.coalesce(F.try_element_at("_map", word), silent))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _TEXTS):
+                part = batch.slice(at, _TEXTS)
+                columns = _in_place(part.column("_tokens"), part.column("_map"), marks)
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], [key, "phones", "tones", "word2ph", "oov"])
 
-    missing = F.filter("_tokens", lambda w: ~is_mark(w) & ~F.map_contains_key("_map", w))
-    grouped = texts.withColumn("_tokens", F.coalesce("_tokens", F.array().cast("array<string>"))).select(
-        key, F.transform("_tokens", spoken).alias("_words"), F.size(missing).cast("bigint").alias("oov")
-    )
+    kept = T.StructType([texts.schema[key], *T._parse_datatype_string("phones array<string>, tones array<int>, word2ph array<int>, oov long")])
+    return texts.mapInArrow(read, kept)
 
-    def spread_out(field: str) -> Column:
-        # array_join skips the NULLs of words without phones
-        joined = F.nullif(F.array_join(F.transform("_words", lambda w: w[field]), " "), F.lit(""))
-        return F.coalesce(F.split(joined, " "), F.array().cast("array<string>"))
-
-    edge, one, zero = F.array(F.lit("_")), F.array(F.lit(1)), F.array(F.lit(0))
-    return grouped.select(
-        key,
-        F.concat(edge, spread_out("phones"), edge).alias("phones"),
-        F.concat(zero, spread_out("tones").cast("array<int>"), zero).alias("tones"),
-        F.concat(one, F.transform("_words", lambda w: w["n"]), one).alias("word2ph"),
-        "oov",
-    )
+
+def _repaired(phone: str, symbols: list[str]) -> str:
+    mapped = PHONE_REPAIRS.get(phone, phone)
+    return mapped if mapped in symbols else "UNK"
+
+
+def _in_place(tokens: pa.ListArray, maps: pa.MapArray, marks: dict[str, str]) -> list[pa.Array]:
+    """The phones, tones, counts and number of unknown words of each text, an edge before and behind it.
+
+    Every distinct token is spelled once; the texts take these spellings in the order of their tokens.
+    """
+    known = {}
+    for word, found in zip(maps.keys.to_pylist(), maps.items.to_pylist(), strict=True):
+        known[word] = found
+    coded = tokens.flatten().dictionary_encode()
+    spelled = [(["_"], [0], 1, False)]  # the edge
+    for word in coded.dictionary.to_pylist():
+        if word in marks:
+            spelled.append(([marks[word]], [0], 1, False))
+        elif word in known:
+            found = known[word]
+            phones, tones = (found[c].split(" ") if found[c] else [] for c in ("phones", "tones"))
+            spelled.append((phones, [int(tone) for tone in tones], found["n"], False))
+        else:
+            spelled.append(([], [], 0, True))
+    phones, tones, counts, unknown = zip(*spelled, strict=True)
+    sizes = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.append(0, np.cumsum(sizes + 2))
+    at = np.zeros(int(ends[-1]), np.int64)
+    inside = np.ones(len(at), bool)
+    inside[ends[:-1]] = inside[ends[1:] - 1] = False
+    at[inside] = coded.indices.to_numpy(zero_copy_only=False) + 1
+
+    def lists(values: pa.Array, cuts: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)
+
+    def taken(each: tuple[list, ...], kind: pa.DataType) -> pa.ListArray:
+        cuts = np.append(0, np.cumsum(np.array([len(e) for e in each], np.int64)[at]))
+        return lists(pa.array(each, pa.list_(kind)).take(pa.array(at)).flatten(), cuts[ends])
+
+    missing = np.append(0, np.cumsum(np.array(unknown, np.int64)[at]))
+    columns = [taken(phones, pa.string()), taken(tones, pa.int32()), lists(pa.array(counts, pa.int32()).take(pa.array(at)), ends)]
+    return [*columns, pa.array(missing[ends[1:]] - missing[ends[:-1]], pa.int64())]
 
 
 def sanitize(value: Column | str, kind: str) -> Column:

@@ -7,11 +7,14 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 # A loader builds the scorer once per task; the scorer maps a batch to one value per row.
 Scorer = Callable[[pd.DataFrame], "pd.Series"]
 Loader = Callable[[], Scorer]
+#: Requests that are Python objects at once, and samples of results that are held.
+_REQUESTS, _SAMPLES = 512, 1 << 22
 
 
 def _isolated(scorer: Scorer, batch: pd.DataFrame) -> pd.Series:
@@ -61,13 +64,17 @@ def score_distinct(df: DataFrame, keys: list[str], scorers: dict[str, tuple[Load
     return df.join(scored, keys, "left")
 
 
+def _made(wave: np.ndarray, rate: int) -> tuple[np.ndarray, int]:
+    return np.clip(np.nan_to_num(np.asarray(wave, dtype=np.float32)), -1.0, 1.0), int(rate)
+
+
 def _generated(generate: Callable[[pd.DataFrame], Iterable[tuple[np.ndarray, int]]], batch: pd.DataFrame) -> list[tuple]:
     """(samples, rate, seconds, error) of each request; a batch that fails is halved, down to the requests that fail."""
     if not len(batch):
         return []
     started = time.perf_counter()
     try:
-        made = [(np.clip(np.nan_to_num(np.asarray(wave, dtype=np.float32)), -1.0, 1.0), int(rate)) for wave, rate in generate(batch)]
+        made = [_made(wave, rate) for wave, rate in generate(batch)]
         if len(made) != len(batch):
             raise ValueError(f"{len(made)} results for {len(batch)} requests")
         seconds = (time.perf_counter() - started) / len(batch)
@@ -79,6 +86,46 @@ def _generated(generate: Callable[[pd.DataFrame], Iterable[tuple[np.ndarray, int
         return [row for part in (batch.iloc[:middle], batch.iloc[middle:]) for row in _generated(generate, part.reset_index(drop=True))]
 
 
+def _generated_alone(generate: Callable[[dict], tuple[np.ndarray, int]], request: dict) -> tuple:
+    """(samples, rate, seconds, error) of one request."""
+    started = time.perf_counter()
+    try:
+        wave, rate = _made(*generate(request))
+        return wave, rate, time.perf_counter() - started, None
+    except Exception as exc:
+        return None, None, None, str(exc)
+
+
+def _synthesized(requests: DataFrame, loader: Callable[[], Callable], run: Callable[..., Iterator[tuple]], output_path: str) -> DataFrame:
+    """The rows that ``run`` makes of a part of the requests with what ``loader`` returns, one for each request.
+
+    Only so many requests at a time become Python objects, and results go on when they hold so many samples.
+    """
+    schema = "output_path string, samples array<float>, rate int, synthesis_time_sec double, error string"
+    kinds = [pa.string(), pa.list_(pa.float32()), pa.int32(), pa.float64(), pa.string()]
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        generate = loader()
+        for batch in batches:
+            for at in range(0, batch.num_rows, _REQUESTS):
+                part = pa.Table.from_batches([batch.slice(at, _REQUESTS)])
+                paths, rows, held = part.column(output_path).to_pylist(), [], 0
+                for path, row in zip(paths, run(generate, part.to_pandas(integer_object_nulls=True)), strict=True):
+                    rows.append((path, *row))
+                    held += 0 if row[0] is None else row[0].size
+                    if held >= _SAMPLES:
+                        yield packed(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield packed(rows)
+
+    return requests.mapInArrow(compute, schema)
+
+
 def synthesize_batches(
     requests: DataFrame,
     loader: Callable[[], Callable[[pd.DataFrame], Iterable[tuple[np.ndarray, int]]]],
@@ -91,20 +138,12 @@ def synthesize_batches(
     synthesis_time_sec, error)``; a failing request has NULL samples and the message instead, whatever it was called
     with. The time of a call is shared by its requests. Samples are made finite and clipped to [-1, 1].
     """
-    schema = (
-        "output_path string, samples array<float>, rate int, synthesis_time_sec double, error string"
-    )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        generate = loader()
-        for batch in batches:
-            for at in range(0, len(batch), batch_rows):
-                part = batch.iloc[at : at + batch_rows].reset_index(drop=True)
-                rows = pd.DataFrame(_generated(generate, part), columns=["samples", "rate", "synthesis_time_sec", "error"])
-                rows.insert(0, "output_path", part[output_path])
-                yield rows.astype({"rate": "Int32"})
+    def run(generate: Callable[[pd.DataFrame], Iterable[tuple[np.ndarray, int]]], part: pd.DataFrame) -> Iterator[tuple]:
+        for at in range(0, len(part), batch_rows):
+            yield from _generated(generate, part.iloc[at : at + batch_rows].reset_index(drop=True))
 
-    return requests.mapInPandas(run, schema)
+    return _synthesized(requests, loader, run, output_path)
 
 
 def synthesize(
@@ -112,11 +151,10 @@ def synthesize(
 ) -> DataFrame:
     """:func:`synthesize_batches` for a generator that takes one request, a mapping of its columns, and is timed by itself."""
 
-    def load() -> Callable[[pd.DataFrame], Iterable[tuple[np.ndarray, int]]]:
-        generate = loader()
-        return lambda batch: [generate(request) for request in batch.to_dict("records")]
+    def run(generate: Callable[[dict], tuple[np.ndarray, int]], part: pd.DataFrame) -> Iterator[tuple]:
+        return (_generated_alone(generate, request) for request in part.to_dict("records"))
 
-    return synthesize_batches(requests, load, output_path, batch_rows=1)
+    return _synthesized(requests, loader, run, output_path)
 
 
 def synthesis_counts(results: DataFrame) -> DataFrame:

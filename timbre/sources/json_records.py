@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from timbre.functions.expr import basename
 from timbre.schema import FALSY, LEGACY_TO_CANONICAL, MANIFEST_COLUMNS
-from timbre.sources.splits import SPLIT_BYTES, json_objects
+from timbre.sources.listing import opened
+from timbre.sources.splits import SPLIT_BYTES, batched, json_objects
 
 
 def value_text(value: object) -> str:
@@ -22,6 +23,7 @@ def value_text(value: object) -> str:
 
 
 _FIELDS = f"fields map<string,string>, `{FALSY}` array<string>"
+_ROWS = f"source_manifest string, source_row long, {_FIELDS}"
 
 
 def _columns(items: list[dict]) -> list[pa.Array]:
@@ -41,16 +43,37 @@ def json_records(payloads: DataFrame, extras: list[str] | None = None) -> DataFr
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    payload = json.loads(content)
-                except (TypeError, ValueError, RecursionError):
-                    continue
-                items = [i for i in payload if isinstance(i, dict)] if isinstance(payload, list) else []
-                columns = [pa.array([name] * len(items), pa.string()), pa.array(range(len(items)), pa.int64()), *_columns(items)]
-                yield pa.RecordBatch.from_arrays(columns, ["source_manifest", "source_row", "fields", FALSY])
-
-    return _shaped(payloads.select("source_manifest", "content").mapInArrow(read, f"source_manifest string, source_row long, {_FIELDS}"), extras)
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):  # one at a time: contents may be large
+                yield from _rows(name.as_py(), content.as_py())
+
+    return _shaped(payloads.select("source_manifest", "content").mapInArrow(read, _ROWS), extras)
+
+
+def json_folder_records(files: DataFrame, extras: list[str] | None = None) -> DataFrame:
+    """:func:`json_records` of files (``path``) that one of Arrow's file systems knows, each read where it is parsed."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, inner, _ = opened(path)
+                with system.open_input_stream(inner) as stream:
+                    content = stream.read().decode()
+                yield from _rows(path.rsplit("/", 1)[-1], content)
+
+    spread = files.select("path").repartition(files.sparkSession.sparkContext.defaultParallelism, "path")
+    return _shaped(spread.mapInArrow(read, _ROWS), extras)
+
+
+def _rows(name: str, content: str | None) -> Iterator[pa.RecordBatch]:
+    try:
+        payload = json.loads(content)
+    except (TypeError, ValueError, RecursionError):
+        return
+    items, number = (i for i in payload if isinstance(i, dict)) if isinstance(payload, list) else (), 0
+    for held in batched(items):
+        columns = [pa.array([name] * len(held), pa.string()), pa.array(range(number, number + len(held)), pa.int64()), *_columns(held)]
+        number += len(held)
+        yield pa.RecordBatch.from_arrays(columns, ["source_manifest", "source_row", "fields", FALSY])
 
 
 def json_file_records(files: DataFrame, extras: list[str] | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from timbre.functions.expr import basename
@@ -145,18 +146,18 @@ def write_files(rows: DataFrame, root: str) -> int:
     A file is written beside its place and then moved there, so a repeated task leaves whole files.
     """
 
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         attempt = TaskContext.get().taskAttemptId()
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 system, inner, _ = opened(f"{root.rstrip('/')}/{path}")
                 system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
                 with system.open_output_stream(f"{inner}.{attempt}.part") as stream:
-                    stream.write(bytes(content))
+                    stream.write(content.as_buffer())
                 system.move(f"{inner}.{attempt}.part", inner)
-            yield pd.DataFrame({"written": [len(frame)]})
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["written"])
 
-    done = rows.select("path", F.col("content").cast("binary")).mapInPandas(write, "written long")
+    done = rows.select("path", F.col("content").cast("binary")).mapInArrow(write, "written long")
     return done.agg(F.sum("written")).first()[0] or 0

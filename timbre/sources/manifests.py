@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from timbre.functions.expr import basename
 from timbre.operators.manifest import canonicalize, filter_speaker, order_columns, with_missing_columns
 from timbre.schema import FILE_ORDER, MANIFEST_NAME
-from timbre.sources.json_records import json_file_records, json_records
+from timbre.sources.json_records import json_file_records, json_folder_records, json_records
 from timbre.sources.listing import file_contents, known_to_arrow, list_files, with_bytes
 from timbre.sources.splits import SPLIT_BYTES
 
@@ -51,11 +51,10 @@ def _named(read: DataFrame) -> DataFrame:
     return read.select(basename("path").alias("source_manifest"), F.col("content").cast("string").alias("content"))
 
 
-def legacy_payloads(spark: SparkSession, root: str, speaker: str | None = None) -> DataFrame:
-    """``(source_manifest, content)`` of the legacy files, skipping hidden and combined ones."""
-    folder = f"{root}/filelists"
-    files = list_files(spark, folder, recursive=False).withColumn("source_manifest", basename("path"))
-    return _named(file_contents(spark, keep_legacy_names(files, speaker).select("path"), folder))
+def legacy_files(spark: SparkSession, root: str, speaker: str | None = None) -> DataFrame:
+    """The ``path`` of the legacy files, skipping hidden and combined ones."""
+    files = list_files(spark, f"{root}/filelists", recursive=False).withColumn("source_manifest", basename("path"))
+    return keep_legacy_names(files, speaker).select("path")
 
 
 def keep_legacy_names(named: DataFrame, speaker: str | None = None) -> DataFrame:
@@ -72,7 +71,12 @@ def read_legacy_manifests(
     extras: list[str] | None = None,
 ) -> DataFrame:
     """All legacy per-speaker files of a dataset, canonicalised."""
-    return canonicalize(json_records(legacy_payloads(spark, root, speaker), extras), dataset)
+    files = legacy_files(spark, root, speaker)
+    if known_to_arrow(root):
+        records = json_folder_records(files, extras)
+    else:
+        records = json_records(_named(file_contents(spark, files, f"{root}/filelists")), extras)
+    return canonicalize(records, dataset)
 
 
 def load_dataset(

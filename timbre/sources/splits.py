@@ -202,7 +202,7 @@ def json_objects(files: DataFrame, make: Callable[[list[dict]], list[pa.Array]],
         for batch in batches:
             for row in batch.to_pylist():
                 number = row["first"]
-                for items in _batched(_json_items(row)):
+                for items in batched(_json_items(row)):
                     columns = [pa.array([row["path"]] * len(items)), pa.array(range(number, number + len(items)), pa.int64())]
                     number += len(items)
                     yield pa.RecordBatch.from_arrays([*columns, *make(items)], names)
@@ -210,7 +210,7 @@ def json_objects(files: DataFrame, make: Callable[[list[dict]], list[pa.Array]],
     return chained.mapInArrow(read, f"path string, source_row long, {fields}")
 
 
-def _batched(items: Iterator, size: int = 2_048) -> Iterator[list]:
+def batched(items: Iterator, size: int = 2_048) -> Iterator[list]:
     held = []
     for item in items:
         held.append(item)
@@ -333,7 +333,7 @@ def csv_records(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
                 records = _csv_records(row)
                 if row["part"] == 0:
                     next((r for r in records if r), None)
-                for held in _batched(r.decode() for r in records if r):
+                for held in batched(r.decode() for r in records if r):
                     yield pa.RecordBatch.from_arrays([pa.array([row["path"]] * len(held)), pa.array(held)], ["path", "record"])
 
     return chained.mapInArrow(read, "path string, record string")

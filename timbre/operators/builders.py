@@ -26,8 +26,10 @@ MIXTURE_SNR_DB = [-5.0, 0.0, 5.0, 10.0]
 MODEL_FOLDER_SUFFIX = "_ots_on_robotcall"
 # -----------------------------------------------------------------------------
 
-#: Differences of vector components that a task holds at once.
-_DIFFERENCES = 1 << 22
+#: Rows that a block may grow to so that others are copied to at most so many blocks of sources, or of candidates.
+_BLOCK, _DOWN, _ACROSS = 2_048, 32, 8
+#: Distances that are added up at once, component by component.
+_DISTANCES = 1 << 15
 
 
 def model_of_folder(folder: Column | str, suffix: str = MODEL_FOLDER_SUFFIX) -> Column:
@@ -262,7 +264,8 @@ def farthest_target(sources: DataFrame, candidates: DataFrame, block_size: int =
     the first name wins a tie. Embeddings that hold a null, or have another length, are not compared.
 
     Blocks of sources meet blocks of candidates twice, as matrices: first each pair of blocks gives
-    the sum of distances of every source, then, the means being known, only its best candidate.
+    the sum of distances of every source, then, the means being known, only its best candidate. Blocks have
+    ``block_size`` rows, but grow up to a bounded size before rows are copied to more than a few blocks.
     """
     embedding = F.transform("embedding", lambda x: x.cast("double"))
     usable = F.col("speaker").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
@@ -273,7 +276,7 @@ def farthest_target(sources: DataFrame, candidates: DataFrame, block_size: int =
         return cut_lineage(single.groupBy("speaker").agg(held))
 
     left, right = packed(sources), packed(candidates)
-    down, across = (max(1, -(-side.count() // block_size)) for side in (left, right))
+    down, across = (_blocks(side.count(), block_size, few) for side, few in ((left, _DOWN), (right, _ACROSS)))
     place = F.xxhash64("speaker")
     everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     others = right.select(F.col("speaker").alias("target"), F.col("embeddings").alias("others"), F.pmod(place, F.lit(across)).cast("int").alias("across"), everywhere(down).alias("down"))
@@ -304,22 +307,59 @@ def _by_encoder(embeddings: list[list[dict]]) -> dict[tuple, tuple[np.ndarray, n
     return {key: (np.array(k), np.array(m, float).reshape(len(k), -1)) for key, (k, m) in rows.items()}
 
 
-def _distances(left: pa.Table, right: pa.Table) -> Iterator[tuple[object, np.ndarray, np.ndarray, np.ndarray]]:
-    """(encoder, rows, candidates, L1 distances) of embeddings that can be compared."""
+def _blocks(rows: int, block_size: int, few: int) -> int:
+    wanted = max(1, -(-rows // block_size))
+    return min(wanted, max(few, -(-rows // max(block_size, _BLOCK))))
+
+
+def _comparable(left: pa.Table, right: pa.Table) -> Iterator[tuple[object, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(encoder, rows, their matrix, candidates, their matrix) of embeddings that can be compared."""
     one, other = _by_encoder(left.column("embeddings").to_pylist()), _by_encoder(right.column("others").to_pylist())
     for key in sorted(one.keys() & other.keys(), key=lambda k: (str(k[0]), k[1])):
-        (rows, a), (candidates, b) = one[key], other[key]
-        step = max(1, _DIFFERENCES // max(1, b.size))
-        for at in range(0, len(rows), step):
-            yield key[0], rows[at : at + step], candidates, np.abs(a[at : at + step, None, :] - b[None, :, :]).sum(axis=2)
+        yield key[0], *one[key], *other[key]
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """L1 distances of all rows of ``a`` and ``b``."""
+    gaps = np.zeros((len(a), len(b)))
+    step = max(1, _DISTANCES // max(1, len(b)))
+    components, gap = np.ascontiguousarray(b.T), np.empty((step, len(b)))
+    for at in range(0, len(a), step):
+        part = gaps[at : at + step]
+        own = gap[: len(part)]
+        for x, y in zip(a[at : at + step].T, components, strict=True):
+            np.subtract(x[:, None], y, out=own)
+            np.abs(own, out=own)
+            part += own
+    return gaps
+
+
+def _total_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of the L1 distances of each row of ``a`` to all rows of ``b``, by sorted components.
+
+    Where much cancels out, or numbers aren't finite, the distances themselves are added up.
+    """
+    totals, sizes = np.zeros(len(a)), np.zeros(len(a))
+    exact = np.ones(len(a), bool)
+    if np.isfinite(a).all() and np.isfinite(b).all():
+        for x, y in zip(a.T, np.sort(b, axis=0).T, strict=True):
+            sums = np.append(0.0, np.cumsum(y))
+            below = np.searchsorted(y, x)
+            totals += x * (2 * below - len(y)) + sums[-1] - 2 * sums[below]
+            sizes += np.abs(x) * len(y) + np.abs(y).sum()
+        exact = ~(totals > 0.001 * sizes)
+    rows = np.flatnonzero(exact)
+    for at in range(0, len(rows), 256):
+        totals[rows[at : at + 256]] = _distances(a[rows[at : at + 256]], b).sum(axis=1)
+    return totals
 
 
 def _distance_sums(left: pa.Table, right: pa.Table) -> pa.Table:
     rows, encoders, totals, counts = [], [], [], []
-    for encoder, own, candidates, gaps in _distances(left, right):
+    for encoder, own, a, candidates, b in _comparable(left, right):
         rows += own.tolist()
         encoders += [encoder] * len(own)
-        totals += gaps.sum(axis=1).tolist()
+        totals += _total_distances(a, b).tolist()
         counts += [len(candidates)] * len(own)
     kind = left.schema.field("embeddings").type.value_type.field("encoder").type
     columns = [left.column("speaker").take(pa.array(rows, pa.int64())), pa.array(encoders, kind), pa.array(totals, pa.float64()), pa.array(counts, pa.int64())]
@@ -331,7 +371,8 @@ def _farthest(left: pa.Table, right: pa.Table) -> pa.Table:
     means = [{m["encoder"]: m["mean"] for m in held} for held in left.column("means").to_pylist()]
     shares = np.zeros((len(left), len(right)))
     told, met = np.zeros(shares.shape, bool), np.zeros(shares.shape, bool)
-    for encoder, rows, candidates, gaps in _distances(left, right):
+    for encoder, rows, a, candidates, b in _comparable(left, right):
+        gaps = _distances(a, b)
         mean = np.array([means[k].get(encoder) or np.nan for k in rows.tolist()])[:, None]
         place = np.ix_(rows, candidates)
         met[place] = True

@@ -55,6 +55,8 @@ _KEPT_BITS = 40
 _BLOCK, _TASK_PLACES = 2_048, 65_536
 #: Pairs for each visit to a shard that are left to the trees; links for each visit below which hubs end.
 _PAIRS_A_PLACE, _LEAST_LINKED = 4, 0.001
+#: Offered pairs that a task holds before it drops those that repeat.
+_OFFERED = 1 << 20
 
 
 def shingle_set(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -284,6 +286,50 @@ def _from_hubs(places: DataFrame, round_no: int) -> DataFrame:
     return pairs.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
 
 
+class _Offered:
+    """Pairs of positions, each kept once in eight bytes: shards of one hub offer most of theirs again and again."""
+
+    def __init__(self) -> None:
+        self._held: list[np.ndarray] = []
+        self._count, self._limit = 0, _OFFERED
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self._held.append(np.minimum(a, b) << 32 | np.maximum(a, b))
+        self._count += len(a)
+        if self._count >= self._limit:
+            self._limit = max(_OFFERED, 2 * len(self.settle()))
+
+    def settle(self) -> np.ndarray:
+        """The distinct pairs, ascending; the smaller position in the upper half."""
+        self._held = [np.unique(np.concatenate([np.zeros(0, np.int64), *self._held]))]
+        self._count = len(self._held[0])
+        return self._held[0]
+
+
+def _search(table: pa.Table) -> pa.Table:
+    """(a, b): the pairs of a task's shards within ``REACH`` bits, of different components and fitting sizes, each once."""
+    release()
+    columns = {c: table.column(c).to_numpy() for c in ("shingle", "node", "size", "print", "component", "own", "i", "j")}
+    by = np.lexsort((columns["node"], columns["shingle"]))
+    columns = {c: v[by] for c, v in columns.items()}
+    prints = columns["print"].view(np.uint64)
+    names, rank = np.unique(columns["node"], return_inverse=True)
+    cuts = np.flatnonzero(np.append(True, np.diff(columns["shingle"]) != 0)).tolist()
+    offered = _Offered()
+    for low, high in zip(cuts, [*cuts[1:], len(by)], strict=True):
+        members = np.arange(low, high)
+        here, there = (members[columns["own"][low:high] == columns[side][low]] for side in ("i", "j"))
+        for a, b in close_pairs(prints, here, there, REACH):
+            if columns["i"][low] == columns["j"][low]:  # a block that meets itself gives each pair twice
+                once = a < b
+                a, b = a[once], b[once]
+            one, other = columns["size"][a], columns["size"][b]
+            fits = (columns["component"][a] != columns["component"][b]) & (OUT_OF * np.minimum(one, other) >= SHARED * np.maximum(one, other))
+            offered.add(rank[a[fits]], rank[b[fits]])
+    pairs = offered.settle()
+    return pa.table([pa.array(names[pairs >> 32]), pa.array(names[pairs & 0xFFFFFFFF])], ["a", "b"])
+
+
 def _from_trees(places: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs of each shard within ``REACH`` bits, of different components and fitting sizes."""
     blocks = F.ceil(F.col("n") / _BLOCK).cast("int")
@@ -299,26 +345,7 @@ def _from_trees(places: DataFrame, groups: DataFrame) -> DataFrame:
         "shingle", "node", "size", "print", "component", "own", F.col("_m.i").alias("i"), F.col("_m.j").alias("j"), F.when(F.col("blocks") > 1, F.col("shingle")).otherwise(F.col("some")).alias("deal")
     )
 
-    def search(table: pa.Table) -> pa.Table:
-        columns = {c: table.column(c).to_numpy() for c in ("shingle", "node", "size", "print", "component", "own", "i", "j")}
-        by = np.lexsort((columns["node"], columns["shingle"]))
-        columns = {c: v[by] for c, v in columns.items()}
-        prints = columns["print"].view(np.uint64)
-        cuts = np.flatnonzero(np.append(True, np.diff(columns["shingle"]) != 0)).tolist()
-        left, right = [], []
-        for low, high in zip(cuts, [*cuts[1:], len(by)], strict=True):
-            members = np.arange(low, high)
-            here, there = (members[columns["own"][low:high] == columns[side][low]] for side in ("i", "j"))
-            for a, b in close_pairs(prints, here, there, REACH):
-                one, other = columns["size"][a], columns["size"][b]
-                fits = (columns["component"][a] != columns["component"][b]) & (OUT_OF * np.minimum(one, other) >= SHARED * np.maximum(one, other))
-                left.append(columns["node"][a[fits]])
-                right.append(columns["node"][b[fits]])
-        a, b = (np.concatenate([np.zeros(0, np.int64), *side]) for side in (left, right))
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-    return dealt.groupBy("deal", "i", "j").applyInArrow(search, "a long, b long").distinct()
+    return dealt.groupBy("deal", "i", "j").applyInArrow(_search, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:

@@ -63,3 +63,36 @@ def test_a_double_space_has_four_segmentations(vocab):
 def test_mass_of_long_words(vocab, text):
     searches = _Searches(vocab, [text], [b"1"], 4)
     assert searches.total[0] == pytest.approx(log_mass(vocab, text), rel=1e-12)
+
+
+WORDS = ["▁tones", "▁", "a", "日本", "😀é", "▁information", "x" * 16, "▁▁▁b", "☃ﷺ𝔘", "~~~", "▁Straße,"]
+
+
+def lattice(vocab, word):
+    """(code, end, log, upto, rest) of every edge and the log mass of every place."""
+    begin, tables = int(vocab.nodes([word])[0]), vocab.tables()
+    edges = range(tables["first"][begin], tables["first"][begin + len(word)])
+    ends = [int(tables["end"][e]) - begin if tables["end"][e] >= 0 else None for e in edges]
+    spelled = [tuple(vocab.spell(tables["code"][[e]]).tolist()) for e in edges]
+    numbers = [float(tables[n][e]) for n in ("log", "upto", "rest") for e in edges]
+    return spelled, ends, numbers, tables["mass"][begin : begin + len(word)].tolist()
+
+
+def test_words_added_together_have_their_lattices():
+    together, alone = Vocabulary(PATH), Vocabulary(PATH)
+    together.nodes(WORDS)
+    for word in WORDS:
+        alone._add(word)
+    for word in WORDS:
+        one, other = lattice(together, word), lattice(alone, word)
+        assert one[:2] == other[:2]
+        assert one[2] == pytest.approx(other[2], abs=1e-12) and one[3] == pytest.approx(other[3], rel=1e-12)
+        assert one[0] == [ids for at in range(len(word)) for _, ids, _ in together.edges(word, at)]
+
+
+def test_short_words_are_not_walked_place_by_place(monkeypatch):
+    """That cost most of the time of texts full of new words."""
+    vocab = Vocabulary(PATH)
+    monkeypatch.setattr(Vocabulary, "edges", lambda *_: pytest.fail("walked"))
+    found = sample_segmentations(vocab, "many new words, 日本 ☃ and some more of them", b"1")
+    assert {vocab.decode(ids) for ids, *_ in found} == {"many new words, 日本 ☃ and some more of them"}

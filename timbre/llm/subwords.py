@@ -48,6 +48,8 @@ _WORD_SIZE, _IDS = 8, 1_000_000
 #: Words up to this size have masses that floats hold; longer ones are summed in logarithms.
 _PLAIN_SIZE = 16
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+#: Bits of a character in a key of the pieces' table.
+_CHAR_BITS = 21
 _DRAW, _PERTURB = np.uint64(0), np.uint64(1)
 
 
@@ -86,12 +88,51 @@ class Vocabulary:
                 for n in range(1, len(piece)):
                     self.begun.setdefault(piece[:n])
         self._byte_log = -math.log(2.0 + size)
+        self._index(size)
         self.forget()
 
+    def _index(self, size: int) -> None:
+        """The beginnings of pieces as numbered states, in a hash table from (state, next character) to state."""
+        numbers = {"": 0} | {b: n for n, b in enumerate(self.begun, start=1)}
+        keys = np.fromiter((numbers[b[:-1]] << _CHAR_BITS | ord(b[-1]) for b in self.begun), np.int64, len(self.begun))
+        bits = max(4, (4 * len(keys)).bit_length())
+        self._shift, self._key = np.uint64(64 - bits), np.full(1 << bits, -1, np.int64)
+        self._state = np.full(1 << bits, -1, np.int64)
+        slots, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self._key[slots[left]] < 0]
+            self._key[slots[free]] = keys[free]
+            left = left[self._key[slots[left]] != keys[left]]
+            slots[left] = (slots[left] + 1) & (len(self._key) - 1)
+        self._state[slots] = np.arange(1, len(keys) + 1)
+        self._piece = np.array([-1, *(p[0][0] if p else -1 for p in self.begun.values())], np.int64)
+        self._piece_log, self._piece_exp = np.zeros(size), np.zeros(size)
+        for piece in filter(None, self.begun.values()):
+            self._piece_log[piece[0][0]], self._piece_exp[piece[0][0]] = piece[1], math.exp(piece[1])
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * _MIX[0] >> self._shift).view(np.int64)
+
+    def _next(self, states: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The state behind each character; -1 if no piece begins like this."""
+        keys = states << _CHAR_BITS | chars
+        slots, found = self._slots(keys), np.full(len(keys), -1, np.int64)
+        got = self._key[slots]
+        hit = got == keys
+        found[hit] = self._state[slots[hit]]
+        left = np.flatnonzero(~hit & (got >= 0))
+        while len(left):
+            slots[left] = (slots[left] + 1) & (len(self._key) - 1)
+            got = self._key[slots[left]]
+            hit = got == keys[left]
+            found[left[hit]] = self._state[slots[left[hit]]]
+            left = left[~hit & (got >= 0)]
+        return found
+
     def forget(self) -> None:
         """Begin anew with an empty memory of words."""
         self.words: dict[str, int] = {}  # first node; node k belongs to the word's k-th character
-        self.edge_ids: list[tuple[int, ...]] = []
+        self._code = array("q")  # of an edge: its piece, or -1 less the character that is spelled in bytes
         self._first, self._end = array("q"), array("q")  # of a node: its first edge; of an edge: its node, -1 behind the word
         self._mass, self._log, self._upto, self._rest = (array("d") for _ in range(4))
         self._first.append(0)
@@ -127,15 +168,21 @@ class Vocabulary:
             reach = max(reach, self.edges(word, at)[-1][0])
         return [*found, word[begin:]]
 
-    def node(self, word: str) -> int:
-        """First node of a word, whose lattice is added if it isn't there."""
-        begin = self.words.get(word)
-        if begin is not None:
-            return begin
+    def nodes(self, words: list[str]) -> np.ndarray:
+        """First node of each word; the lattices of those that aren't there are added."""
+        new = [w for w in dict.fromkeys(words) if w not in self.words]
+        plain = [w for w in new if len(w) <= _PLAIN_SIZE and w.isprintable()]
+        if plain:
+            self._add_plain(plain)
+        for word in new:
+            if word not in self.words:
+                self._add(word)
+        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+
+    def _add(self, word: str) -> None:
         size, begin = len(word), len(self._mass)
         edges = [self.edges(word, at) for at in range(size)]
-        plain = size <= _PLAIN_SIZE and word.isprintable()
-        mass, shares = (self._masses if plain else self._log_masses)(edges)
+        mass, shares = self._log_masses(edges)
         for at in range(size):
             own, total = shares[at], 0.0
             behind = [0.0]
@@ -144,24 +191,85 @@ class Vocabulary:
             for (end, ids, log), share, after in zip(edges[at], own, reversed(behind), strict=True):
                 self._rest.append(total + after)
                 total += share
-                self.edge_ids.append(ids)
+                self._code.append(ids[0] if len(ids) == 1 else -1 - ord(word[at]))
                 self._end.append(begin + end if end < size else -1)
                 self._log.append(log)
                 self._upto.append(total)
             self._mass.append(mass[at])
             self._first.append(len(self._log))
         self.words[word] = begin
-        return begin
+
+    def _add_plain(self, words: list[str]) -> None:
+        """The lattices of many short words at once: in arrays over all places, one length of piece after the other."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        stop, degree = np.repeat(starts + sizes, sizes), np.zeros(len(chars), np.int64)
+        found, at, length = [], np.arange(len(chars)), 1
+        states = np.zeros(len(chars), np.int64)
+        while len(at):
+            states = self._next(states, chars[at + length - 1])
+            piece = np.where(states >= 0, self._piece[states], -1)
+            if length == 1:  # a character without a piece is spelled in bytes
+                spelled = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
+                byte_log = np.array([self._byte_log * n for n in range(5)])
+                byte_exp = np.array([math.exp(log) for log in byte_log.tolist()])
+                code = np.where(piece >= 0, piece, -1 - chars)
+                log = np.where(piece >= 0, self._piece_log[piece], byte_log[spelled])
+                exp = np.where(piece >= 0, self._piece_exp[piece], byte_exp[spelled])
+                found.append((at, np.zeros(len(at), np.int64), at + 1, code, log, exp))
+                degree += 1
+            else:
+                here, code = at[piece >= 0], piece[piece >= 0]
+                found.append((here, degree[here], here + length, code, self._piece_log[code], self._piece_exp[code]))
+                degree[here] += 1
+            on = (states >= 0) & (at + length < stop[at])
+            at, states, length = at[on], states[on], length + 1
+        first = np.cumsum(degree) - degree
+        place, rank, end, code, log, exp = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.empty(len(place), np.int64)
+        order[first[place] + rank] = np.arange(len(place))
+        place, end, code, log, exp = (x[order] for x in (place, end, code, log, exp))
+        inside = end < stop[place]
+        mass, parts = self._plain_masses(stop - np.arange(len(chars)), first, degree, np.where(inside, end, len(chars)), exp)
+        share = parts / mass[place]
+        upto, rest, front, back = np.empty(len(share)), np.empty(len(share)), np.zeros(len(chars)), np.zeros(len(chars))
+        everywhere = [np.flatnonzero(degree > k) for k in range(int(degree.max()))]
+        for k, open_places in enumerate(everywhere):
+            edge = first[open_places] + k
+            rest[edge] = front[open_places]
+            front[open_places] += share[edge]
+            upto[edge] = front[open_places]
+        for k, open_places in enumerate(everywhere):
+            edge = first[open_places] + degree[open_places] - 1 - k
+            rest[edge] += back[open_places]
+            back[open_places] += share[edge]
+        begin = len(self._mass)
+        self._first.frombytes((len(self._log) + first + degree).tobytes())
+        self._end.frombytes(np.where(inside, begin + end, -1).tobytes())
+        for held, values in ((self._code, code), (self._log, log), (self._upto, upto), (self._rest, rest)):
+            held.frombytes(values.tobytes())
+        self._mass.extend(map(math.log, mass.tolist()))
+        self.words.update(zip(words, (begin + starts).tolist(), strict=True))
 
     @staticmethod
-    def _masses(edges: list) -> tuple[list[float], list[list[float]]]:
-        """Log mass from each place to the end, and each edge's share of it."""
-        mass, shares = [0.0] * len(edges) + [1.0], [[]] * len(edges)
-        for at in range(len(edges) - 1, -1, -1):
-            parts = [math.exp(log) * mass[end] for end, _, log in edges[at]]
-            mass[at] = total = sum(parts)
-            shares[at] = [p / total for p in parts]
-        return [math.log(m) for m in mass[:-1]], shares
+    def _plain_masses(left: np.ndarray, first: np.ndarray, degree: np.ndarray, end: np.ndarray, exp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mass from each place (``left`` characters from its word's end) and each edge's part of it, added with compensation."""
+        mass, low, parts = np.zeros(len(left) + 1), np.zeros(len(left)), np.empty(len(end))
+        mass[-1] = 1.0  # behind a word
+        by = np.argsort(left, kind="stable")
+        cuts = np.searchsorted(left[by], np.arange(1, int(left.max()) + 2))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = places = by[a:b]
+            for k in range(int(degree[own].max())):
+                places = places[degree[places] > k]
+                edge = first[places] + k
+                parts[edge] = part = exp[edge] * mass[end[edge]]
+                old = mass[places]
+                mass[places] = new = old + part
+                low[places] += np.where(old >= part, (old - new) + part, (part - new) + old)
+            mass[own] += low[own]
+        return mass[:-1], parts
 
     @staticmethod
     def _log_masses(edges: list) -> tuple[list[float], list[list[float]]]:
@@ -177,10 +285,26 @@ class Vocabulary:
 
     def tables(self) -> dict[str, np.ndarray]:
         """Views of the lattices; they must be gone before a word is added."""
-        names = {"first": (self._first, np.int64), "end": (self._end, np.int64), "mass": (self._mass, float)}
+        names = {"first": (self._first, np.int64), "end": (self._end, np.int64), "code": (self._code, np.int64), "mass": (self._mass, float)}
         names |= {"log": (self._log, float), "upto": (self._upto, float), "rest": (self._rest, float)}
         return {n: np.frombuffer(a, kind) if len(a) else np.zeros(0, kind) for n, (a, kind) in names.items()}
 
+    def spell(self, codes: np.ndarray) -> np.ndarray:
+        """The ids of edges."""
+        spelled = codes < 0
+        if not spelled.any():
+            return codes.astype(np.int32)
+        kinds, which = np.unique(codes[spelled], return_inverse=True)
+        byte_ids = [[self.bytes[b] for b in chr(-1 - c).encode()] for c in kinds.tolist()]
+        many = np.ones(len(codes), np.int64)
+        many[spelled] = np.array([len(i) for i in byte_ids])[which]
+        ids, starts = np.repeat(codes, many), (np.cumsum(many) - many)[spelled]
+        table = np.array([i + [0] * (4 - len(i)) for i in byte_ids])[which]
+        for k in range(4):
+            longer = many[spelled] > k
+            ids[starts[longer] + k] = table[longer, k]
+        return ids.astype(np.int32)
+
     def decode(self, ids: list[int]) -> str:
         out, spelled = [], bytearray()
         for i in ids:
@@ -215,20 +339,19 @@ class _Searches:
     def __init__(self, vocabulary: Vocabulary, texts: list[str], keys: list[bytes], wanted: int) -> None:
         if len(vocabulary.words) > _REMEMBERED or vocabulary.size() > _REMEMBERED * _WORD_SIZE:
             vocabulary.forget()
-        words = [[b for w in split_words(t) for b in vocabulary.blocks(w)] if t else [] for t in texts]
+        words = [[b for w in split_words(t) for b in ((w,) if len(w) <= _LONGEST_WORD else vocabulary.blocks(w))] if t else [] for t in texts]
         sizes = np.array([len(w) for w in words], np.int64)
         flat = [w for ws in words for w in ws]
-        self.nodes = np.array([vocabulary.node(w) for w in flat], np.int64)
-        self.tables = vocabulary.tables()
-        self.ids = vocabulary.edge_ids
+        self.nodes = vocabulary.nodes(flat)
+        self.tables, self.spell = vocabulary.tables(), vocabulary.spell
         self.wanted, self.texts = wanted, len(texts)
         self.seeds = np.array([xxhash.xxh64_intdigest(k, 42) for k in keys], np.uint64)
         self.stop = np.cumsum(sizes)  # word after the last one of each text
         self.start = self.stop - sizes
         self.text = np.repeat(np.arange(len(texts)), sizes)
-        lengths, mass = np.array([len(w) for w in flat], np.int64), self.tables["mass"][self.nodes] if flat else np.zeros(0)
+        lengths, mass = np.fromiter(map(len, flat), np.int64, len(flat)), self.tables["mass"][self.nodes] if flat else np.zeros(0)
         self.place, self.after = np.zeros(len(flat), np.int64), np.zeros(len(flat))
-        self.total = np.zeros(len(texts))
+        self.total, self.before = np.zeros(len(texts)), np.cumsum(lengths) - lengths
         for t in range(len(texts)):  # sums within a text only, so that its neighbours don't change a bit of them
             own = slice(self.start[t], self.stop[t])
             self.place[own] = np.cumsum(lengths[own]) - lengths[own]
@@ -301,7 +424,7 @@ class _Searches:
         drawn = self._walk(np.concatenate(words), np.concatenate(nodes), round_no)
         if firsts:
             drawn = tuple(np.concatenate([np.array(f), d]) for f, d in zip(zip(*firsts, strict=True), drawn, strict=True))
-        order = np.lexsort((drawn[1] - self.nodes[drawn[0]], drawn[0]))
+        order = np.argsort(self.before[drawn[0]] + drawn[1] - self.nodes[drawn[0]], kind="stable")
         drawn = tuple(d[order] for d in drawn)
         self._cut(taken, drawn, round_no)
         return True
@@ -327,18 +450,21 @@ class _Searches:
             perturbed = middle - np.logaddexp(middle - bound, np.log(-np.log(u)))
         perturbed[rest <= 0] = -np.inf
         # no region behind the best ones can give a segmentation that is still wanted, or the threshold
-        order = np.lexsort((-perturbed, text))
-        rank = np.arange(len(order)) - np.repeat(begin, stop - begin)
-        best = order[(rank < self.wanted - round_no) & (perturbed[order] > -np.inf)]
+        wanted, best = self.wanted - round_no, []
+        for a, b in zip(begin.tolist(), stop.tolist(), strict=True):
+            own = perturbed[a:b]
+            least = np.partition(own, len(own) - wanted)[len(own) - wanted] if len(own) > wanted else -np.inf
+            at = np.flatnonzero((own >= least) & (own > -np.inf))
+            best += (a + at[np.argsort(-own[at], kind="stable")][:wanted]).tolist()
         where = dict(zip(taken, begin.tolist(), strict=True))
-        for k in best.tolist():
+        for k in best:
             t = int(text[k])
             _, prefix, _, gone, _ = taken[t]
             step = k - where[t]
             ruled_out = (gone if step == 0 else frozenset()) | {int(edges[k])}
             heappush(self.regions[t], (-float(perturbed[k]), next(self.order), self.found[t][-1][0], len(prefix[0]) + step, float(before[k]), ruled_out))
 
-    def run(self) -> list[list[tuple[list[int], float, float, float]]]:
+    def run(self) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text (ids, log probability, perturbed one, inclusion), best first."""
         for round_no in range(self.wanted):
             if not self._round(round_no):
@@ -348,7 +474,7 @@ class _Searches:
             threshold = -regions[0][0] if regions else -math.inf
             rows = []
             for (_, _, edges), log, bound in found:
-                ids = [i for e in edges.tolist() for i in self.ids[e]]
+                ids = self.spell(self.tables["code"][edges])
                 rows.append((ids, log, bound, -math.expm1(-math.exp(min(700.0, log - threshold))) if regions else 1.0))
             out.append(rows)
         return out
@@ -356,11 +482,17 @@ class _Searches:
 
 def sample_segmentations(vocab: Vocabulary, text: str | None, key: bytes, wanted: int = SAMPLES) -> list[tuple[list[int], float, float, float]]:
     """(ids, log probability, perturbed one, inclusion) of up to ``wanted`` segmentations of one text, best first."""
-    return _Searches(vocab, [text or ""], [key], wanted).run()[0]
+    return next(sample_texts(vocab, [text or ""], [key], wanted))
 
 
 def sample_texts(vocab: Vocabulary, texts: list[str], keys: list[bytes], wanted: int) -> Iterator[list[tuple[list[int], float, float, float]]]:
-    """``sample_segmentations`` of many texts, a bounded number of characters side by side."""
+    """``sample_segmentations`` of many texts."""
+    for found in _sample_arrays(vocab, texts, keys, wanted):
+        yield [(ids.tolist(), *numbers) for ids, *numbers in found]
+
+
+def _sample_arrays(vocab: Vocabulary, texts: list[str], keys: list[bytes], wanted: int) -> Iterator[list[tuple[np.ndarray, float, float, float]]]:
+    """The same with ids in arrays, a bounded number of characters side by side."""
     at = 0
     while at < len(texts):
         size, end = 0, at
@@ -375,12 +507,12 @@ def sampled(rows: DataFrame, keys: list[str], model: str, wanted: int = SAMPLES)
     key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_key")
     plain = rows.select(*[F.col(k).cast("bigint") for k in keys], F.col("text"), key)
 
-    kinds = [pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64()]
-
     def part(batch: pa.RecordBatch, own: list[int], out: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [[]] * 5
+        numbers, ids, *measures = list(zip(*out, strict=True)) or [[]] * 5
         taken = [batch.column(c).take(pa.array(own, pa.int64())) for c in keys]
-        arrays = [*taken, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
+        offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+        arrays = [*taken, pa.array(numbers, pa.int32()), listed, *(pa.array(m, pa.float64()) for m in measures)]
         return pa.RecordBatch.from_arrays(arrays, [*keys, "sample", "ids", "logprob", "perturbed", "inclusion"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +521,7 @@ def sampled(rows: DataFrame, keys: list[str], model: str, wanted: int = SAMPLES)
             own, out, ids = [], [], 0
             texts = [t or "" for t in batch.column("text").to_pylist()]
             row_keys = [k.encode() for k in batch.column("_key").to_pylist()]
-            for k, samples in enumerate(sample_texts(vocab, texts, row_keys, wanted)):
+            for k, samples in enumerate(_sample_arrays(vocab, texts, row_keys, wanted)):
                 own += [k] * len(samples)
                 out += [(n, *found) for n, found in enumerate(samples, start=1)]
                 ids += sum(len(found[0]) for found in samples)

@@ -85,3 +85,51 @@ def test_shards_of_one_hub_hold_each_pair_once():
     left, right = np.triu_indices(many, 1)
     assert found.column("a").to_pylist() == node[left].tolist() and found.column("b").to_pylist() == node[right].tolist()
     assert peak < 120e6
+
+
+def alike(many, cells):
+    """A shard of ``many`` texts of one fingerprint, each its own component."""
+    node = np.arange(many) * 11 - 500
+    same = lambda value: np.full(many, value)
+    columns = {"shingle": same(3), "node": node, "size": same(100), "print": same(5), "component": node, "own": same(0), "i": same(0), "j": same(0)}
+    return pa.table(columns | {"cells": pa.array([c.tobytes() for c in cells], pa.binary())})
+
+
+def test_a_shards_task_drops_pairs_that_cells_rule_out():
+    """Texts whose fingerprints are alike but whose counts aren't gave the square of their number; a few pairs are similar."""
+    many, cells = 400, np.zeros((400, module._CELLS), np.uint8)
+    for k in range(many):
+        cells[k, np.random.default_rng(k // 2).permutation(module._CELLS)[:100]] = 1
+    table = alike(many, cells)
+    found = module._search(table)
+    node = table.column("node").to_numpy()
+    assert found.column("a").to_pylist() == node[0::2].tolist() and found.column("b").to_pylist() == node[1::2].tolist()
+    cells[:, 7] = 255  # such a count may be larger: nothing is ruled out
+    assert module._search(alike(many, cells)).num_rows == many * (many - 1) // 2
+
+
+def test_a_dense_group_offers_pairs_in_proportion_to_its_size():
+    for many in (300, 600):
+        found = module._search(alike(many, np.ones((many, module._CELLS), np.uint8)), 8)
+        assert many <= found.num_rows <= 8 * many
+        left, right = found.column("a").to_numpy(), found.column("b").to_numpy()
+        assert len(np.unique(np.concatenate([left, right]))) == many and (left < right).all()
+    assert module._search(alike(1, np.ones((1, module._CELLS), np.uint8)), 8).num_rows == 0
+
+
+@pytest.mark.parametrize("block", [2_048, 16])
+def test_a_group_about_the_threshold_is_linked_as_by_brute_force(spark, monkeypatch, block):
+    """Of texts of one model with random edits, few are similar to a hub; the first offers don't hold all pairs."""
+    generator, docs = np.random.default_rng(5), []
+    model = [f"w{k}" for k in range(150)]
+    for n in range(150):
+        own = list(model)
+        for at in generator.choice(150, int(generator.integers(1, 5)), replace=False):
+            own[at] = f"edit{generator.integers(0, 10**9)}"
+        docs.append((n, " ".join(own), "en", "src", 0))
+    monkeypatch.setattr(module, "_BLOCK", block)
+    monkeypatch.setattr(module, "_PAIRS_A_PLACE", 0)
+    monkeypatch.setattr(module, "_LEAST_LINKED", 1.0)
+    monkeypatch.setattr(module, "_MOST_OFFERED", 1)
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(docs, DDL), "")
+    assert sorted(r.doc_id for r in left.collect()) == brute(docs)

@@ -15,7 +15,10 @@ In a shard, every text first meets the shard's hub, the one with the least hash,
 inside a component need no check; another hub follows in the next round. When the open pairs are few, or
 hubs link hardly anything more, a vantage-point tree over the shard's fingerprints finds its pairs within ``REACH``
 bits, a large shard being cut into blocks that meet in pairs. Pairs are checked by their texts if the
-counts of both sets' shingles in ``_CELLS`` cells of hashes allow the similarity.
+counts of both sets' shingles in ``_CELLS`` cells of hashes allow the similarity; a tree's task looks at these counts
+itself. Unless few pairs are open, each text first offers no more than its ``_MOST_OFFERED`` likeliest pairs in a task, where a
+block meets itself and its neighbours only: these unite a dense group at a cost in proportion to its size. What is still
+of different components then meets in full.
 
 Defined results: texts with equal sets (null and wordless ones have the empty set) are one node; texts
 with fewer words than a shingle are one shingle; repeated rows are one node; a null ``doc_id`` takes part but never
@@ -55,8 +58,10 @@ _KEPT_BITS = 40
 _BLOCK, _TASK_PLACES = 2_048, 65_536
 #: Pairs for each visit to a shard that are left to the trees; links for each visit below which hubs end.
 _PAIRS_A_PLACE, _LEAST_LINKED = 4, 0.001
-#: Offered pairs that a task holds before it drops those that repeat.
-_OFFERED = 1 << 20
+#: Offered pairs that a task holds before it drops those that repeat, and whose cells it compares at once.
+_OFFERED, _COMPARED = 1 << 20, 1 << 14
+#: Pairs that a text offers in a task at first.
+_MOST_OFFERED = 8
 
 
 def shingle_set(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -220,18 +225,27 @@ def _places(nodes: DataFrame, repeated: DataFrame) -> DataFrame:
     return cut_lineage(places.join(met, "shingle", "left_semi"))
 
 
+def _shared_at_most(one: np.ndarray, other: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """How many shingles sets of ``both`` shingles together can share: no more than the smaller count of each cell."""
+    least = np.minimum(one, other)
+    full = (least == 255).any(axis=1)  # a count that doesn't fit a byte says nothing
+    return np.where(full, both // 2, least.sum(axis=1, dtype=np.int64))
+
+
+def _allowed(shared: np.ndarray, both: np.ndarray) -> np.ndarray:
+    return (SHARED + OUT_OF) * shared >= SHARED * both
+
+
 def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose counts in cells allow the similarity: no more is shared than the smaller count of each cell."""
+    """The pairs whose counts in cells allow the similarity."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             one, other = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, _CELLS) for k in (2, 3))
-            least = np.minimum(one, other)
-            full = (least == 255).any(axis=1)  # a count that doesn't fit a byte says nothing
-            keep = full | ((SHARED + OUT_OF) * least.sum(axis=1, dtype=np.int64) >= SHARED * batch.column(4).to_numpy())
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            both = batch.column(4).to_numpy()
+            yield batch.select([0, 1]).filter(pa.array(_allowed(_shared_at_most(one, other, both), both)))
 
     left = nodes.select(F.col("node").alias("a"), F.col("cells").alias("left"), F.col("size").alias("_left"))
     right = nodes.select(F.col("node").alias("b"), F.col("cells").alias("right"), F.col("size").alias("_right"))
@@ -287,9 +301,13 @@ def _from_hubs(places: DataFrame, round_no: int) -> DataFrame:
 
 
 class _Offered:
-    """Pairs of positions, each kept once in eight bytes: shards of one hub offer most of theirs again and again."""
+    """Pairs of positions, each kept once in eight bytes: shards of one hub offer most of theirs again and again.
+
+    With the positions' ``cells`` and ``size``, pairs that can't be similar are dropped.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, size: np.ndarray, cells: np.ndarray | None) -> None:
+        self._size, self._cells = size, cells
         self._held: list[np.ndarray] = []
         self._count, self._limit = 0, _OFFERED
 
@@ -301,21 +319,47 @@ class _Offered:
 
     def settle(self) -> np.ndarray:
         """The distinct pairs, ascending; the smaller position in the upper half."""
-        self._held = [np.unique(np.concatenate([np.zeros(0, np.int64), *self._held]))]
-        self._count = len(self._held[0])
-        return self._held[0]
-
-
-def _search(table: pa.Table) -> pa.Table:
-    """(a, b): the pairs of a task's shards within ``REACH`` bits, of different components and fitting sizes, each once."""
+        pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *self._held]))
+        if self._cells is not None:
+            keep = [_allowed(*self._shared(pairs[at : at + _COMPARED])) for at in range(0, len(pairs), _COMPARED)]
+            pairs = pairs[np.concatenate([np.zeros(0, bool), *keep])]
+        self._held, self._count = [pairs], len(pairs)
+        return pairs
+
+    def likeliest(self, most: int) -> np.ndarray:
+        """Of the distinct pairs, the ``most`` of each position whose cells allow the highest similarity."""
+        pairs = self.settle()
+        share = [shared / np.maximum(both, 1) for shared, both in (self._shared(pairs[at : at + _COMPARED]) for at in range(0, len(pairs), _COMPARED))]
+        # ties by a mixed order, or all would choose the same few partners
+        mixed = (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+        place, share, mixed = np.concatenate([pairs >> 32, pairs & 0xFFFFFFFF]), np.tile(np.concatenate([np.zeros(0), *share]), 2), np.tile(mixed, 2)
+        by = np.lexsort((mixed, -share, place))
+        starts = np.flatnonzero(np.append(True, np.diff(place[by]) != 0)) if len(by) else by
+        rank = np.arange(len(by)) - np.repeat(starts, np.diff(np.append(starts, len(by))))
+        return pairs[np.unique(by[rank < most] % max(1, len(pairs)))]
+
+    def _shared(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = pairs >> 32, pairs & 0xFFFFFFFF
+        both = self._size[a] + self._size[b]
+        return _shared_at_most(self._cells[a], self._cells[b], both), both
+
+
+def _search(table: pa.Table, most: int | None = None) -> pa.Table:
+    """(a, b): the pairs of a task's shards within ``REACH`` bits, of different components and fitting sizes, each once.
+
+    If the table has ``cells``, only pairs that these allow; with ``most``, so many of each text, the likeliest ones.
+    """
     release()
     columns = {c: table.column(c).to_numpy() for c in ("shingle", "node", "size", "print", "component", "own", "i", "j")}
     by = np.lexsort((columns["node"], columns["shingle"]))
     columns = {c: v[by] for c, v in columns.items()}
     prints = columns["print"].view(np.uint64)
-    names, rank = np.unique(columns["node"], return_inverse=True)
+    names, one_row, rank = np.unique(columns["node"], return_index=True, return_inverse=True)
+    cells = None
+    if "cells" in table.column_names:
+        cells = np.frombuffer(b"".join(table.column("cells").take(pa.array(by[one_row])).to_pylist()), np.uint8).reshape(-1, _CELLS)
     cuts = np.flatnonzero(np.append(True, np.diff(columns["shingle"]) != 0)).tolist()
-    offered = _Offered()
+    offered = _Offered(columns["size"][one_row], cells)
     for low, high in zip(cuts, [*cuts[1:], len(by)], strict=True):
         members = np.arange(low, high)
         here, there = (members[columns["own"][low:high] == columns[side][low]] for side in ("i", "j"))
@@ -326,12 +370,15 @@ def _search(table: pa.Table) -> pa.Table:
             one, other = columns["size"][a], columns["size"][b]
             fits = (columns["component"][a] != columns["component"][b]) & (OUT_OF * np.minimum(one, other) >= SHARED * np.maximum(one, other))
             offered.add(rank[a[fits]], rank[b[fits]])
-    pairs = offered.settle()
+    pairs = offered.settle() if most is None else offered.likeliest(most)
     return pa.table([pa.array(names[pairs >> 32]), pa.array(names[pairs & 0xFFFFFFFF])], ["a", "b"])
 
 
-def _from_trees(places: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of each shard within ``REACH`` bits, of different components and fitting sizes."""
+def _from_trees(places: DataFrame, groups: DataFrame, nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """Pairs of each shard within ``REACH`` bits, of different components and fitting sizes, whose cells allow the similarity.
+
+    With ``most``, a text offers so many in a task, and a block meets only itself and its two neighbours.
+    """
     blocks = F.ceil(F.col("n") / _BLOCK).cast("int")
     sized = places.join(groups.select("shingle", blocks.alias("blocks")), "shingle")
     # shards with one hub share most of their pairs: they go to one task, as far as it holds them, and offer each pair once
@@ -339,13 +386,18 @@ def _from_trees(places: DataFrame, groups: DataFrame) -> DataFrame:
     parts = hubs.groupBy("hub").agg(F.ceil(F.sum("_n") / _TASK_PLACES).cast("int").alias("_parts"))
     hubs = hubs.join(parts, "hub").select("shingle", F.pmod(F.xxhash64("hub", F.pmod(F.xxhash64("shingle"), "_parts")), F.lit(max(1, -(-places.count() // _BLOCK)))).alias("some"))
     own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    # a block meets itself and every other one
-    meetings = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"))))
-    dealt = sized.join(hubs, "shingle").withColumn("own", own).withColumn("_m", meetings).select(
-        "shingle", "node", "size", "print", "component", "own", F.col("_m.i").alias("i"), F.col("_m.j").alias("j"), F.when(F.col("blocks") > 1, F.col("shingle")).otherwise(F.col("some")).alias("deal")
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    if most is not None:
+        others = F.array_distinct(F.array(own, F.pmod(own + 1, "blocks"), F.pmod(own + F.col("blocks") - 1, "blocks")))
+    meetings = F.explode(F.transform(others, lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"))))
+    dealt = sized.join(hubs, "shingle").join(nodes.select("node", "cells"), "node").withColumn("own", own).withColumn("_m", meetings).select(
+        "shingle", "node", "size", "print", "component", "cells", "own", F.col("_m.i").alias("i"), F.col("_m.j").alias("j"), F.when(F.col("blocks") > 1, F.col("shingle")).otherwise(F.col("some")).alias("deal")
     )
 
-    return dealt.groupBy("deal", "i", "j").applyInArrow(_search, "a long, b long").distinct()
+    def search(table: pa.Table) -> pa.Table:
+        return _search(table, most)
+
+    return dealt.groupBy("deal", "i", "j").applyInArrow(search, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -356,7 +408,7 @@ def near_copies(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFram
     nodes = cut_lineage(_nodes(docs, shingle_words, order).groupBy("node").agg(F.min("doc_id").alias("least"), *firsts))
     repeated = _packed(docs, shingle_words, order).groupBy("bucket").applyInArrow(_repeated, "node long, shingle long, many long")
     places = _places(nodes, repeated)
-    count, linked, round_no = places.count(), 0, 0
+    count, linked, round_no, seen = places.count(), 0, 0, None
     wanted = places.select("node").distinct()
     texts = cut_lineage(_texts(docs, nodes, wanted)) if count else None
     components = nodes.select("node", F.col("node").alias("component"))
@@ -371,9 +423,16 @@ def near_copies(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFram
         # shards that are of one component stay so
         open_places = cut_lineage(named.join(open_groups.select("shingle"), "shingle", "left_semi"))
         places = open_places.drop("component")
-        last = round_no > 0 and (linked <= _LEAST_LINKED * count or left <= _PAIRS_A_PLACE * count)
-        pairs = _from_trees(open_places, open_groups) if last else _from_hubs(open_places, round_no)
-        new = cut_lineage(_similar(cut_lineage(_possible(cut_lineage(pairs), nodes)), texts, shingle_words))
+        few = left <= _PAIRS_A_PLACE * count
+        last = round_no > 0 and (few or seen is not None)
+        if last:
+            pairs = cut_lineage(_from_trees(open_places, open_groups, nodes))
+            pairs = pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
+        elif round_no > 0 and linked <= _LEAST_LINKED * count:
+            pairs = seen = cut_lineage(_from_trees(open_places, open_groups, nodes, _MOST_OFFERED))
+        else:
+            pairs = cut_lineage(_possible(cut_lineage(_from_hubs(open_places, round_no)), nodes))
+        new = cut_lineage(_similar(pairs, texts, shingle_words))
         linked, round_no = new.count(), round_no + 1
         if linked:
             # links between components, so that only these are merged

@@ -26,10 +26,9 @@ from __future__ import annotations
 
 import math
 import re
-from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import count
+from itertools import count, groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +37,17 @@ from pyspark.sql import DataFrame, functions as F
 
 SAMPLES = 4
 MARK = "▁"
-_WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
+_WORD, _DOUBLE = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+"), re.compile(f"{MARK}{MARK}|\n\n")
 #: Characters from which on a word is cut at the next place that no piece crosses.
 _LONGEST_WORD = 64
 #: Words whose lattices a Python worker remembers, and characters that are searched side by side.
 _REMEMBERED, _CHARACTERS = 150_000, 200_000
 #: Characters of a remembered word, on average at most, and ids of a batch that is returned, about.
 _WORD_SIZE, _IDS = 8, 1_000_000
-#: Words up to this size have masses that floats hold; longer ones are summed in logarithms.
-_PLAIN_SIZE = 16
+#: Words up to this size, in characters and bytes, have masses that floats hold; longer ones are summed in logarithms.
+_PLAIN_SIZE, _PLAIN_BYTES = 24, 64
+#: Steps of a path that are always looked at for its best regions, and steps that share a bound on their masses.
+_REACH, _BLOCK = 32, 16
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: Bits of a character in a key of the pieces' table.
 _CHAR_BITS = 21
@@ -55,12 +56,71 @@ _DRAW, _PERTURB = np.uint64(0), np.uint64(1)
 
 def _uniform(seeds: np.ndarray, round_no: int, use: np.uint64, places: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) that depend on the arguments alone (the finaliser of SplitMix64 over a counter)."""
-    x = seeds + _MIX[0] * ((np.uint64(2 * round_no) + use << np.uint64(40)) + places.astype(np.uint64) + np.uint64(1))
+    return _mixed(_counters(seeds, round_no, use) + _MIX[0] * places.astype(np.uint64))
+
+
+def _counters(seeds: np.ndarray, round_no: int, use: np.uint64) -> np.ndarray:
+    """What is mixed for place 0; each further place adds ``_MIX[0]``."""
+    return seeds + np.uint64(int(_MIX[0]) * ((2 * round_no + int(use) << 40) + 1) & 0xFFFFFFFFFFFFFFFF)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The numbers of counters, which are overwritten."""
+    shifted = np.empty_like(x)
     for _ in range(2):
-        x = (x ^ (x >> np.uint64(30))) * _MIX[1]
-        x = (x ^ (x >> np.uint64(27))) * _MIX[2]
-        x = x ^ (x >> np.uint64(31))
-    return ((x >> np.uint64(12)).astype(float) + 0.5) * 2.0**-52
+        for shift, factor in ((30, _MIX[1]), (27, _MIX[2]), (31, None)):
+            np.right_shift(x, np.uint64(shift), out=shifted)
+            x ^= shifted
+            if factor is not None:
+                x *= factor
+    x >>= np.uint64(12)
+    u = x.astype(float)
+    u += 0.5
+    u *= 2.0**-52
+    return u
+
+
+def _ranges(begin: np.ndarray, stop: np.ndarray, by: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each ``begin`` to its ``stop``, and before them which of the pairs each belongs to."""
+    sizes = (stop - begin + by - 1) // by
+    which = np.repeat(np.arange(len(begin)), sizes)
+    return which, begin[which] + by * (np.arange(len(which)) - (np.cumsum(sizes) - sizes)[which])
+
+
+class _Lattices(dict):
+    """Arrays of lattices by name; what the searches need of few edges only is worked out when asked for."""
+
+    def __init__(self, vocabulary: Vocabulary, stored: dict[str, np.ndarray]) -> None:
+        super().__init__(stored)
+        self._vocabulary = vocabulary
+
+    def __missing__(self, name: str) -> np.ndarray:
+        edges = np.arange(self["first"][-1])
+        if name == "log":
+            return self._vocabulary.logs(self["code"])
+        node = np.searchsorted(self["first"], edges, "right") - 1
+        if name == "rest":
+            return self.rest(node, edges)
+        if name == "upto":
+            return self["lower"] + self.shares(node, edges)
+        raise KeyError(name)
+
+    def shares(self, nodes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """The edges' parts of the mass of their nodes."""
+        end, mass = self["end"][edges], self["mass"]
+        return np.exp(self._vocabulary.logs(self["code"][edges]) + np.where(end >= 0, mass[end], 0.0) - mass[nodes])
+
+    def rest(self, nodes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """The parts of all other edges of the nodes."""
+        if not len(nodes):
+            return np.zeros(0)
+        first = self["first"][nodes]
+        degree = self["first"][nodes + 1] - first
+        begin = np.cumsum(degree) - degree
+        every = np.arange(int(degree.sum())) + np.repeat(first - begin, degree)
+        shares = self.shares(np.repeat(nodes, degree), every)
+        shares[begin + edges - first] = 0.0
+        return np.add.reduceat(shares, begin)
 
 
 class Vocabulary:
@@ -88,54 +148,82 @@ class Vocabulary:
                 for n in range(1, len(piece)):
                     self.begun.setdefault(piece[:n])
         self._byte_log = -math.log(2.0 + size)
+        #: log probability and mass of one to four byte pieces
+        self._byte_logs = np.array([self._byte_log * n for n in range(5)])
+        self._byte_exps = np.exp(self._byte_logs)
         self._index(size)
+        #: of a node: its first edge, the log of its mass; of an edge: its node (-1 behind the word), its piece (or -1 less the
+        #: character that is spelled in bytes), the share of the edges before it
+        kinds = {"first": np.int64, "mass": float, "end": np.int32, "code": np.int32, "lower": float}
+        self._held = {name: np.zeros(1, kind) for name, kind in kinds.items()}  # with room for more than there is
         self.forget()
 
     def _index(self, size: int) -> None:
-        """The beginnings of pieces as numbered states, in a hash table from (state, next character) to state."""
-        numbers = {"": 0} | {b: n for n, b in enumerate(self.begun, start=1)}
-        keys = np.fromiter((numbers[b[:-1]] << _CHAR_BITS | ord(b[-1]) for b in self.begun), np.int64, len(self.begun))
-        bits = max(4, (4 * len(keys)).bit_length())
-        self._shift, self._key = np.uint64(64 - bits), np.full(1 << bits, -1, np.int64)
-        self._state = np.full(1 << bits, -1, np.int64)
-        slots, left = self._slots(keys), np.arange(len(keys))
-        while len(left):
-            free = left[self._key[slots[left]] < 0]
-            self._key[slots[free]] = keys[free]
-            left = left[self._key[slots[left]] != keys[left]]
-            slots[left] = (slots[left] + 1) & (len(self._key) - 1)
-        self._state[slots] = np.arange(1, len(keys) + 1)
-        self._piece = np.array([-1, *(p[0][0] if p else -1 for p in self.begun.values())], np.int64)
+        """The beginnings of pieces in a hash table from (beginning, next character) to the longer beginning; a beginning is its slot."""
+        bits = max(4, (3 * len(self.begun)).bit_length())
+        #: the empty beginning is the number behind all slots
+        self._shift, self._empty = np.uint64(64 - bits), 1 << bits
+        self._key, piece = np.full(1 << bits, -1, np.int64), np.full((1 << bits) + 1, -1, np.int32)
+        slots, by_length = {"": self._empty}, sorted(self.begun, key=len)
+        for _, group in groupby(by_length, len):
+            parts = list(group)
+            keys = np.array([slots[b[:-1]] << _CHAR_BITS | ord(b[-1]) for b in parts], np.int64)
+            own, left = self._slots(keys), np.arange(len(keys))
+            while len(left):
+                free = left[self._key[own[left]] < 0]
+                self._key[own[free]] = keys[free]
+                left = left[self._key[own[left]] != keys[left]]
+                own[left] = (own[left] + 1) & (len(self._key) - 1)
+            slots.update(zip(parts, own.tolist(), strict=True))
+        for begun, whole in self.begun.items():
+            if whole:
+                piece[slots[begun]] = whole[0][0]
+        self._piece = piece  # of a beginning that is whole, else -1; also of no beginning (-1), as the empty one is no piece
         self._piece_log, self._piece_exp = np.zeros(size), np.zeros(size)
-        for piece in filter(None, self.begun.values()):
-            self._piece_log[piece[0][0]], self._piece_exp[piece[0][0]] = piece[1], math.exp(piece[1])
+        for whole in filter(None, self.begun.values()):
+            self._piece_log[whole[0][0]], self._piece_exp[whole[0][0]] = whole[1], math.exp(whole[1])
+        self._piece_log[list(self.bytes.values())] = self._byte_log
+        self._byte_ids = np.array([self.bytes.get(b, -1) for b in range(256)], np.int32)
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         return (keys.view(np.uint64) * _MIX[0] >> self._shift).view(np.int64)
 
     def _next(self, states: np.ndarray, chars: np.ndarray) -> np.ndarray:
-        """The state behind each character; -1 if no piece begins like this."""
-        keys = states << _CHAR_BITS | chars
-        slots, found = self._slots(keys), np.full(len(keys), -1, np.int64)
-        got = self._key[slots]
-        hit = got == keys
-        found[hit] = self._state[slots[hit]]
-        left = np.flatnonzero(~hit & (got >= 0))
-        while len(left):
-            slots[left] = (slots[left] + 1) & (len(self._key) - 1)
-            got = self._key[slots[left]]
-            hit = got == keys[left]
-            found[left[hit]] = self._state[slots[left[hit]]]
-            left = left[~hit & (got >= 0)]
+        """The beginning with each character added; -1 if no piece begins like this."""
+        keys = states << _CHAR_BITS
+        keys |= chars
+        found = self._slots(keys)
+        got = self._key.take(found)
+        other = np.flatnonzero(got != keys)
+        got, keys, slots = got[other], keys[other], found[other]
+        found[other] = -1
+        while len(other):
+            on = np.flatnonzero(got >= 0)
+            other, keys, slots = other[on], keys[on], (slots[on] + 1) & (len(self._key) - 1)
+            got = self._key.take(slots)
+            hit = got == keys
+            found[other[hit]] = slots[hit]
+            other, keys, slots, got = other[~hit], keys[~hit], slots[~hit], got[~hit]
         return found
 
     def forget(self) -> None:
         """Begin anew with an empty memory of words."""
         self.words: dict[str, int] = {}  # first node; node k belongs to the word's k-th character
-        self._code = array("q")  # of an edge: its piece, or -1 less the character that is spelled in bytes
-        self._first, self._end = array("q"), array("q")  # of a node: its first edge; of an edge: its node, -1 behind the word
-        self._mass, self._log, self._upto, self._rest = (array("d") for _ in range(4))
-        self._first.append(0)
+        self._nodes = self._edges = 0
+
+    def _append(self, degree: np.ndarray, **values: np.ndarray) -> None:
+        """Add nodes with so many edges each, whose ``end`` counts from the first new node."""
+        begin, nodes, edges = self._nodes, self._nodes + len(degree), self._edges + len(values["end"])
+        values["first"] = self._edges + np.cumsum(degree)
+        values["end"] = np.where(values["end"] >= 0, begin + values["end"], -1)
+        for name, more in values.items():
+            at, to = {"first": (begin + 1, nodes + 1), "mass": (begin, nodes)}.get(name, (self._edges, edges))
+            if to > len(self._held[name]):
+                grown = np.zeros(to + to // 2, self._held[name].dtype)
+                grown[:at] = self._held[name][:at]
+                self._held[name] = grown
+            self._held[name][at:to] = more
+        self._nodes, self._edges = nodes, edges
 
     def edges(self, text: str, at: int) -> list[tuple[int, tuple[int, ...], float]]:
         """(end, ids, log probability) of the pieces at a place; one character always has an edge."""
@@ -154,7 +242,7 @@ class Vocabulary:
 
     def size(self) -> int:
         """Characters of the words in memory."""
-        return len(self._mass)
+        return self._nodes
 
     def blocks(self, word: str) -> list[str]:
         """A long word cut at places that no piece crosses, others as they are."""
@@ -170,34 +258,34 @@ class Vocabulary:
 
     def nodes(self, words: list[str]) -> np.ndarray:
         """First node of each word; the lattices of those that aren't there are added."""
-        new = [w for w in dict.fromkeys(words) if w not in self.words]
-        plain = [w for w in new if len(w) <= _PLAIN_SIZE and w.isprintable()]
-        if plain:
-            self._add_plain(plain)
-        for word in new:
-            if word not in self.words:
-                self._add(word)
-        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        found = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0).tolist()
+        if missing:
+            lacking = [words[k] for k in missing]
+            new = list(dict.fromkeys(lacking))
+            plain = [w for w in new if 4 * len(w) <= _PLAIN_BYTES or (len(w) <= _PLAIN_SIZE and len(w.encode()) <= _PLAIN_BYTES)]
+            if plain:
+                self._add_plain(plain)
+            for word in new:
+                if word not in self.words:
+                    self._add(word)
+            found[missing] = np.fromiter(map(self.words.__getitem__, lacking), np.int64, len(lacking))
+        return found
 
     def _add(self, word: str) -> None:
-        size, begin = len(word), len(self._mass)
+        size = len(word)
         edges = [self.edges(word, at) for at in range(size)]
         mass, shares = self._log_masses(edges)
+        end, code, lower = [], [], []
         for at in range(size):
-            own, total = shares[at], 0.0
-            behind = [0.0]
-            for share in own[:0:-1]:
-                behind.append(behind[-1] + share)
-            for (end, ids, log), share, after in zip(edges[at], own, reversed(behind), strict=True):
-                self._rest.append(total + after)
+            total = 0.0
+            for (stop, ids, _), share in zip(edges[at], shares[at], strict=True):
+                code.append(ids[0] if len(ids) == 1 else -1 - ord(word[at]))
+                end.append(stop if stop < size else -1)
+                lower.append(total)
                 total += share
-                self._code.append(ids[0] if len(ids) == 1 else -1 - ord(word[at]))
-                self._end.append(begin + end if end < size else -1)
-                self._log.append(log)
-                self._upto.append(total)
-            self._mass.append(mass[at])
-            self._first.append(len(self._log))
-        self.words[word] = begin
+        self.words[word] = self._nodes
+        self._append(np.array([len(e) for e in edges]), mass=np.array(mass), end=np.array(end), code=np.array(code), lower=np.array(lower))
 
     def _add_plain(self, words: list[str]) -> None:
         """The lattices of many short words at once: in arrays over all places, one length of piece after the other."""
@@ -205,71 +293,63 @@ class Vocabulary:
         chars = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
         starts = np.cumsum(sizes) - sizes
         stop, degree = np.repeat(starts + sizes, sizes), np.zeros(len(chars), np.int64)
-        found, at, length = [], np.arange(len(chars)), 1
-        states = np.zeros(len(chars), np.int64)
+        left = stop - np.arange(len(chars))
+        at = np.argsort(left.astype(np.uint8), kind="stable")  # places near the ends of their words first
+        found, states, length, rows = [], np.full(len(chars), self._empty), 1, np.arange(1, int(left.max()) + 2)
         while len(at):
-            states = self._next(states, chars[at + length - 1])
-            piece = np.where(states >= 0, self._piece[states], -1)
+            states = self._next(states, chars[at + (length - 1)])
+            piece = self._piece[states]
             if length == 1:  # a character without a piece is spelled in bytes
-                spelled = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
-                byte_log = np.array([self._byte_log * n for n in range(5)])
-                byte_exp = np.array([math.exp(log) for log in byte_log.tolist()])
-                code = np.where(piece >= 0, piece, -1 - chars)
-                log = np.where(piece >= 0, self._piece_log[piece], byte_log[spelled])
-                exp = np.where(piece >= 0, self._piece_exp[piece], byte_exp[spelled])
-                found.append((at, np.zeros(len(at), np.int64), at + 1, code, log, exp))
-                degree += 1
+                here, code, exp = at, piece, self._piece_exp.take(piece, mode="clip")
+                lacking = np.flatnonzero(piece < 0)
+                if len(lacking):
+                    own = chars[at[lacking]]
+                    code = piece.copy()
+                    code[lacking], exp[lacking] = -1 - own, self._byte_exps[self._spelled(own)]
             else:
-                here, code = at[piece >= 0], piece[piece >= 0]
-                found.append((here, degree[here], here + length, code, self._piece_log[code], self._piece_exp[code]))
-                degree[here] += 1
-            on = (states >= 0) & (at + length < stop[at])
+                whole = np.flatnonzero(piece >= 0)
+                here, code = at[whole], piece[whole]
+                exp = self._piece_exp.take(code)
+            found.append((here, degree[here], code, exp, np.searchsorted(left[here], rows).tolist()))
+            degree[here] += 1
+            on = np.flatnonzero((states >= 0) & (left[at] > length))
             at, states, length = at[on], states[on], length + 1
         first = np.cumsum(degree) - degree
-        place, rank, end, code, log, exp = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.empty(len(place), np.int64)
-        order[first[place] + rank] = np.arange(len(place))
-        place, end, code, log, exp = (x[order] for x in (place, end, code, log, exp))
-        inside = end < stop[place]
-        mass, parts = self._plain_masses(stop - np.arange(len(chars)), first, degree, np.where(inside, end, len(chars)), exp)
-        share = parts / mass[place]
-        upto, rest, front, back = np.empty(len(share)), np.empty(len(share)), np.zeros(len(chars)), np.zeros(len(chars))
-        everywhere = [np.flatnonzero(degree > k) for k in range(int(degree.max()))]
-        for k, open_places in enumerate(everywhere):
-            edge = first[open_places] + k
-            rest[edge] = front[open_places]
-            front[open_places] += share[edge]
-            upto[edge] = front[open_places]
-        for k, open_places in enumerate(everywhere):
-            edge = first[open_places] + degree[open_places] - 1 - k
-            rest[edge] += back[open_places]
-            back[open_places] += share[edge]
-        begin = len(self._mass)
-        self._first.frombytes((len(self._log) + first + degree).tobytes())
-        self._end.frombytes(np.where(inside, begin + end, -1).tobytes())
-        for held, values in ((self._code, code), (self._log, log), (self._upto, upto), (self._rest, rest)):
-            held.frombytes(values.tobytes())
-        self._mass.extend(map(math.log, mass.tolist()))
-        self.words.update(zip(words, (begin + starts).tolist(), strict=True))
+        total = int(degree.sum())
+        ends, codes, lower = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total)
+        mass = np.zeros(len(chars) + 1)
+        mass[-1] = 1.0  # behind a word
+        steps = []
+        for length, (here, rank, code, exp, cuts) in enumerate(found, start=1):
+            edge = first[here] + rank
+            end = here + length
+            inside = left[here] > length
+            codes[edge], ends[edge] = code, np.where(inside, end, -1)
+            steps.append((here, edge, exp, np.where(inside, end, len(chars)), cuts))
+        for row in range(len(rows) - 1):
+            for here, edge, exp, end, cuts in steps:
+                own = slice(cuts[row], cuts[row + 1])
+                if own.start < own.stop:
+                    places = here[own]
+                    before = mass[places]
+                    lower[edge[own]] = before
+                    mass[places] = before + exp[own] * mass[end[own]]
+        lower /= np.repeat(mass[:-1], degree)
+        self.words.update(zip(words, (self._nodes + starts).tolist(), strict=True))
+        self._append(degree, mass=np.log(mass[:-1]), end=ends, code=codes, lower=lower)
 
     @staticmethod
-    def _plain_masses(left: np.ndarray, first: np.ndarray, degree: np.ndarray, end: np.ndarray, exp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Mass from each place (``left`` characters from its word's end) and each edge's part of it, added with compensation."""
-        mass, low, parts = np.zeros(len(left) + 1), np.zeros(len(left)), np.empty(len(end))
-        mass[-1] = 1.0  # behind a word
-        by = np.argsort(left, kind="stable")
-        cuts = np.searchsorted(left[by], np.arange(1, int(left.max()) + 2))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            own = places = by[a:b]
-            for k in range(int(degree[own].max())):
-                places = places[degree[places] > k]
-                edge = first[places] + k
-                parts[edge] = part = exp[edge] * mass[end[edge]]
-                old = mass[places]
-                mass[places] = new = old + part
-                low[places] += np.where(old >= part, (old - new) + part, (part - new) + old)
-            mass[own] += low[own]
-        return mass[:-1], parts
+    def _spelled(chars: np.ndarray) -> np.ndarray:
+        """Bytes of characters."""
+        return 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
+
+    def logs(self, codes: np.ndarray) -> np.ndarray:
+        """Log probabilities of edges."""
+        found = self._piece_log.take(codes, mode="clip")
+        spelled = np.flatnonzero(codes < 0)
+        if len(spelled):
+            found[spelled] = self._byte_logs[self._spelled(-1 - codes[spelled])]
+        return found
 
     @staticmethod
     def _log_masses(edges: list) -> tuple[list[float], list[list[float]]]:
@@ -283,27 +363,25 @@ class Vocabulary:
             shares[at] = [p / total for p in parts]
         return mass[:-1], shares
 
-    def tables(self) -> dict[str, np.ndarray]:
-        """Views of the lattices; they must be gone before a word is added."""
-        names = {"first": (self._first, np.int64), "end": (self._end, np.int64), "code": (self._code, np.int64), "mass": (self._mass, float)}
-        names |= {"log": (self._log, float), "upto": (self._upto, float), "rest": (self._rest, float)}
-        return {n: np.frombuffer(a, kind) if len(a) else np.zeros(0, kind) for n, (a, kind) in names.items()}
+    def tables(self) -> _Lattices:
+        """The lattices so far, until the words are forgotten."""
+        counts = {"first": self._nodes + 1, "mass": self._nodes}
+        return _Lattices(self, {n: a[: counts.get(n, self._edges)] for n, a in self._held.items()})
 
     def spell(self, codes: np.ndarray) -> np.ndarray:
         """The ids of edges."""
-        spelled = codes < 0
-        if not spelled.any():
-            return codes.astype(np.int32)
-        kinds, which = np.unique(codes[spelled], return_inverse=True)
-        byte_ids = [[self.bytes[b] for b in chr(-1 - c).encode()] for c in kinds.tolist()]
-        many = np.ones(len(codes), np.int64)
-        many[spelled] = np.array([len(i) for i in byte_ids])[which]
-        ids, starts = np.repeat(codes, many), (np.cumsum(many) - many)[spelled]
-        table = np.array([i + [0] * (4 - len(i)) for i in byte_ids])[which]
-        for k in range(4):
-            longer = many[spelled] > k
-            ids[starts[longer] + k] = table[longer, k]
-        return ids.astype(np.int32)
+        return self.spell_each(codes)[0]
+
+    def spell_each(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """The ids of edges, and how many of them each edge has; None if each has one."""
+        spelled = np.flatnonzero(codes < 0)
+        if not len(spelled):
+            return codes.astype(np.int32), None
+        chars, many = -1 - codes[spelled], np.ones(len(codes), np.int64)
+        many[spelled] = self._spelled(chars)
+        ids = np.repeat(codes, many)
+        ids[ids < 0] = self._byte_ids[np.frombuffer(chars.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)]
+        return ids.astype(np.int32), many
 
     def decode(self, ids: list[int]) -> str:
         out, spelled = [], bytearray()
@@ -330,139 +408,186 @@ def vocabulary(path: str) -> Vocabulary:
 
 def split_words(text: str) -> list[str]:
     """Words, each with all of its space marks, and runs of line ends; no piece crosses from one to the next."""
-    return _WORD.findall(MARK + text.replace(" ", MARK))
+    whole = MARK + text.replace(" ", MARK)
+    if _DOUBLE.search(whole):
+        return _WORD.findall(whole)
+    return [*filter(None, whole.replace(MARK, f" {MARK}").replace("\n", " \n ").split(" "))]  # the same, if none comes twice
 
 
 class _Searches:
-    """The searches over several texts. A path is three arrays: words, nodes and the edges taken."""
+    """The searches over several texts. A path is the codes of its edges; places are counted through all texts."""
 
     def __init__(self, vocabulary: Vocabulary, texts: list[str], keys: list[bytes], wanted: int) -> None:
         if len(vocabulary.words) > _REMEMBERED or vocabulary.size() > _REMEMBERED * _WORD_SIZE:
             vocabulary.forget()
-        words = [[b for w in split_words(t) for b in ((w,) if len(w) <= _LONGEST_WORD else vocabulary.blocks(w))] if t else [] for t in texts]
-        sizes = np.array([len(w) for w in words], np.int64)
-        flat = [w for ws in words for w in ws]
+        flat, counts = [], []
+        for text in texts:
+            words = split_words(text) if text else []
+            if words and max(map(len, words)) > _LONGEST_WORD:
+                words = [b for w in words for b in vocabulary.blocks(w)]
+            flat += words
+            counts.append(len(words))
+        sizes = np.array(counts, np.int64)
         self.nodes = vocabulary.nodes(flat)
-        self.tables, self.spell = vocabulary.tables(), vocabulary.spell
+        self.tables, self.logs, self.spell, self.spell_each = vocabulary.tables(), vocabulary.logs, vocabulary.spell, vocabulary.spell_each
         self.wanted, self.texts = wanted, len(texts)
         self.seeds = np.array([xxhash.xxh64_intdigest(k, 42) for k in keys], np.uint64)
         self.stop = np.cumsum(sizes)  # word after the last one of each text
         self.start = self.stop - sizes
-        self.text = np.repeat(np.arange(len(texts)), sizes)
         lengths, mass = np.fromiter(map(len, flat), np.int64, len(flat)), self.tables["mass"][self.nodes] if flat else np.zeros(0)
-        self.place, self.after = np.zeros(len(flat), np.int64), np.zeros(len(flat))
-        self.total, self.before = np.zeros(len(texts)), np.cumsum(lengths) - lengths
-        for t in range(len(texts)):  # sums within a text only, so that its neighbours don't change a bit of them
-            own = slice(self.start[t], self.stop[t])
-            self.place[own] = np.cumsum(lengths[own]) - lengths[own]
-            behind = np.cumsum(mass[own][::-1])[::-1]
-            self.after[own] = np.append(behind[1:], 0.0)[: sizes[t]]
-            self.total[t] = behind[0] if sizes[t] else 0.0
+        ends = np.cumsum(lengths)
+        self.place, self.after, self.total = ends - lengths, np.zeros(len(flat)), np.zeros(len(texts))
+        self.origin = np.append(0, ends)[np.append(self.start, len(flat))]  # first place of each text, and that behind all
+        self.text = np.repeat(np.arange(len(texts)), sizes)
+        self.shift = self.nodes - self.place  # from a place to its node
+        for t, (a, b) in enumerate(zip(self.start.tolist(), self.stop.tolist(), strict=True)):
+            if a < b:  # sums within a text only, so that its neighbours don't change a bit of them
+                behind = np.cumsum(mass[a:b][::-1])[::-1]
+                self.after[a : b - 1] = behind[1:]
+                self.total[t] = behind[0]
         self.order = count()
-        self.found: list[list[tuple[tuple, float, float]]] = [[] for _ in texts]
+        self.found: list[list[tuple[np.ndarray, float, float]]] = [[] for _ in texts]
         self.regions: list[list[tuple]] = [[] for _ in texts]
 
-    def _places(self, words: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        return self.place[words] + nodes - self.nodes[words]
-
-    def _walk(self, words: np.ndarray, nodes: np.ndarray, round_no: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Draw the edges from each node to the end of its word."""
-        tables, steps = self.tables, []
-        while len(words):
-            edges, last = tables["first"][nodes], tables["first"][nodes + 1] - 1
-            u = _uniform(self.seeds[self.text[words]], round_no, _DRAW, self._places(words, nodes))
-            moving = np.flatnonzero(edges < last)
-            while len(moving):
-                moving = moving[(u[moving] >= tables["upto"][edges[moving]]) & (edges[moving] < last[moving])]
-                edges[moving] += 1
-            steps.append((words, nodes, edges))
-            nodes = tables["end"][edges]
-            on = nodes >= 0
-            words, nodes = words[on], nodes[on]
-        return tuple(np.concatenate(x) for x in zip(*steps, strict=True)) if steps else tuple(np.zeros(0, np.int64) for _ in range(3))
-
-    def _first_edge(self, t: int, word: int, node: int, gone: frozenset[int], round_no: int) -> tuple[int, float]:
+    def _walk(self, words: np.ndarray, places: np.ndarray, round_no: int, drawn: np.ndarray) -> None:
+        """Draw the edges from each place to the end of its word into ``drawn``."""
+        behind, end, lower = self.tables["first"][1:], self.tables["end"], self.tables["lower"]
+        counters = (_counters(self.seeds, round_no, _DRAW) - _MIX[0] * self.origin[:-1].astype(np.uint64))[self.text[words]]
+        shift = self.shift[words]
+        while len(places):
+            nodes = places + shift
+            edges = behind.take(nodes)
+            edges -= 1  # the longest piece is often the likeliest
+            u = _mixed(places.view(np.uint64) * _MIX[0] + counters)
+            moving = np.flatnonzero(u < lower.take(edges))
+            if len(moving):
+                own, at = u[moving], edges[moving]
+                while len(moving):
+                    at -= 1
+                    on = own < lower.take(at)
+                    edges[moving[~on]] = at[~on]
+                    moving, own, at = moving[on], own[on], at[on]
+            drawn[places] = edges
+            nodes = end.take(edges)
+            on = np.flatnonzero(nodes >= 0)
+            shift, counters = shift.take(on), counters.take(on)
+            places = nodes.take(on) - shift
+
+    def _first_edge(self, node: int, gone: frozenset[int], u: float) -> tuple[int, float]:
         """An edge that isn't ruled out, and the share of the others."""
-        tables = self.tables
-        open_edges = [e for e in range(tables["first"][node], tables["first"][node + 1]) if e not in gone]
-        first, last = tables["first"][node], tables["first"][node + 1]
-        shares = np.diff(tables["upto"][first:last], prepend=0.0)[[e - first for e in open_edges]]
-        place = self._places(np.array([word]), np.array([node]))
-        left = _uniform(self.seeds[t : t + 1], round_no, _DRAW, place)[0] * shares.sum()
-        k = min(int(np.searchsorted(np.cumsum(shares), left, "right")), len(open_edges) - 1)
-        return open_edges[k], float(np.delete(shares, k).sum())
+        first, stop, mass = int(self.tables["first"][node]), int(self.tables["first"][node + 1]), self.tables["mass"]
+        open_edges = [e for e in range(first, stop) if e not in gone]
+        logs, ends, whole = self.logs(self.tables["code"][first:stop]).tolist(), self.tables["end"][first:stop].tolist(), float(mass[node])
+        shares = [math.exp(logs[e - first] + (float(mass[ends[e - first]]) if ends[e - first] >= 0 else 0.0) - whole) for e in open_edges]
+        left, k, upto = u * sum(shares), 0, shares[0]
+        while upto <= left and k < len(shares) - 1:
+            k += 1
+            upto += shares[k]
+        return open_edges[k], sum(shares[:k]) + sum(shares[k + 1 :])
 
     def _round(self, round_no: int) -> bool:
         """Each open text takes its best region; False if there is none."""
-        taken, words, nodes, firsts = {}, [], [], []
-        for t in range(self.texts):
-            if round_no == 0:
-                perturb = _uniform(self.seeds[t : t + 1], 0, _PERTURB, np.array([(1 << 40) - 2]))[0]
-                bound = self.total[t] - math.log(-math.log(perturb))
+        taken: dict[int, tuple] = {}
+        words, places, firsts = [], [], []
+        if round_no == 0:
+            perturb = _uniform(self.seeds, 0, _PERTURB, np.full(self.texts, (1 << 40) - 2))
+            for t, bound in enumerate((self.total - np.log(-np.log(perturb))).tolist()):
                 if self.start[t] == self.stop[t]:
-                    self.found[t].append((tuple(np.zeros(0, np.int64) for _ in range(3)), 0.0, bound))
-                    continue
-                taken[t] = (bound, tuple(np.zeros(0, np.int64) for _ in range(3)), 0.0, frozenset(), 0.0)
-                words.append(np.arange(self.start[t], self.stop[t]))
-                nodes.append(self.nodes[self.start[t] : self.stop[t]])
-                continue
-            if not self.regions[t]:
-                continue
-            negative, _, path, at, before, gone = heappop(self.regions[t])
-            word, node = int(path[0][at]), int(path[1][at])
-            edge, rest = self._first_edge(t, word, node, gone, round_no)
-            taken[t] = (-negative, tuple(x[:at] for x in path), before, gone | {edge}, rest)
-            firsts.append((word, node, edge))
-            behind = int(self.tables["end"][edge])
-            if behind >= 0:
-                words.append(np.array([word]))
-                nodes.append(np.array([behind]))
-            words.append(np.arange(word + 1, self.stop[t]))
-            nodes.append(self.nodes[word + 1 : self.stop[t]])
+                    self.found[t].append((np.zeros(0, np.int32), 0.0, bound))
+                else:
+                    taken[t] = (bound, np.zeros(0, np.int32), 0.0, frozenset(), 0.0)
+            words.append(np.arange(len(self.nodes)))
+        else:
+            popped = {t: heappop(regions) for t, regions in enumerate(self.regions) if regions}
+            own, at = np.array(list(popped), np.int64), np.array([region[5] for region in popped.values()], np.int64)
+            numbers = _uniform(self.seeds[own], round_no, _DRAW, at - self.origin[own]).tolist()
+            for (t, (negative, _, prefix, before, gone, place, word)), u in zip(popped.items(), numbers, strict=True):
+                edge, rest = self._first_edge(place + int(self.shift[word]), gone, u)
+                taken[t] = (-negative, prefix, before, gone | {edge}, rest)
+                firsts.append((place, edge))
+                if (behind := int(self.tables["end"][edge])) >= 0:
+                    places.append((word, behind - int(self.shift[word])))
+                words.append(np.arange(word + 1, self.stop[t]))
         if not taken:
             return False
-        drawn = self._walk(np.concatenate(words), np.concatenate(nodes), round_no)
+        drawn, whole, begun = np.full(int(self.origin[-1]), -1), np.concatenate(words), np.array(places, np.int64).reshape(-1, 2)
         if firsts:
-            drawn = tuple(np.concatenate([np.array(f), d]) for f, d in zip(zip(*firsts, strict=True), drawn, strict=True))
-        order = np.argsort(self.before[drawn[0]] + drawn[1] - self.nodes[drawn[0]], kind="stable")
-        drawn = tuple(d[order] for d in drawn)
+            at, edges = np.array(firsts).T
+            drawn[at] = edges
+        self._walk(np.append(whole, begun[:, 0]), np.append(self.place[whole], begun[:, 1]), round_no, drawn)
         self._cut(taken, drawn, round_no)
         return True
 
-    def _cut(self, taken: dict[int, tuple], drawn: tuple[np.ndarray, ...], round_no: int) -> None:
-        """Note the new paths, and push what is left of their regions: one region for each step."""
-        words, nodes, edges = drawn
-        tables, text = self.tables, self.text[words]
-        logs, rest = tables["log"][edges], tables["rest"][edges].copy()
-        begin = np.searchsorted(text, list(taken))
-        stop = np.searchsorted(text, list(taken), "right")
-        before, bound = np.zeros(len(words)), np.zeros(len(words))
-        for (t, (own_bound, prefix, log_before, gone, first_rest)), a, b in zip(taken.items(), begin.tolist(), stop.tolist(), strict=True):
-            run = log_before + np.concatenate([[0.0], np.cumsum(logs[a:b])])
-            before[a:b], bound[a:b] = run[:-1], own_bound
-            path = tuple(np.concatenate([p, d[a:b]]) for p, d in zip(prefix, drawn, strict=True))
-            self.found[t].append((path, float(run[-1]), own_bound))
-            if gone:
-                rest[a] = first_rest
-        u = _uniform(self.seeds[text], round_no, _PERTURB, self._places(words, nodes))
-        with np.errstate(divide="ignore"):
-            middle = before + tables["mass"][nodes] + self.after[words] + np.log(rest)
-            perturbed = middle - np.logaddexp(middle - bound, np.log(-np.log(u)))
-        perturbed[rest <= 0] = -np.inf
+    def _cut(self, taken: dict[int, tuple], drawn: np.ndarray, round_no: int) -> None:
+        """Note the new paths, and push the best of what is left of their regions: one region for each step."""
+        places = np.flatnonzero(drawn >= 0)
+        edges = drawn.take(places)
+        codes = self.tables["code"].take(edges)
+        before, logs, paths = np.empty(len(places)), self.logs(codes), {}
+        ids, many = self.spell_each(codes)
+        texts, bounds = np.array(list(taken), np.int64), np.array([x[0] for x in taken.values()])
+        begin, stop = np.searchsorted(places, self.origin[texts]), np.searchsorted(places, self.origin[texts + 1])
+        spelled = np.stack([begin, stop], 1) if many is None else np.append(0, np.cumsum(many))[np.stack([begin, stop], 1)]
+        for (t, (bound, prefix, log_before, _, _)), a, b, (first, last) in zip(taken.items(), begin.tolist(), stop.tolist(), spelled.tolist(), strict=True):
+            run = np.cumsum(logs[a:b])
+            run += log_before
+            before[a], before[a + 1 : b] = log_before, run[:-1]
+            paths[t] = codes[a:b]
+            self.found[t].append((np.concatenate([self.spell(prefix), ids[first:last]]), float(run[-1]), bound))
+        again = np.array([bool(x[3]) for x in taken.values()])
+        rests = np.array([x[4] for x in taken.values()])
+
+        def masses(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Nodes of steps, and log masses of all that goes on from there."""
+            words = np.searchsorted(self.place, places[steps], "right") - 1
+            nodes = places[steps] + self.shift[words]
+            return nodes, before[steps] + self.tables["mass"][nodes] + self.after[words]
+
+        def numbers(rows: np.ndarray, steps: np.ndarray) -> np.ndarray:
+            own = texts[rows]
+            return _uniform(self.seeds[own], round_no, _PERTURB, places[steps] - self.origin[own])
+
+        def perturbed(rows: np.ndarray, steps: np.ndarray) -> np.ndarray:
+            nodes, middle = masses(steps)
+            rest = self.tables.rest(nodes, edges[steps])
+            ruled = again[rows] & (steps == begin[rows])
+            rest[ruled] = rests[rows[ruled]]
+            with np.errstate(divide="ignore"):
+                middle += np.log(rest)
+                return np.where(rest > 0, middle - np.logaddexp(middle - bounds[rows], np.log(-np.log(numbers(rows, steps)))), -np.inf)
+
+        def ranked(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The order by row and falling value, and each one's rank in its row."""
+            order = np.lexsort((-values, rows))
+            return order, np.arange(len(rows)) - np.searchsorted(rows[order], rows[order])
+
         # no region behind the best ones can give a segmentation that is still wanted, or the threshold
-        wanted, best = self.wanted - round_no, []
-        for a, b in zip(begin.tolist(), stop.tolist(), strict=True):
-            own = perturbed[a:b]
-            least = np.partition(own, len(own) - wanted)[len(own) - wanted] if len(own) > wanted else -np.inf
-            at = np.flatnonzero((own >= least) & (own > -np.inf))
-            best += (a + at[np.argsort(-own[at], kind="stable")][:wanted]).tolist()
-        where = dict(zip(taken, begin.tolist(), strict=True))
-        for k in best:
-            t = int(text[k])
+        wanted = self.wanted - round_no
+        rows, steps = _ranges(begin, np.minimum(stop, begin + _REACH))
+        values = perturbed(rows, steps)
+        order, rank = ranked(rows, values)
+        least = np.full(len(texts), -np.inf)
+        last = order[rank == wanted - 1]
+        least[rows[last]] = values[last]
+        # masses fall from step to step, so that one number tells which steps of a block may come before these
+        late, blocks = _ranges(np.minimum(stop, begin + _REACH), stop, _BLOCK)
+        most = masses(blocks)[1] - least[late] + 1e-6
+        open_blocks = np.flatnonzero(most > -53 * math.log(2.0))
+        late, blocks, most = late[open_blocks], blocks[open_blocks], most[open_blocks]
+        which, more = _ranges(blocks, np.minimum(blocks + _BLOCK, stop[late]))
+        near = np.flatnonzero(1.0 - numbers(late[which], more) <= np.exp(np.minimum(most, 0.0))[which])
+        rows, steps = np.append(rows, late[which[near]]), np.append(steps, more[near])
+        values = np.append(values, perturbed(late[which[near]], more[near]))
+        order, rank = ranked(rows, values)
+        order = order[(rank < wanted) & (values[order] > -np.inf)]
+        rows, steps, values = rows[order], steps[order], values[order]
+        at, words = places[steps], np.searchsorted(self.place, places[steps], "right") - 1
+        found = (rows, steps - begin[rows], values, before[steps], edges[steps], at, words)
+        for row, step, value, log_before, edge, place, word in zip(*(x.tolist() for x in found), strict=True):
+            t = int(texts[row])
             _, prefix, _, gone, _ = taken[t]
-            step = k - where[t]
-            ruled_out = (gone if step == 0 else frozenset()) | {int(edges[k])}
-            heappush(self.regions[t], (-float(perturbed[k]), next(self.order), self.found[t][-1][0], len(prefix[0]) + step, float(before[k]), ruled_out))
+            ruled_out = (gone if step == 0 else frozenset()) | {edge}
+            heappush(self.regions[t], (-value, next(self.order), np.concatenate([prefix, paths[t][:step]]), log_before, ruled_out, place, word))
 
     def run(self) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text (ids, log probability, perturbed one, inclusion), best first."""
@@ -473,8 +598,7 @@ class _Searches:
         for found, regions in zip(self.found, self.regions, strict=True):
             threshold = -regions[0][0] if regions else -math.inf
             rows = []
-            for (_, _, edges), log, bound in found:
-                ids = self.spell(self.tables["code"][edges])
+            for ids, log, bound in found:
                 rows.append((ids, log, bound, -math.expm1(-math.exp(min(700.0, log - threshold))) if regions else 1.0))
             out.append(rows)
         return out

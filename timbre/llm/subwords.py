@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 
 SAMPLES = 4
 MARK = "▁"
-_WORD, _DOUBLE = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+"), re.compile(f"{MARK}{MARK}|\n\n")
+_WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
 #: Characters from which on a word is cut at the next place that no piece crosses.
 _LONGEST_WORD = 64
 #: Words whose lattices a Python worker remembers, and characters that are searched side by side.
@@ -212,10 +212,9 @@ class Vocabulary:
         self._nodes = self._edges = 0
 
     def _append(self, degree: np.ndarray, **values: np.ndarray) -> None:
-        """Add nodes with so many edges each, whose ``end`` counts from the first new node."""
+        """Add nodes with so many edges each."""
         begin, nodes, edges = self._nodes, self._nodes + len(degree), self._edges + len(values["end"])
         values["first"] = self._edges + np.cumsum(degree)
-        values["end"] = np.where(values["end"] >= 0, begin + values["end"], -1)
         for name, more in values.items():
             at, to = {"first": (begin + 1, nodes + 1), "mass": (begin, nodes)}.get(name, (self._edges, edges))
             if to > len(self._held[name]):
@@ -281,7 +280,7 @@ class Vocabulary:
             total = 0.0
             for (stop, ids, _), share in zip(edges[at], shares[at], strict=True):
                 code.append(ids[0] if len(ids) == 1 else -1 - ord(word[at]))
-                end.append(stop if stop < size else -1)
+                end.append(self._nodes + stop if stop < size else -1)
                 lower.append(total)
                 total += share
         self.words[word] = self._nodes
@@ -295,12 +294,13 @@ class Vocabulary:
         stop, degree = np.repeat(starts + sizes, sizes), np.zeros(len(chars), np.int64)
         left = stop - np.arange(len(chars))
         at = np.argsort(left.astype(np.uint8), kind="stable")  # places near the ends of their words first
-        found, states, length, rows = [], np.full(len(chars), self._empty), 1, np.arange(1, int(left.max()) + 2)
+        ahead = left.take(at).astype(np.uint8)
+        found, states, length, rows = [], np.full(len(chars), self._empty), 1, np.arange(1, int(left.max()) + 2, dtype=np.uint8)
         while len(at):
-            states = self._next(states, chars[at + (length - 1)])
+            states = self._next(states, chars.take(at + (length - 1)))
             piece = self._piece[states]
             if length == 1:  # a character without a piece is spelled in bytes
-                here, code, exp = at, piece, self._piece_exp.take(piece, mode="clip")
+                here, rest, code, exp = at, ahead, piece, self._piece_exp.take(piece, mode="clip")
                 lacking = np.flatnonzero(piece < 0)
                 if len(lacking):
                     own = chars[at[lacking]]
@@ -308,32 +308,32 @@ class Vocabulary:
                     code[lacking], exp[lacking] = -1 - own, self._byte_exps[self._spelled(own)]
             else:
                 whole = np.flatnonzero(piece >= 0)
-                here, code = at[whole], piece[whole]
+                here, rest, code = at.take(whole), ahead.take(whole), piece.take(whole)
                 exp = self._piece_exp.take(code)
-            found.append((here, degree[here], code, exp, np.searchsorted(left[here], rows).tolist()))
-            degree[here] += 1
-            on = np.flatnonzero((states >= 0) & (left[at] > length))
-            at, states, length = at[on], states[on], length + 1
+            rank = degree.take(here)
+            degree[here] = rank + 1
+            found.append((here, rank, code, exp, rest > length, np.searchsorted(rest, rows).tolist()))
+            on = np.flatnonzero((states >= 0) & (ahead > length))
+            at, states, ahead, length = at.take(on), states.take(on), ahead.take(on), length + 1
         first = np.cumsum(degree) - degree
         total = int(degree.sum())
-        ends, codes, lower = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total)
+        ends, codes, lower = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total)
         mass = np.zeros(len(chars) + 1)
         mass[-1] = 1.0  # behind a word
         steps = []
-        for length, (here, rank, code, exp, cuts) in enumerate(found, start=1):
-            edge = first[here] + rank
+        for length, (here, rank, code, exp, inside, cuts) in enumerate(found, start=1):
+            edge = first.take(here) + rank
             end = here + length
-            inside = left[here] > length
-            codes[edge], ends[edge] = code, np.where(inside, end, -1)
+            codes[edge], ends[edge] = code, np.where(inside, end + self._nodes, -1)
             steps.append((here, edge, exp, np.where(inside, end, len(chars)), cuts))
         for row in range(len(rows) - 1):
             for here, edge, exp, end, cuts in steps:
                 own = slice(cuts[row], cuts[row + 1])
                 if own.start < own.stop:
                     places = here[own]
-                    before = mass[places]
+                    before = mass.take(places)
                     lower[edge[own]] = before
-                    mass[places] = before + exp[own] * mass[end[own]]
+                    mass[places] = before + exp[own] * mass.take(end[own])
         lower /= np.repeat(mass[:-1], degree)
         self.words.update(zip(words, (self._nodes + starts).tolist(), strict=True))
         self._append(degree, mass=np.log(mass[:-1]), end=ends, code=codes, lower=lower)
@@ -377,11 +377,16 @@ class Vocabulary:
         spelled = np.flatnonzero(codes < 0)
         if not len(spelled):
             return codes.astype(np.int32), None
-        chars, many = -1 - codes[spelled], np.ones(len(codes), np.int64)
-        many[spelled] = self._spelled(chars)
-        ids = np.repeat(codes, many)
-        ids[ids < 0] = self._byte_ids[np.frombuffer(chars.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)]
-        return ids.astype(np.int32), many
+        chars = -1 - codes[spelled]
+        sizes, ids, many = self._spelled(chars), codes, None
+        if int(sizes.max()) > 1:
+            many = np.ones(len(codes), np.int64)
+            many[spelled] = sizes
+            ids = np.repeat(codes, many)
+            spelled = np.flatnonzero(ids < 0)
+        ids = ids.astype(np.int32)
+        ids[spelled] = self._byte_ids[np.frombuffer(chars.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)]
+        return ids, many
 
     def decode(self, ids: list[int]) -> str:
         out, spelled = [], bytearray()
@@ -408,43 +413,50 @@ def vocabulary(path: str) -> Vocabulary:
 
 def split_words(text: str) -> list[str]:
     """Words, each with all of its space marks, and runs of line ends; no piece crosses from one to the next."""
-    whole = MARK + text.replace(" ", MARK)
-    if _DOUBLE.search(whole):
-        return _WORD.findall(whole)
-    return [*filter(None, whole.replace(MARK, f" {MARK}").replace("\n", " \n ").split(" "))]  # the same, if none comes twice
+    if "  " in text or "\n\n" in text or MARK in text or text[:1] == " ":
+        return _WORD.findall(MARK + text.replace(" ", MARK))
+    words = (MARK + text.replace(" ", f" {MARK}").replace("\n", " \n ")).split(" ")  # the same, as marks and line ends stand alone
+    return [*filter(None, words)] if "\n" in text else words
 
 
 class _Searches:
-    """The searches over several texts. A path is the codes of its edges; places are counted through all texts."""
+    """The searches over several texts, whose places are counted through all of them. A path is its places and the edges taken there."""
 
     def __init__(self, vocabulary: Vocabulary, texts: list[str], keys: list[bytes], wanted: int) -> None:
         if len(vocabulary.words) > _REMEMBERED or vocabulary.size() > _REMEMBERED * _WORD_SIZE:
             vocabulary.forget()
-        flat, counts = [], []
+        flat, counts, lengths = [], [], []
         for text in texts:
             words = split_words(text) if text else []
-            if words and max(map(len, words)) > _LONGEST_WORD:
+            own = [*map(len, words)]
+            if words and max(own) > _LONGEST_WORD:
                 words = [b for w in words for b in vocabulary.blocks(w)]
+                own = [*map(len, words)]
             flat += words
+            lengths += own
             counts.append(len(words))
         sizes = np.array(counts, np.int64)
         self.nodes = vocabulary.nodes(flat)
-        self.tables, self.logs, self.spell, self.spell_each = vocabulary.tables(), vocabulary.logs, vocabulary.spell, vocabulary.spell_each
+        self.tables, self.logs, self.spell_each = vocabulary.tables(), vocabulary.logs, vocabulary.spell_each
         self.wanted, self.texts = wanted, len(texts)
         self.seeds = np.array([xxhash.xxh64_intdigest(k, 42) for k in keys], np.uint64)
         self.stop = np.cumsum(sizes)  # word after the last one of each text
         self.start = self.stop - sizes
-        lengths, mass = np.fromiter(map(len, flat), np.int64, len(flat)), self.tables["mass"][self.nodes] if flat else np.zeros(0)
+        mass = self.tables["mass"][self.nodes] if flat else np.zeros(0)
+        lengths = np.array(lengths, np.int64)
         ends = np.cumsum(lengths)
-        self.place, self.after, self.total = ends - lengths, np.zeros(len(flat)), np.zeros(len(texts))
+        self.place, self.total = ends - lengths, np.zeros(len(texts))
         self.origin = np.append(0, ends)[np.append(self.start, len(flat))]  # first place of each text, and that behind all
         self.text = np.repeat(np.arange(len(texts)), sizes)
         self.shift = self.nodes - self.place  # from a place to its node
-        for t, (a, b) in enumerate(zip(self.start.tolist(), self.stop.tolist(), strict=True)):
-            if a < b:  # sums within a text only, so that its neighbours don't change a bit of them
-                behind = np.cumsum(mass[a:b][::-1])[::-1]
-                self.after[a : b - 1] = behind[1:]
-                self.total[t] = behind[0]
+        filled = np.flatnonzero(sizes)
+        backwards, behind = mass[::-1].copy(), np.empty(len(flat) + 1)
+        for a, b in zip((len(flat) - self.stop[filled]).tolist(), (len(flat) - self.start[filled]).tolist(), strict=True):
+            np.add.accumulate(backwards[a:b], out=behind[a:b])  # within a text only, so that its neighbours don't change a bit of it
+        behind = behind[-2::-1]
+        self.total[filled] = behind[self.start[filled]]
+        self.after = np.append(behind[1:], 0.0)[: len(flat)]
+        self.after[self.stop[filled] - 1] = 0.0
         self.order = count()
         self.found: list[list[tuple[np.ndarray, float, float]]] = [[] for _ in texts]
         self.regions: list[list[tuple]] = [[] for _ in texts]
@@ -461,81 +473,81 @@ class _Searches:
             u = _mixed(places.view(np.uint64) * _MIX[0] + counters)
             moving = np.flatnonzero(u < lower.take(edges))
             if len(moving):
-                own, at = u[moving], edges[moving]
+                own, at = u.take(moving), edges.take(moving)
                 while len(moving):
                     at -= 1
-                    on = own < lower.take(at)
-                    edges[moving[~on]] = at[~on]
-                    moving, own, at = moving[on], own[on], at[on]
+                    edges[moving] = at
+                    on = np.flatnonzero(own < lower.take(at))
+                    moving, own, at = moving.take(on), own.take(on), at.take(on)
             drawn[places] = edges
             nodes = end.take(edges)
             on = np.flatnonzero(nodes >= 0)
             shift, counters = shift.take(on), counters.take(on)
             places = nodes.take(on) - shift
 
-    def _first_edge(self, node: int, gone: frozenset[int], u: float) -> tuple[int, float]:
-        """An edge that isn't ruled out, and the share of the others."""
-        first, stop, mass = int(self.tables["first"][node]), int(self.tables["first"][node + 1]), self.tables["mass"]
-        open_edges = [e for e in range(first, stop) if e not in gone]
-        logs, ends, whole = self.logs(self.tables["code"][first:stop]).tolist(), self.tables["end"][first:stop].tolist(), float(mass[node])
-        shares = [math.exp(logs[e - first] + (float(mass[ends[e - first]]) if ends[e - first] >= 0 else 0.0) - whole) for e in open_edges]
-        left, k, upto = u * sum(shares), 0, shares[0]
-        while upto <= left and k < len(shares) - 1:
-            k += 1
-            upto += shares[k]
-        return open_edges[k], sum(shares[:k]) + sum(shares[k + 1 :])
+    def _first_edges(self, nodes: np.ndarray, gone: list[frozenset[int]], numbers: list[float]) -> tuple[list[int], list[float]]:
+        """An edge of each node that isn't ruled out, and the share of the others."""
+        first = self.tables["first"]
+        owner, edges = _ranges(first[nodes], first[nodes + 1])
+        shares, edges, cuts = self.tables.shares(nodes[owner], edges).tolist(), edges.tolist(), np.searchsorted(owner, np.arange(len(nodes) + 1)).tolist()
+        chosen, rests = [], []
+        for a, b, ruled_out, u in zip(cuts[:-1], cuts[1:], gone, numbers, strict=True):
+            left = [k for k in range(a, b) if edges[k] not in ruled_out]
+            own = [shares[k] for k in left]
+            target, k, upto = u * sum(own), 0, own[0]
+            while upto <= target and k < len(own) - 1:
+                k += 1
+                upto += own[k]
+            chosen.append(edges[left[k]])
+            rests.append(sum(own[:k]) + sum(own[k + 1 :]))
+        return chosen, rests
 
     def _round(self, round_no: int) -> bool:
         """Each open text takes its best region; False if there is none."""
-        taken: dict[int, tuple] = {}
-        words, places, firsts = [], [], []
+        drawn = np.full(int(self.origin[-1]), -1)  # the edge that the new path takes at a place
         if round_no == 0:
-            perturb = _uniform(self.seeds, 0, _PERTURB, np.full(self.texts, (1 << 40) - 2))
-            for t, bound in enumerate((self.total - np.log(-np.log(perturb))).tolist()):
-                if self.start[t] == self.stop[t]:
-                    self.found[t].append((np.zeros(0, np.int32), 0.0, bound))
-                else:
-                    taken[t] = (bound, np.zeros(0, np.int32), 0.0, frozenset(), 0.0)
-            words.append(np.arange(len(self.nodes)))
-        else:
-            popped = {t: heappop(regions) for t, regions in enumerate(self.regions) if regions}
-            own, at = np.array(list(popped), np.int64), np.array([region[5] for region in popped.values()], np.int64)
-            numbers = _uniform(self.seeds[own], round_no, _DRAW, at - self.origin[own]).tolist()
-            for (t, (negative, _, prefix, before, gone, place, word)), u in zip(popped.items(), numbers, strict=True):
-                edge, rest = self._first_edge(place + int(self.shift[word]), gone, u)
-                taken[t] = (-negative, prefix, before, gone | {edge}, rest)
-                firsts.append((place, edge))
-                if (behind := int(self.tables["end"][edge])) >= 0:
-                    places.append((word, behind - int(self.shift[word])))
-                words.append(np.arange(word + 1, self.stop[t]))
-        if not taken:
+            bounds = self.total - np.log(-np.log(_uniform(self.seeds, 0, _PERTURB, np.full(self.texts, (1 << 40) - 2))))
+            for t in np.flatnonzero(self.start == self.stop).tolist():
+                self.found[t].append((np.zeros(0, np.int32), 0.0, float(bounds[t])))
+            texts = np.flatnonzero(self.start < self.stop)
+            if not len(texts):
+                return False
+            self._walk(np.arange(len(self.nodes)), self.place, 0, drawn)
+            self._cut(texts, bounds[texts], [frozenset()] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64), drawn, 0)
+            return True
+        texts = np.array([t for t, regions in enumerate(self.regions) if regions], np.int64)
+        if not len(texts):
             return False
-        drawn, whole, begun = np.full(int(self.origin[-1]), -1), np.concatenate(words), np.array(places, np.int64).reshape(-1, 2)
-        if firsts:
-            at, edges = np.array(firsts).T
-            drawn[at] = edges
-        self._walk(np.append(whole, begun[:, 0]), np.append(self.place[whole], begun[:, 1]), round_no, drawn)
-        self._cut(taken, drawn, round_no)
+        bounds, _, fixed, taken, gone, places, words = zip(*(heappop(self.regions[t]) for t in texts.tolist()), strict=True)
+        places, words = np.array(places), np.array(words)
+        u = _uniform(self.seeds[texts], round_no, _DRAW, places - self.origin[texts]).tolist()
+        edges, rests = self._first_edges(places + self.shift[words], gone, u)
+        drawn[np.concatenate(fixed)] = np.concatenate(taken)
+        drawn[places] = edges
+        behind = self.tables["end"][edges]
+        on = np.flatnonzero(behind >= 0)
+        _, whole = _ranges(words + 1, self.stop[texts])
+        self._walk(np.append(whole, words[on]), np.append(self.place[whole], behind[on] - self.shift[words[on]]), round_no, drawn)
+        gone = [g | {e} for g, e in zip(gone, edges, strict=True)]
+        self._cut(texts, -np.array(bounds), gone, np.array(rests), np.array([len(x) for x in fixed]), drawn, round_no)
         return True
 
-    def _cut(self, taken: dict[int, tuple], drawn: np.ndarray, round_no: int) -> None:
-        """Note the new paths, and push the best of what is left of their regions: one region for each step."""
+    def _cut(self, texts: np.ndarray, bounds: np.ndarray, gone: list[frozenset[int]], rests: np.ndarray, kept: np.ndarray, drawn: np.ndarray, round_no: int) -> None:
+        """Note the new paths, whose first ``kept`` steps are fixed, and push the best of what is left of their regions: one for each other step."""
         places = np.flatnonzero(drawn >= 0)
         edges = drawn.take(places)
         codes = self.tables["code"].take(edges)
-        before, logs, paths = np.empty(len(places)), self.logs(codes), {}
-        ids, many = self.spell_each(codes)
-        texts, bounds = np.array(list(taken), np.int64), np.array([x[0] for x in taken.values()])
+        logs, run = self.logs(codes), np.empty(len(places))
         begin, stop = np.searchsorted(places, self.origin[texts]), np.searchsorted(places, self.origin[texts + 1])
-        spelled = np.stack([begin, stop], 1) if many is None else np.append(0, np.cumsum(many))[np.stack([begin, stop], 1)]
-        for (t, (bound, prefix, log_before, _, _)), a, b, (first, last) in zip(taken.items(), begin.tolist(), stop.tolist(), spelled.tolist(), strict=True):
-            run = np.cumsum(logs[a:b])
-            run += log_before
-            before[a], before[a + 1 : b] = log_before, run[:-1]
-            paths[t] = codes[a:b]
-            self.found[t].append((np.concatenate([self.spell(prefix), ids[first:last]]), float(run[-1]), bound))
-        again = np.array([bool(x[3]) for x in taken.values()])
-        rests = np.array([x[4] for x in taken.values()])
+        for a, b in zip(begin.tolist(), stop.tolist(), strict=True):
+            np.add.accumulate(logs[a:b], out=run[a:b])
+        before = np.append(0.0, run[:-1])
+        before[begin] = 0.0
+        ids, many = self.spell_each(codes)
+        ends = (begin, stop) if many is None else (x[y] for x, y in zip([np.append(0, np.cumsum(many))] * 2, (begin, stop), strict=True))
+        for t, a, b, log, bound in zip(texts.tolist(), *(x.tolist() for x in (*ends, run[stop - 1], bounds)), strict=True):
+            self.found[t].append((ids[a:b], log, bound))
+        free = begin + kept
 
         def masses(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Nodes of steps, and log masses of all that goes on from there."""
@@ -543,51 +555,48 @@ class _Searches:
             nodes = places[steps] + self.shift[words]
             return nodes, before[steps] + self.tables["mass"][nodes] + self.after[words]
 
+        counters = _counters(self.seeds[texts], round_no, _PERTURB) - _MIX[0] * self.origin[texts].astype(np.uint64)
+
         def numbers(rows: np.ndarray, steps: np.ndarray) -> np.ndarray:
-            own = texts[rows]
-            return _uniform(self.seeds[own], round_no, _PERTURB, places[steps] - self.origin[own])
+            return _mixed(places[steps].view(np.uint64) * _MIX[0] + counters[rows])
 
         def perturbed(rows: np.ndarray, steps: np.ndarray) -> np.ndarray:
             nodes, middle = masses(steps)
             rest = self.tables.rest(nodes, edges[steps])
-            ruled = again[rows] & (steps == begin[rows])
-            rest[ruled] = rests[rows[ruled]]
+            if round_no:
+                first = steps == free[rows]
+                rest[first] = rests[rows[first]]
             with np.errstate(divide="ignore"):
                 middle += np.log(rest)
                 return np.where(rest > 0, middle - np.logaddexp(middle - bounds[rows], np.log(-np.log(numbers(rows, steps)))), -np.inf)
 
-        def ranked(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """The order by row and falling value, and each one's rank in its row."""
-            order = np.lexsort((-values, rows))
-            return order, np.arange(len(rows)) - np.searchsorted(rows[order], rows[order])
-
         # no region behind the best ones can give a segmentation that is still wanted, or the threshold
         wanted = self.wanted - round_no
-        rows, steps = _ranges(begin, np.minimum(stop, begin + _REACH))
+        near = np.minimum(stop, free + _REACH)
+        rows, steps = _ranges(free, near)
         values = perturbed(rows, steps)
-        order, rank = ranked(rows, values)
         least = np.full(len(texts), -np.inf)
-        last = order[rank == wanted - 1]
-        least[rows[last]] = values[last]
+        if wanted <= _REACH:
+            lowered = np.full((len(texts), _REACH), np.inf)
+            lowered[rows, steps - free[rows]] = -values
+            least = -np.partition(lowered, wanted - 1, axis=1)[:, wanted - 1]
         # masses fall from step to step, so that one number tells which steps of a block may come before these
-        late, blocks = _ranges(np.minimum(stop, begin + _REACH), stop, _BLOCK)
+        late, blocks = _ranges(near, stop, _BLOCK)
         most = masses(blocks)[1] - least[late] + 1e-6
-        open_blocks = np.flatnonzero(most > -53 * math.log(2.0))
-        late, blocks, most = late[open_blocks], blocks[open_blocks], most[open_blocks]
+        on = np.flatnonzero(most > -53 * math.log(2.0))
+        late, blocks, most = late[on], blocks[on], most[on]
         which, more = _ranges(blocks, np.minimum(blocks + _BLOCK, stop[late]))
-        near = np.flatnonzero(1.0 - numbers(late[which], more) <= np.exp(np.minimum(most, 0.0))[which])
-        rows, steps = np.append(rows, late[which[near]]), np.append(steps, more[near])
-        values = np.append(values, perturbed(late[which[near]], more[near]))
-        order, rank = ranked(rows, values)
-        order = order[(rank < wanted) & (values[order] > -np.inf)]
-        rows, steps, values = rows[order], steps[order], values[order]
+        on = np.flatnonzero(1.0 - numbers(late[which], more) <= np.exp(np.minimum(most, 0.0))[which])
+        rows, steps, values = np.append(rows, late[which[on]]), np.append(steps, more[on]), np.append(values, perturbed(late[which[on]], more[on]))
+        on = np.flatnonzero((values >= least[rows]) & (values > -np.inf))
+        on = on[np.lexsort((-values[on], rows[on]))]
+        on = on[np.arange(len(on)) - np.searchsorted(rows[on], rows[on]) < wanted]
+        rows, steps = rows[on], steps[on]
         at, words = places[steps], np.searchsorted(self.place, places[steps], "right") - 1
-        found = (rows, steps - begin[rows], values, before[steps], edges[steps], at, words)
-        for row, step, value, log_before, edge, place, word in zip(*(x.tolist() for x in found), strict=True):
-            t = int(texts[row])
-            _, prefix, _, gone, _ = taken[t]
-            ruled_out = (gone if step == 0 else frozenset()) | {edge}
-            heappush(self.regions[t], (-value, next(self.order), np.concatenate([prefix, paths[t][:step]]), log_before, ruled_out, place, word))
+        found = (rows, begin[rows], steps, values[on], edges[steps], at, words)
+        for row, a, step, value, edge, place, word in zip(*(x.tolist() for x in found), strict=True):
+            ruled_out = gone[row] | {edge} if a + kept[row] == step else frozenset((edge,))
+            heappush(self.regions[texts[row]], (-value, next(self.order), places[a:step], edges[a:step], ruled_out, place, word))
 
     def run(self) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text (ids, log probability, perturbed one, inclusion), best first."""

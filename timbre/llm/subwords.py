@@ -28,7 +28,7 @@ import math
 import re
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import count, groupby, repeat
+from itertools import chain, count, groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,8 @@ _REACH, _BLOCK = 32, 16
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: Bits of a character in a key of the pieces' table.
 _CHAR_BITS = 21
+#: The bits of 1.0, whose lowest 52 bits are steps of 2 ** -52 up to 2.0.
+_ONE = np.uint64(0x3FF0000000000000)
 _DRAW, _PERTURB = np.uint64(0), np.uint64(1)
 
 
@@ -74,10 +76,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
             if factor is not None:
                 x *= factor
     x >>= np.uint64(12)
-    u = x.astype(float)
-    u += 0.5
-    u *= 2.0**-52
-    return u
+    x |= _ONE
+    return x.view(float) - (1.0 - 2.0**-53)
 
 
 def _ranges(begin: np.ndarray, stop: np.ndarray, by: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -261,14 +261,15 @@ class Vocabulary:
         missing = np.flatnonzero(found < 0).tolist()
         if missing:
             lacking = [words[k] for k in missing]
-            new = list(dict.fromkeys(lacking))
+            new = dict.fromkeys(lacking)
             plain = [w for w in new if 4 * len(w) <= _PLAIN_BYTES or (len(w) <= _PLAIN_SIZE and len(w.encode()) <= _PLAIN_BYTES)]
             if plain:
                 self._add_plain(plain)
             for word in new:
                 if word not in self.words:
                     self._add(word)
-            found[missing] = np.fromiter(map(self.words.__getitem__, lacking), np.int64, len(lacking))
+                new[word] = self.words[word]
+            found[missing] = np.fromiter(map(new.__getitem__, lacking), np.int64, len(lacking))
         return found
 
     def _add(self, word: str) -> None:
@@ -323,9 +324,9 @@ class Vocabulary:
         steps = []
         for length, (here, rank, code, exp, inside, cuts) in enumerate(found, start=1):
             edge = first.take(here) + rank
-            end = here + length
-            codes[edge], ends[edge] = code, np.where(inside, end + self._nodes, -1)
-            steps.append((here, edge, exp, np.where(inside, end, len(chars)), cuts))
+            end = np.where(inside, here + length, -1)  # the last mass stands for what is behind
+            codes[edge], ends[edge] = code, end
+            steps.append((here, edge, exp, end, cuts))
         for row in range(len(rows) - 1):
             for here, edge, exp, end, cuts in steps:
                 own = slice(cuts[row], cuts[row + 1])
@@ -336,7 +337,7 @@ class Vocabulary:
                     mass[places] = before + exp[own] * mass.take(end[own])
         lower /= np.repeat(mass[:-1], degree)
         self.words.update(zip(words, (self._nodes + starts).tolist(), strict=True))
-        self._append(degree, mass=np.log(mass[:-1]), end=ends, code=codes, lower=lower)
+        self._append(degree, mass=np.log(mass[:-1]), end=np.where(ends >= 0, ends + self._nodes, -1), code=codes, lower=lower)
 
     @staticmethod
     def _spelled(chars: np.ndarray) -> np.ndarray:
@@ -425,17 +426,14 @@ class _Searches:
     def __init__(self, vocabulary: Vocabulary, texts: list[str], keys: list[bytes], wanted: int) -> None:
         if len(vocabulary.words) > _REMEMBERED or vocabulary.size() > _REMEMBERED * _WORD_SIZE:
             vocabulary.forget()
-        flat, counts, lengths = [], [], []
-        for text in texts:
-            words = split_words(text) if text else []
-            own = [*map(len, words)]
-            if words and max(own) > _LONGEST_WORD:
-                words = [b for w in words for b in vocabulary.blocks(w)]
-                own = [*map(len, words)]
-            flat += words
-            lengths += own
-            counts.append(len(words))
-        sizes = np.array(counts, np.int64)
+        words = [split_words(text) if text else [] for text in texts]
+        flat = [*chain.from_iterable(words)]
+        lengths = np.fromiter(map(len, flat), np.int64, len(flat))
+        if len(flat) and lengths.max() > _LONGEST_WORD:
+            words = [[b for w in ws for b in ((w,) if len(w) <= _LONGEST_WORD else vocabulary.blocks(w))] for ws in words]
+            flat = [*chain.from_iterable(words)]
+            lengths = np.fromiter(map(len, flat), np.int64, len(flat))
+        sizes = np.array([len(ws) for ws in words], np.int64)
         self.nodes = vocabulary.nodes(flat)
         self.tables, self.logs, self.spell_each = vocabulary.tables(), vocabulary.logs, vocabulary.spell_each
         self.wanted, self.texts = wanted, len(texts)
@@ -443,7 +441,6 @@ class _Searches:
         self.stop = np.cumsum(sizes)  # word after the last one of each text
         self.start = self.stop - sizes
         mass = self.tables["mass"][self.nodes] if flat else np.zeros(0)
-        lengths = np.array(lengths, np.int64)
         ends = np.cumsum(lengths)
         self.place, self.total = ends - lengths, np.zeros(len(texts))
         self.origin = np.append(0, ends)[np.append(self.start, len(flat))]  # first place of each text, and that behind all
@@ -464,24 +461,26 @@ class _Searches:
     def _walk(self, words: np.ndarray, places: np.ndarray, round_no: int, drawn: np.ndarray) -> None:
         """Draw the edges from each place to the end of its word into ``drawn``."""
         behind, end, lower = self.tables["first"][1:], self.tables["end"], self.tables["lower"]
-        counters = (_counters(self.seeds, round_no, _DRAW) - _MIX[0] * self.origin[:-1].astype(np.uint64))[self.text[words]]
-        shift = self.shift[words]
+        counters = (_counters(self.seeds, round_no, _DRAW) - _MIX[0] * self.origin[:-1].astype(np.uint64)).take(self.text.take(words))
+        shift = self.shift.take(words)
         while len(places):
             nodes = places + shift
             edges = behind.take(nodes)
             edges -= 1  # the longest piece is often the likeliest
-            u = _mixed(places.view(np.uint64) * _MIX[0] + counters)
-            moving = np.flatnonzero(u < lower.take(edges))
+            u = places.view(np.uint64) * _MIX[0]
+            u += counters
+            u = _mixed(u)
+            moving = (u < lower.take(edges)).nonzero()[0]
             if len(moving):
                 own, at = u.take(moving), edges.take(moving)
                 while len(moving):
                     at -= 1
                     edges[moving] = at
-                    on = np.flatnonzero(own < lower.take(at))
+                    on = (own < lower.take(at)).nonzero()[0]
                     moving, own, at = moving.take(on), own.take(on), at.take(on)
             drawn[places] = edges
             nodes = end.take(edges)
-            on = np.flatnonzero(nodes >= 0)
+            on = (nodes >= 0).nonzero()[0]
             shift, counters = shift.take(on), counters.take(on)
             places = nodes.take(on) - shift
 
@@ -504,7 +503,7 @@ class _Searches:
 
     def _round(self, round_no: int) -> bool:
         """Each open text takes its best region; False if there is none."""
-        drawn = np.full(int(self.origin[-1]), -1)  # the edge that the new path takes at a place
+        drawn = np.full(int(self.origin[-1]), -1, np.int32)  # the edge that the new path takes at a place
         if round_no == 0:
             bounds = self.total - np.log(-np.log(_uniform(self.seeds, 0, _PERTURB, np.full(self.texts, (1 << 40) - 2))))
             for t in np.flatnonzero(self.start == self.stop).tolist():
@@ -534,8 +533,8 @@ class _Searches:
 
     def _cut(self, texts: np.ndarray, bounds: np.ndarray, gone: list[frozenset[int]], rests: np.ndarray, kept: np.ndarray, drawn: np.ndarray, round_no: int) -> None:
         """Note the new paths, whose first ``kept`` steps are fixed, and push the best of what is left of their regions: one for each other step."""
-        places = np.flatnonzero(drawn >= 0)
-        edges = drawn.take(places)
+        places = (drawn >= 0).nonzero()[0]
+        edges = drawn.take(places).astype(np.int64)
         codes = self.tables["code"].take(edges)
         logs, run = self.logs(codes), np.empty(len(places))
         begin, stop = np.searchsorted(places, self.origin[texts]), np.searchsorted(places, self.origin[texts + 1])
@@ -572,14 +571,17 @@ class _Searches:
 
         # no region behind the best ones can give a segmentation that is still wanted, or the threshold
         wanted = self.wanted - round_no
-        near = np.minimum(stop, free + _REACH)
+        others = [sorted([-x[0] for x in self.regions[t]], reverse=True) for t in texts.tolist()]
+        least = np.array([x[wanted - 1] if len(x) >= wanted else -math.inf for x in others])
+        few = np.flatnonzero(least == -np.inf)  # texts whose first steps tell what is among the best
+        near = free.copy()
+        near[few] = np.minimum(stop, free + _REACH)[few]
         rows, steps = _ranges(free, near)
         values = perturbed(rows, steps)
-        least = np.full(len(texts), -np.inf)
-        if wanted <= _REACH:
+        if wanted <= _REACH and len(few):
             lowered = np.full((len(texts), _REACH), np.inf)
             lowered[rows, steps - free[rows]] = -values
-            least = -np.partition(lowered, wanted - 1, axis=1)[:, wanted - 1]
+            least[few] = -np.partition(lowered[few], wanted - 1, axis=1)[:, wanted - 1]
         # masses fall from step to step, so that one number tells which steps of a block may come before these
         late, blocks = _ranges(near, stop, _BLOCK)
         most = masses(blocks)[1] - least[late] + 1e-6

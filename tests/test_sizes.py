@@ -1,11 +1,15 @@
 """Work that must stay bounded, or spread, when tables grow."""
 
 import json
+import random
+import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from timbre.functions import text
 from timbre.functions.text import lexicon_phonemes
 from timbre.operators import builders, scoring
 from timbre.operators.ordering import spread_scan
@@ -91,3 +95,53 @@ def test_phonemes_keep_their_partitions(spark):
     assert len({r["part"] for r in rows}) > 1 and sorted(r["k"] for r in rows) == list(range(600))
     assert {tuple(r["phones"]) for r in rows} == {("_", "g", "ow", ",", "g", "ow", "UNK", "_")}
     assert {(*r["tones"],) for r in rows} == {(0, 3, 2, 0, 3, 2, 0, 0)} and {(*r["word2ph"], r["oov"]) for r in rows} == {(1, 2, 0, 1, 2, 1, 1, 1)}
+
+
+def test_words_meet_the_lexicon_once_for_many_texts(spark, monkeypatch):
+    rows, given = [], text.spread
+    monkeypatch.setattr(text, "spread", lambda df, *keys: rows.append(df) or given(df, *keys))
+    lexicon = spark.createDataFrame([(f"W{k}", ["W", "AH1"]) for k in range(100)], "word string, phones array<string>")
+    texts = spark.createDataFrame([(k, " ".join(f"w{j} x{j}" for j in range(100))) for k in range(300)], "k int, x string").coalesce(1)
+    found = lexicon_phonemes(texts, "k", "x", lexicon, ["w", "ah"]).collect()
+    assert rows[0].count() <= 1_000  # 300 texts of 100 known words each
+    assert len(found) == 300 and {(len(r["phones"]), sum(r["word2ph"]), r["oov"]) for r in found} == {(202, 202, 100)}
+    # chunks don't depend on the order in which rows come
+    chunks = []
+    for ascending in (True, False):
+        lexicon_phonemes(texts.sort("k", ascending=ascending).coalesce(1), "k", "x", lexicon, ["w", "ah"])
+        chunks.append({(r["_chunk"], bytes(r["_texts"])) for r in rows[-1].filter("_texts IS NOT NULL").collect()})
+    assert chunks[0] == chunks[1]
+
+
+def test_phonemes_of_many_chunks_against_brute_force(spark):
+    rng = random.Random(9)
+    known = {f"K{k}": [rng.choice(["AH0", "EH2", "T", "V", "Q"]) for _ in range(k % 4)] for k in range(400)} | {"İS": ["AH1"], "'": ["T"]}
+    words = [*(f"k{k}" for k in range(900)), "İs", "'", "!", "…", "?", "-", "it's"]
+    texts = [(f"t{k}", " ".join(rng.choices(words, k=rng.randrange(1_500)))) for k in range(200)] + [(None, "k1 k2, k900"), (None, "k3"), ("n", None), ("e", " ")]
+    symbols, marks = ["_", "ah", "eh", "t", "V", "!", "-", "'"], "!?…,.'-"
+
+    def spoken(row):
+        phones, tones, counts, oov = ["_"], [0], [1], 0
+        for word in re.findall(r"[\w']+|[!?…,.-]", row[1] or ""):
+            if word in marks:
+                each = [(word, 0)]
+            else:
+                oov += word.upper() not in known
+                each = [(re.sub(r"\d$", "", p).lower(), int(p[-1]) + 1 if p[-1].isdigit() else 3) for p in known.get(word.upper(), [])]
+            each = [("V" if p == "v" else p, tone) for p, tone in each]
+            phones += [p if p in symbols else "UNK" for p, _ in each]
+            tones += [tone for _, tone in each]
+            counts.append(len(each))
+        return row[0] or "", [*phones, "_"], [*tones, 0], [*counts, 1], oov
+
+    lexicon = spark.createDataFrame([*known.items()], "word string, phones array<string>")
+    # the same rows again: a row is a text, whatever its key
+    frame = spark.createDataFrame([*texts, *texts[-30:]], "k string, x string").coalesce(2)
+    got = sorted((r["k"] or "", r["phones"], r["tones"], r["word2ph"], r["oov"]) for r in lexicon_phonemes(frame, "k", "x", lexicon, symbols).collect())
+    assert got == sorted(spoken(row) for row in [*texts, *texts[-30:]])
+
+
+def test_a_word_that_comes_twice_in_the_lexicon_is_refused(spark):
+    lexicon = spark.createDataFrame([("GO", ["G"]), ("GO", ["OW1"])], "word string, phones array<string>")
+    with pytest.raises(Exception, match="twice in the lexicon"):
+        lexicon_phonemes(spark.createDataFrame([(1, "go")], "k int, x string"), "k", "x", lexicon, ["g"]).collect()

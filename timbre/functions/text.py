@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from timbre.functions.expr import SPACE, col, literal_map, stem, strip, suffix
@@ -141,8 +143,10 @@ ZH_INTERJECTIONS = {"嗯": "恩", "呣": "母"}
 ZH_KEEP = r"\x{4e00}-\x{9fa5}"
 JP_KEEP = r"\x{3040}-\x{309f}\x{30a0}-\x{30ff}\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{3005}"
 LETTER_PHONE_TONE = 3
-#: Texts whose phonemes a task holds at once.
-_TEXTS = 256
+#: Tokens of a chunk of texts, which share their look-ups; a text is not cut.
+_TOKENS = 65_536
+#: Chunks of a task are numbered from its partition shifted by this.
+_CHUNK_SHIFT = 33
 # -----------------------------------------------------------------------------
 
 
@@ -297,40 +301,30 @@ def lexicon_phonemes(df: DataFrame, key: str, text: str, lexicon: DataFrame, sym
     """Phonemes, tones and word2ph of every text through a lexicon ``(word, phones)``.
 
     Words are looked up in upper case; words outside the lexicon are counted in ``oov`` and
-    contribute no phones. Only the distinct words of a text meet the lexicon; what is found comes back as
-    one map a text, through which its tokens go in place. ``key`` names a text.
+    contribute no phones. Texts go in chunks: only the distinct words of a chunk meet the lexicon, and its tokens,
+    kept as numbers of these words, take in place what is found. Every row is a text, whatever its ``key``.
     """
     marks = "".join("\\" + s for s in SPEECH_SYMBOLS if s != "'")
     tokens = F.regexp_extract_all(F.col(text), F.lit(rf"[\p{{L}}\p{{N}}']+|[{marks}]"), F.lit(0))
-    words = df.select(key, tokens.alias("_tokens")).select(key, "_tokens", F.posexplode_outer(F.array_distinct("_tokens")).alias("_pos", "_word"))
-    stream = words.select(key, F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_tokens")).alias("_tokens"), "_word")
+    # shuffled rows come in any order: sorted, a task that runs again cuts the same chunks
+    ordered = df.select(key, text).sortWithinPartitions(key, text)
+    chunks = ordered.select(key, tokens.alias("_tokens")).mapInArrow(_in_chunks, "_chunk long, _at int, _word string, _texts binary")
     refined = lexicon.select("word", F.transform("phones", refine_phone).alias("_spoken"))
     entries = refined.select(
         F.col("word").alias("_entry"),
-        F.struct(
-            F.array_join(F.transform("_spoken", lambda p: repair_symbol(p["phone"], symbols)), " ").alias("phones"),
-            F.array_join(F.transform("_spoken", lambda p: p["tone"].cast("string")), " ").alias("tones"),
-            F.size("_spoken").alias("n"),
-        ).alias("_found"),
+        F.array_join(F.transform("_spoken", lambda p: repair_symbol(p["phone"], symbols)), " ").alias("_phones"),
+        F.array_join(F.transform("_spoken", lambda p: p["tone"].cast("string")), " ").alias("_tones"),
+        F.size("_spoken").alias("_n"),
     )
-    looked = stream.join(entries, F.upper("_word") == F.col("_entry"), "left")
-    hit = F.when(F.col("_entry").isNotNull(), F.struct("_word", "_found"))
-    # words and marks are few bytes for what they become: partitions are not merged by their bytes
-    texts = spread(looked, key).groupBy(key).agg(
-        F.coalesce(F.first("_tokens", ignorenulls=True), F.array().cast("array<string>")).alias("_tokens"),
-        F.map_from_entries(F.collect_list(hit)).alias("_map"),
-    )
-    marks = {m: _repaired(m, symbols) for m in SPEECH_SYMBOLS}
+    looked = chunks.join(entries, F.upper("_word") == F.col("_entry"), "left").filter("_entry IS NOT NULL OR _texts IS NOT NULL")
+    kept = T.StructType([df.schema[key], *T._parse_datatype_string("phones array<string>, tones array<int>, word2ph array<int>, oov long")])
+    spoken_marks = [_repaired(m, symbols) for m in SPEECH_SYMBOLS]
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, _TEXTS):
-                part = batch.slice(at, _TEXTS)
-                columns = _in_place(part.column("_tokens"), part.column("_map"), marks)
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], [key, "phones", "tones", "word2ph", "oov"])
+    def read(chunk: pa.Table) -> pa.Table:
+        return pa.Table.from_arrays(_in_place(chunk, spoken_marks), kept.names)
 
-    kept = T.StructType([texts.schema[key], *T._parse_datatype_string("phones array<string>, tones array<int>, word2ph array<int>, oov long")])
-    return texts.mapInArrow(read, kept)
+    # words and marks are few bytes for what they become: partitions are not merged by their bytes
+    return spread(looked.drop("_word", "_entry"), "_chunk").groupBy("_chunk").applyInArrow(read, kept)
 
 
 def _repaired(phone: str, symbols: list[str]) -> str:
@@ -338,43 +332,78 @@ def _repaired(phone: str, symbols: list[str]) -> str:
     return mapped if mapped in symbols else "UNK"
 
 
-def _in_place(tokens: pa.ListArray, maps: pa.MapArray, marks: dict[str, str]) -> list[pa.Array]:
-    """The phones, tones, counts and number of unknown words of each text, an edge before and behind it.
+def _in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of chunks of texts: first one with the keys and numbered tokens of all its texts, then one for each distinct word.
 
-    Every distinct token is spelled once; the texts take these spellings in the order of their tokens.
+    The first numbers are those of the marks, which need no look-up. The first row has a word of its own, which
+    no text can have, for a join on words would bring all rows without a word to one task.
     """
-    known = {}
-    for word, found in zip(maps.keys.to_pylist(), maps.items.to_pylist(), strict=True):
-        known[word] = found
-    coded = tokens.flatten().dictionary_encode()
-    spelled = [(["_"], [0], 1, False)]  # the edge
-    for word in coded.dictionary.to_pylist():
-        if word in marks:
-            spelled.append(([marks[word]], [0], 1, False))
-        elif word in known:
-            found = known[word]
-            phones, tones = (found[c].split(" ") if found[c] else [] for c in ("phones", "tones"))
-            spelled.append((phones, [int(tone) for tone in tones], found["n"], False))
-        else:
-            spelled.append(([], [], 0, True))
-    phones, tones, counts, unknown = zip(*spelled, strict=True)
-    sizes = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    ends = np.append(0, np.cumsum(sizes + 2))
+    chunk = TaskContext.get().partitionId() << _CHUNK_SHIFT
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+        starts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // _TOKENS, prepend=-1))
+        for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            flat = batch.column(1).slice(start, end - start).flatten()
+            coded = pa.concat_arrays([pa.array(SPEECH_SYMBOLS, flat.type), flat]).dictionary_encode()
+            codes = pa.ListArray.from_arrays(
+                pa.array(np.append(0, np.cumsum(sizes[start:end])), pa.int32()), coded.indices.slice(len(SPEECH_SYMBOLS))
+            )
+            texts = pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), codes], ["key", "codes"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, texts.schema) as stream:
+                stream.write_batch(texts)
+            words = coded.dictionary.slice(len(SPEECH_SYMBOLS))
+            rows = {
+                "_chunk": pa.array(np.full(len(words) + 1, chunk)),
+                "_at": pa.array(np.append(-1, np.arange(len(words)) + len(SPEECH_SYMBOLS)), pa.int32()),
+                "_word": pa.concat_arrays([pa.array([f"\0{chunk}"], words.type), words]),
+                "_texts": pa.concat_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.nulls(len(words), pa.binary())]),
+            }
+            yield pa.RecordBatch.from_pydict(rows)
+            chunk += 1
+
+
+def _in_place(chunk: pa.Table, marks: list[str]) -> list[pa.Array]:
+    """The key, phones, tones, counts and number of unknown words of each text of a chunk, an edge before and behind it."""
+    first = chunk.column("_at").to_numpy() < 0
+    texts = pa.ipc.open_stream(chunk.filter(pa.array(first)).column("_texts")[0].as_buffer()).read_next_batch()
+    found = chunk.filter(pa.array(~first))
+    codes = texts.column("codes")
+    words = found.column("_at").to_numpy()
+    if len(np.unique(words)) < len(words):
+        raise ValueError("a word comes twice in the lexicon")
+
+    # spellings: the edge, the marks, what was found, nothing
+    n_own, unknown = len(marks) + 1, len(marks) + 1 + len(words)
+    numbers = codes.flatten().to_numpy(zero_copy_only=False)
+    spelling = np.full(max(int(numbers.max(initial=0)) + 1, len(marks)), unknown)
+    spelling[: len(marks)] = np.arange(1, n_own)
+    spelling[words] = np.arange(n_own, unknown)
+    ends = np.append(0, np.cumsum(codes.value_lengths().to_numpy().astype(np.int64) + 2))
     at = np.zeros(int(ends[-1]), np.int64)
     inside = np.ones(len(at), bool)
     inside[ends[:-1]] = inside[ends[1:] - 1] = False
-    at[inside] = coded.indices.to_numpy(zero_copy_only=False) + 1
+    at[inside] = spelling[numbers]
 
     def lists(values: pa.Array, cuts: np.ndarray) -> pa.ListArray:
         return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)
 
-    def taken(each: tuple[list, ...], kind: pa.DataType) -> pa.ListArray:
-        cuts = np.append(0, np.cumsum(np.array([len(e) for e in each], np.int64)[at]))
-        return lists(pa.array(each, pa.list_(kind)).take(pa.array(at)).flatten(), cuts[ends])
-
-    missing = np.append(0, np.cumsum(np.array(unknown, np.int64)[at]))
-    columns = [taken(phones, pa.string()), taken(tones, pa.int32()), lists(pa.array(counts, pa.int32()).take(pa.array(at)), ends)]
-    return [*columns, pa.array(missing[ends[1:]] - missing[ends[:-1]], pa.int64())]
+    def taken(own: list, column: str, kind: pa.DataType) -> pa.ListArray:
+        joined = pa.concat_arrays([c.cast(pa.string()) for c in found.column(column).chunks] or [pa.array([], pa.string())])
+        spelled = pc.split_pattern(pc.if_else(pc.equal(joined, ""), None, joined), " ")
+        sizes = np.concatenate([np.ones(n_own, np.int64), pc.fill_null(pc.list_value_length(spelled), 0).to_numpy(), [0]])
+        each = lists(pa.concat_arrays([pa.array(own, kind), spelled.flatten().cast(kind)]), np.append(0, np.cumsum(sizes)))
+        return lists(each.take(pa.array(at)).flatten(), np.append(0, np.cumsum(sizes[at]))[ends])
+
+    counts = pa.concat_arrays([pa.array([1] * n_own, pa.int32()), *found.column("_n").chunks, pa.array([0], pa.int32())])
+    missing = np.append(0, np.cumsum(at == unknown))
+    return [
+        texts.column("key"),
+        taken(["_", *marks], "_phones", pa.string()),
+        taken([0] * n_own, "_tones", pa.int32()),
+        lists(counts.take(pa.array(at)), ends),
+        pa.array(missing[ends[1:]] - missing[ends[:-1]], pa.int64()),
+    ]
 
 
 def sanitize(value: Column | str, kind: str) -> Column:

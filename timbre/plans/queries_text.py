@@ -182,7 +182,7 @@ def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def t9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = t.lexicon_phonemes(_docs(spark, sf_dir), "doc_id", "text", _lexicon(spark, sf_dir), _LEXICON_SYMBOLS)
-    joined = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ").alias(c)
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), " ").alias(c)
     return out.select("doc_id", joined("phones"), joined("tones"), joined("word2ph"), "oov")
 
 

@@ -345,9 +345,8 @@ def _in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
             flat = batch.column(1).slice(start, end - start).flatten()
             coded = pa.concat_arrays([pa.array(SPEECH_SYMBOLS, flat.type), flat]).dictionary_encode()
-            codes = pa.ListArray.from_arrays(
-                pa.array(np.append(0, np.cumsum(sizes[start:end])), pa.int32()), coded.indices.slice(len(SPEECH_SYMBOLS))
-            )
+            numbers = coded.indices.slice(len(SPEECH_SYMBOLS)).cast(pa.from_numpy_dtype(np.min_scalar_type(len(coded.dictionary))))
+            codes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes[start:end])), pa.int32()), numbers)
             texts = pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), codes], ["key", "codes"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, texts.schema) as stream:
